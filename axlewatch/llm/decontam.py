@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 A text is reduced to a template, token by token: marks other than letters and digits go, digits become <num>, a unit
-after a number becomes <unit>, a title-case word becomes <name>, the rest is lower-cased. Five-token windows of the
+after a number becomes <unit>, a capital with the small letters after it becomes <name>, the rest is lower-cased. Five-token windows of the
 templates are joined by hash. An item counts as contained in a document if at least `min_share` of the item's windows
 occur there and its slots are filled consistently: along one alignment, a value of the item always corresponds to one
 value of the document (so "Ann has 3 ... Ann" matches "Eve has 7 ... Eve" but not "Eve has 7 ... Tom").
@@ -23,31 +23,34 @@ NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 UNITS = "mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr hours minutes seconds days weeks months years percent dollars euros pounds cents miles meters metres kilometers kilometres grams kilograms liters litres degrees watts volts"
 
 
+def stripped(text: Column) -> Column:
+    """A text without marks: letters and digits between white space."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\s]+", "")
+
+
 def tokens(text: Column) -> Column:
-    """The tokens of a text with their own values: letters and digits between white space."""
-    return F.split(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\s]+", ""), r"\s+", " ")), " ")
+    """The tokens of a text with their own values."""
+    return F.split(F.trim(stripped(text)), r"\s+")
 
 
-def template(values: Column) -> Column:
-    """The template token for each token. values: as from tokens()."""
-    t = F.array_join(values, " ")
-    t = F.regexp_replace(t, r"[0-9]+", NUM)
-    t = F.regexp_replace(t, f"{NUM} (?:{'|'.join(UNITS.split())})(?= |$)", f"{NUM} {UNIT}")
-    t = F.regexp_replace(t, r"(?<=^| )\p{Lu}\p{Ll}+(?= |$)", NAME)
-    return F.split(F.lower(t), " ")
+def template(text: Column) -> Column:
+    """The template token for each token of tokens(text). Each token's template depends on the token alone, but a unit's on the number before it."""
+    t = F.regexp_replace(stripped(text), r"[0-9]+", NUM)
+    t = F.regexp_replace(t, f"{NUM} (?:{'|'.join(UNITS.split())})(?=\\s|$)", f"{NUM} {UNIT}")
+    t = F.regexp_replace(t, r"\p{Lu}\p{Ll}+", NAME)
+    return F.split(F.trim(F.lower(t)), r"\s+")
 
 
-def windows(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds values (tokens), _t (template tokens) and _w (hash of the window from each position on).
+def windows(df: DataFrame) -> DataFrame:
+    """Adds _w (hash of the window of template tokens from each position on).
 
     Explode _w as outer: for an inner explode the optimizer adds a filter on it, pushes that below these projections and
     so computes the tokens anew for each position.
     """
-    df = df.withColumn("_v", tokens(F.col(text))).withColumn("_t", template(F.col("_v")))
-    df = df.withColumn("_h", F.transform("_t", lambda x: F.xxhash64(x)))
+    df = df.withColumn("_h", F.transform(template(F.col("text")), lambda x: F.xxhash64(x)))
     return df.withColumn(
         "_w", F.when(F.size("_h") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("_h") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(WINDOW)])))
-    )
+    ).drop("_h")
 
 
 def is_slot(token: Column) -> Column:
@@ -56,7 +59,8 @@ def is_slot(token: Column) -> Column:
 
 def item_windows(items: DataFrame) -> DataFrame:
     """items(item_id, text) -> a row per window that has two literal tokens: item_id, at, hash, values, slots, n (the item's windows)."""
-    w = windows(items.select("item_id", "text")).select("item_id", "_v", "_t", F.posexplode_outer("_w").alias("at", "hash"))
+    w = windows(items.select("item_id", "text", tokens(F.col("text")).alias("_v"), template(F.col("text")).alias("_t")))
+    w = w.select("item_id", "_v", "_t", F.posexplode_outer("_w").alias("at", "hash"))
     w = w.select("item_id", "at", "hash", F.slice("_v", F.col("at") + 1, WINDOW).alias("values"), F.slice("_t", F.col("at") + 1, WINDOW).alias("t"))
     w = w.select("item_id", "at", "hash", F.filter(F.transform("t", lambda x, i: F.when(is_slot(x), i)), lambda x: x.isNotNull()).alias("slots"), "values")
     w = w.where(F.col("hash").isNotNull() & (F.size("slots") <= WINDOW - 2))

@@ -28,7 +28,6 @@ RULES: dict[str, tuple[str, bool, tuple[float, ...]]] = {
     "repeats": ("r_repeats", True, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1)),
     "lines": ("r_lines", True, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)),
     "capitals": ("r_capitals", True, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2)),
-    "exclaims": ("r_exclaims", True, (0.9, 0.7, 0.5, 0.3, 0.2, 0.1, 0.05)),
     "long words": ("r_word", True, (40.0, 30.0, 20.0, 15.0, 12.0, 10.0)),
     "short words": ("r_word", False, (1.0, 1.5, 2.0, 2.5, 3.0, 3.5)),
 }
@@ -42,31 +41,27 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     """
     keep = [c for c in docs.columns if c != "text"]
     text = F.coalesce(F.col("text"), F.lit(""))
-    w = docs.select(*keep, text.alias("_t"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_w"))
-    # each step is a projection of its own, so that no array is computed twice
-    w = w.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
-    w = w.withColumn(
-        "_g",
-        F.when(F.size("_h") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("_h") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>")),
-    )
-    lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: x.rlike(WORD))
-    w = w.withColumn("_s", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), F.array_sort(F.arrays_zip(F.col("_g").alias("h"), F.sequence(F.lit(1), F.size("_g")).alias("p")))))
-    w = w.withColumn("_at", F.when(F.col("_s").isNotNull(), F.array_sort(F.transform(
-        F.filter("_s", lambda x, i: ((i > 0) & (F.get(F.col("_s"), i - 1)["h"] == x["h"])) | F.coalesce(F.get(F.col("_s"), i + 1)["h"] == x["h"], F.lit(False))), lambda x: x["p"]))))
-    covered = F.aggregate(F.col("_at"), F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
-    w = w.withColumn("_l", lines)
-    plain = F.array_join("_w", "")
-    return w.select(
+    w = docs.select(*keep, text.alias("_t"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("_l"))
+    # each step is a projection of its own, so that no array is computed twice; texts and words leave as early as can be
+    w = w.select(
         *keep,
         F.size("_w").cast("long").alias("n_words"),
-        F.length(plain).cast("long").alias("word_chars"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_t", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
         F.length(F.regexp_replace("_t", r"[^\p{Lu}]+", "")).cast("long").alias("n_capitals"),
-        F.length(F.regexp_replace("_t", "[^!]+", "")).cast("long").alias("n_exclaims"),
+        F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"),
     )
+    w = w.withColumn(
+        "_g",
+        F.when(F.size("_h") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("_h") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>")),
+    ).drop("_h")
+    w = w.withColumn("_s", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), F.array_sort(F.arrays_zip(F.col("_g").alias("h"), F.sequence(F.lit(1), F.size("_g")).alias("p"))))).drop("_g")
+    twice = F.filter("_s", lambda x, i: ((i > 0) & (F.get(F.col("_s"), i - 1)["h"] == x["h"])) | F.coalesce(F.get(F.col("_s"), i + 1)["h"] == x["h"], F.lit(False)))
+    w = w.withColumn("_at", F.when(F.col("_s").isNotNull(), F.array_sort(F.transform(twice, lambda x: x["p"])))).drop("_s")
+    covered = F.aggregate("_at", F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
+    return w.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_at")
 
 
 def base_failed() -> Column:
@@ -82,7 +77,6 @@ def ratios() -> dict[str, Column]:
         "r_repeats": of("n_repeat_words", "n_words"),
         "r_lines": of("n_dup_lines", "n_lines"),
         "r_capitals": of("n_capitals", "word_chars"),
-        "r_exclaims": of("n_exclaims", "n_words"),
         "r_word": of("word_chars", "n_words"),
     }
 

@@ -9,7 +9,6 @@ their text's hash and, if equal, are alike; an empty table gives an empty result
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,11 +23,12 @@ from axlewatch.llm.common import new_path
 
 END_ID = 2
 #: Words whose ids a Python worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: Marks that often close a word; after letters they are a token of their own, so the word's letters are encoded once.
+CLOSING = ".,;:!?"
 WHITE = "\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: A space beside other white space, or at an end of the text: there the tokens of words depend on their neighbours.
 LOOSE = f"(^| |[{WHITE}]) ([{WHITE}]|$)|^ |[{WHITE}] "
-MARK = re.compile(r"<\|")
 
 
 class Encoder:
@@ -42,29 +42,57 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, np.ndarray] = {}
         self.newline = self.tok.encode("\n", add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        """cache: word -> place and number of its ids in `store`, as place * 65536 + number."""
+        self.cache: dict[str, int] = {}
+        self.store, self.used = np.zeros(1 << 20, np.int32), 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def keep(self, words: list[str], ids: np.ndarray, starts: list[int], sizes: list[int]) -> None:
+        while self.used + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        at = self.used
+        self.store[at : at + len(ids)] = ids
+        self.used += len(ids)
+        self.cache.update((w, (at + a) << 16 | n) for w, a, n in zip(words, starts, sizes, strict=True))
+
+    def one_by_one(self, words: list[str]) -> None:
+        for s in range(0, len(words), 2000):
+            part = words[s : s + 2000]
+            ids = self.whole([" " + w for w in part])
+            sizes = [len(x) for x in ids]
+            self.keep(part, np.concatenate(ids), (np.cumsum(sizes) - sizes).tolist(), sizes)
+
     def learn(self, words: list[str]) -> None:
-        """Fills the cache. Words without line feeds are encoded many at a time, parted by line feeds, which are tokens of their own."""
-        plain = [w for w in words if "\n" not in w and w]
-        other = [w for w in words if "\n" in w or not w]
+        """Fills the cache. Plain words are encoded many at a time, parted by line feeds, which are tokens of their own."""
+        closed = {w: stem for w in words if w[-1:] in CLOSING and (stem := w.rstrip(CLOSING)).isalpha()}
+        stems = {x for x in closed.values() if x not in self.cache} | {w for w in words if w.isalpha()}
+        plain = sorted(stems)
+        other = [w for w in words if w not in closed and w not in stems]
         for s in range(0, len(plain), 2000):
             part = plain[s : s + 2000]
             ids = self.whole([" " + "\n ".join(part)])[0]
             at = np.flatnonzero(ids == self.newline[0])
             if len(at) == len(part) - 1:
-                ends = np.append(at, len(ids))
                 starts = np.insert(at + 1, 0, 0)
-                self.cache.update((w, ids[a:b]) for w, a, b in zip(part, starts, ends, strict=True))
+                self.keep(part, ids, starts.tolist(), (np.append(at, len(ids)) - starts).tolist())
             else:
-                other += part
-        for s in range(0, len(other), 2000):
-            part = other[s : s + 2000]
-            self.cache.update(zip(part, self.whole([" " + w for w in part]), strict=True))
+                self.one_by_one(part)
+        self.one_by_one(other)
+        tails = {t: self.tok.encode(t, add_special_tokens=False).ids for t in {w[len(x) :] for w, x in closed.items()}}
+        got, sizes = [], []
+        for w, stem in closed.items():
+            place, n = divmod(self.cache[stem], 65536)
+            tail = tails[w[len(stem) :]]
+            got += self.store[place : place + n].tolist() + tail
+            sizes.append(n + len(tail))
+        if closed:
+            self.keep(list(closed), np.array(got, np.int32), (np.cumsum(sizes) - sizes).tolist(), sizes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with the end id after each text, number of ids for each text)."""
@@ -75,12 +103,11 @@ class Encoder:
         pieces = lists.flatten().dictionary_encode()
         words = pieces.dictionary.to_pylist()
         if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
-        self.learn([w for w in words if w not in self.cache])
-        known = [self.cache[w] for w in words]
-        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
-        flat = np.concatenate(known) if known else np.zeros(0, np.int32)
-        begin = np.cumsum(size) - size
+            self.forget()
+        if new := [w for w in words if w not in self.cache]:
+            self.learn(new)
+        known = np.fromiter((self.cache[w] for w in words), dtype=np.int64, count=len(words))
+        begin, size, flat = known >> 16, known & 65535, self.store
         index = pieces.indices.to_numpy().astype(np.int64)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         # the first piece of a text has no space before it
