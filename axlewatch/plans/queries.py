@@ -1,14 +1,12 @@
-"""The registered queries of the engine and their SQL."""
+"""All registered queries of the engine, their SQL, and the flagship query."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from axlewatch.plans import alarms, core  # noqa: F401  they register their queries
+from axlewatch.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return QUERIES["alarm_episodes_of_components"](spark, sf_dir)
