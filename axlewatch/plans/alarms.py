@@ -359,8 +359,8 @@ FLAG_THR = "(select quantile_cont(score, 0.8) from zs)"
 FLAG = f"""{ROB}, {FLT}, zs as (select component_id, segment, "window" as event_id, t, max(z) as score from oz group by 1, 2, 3, 4), {episodes_sql('zs', 'component_id', FLAG_THR)}"""
 
 
-@query(f"""with {FLAG}, m as (select ep.component_id, ep.episode, ep.t_start, ep.t_end, ep.n_rows, min(fault_id) as fault_id from ep left join flt on flt.component_id = ep.component_id and ep.t_start <= failure and ep.t_end >= onset - {H} group by all)
-select component_id, episode::bigint as episode, t_start, t_end, n_rows, fault_id, fault_id is not null as matched from m""")
+@query(f"""with {FLAG}, mt as (select ep.component_id, ep.episode, ep.t_start, ep.t_end, ep.n_rows, min(fault_id) as fault_id from ep left join flt on flt.component_id = ep.component_id and ep.t_start <= failure and ep.t_end >= onset - {H} group by all)
+select component_id, episode::bigint as episode, t_start, t_end, n_rows, fault_id, fault_id is not null as matched from mt""")
 def alarm_episodes_of_components(spark, sf_dir):
     """Which components had alarm episodes, and did each precede a fault? gaps -> windows -> robust z -> threshold -> episodes -> faults."""
     z = robust(spark, sf_dir).select("component_id", F.col("window").alias("event_id"), "t", F.get("z", F.lit(0)).alias("score"))
