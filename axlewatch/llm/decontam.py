@@ -3,8 +3,9 @@
 A text is reduced to a template, token by token: marks other than letters and digits go, digits become <num>, a unit
 after a number becomes <unit>, a capital with the small letters after it becomes <name>, the rest is lower-cased. Five-token windows of the
 templates are joined by hash. An item counts as contained in a document if at least `min_share` of the item's windows
-occur there and its slots are filled consistently: along one alignment, a value of the item always corresponds to one
-value of the document (so "Ann has 3 ... Ann" matches "Eve has 7 ... Eve" but not "Eve has 7 ... Tom").
+occur there and its slots are filled consistently: along one alignment, a value that fills several slots of the item
+corresponds to one value of the document (so "Ann has 3 ... Ann" matches "Eve has 7 ... Eve" but not "Eve has 7 ... Tom").
+A document that leaves enough slots unchanged is a copy and needs no such check.
 
 Defined results: a null text has no windows; an item or document of fewer than five tokens matches nothing; a window
 needs two tokens that are no placeholders; repeated items are reported each; repeated documents of one id are one
@@ -96,17 +97,17 @@ def contaminated(docs: DataFrame, items: DataFrame, min_share: float = 0.8, min_
         at.join(small(mine), F.col("item_id").eqNullSafe(F.col("w_item")) & (F.col("at") == F.col("w_at")) & (F.col("k") == F.col("w_k")))
         .join(theirs, F.col("doc_id").eqNullSafe(F.col("v_doc")) & (F.col("shift") + F.col("at") + F.col("k") == F.col("v_pos")))
         .groupBy("doc_id", "item_id", "shift", "a")
-        .agg(F.countDistinct("b").alias("values"), F.max((F.col("a") != F.col("b")).cast("int")).alias("other"))
+        .agg(F.countDistinct("b").alias("values"), F.countDistinct("v_pos").alias("places"), F.countDistinct(F.when(F.col("a") == F.col("b"), F.col("v_pos"))).alias("same"))
         .groupBy("doc_id", "item_id")
-        .agg(F.avg((F.col("values") == 1).cast("double")).alias("consistent"), F.sum("other").alias("changed"))
+        .agg(F.avg(F.when(F.col("places") > 1, (F.col("values") == 1).cast("double"))).alias("consistent"), F.sum("places").alias("places"), F.sum("same").alias("same"))
     )
-    s = slots.select(F.col("doc_id").alias("s_doc"), F.col("item_id").alias("s_item"), "consistent", "changed")
+    s = slots.select(F.col("doc_id").alias("s_doc"), F.col("item_id").alias("s_item"), "consistent", "places", "same")
     same = F.col("doc_id").eqNullSafe(F.col("s_doc")) & F.col("item_id").eqNullSafe(F.col("s_item"))
     return (
         shares.join(s, same, "left")
         .withColumn("consistent", F.coalesce("consistent", F.lit(1.0)))
-        .where(F.col("consistent") >= min_consistent)
-        .select("doc_id", "item_id", F.col("matched").cast("long").alias("matched"), F.col("n").cast("long").alias("n"), "share", "consistent", F.coalesce("changed", F.lit(0)).cast("long").alias("changed"))
+        .where((F.col("consistent") >= min_consistent) | (F.col("same") >= min_consistent * F.col("places")))
+        .select("doc_id", "item_id", F.col("matched").cast("long").alias("matched"), F.col("n").cast("long").alias("n"), "share", "consistent", F.coalesce(F.col("places") - F.col("same"), F.lit(0)).cast("long").alias("changed"))
     )
 
 
