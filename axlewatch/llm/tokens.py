@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axlewatch.llm.common import new_path
+from axlewatch.llm.common import batches_of, new_path
 
 END_ID = 2
-#: Words whose ids a Python worker keeps.
-CACHE_WORDS = 1_000_000
+#: Documents that a Python worker gets at once.
+BATCH_ROWS = 1000
+#: Words whose ids a Python worker keeps; beyond, those stay that were met again.
+CACHE_WORDS = 400_000
 #: Marks that often close a word; after letters they are a token of their own, so the word's letters are encoded once.
 CLOSING = ".,;:!?"
 WHITE = "\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
@@ -43,12 +45,19 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.newline = self.tok.encode("\n", add_special_tokens=False).ids
-        self.forget()
+        #: word -> place and number of its ids in `store`, as place * 65536 + number
+        self.cache: dict[str, int] = {}
+        self.again: set[str] = set()
+        self.store, self.used = np.zeros(1 << 20, np.int32), 0
 
     def forget(self) -> None:
-        """cache: word -> place and number of its ids in `store`, as place * 65536 + number."""
-        self.cache: dict[str, int] = {}
+        """Keeps the words that were met again, if they are under half of the limit."""
+        stay = [(w, *divmod(self.cache[w], 65536)) for w in self.again] if len(self.again) < CACHE_WORDS // 2 else []
+        old, self.cache, self.again = self.store, {}, set()
         self.store, self.used = np.zeros(1 << 20, np.int32), 0
+        if stay:
+            sizes = [n for _, _, n in stay]
+            self.keep([w for w, _, _ in stay], np.concatenate([old[a : a + n] for _, a, n in stay]), (np.cumsum(sizes) - sizes).tolist(), sizes)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -104,7 +113,10 @@ class Encoder:
         words = pieces.dictionary.to_pylist()
         if len(self.cache) + len(words) > CACHE_WORDS:
             self.forget()
-        if new := [w for w in words if w not in self.cache]:
+        new = [w for w in words if w not in self.cache]
+        if len(new) < len(words):
+            self.again.update(w for w in words if w in self.cache)
+        if new:
             self.learn(new)
         known = np.fromiter((self.cache[w] for w in words), dtype=np.int64, count=len(words))
         begin, size, flat = known >> 16, known & 65535, self.store
@@ -153,7 +165,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, stripe_mb: int
     """Writes docs(doc_id, text) as ORC files in ascending doc_id order."""
     ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(stripe_mb << 20), "compression": "zstd"}
-    encoded(ranged, tokenizer_path).write.options(**options).orc(path)
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        encoded(ranged, tokenizer_path).write.options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -171,7 +184,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     stored = spark.read.orc(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("file"), "doc_id", "n_tokens", "ids")
     out = T.StructType([T.StructField("file", T.IntegerType()), stored.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
-    rows = stored.mapInArrow(digest, out).checkpoint()
+    with batches_of(spark, BATCH_ROWS):
+        rows = stored.mapInArrow(digest, out).checkpoint()
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
     before = files.select(F.col("file").alias("b_file"), (F.sum("ids").over(Window.orderBy("file")) - F.col("ids")).alias("before"))  # a row per file
     inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
