@@ -144,12 +144,25 @@ class Encoder:
         return np.concatenate(out) if out else np.zeros(0, np.int32), counts
 
 
+def encoder_of(path: str) -> Encoder:
+    """This Python worker's encoder: one for all its tasks, so words stay known and memory is taken once.
+
+    It is held by the tokenizers module, as functions that travel with a job have no module of their own in a worker.
+    """
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_encoders_by_path", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """docs(doc_id, text, ..) -> doc_id, n_tokens, ids; the end id closes each document."""
     rows = 512
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         for batch in batches:
             for s in range(0, batch.num_rows, rows):  # results are several times as large as the texts
                 part = batch.slice(s, rows)
