@@ -147,10 +147,10 @@ def db_scale(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", r6(scalar.power_db(F.col("value")), "power_db"), r6(scalar.amplitude_db(F.col("value")), "amplitude_db"))
 
 
-@query("select event_id, round(sin(2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24), 6) as hour_sin, round(cos(2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24), 6) as hour_cos from events")
+@query("select event_id, round(sin(2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24), 6) + 0.0 as hour_sin, round(cos(2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24), 6) + 0.0 as hour_cos from events")
 def hour_cyclic(spark, sf_dir):
     s, c = scalar.hour_cyclic(F.col("ts"))
-    return read(spark, sf_dir, "events").select("event_id", r6(s, "hour_sin"), r6(c, "hour_cos"))
+    return read(spark, sf_dir, "events").select("event_id", (F.round(s, 6) + 0.0).alias("hour_sin"), (F.round(c, 6) + 0.0).alias("hour_cos"))  # no negative zero
 
 
 @query("select event_id, round(least(greatest(coalesce(value / 10, 1.0), 0), 10), 6) as ratio, round(least(greatest(coalesce((value - 100) / 3, 0.0), -25), 25), 6) as z from events")
