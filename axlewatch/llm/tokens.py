@@ -24,8 +24,10 @@ from axlewatch.llm.common import batches_of, new_path
 END_ID = 2
 #: Documents that a Python worker gets at once.
 BATCH_ROWS = 1000
-#: Words whose ids a Python worker keeps; beyond, those stay that were met again.
-CACHE_WORDS = 400_000
+#: Characters that are encoded at once; results are several times as large as the texts.
+SLICE_CHARS = 4 << 20
+#: Words whose ids a Python worker keeps, at about 60 bytes each; beyond, those stay that were met again.
+CACHE_WORDS = 1_500_000
 #: Marks that often close a word; after letters they are a token of their own, so the word's letters are encoded once.
 CLOSING = ".,;:!?"
 WHITE = "\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
@@ -33,75 +35,117 @@ WHITE = "\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{
 LOOSE = f"(^| |[{WHITE}]) ([{WHITE}]|$)|^ |[{WHITE}] "
 
 
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of all stretches, laid one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, each distinct word once.
 
     The vocabulary's pattern begins a token at each single space between two other characters, so the pieces between
-    such spaces encode independently. Other texts are encoded whole.
+    such spaces encode independently. Other texts are encoded whole. Known words are rows of arrays, found by their
+    hash and then compared; a word whose hash is another word's is encoded each time it is met.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.newline = self.tok.encode("\n", add_special_tokens=False).ids
-        #: word -> place and number of its ids in `store`, as place * 65536 + number
-        self.cache: dict[str, int] = {}
-        self.again: set[str] = set()
-        self.store, self.used = np.zeros(1 << 20, np.int32), 0
+        self.tab = self.tok.encode("\t", add_special_tokens=False).ids
+        self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.int32
+        self.forget()
 
     def forget(self) -> None:
         """Keeps the words that were met again, if they are under half of the limit."""
-        stay = [(w, *divmod(self.cache[w], 65536)) for w in self.again] if len(self.again) < CACHE_WORDS // 2 else []
-        old, self.cache, self.again = self.store, {}, set()
-        self.store, self.used = np.zeros(1 << 20, np.int32), 0
-        if stay:
-            sizes = [n for _, _, n in stay]
-            self.keep([w for w, _, _ in stay], np.concatenate([old[a : a + n] for _, a, n in stay]), (np.cumsum(sizes) - sizes).tolist(), sizes)
+        stay = np.flatnonzero(self.again) if hasattr(self, "again") else np.zeros(0, np.int64)
+        if len(stay) and len(stay) < CACHE_WORDS // 2:
+            words, sizes = self.words.take(pa.array(stay)), self.size[stay]
+            ids = self.store[spread(self.begin[stay], sizes)]
+        else:
+            words, sizes, ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.words, self.again = pa.array([], pa.string()), np.zeros(0, bool)
+        self.hashes, self.rows = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.begin, self.size, self.store = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.keep(words, ids, sizes)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def keep(self, words: list[str], ids: np.ndarray, starts: list[int], sizes: list[int]) -> None:
-        while self.used + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-        at = self.used
-        self.store[at : at + len(ids)] = ids
-        self.used += len(ids)
-        self.cache.update((w, (at + a) << 16 | n) for w, a, n in zip(words, starts, sizes, strict=True))
-
-    def one_by_one(self, words: list[str]) -> None:
+        return [np.array(e.ids, dtype=self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Each word's row, or -1."""
+        h = np.fromiter(map(hash, words.to_pylist()), dtype=np.int64, count=len(words))
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == h)
+        rows = np.full(len(words), -1)
+        found = self.rows[at[hit]]
+        same = pc.equal(self.words.take(pa.array(found)), words.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+        rows[hit[same]] = found[same]
+        return rows
+
+    def keep(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Adds rows."""
+        n = len(self.words)
+        h = np.fromiter(map(hash, words.to_pylist()), dtype=np.int64, count=len(words))
+        order = np.argsort(h, kind="stable")
+        at = np.searchsorted(self.hashes, h[order], side="right")
+        self.hashes = np.insert(self.hashes, at, h[order])
+        self.rows = np.insert(self.rows, at, (n + order).astype(np.int32))
+        self.begin = np.append(self.begin, len(self.store) + np.cumsum(sizes) - sizes)
+        self.size, self.store = np.append(self.size, sizes), np.append(self.store, ids.astype(self.dtype))
+        self.words, self.again = pa.concat_arrays([self.words, words]), np.append(self.again, np.zeros(len(words), bool))
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids for each word) of words after a space. Many are encoded at once, parted by tabs, which are tokens of their own."""
+        ids, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
         for s in range(0, len(words), 2000):
             part = words[s : s + 2000]
-            ids = self.whole([" " + w for w in part])
-            sizes = [len(x) for x in ids]
-            self.keep(part, np.concatenate(ids), (np.cumsum(sizes) - sizes).tolist(), sizes)
+            got = self.whole(["\t".join(" " + w for w in part)])[0] if len(self.tab) == 1 else None
+            tabs = np.flatnonzero(got == self.tab[0]) if got is not None else []
+            if len(tabs) == len(part) - 1 and not any(w == "" or "\t" in w or w[-1].isspace() for w in part):
+                starts = np.insert(tabs + 1, 0, 0)
+                ids.append(np.delete(got, tabs))
+                sizes.append(np.append(tabs, len(got)) - starts)
+            else:
+                each = self.whole([" " + w for w in part])
+                ids += each
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def learn(self, words: list[str]) -> None:
-        """Fills the cache. Plain words are encoded many at a time, parted by line feeds, which are tokens of their own."""
-        closed = {w: stem for w in words if w[-1:] in CLOSING and (stem := w.rstrip(CLOSING)).isalpha()}
-        stems = {x for x in closed.values() if x not in self.cache} | {w for w in words if w.isalpha()}
-        plain = sorted(stems)
-        other = [w for w in words if w not in closed and w not in stems]
-        for s in range(0, len(plain), 2000):
-            part = plain[s : s + 2000]
-            ids = self.whole([" " + "\n ".join(part)])[0]
-            at = np.flatnonzero(ids == self.newline[0])
-            if len(at) == len(part) - 1:
-                starts = np.insert(at + 1, 0, 0)
-                self.keep(part, ids, starts.tolist(), (np.append(at, len(ids)) - starts).tolist())
-            else:
-                self.one_by_one(part)
-        self.one_by_one(other)
-        tails = {t: self.tok.encode(t, add_special_tokens=False).ids for t in {w[len(x) :] for w, x in closed.items()}}
-        got, sizes = [], []
-        for w, stem in closed.items():
-            place, n = divmod(self.cache[stem], 65536)
-            tail = tails[w[len(stem) :]]
-            got += self.store[place : place + n].tolist() + tail
-            sizes.append(n + len(tail))
-        if closed:
-            self.keep(list(closed), np.array(got, np.int32), (np.cumsum(sizes) - sizes).tolist(), sizes)
+        """Adds a row for each word, in this order. Words that differ in closing marks alone share the work on their letters."""
+        stems: dict[str, int] = {}
+        of, tail = [], []
+        odd = [w for w in words if "\t" in w or not w or w[-1].isspace()]
+        apart = set(odd)
+        for w in words:
+            stem = w.rstrip(CLOSING) if w[-1:] in CLOSING else w
+            if stem is not w and not stem.isalpha():
+                stem = w
+            if w not in apart:
+                of.append(stems.setdefault(stem, len(stems)))
+                tail.append(w[len(stem) :])
+        known = self.find(pa.array(list(stems), pa.string()))
+        new = [w for w, row in zip(stems, known.tolist(), strict=True) if row < 0]
+        ids, sizes = self.encode_words(new)
+        marks = {t: i for i, t in enumerate(dict.fromkeys(tail))}
+        mark_ids = self.whole(list(marks)) if marks else []
+        # one pool: the store, then the new stems, then the marks, then the odd words
+        odd_ids = self.whole([" " + w for w in odd])
+        pool = np.concatenate([self.store, ids, *mark_ids, *odd_ids])
+        begin, size = np.zeros(len(stems), np.int64), np.zeros(len(stems), np.int64)
+        begin[known >= 0], size[known >= 0] = self.begin[known[known >= 0]], self.size[known[known >= 0]]
+        begin[known < 0], size[known < 0] = len(self.store) + np.cumsum(sizes) - sizes, sizes
+        extra = np.array([len(x) for x in [*mark_ids, *odd_ids]], np.int64)
+        extra_begin = len(self.store) + len(ids) + np.cumsum(extra) - extra
+        of, mark = np.array(of, np.int64), np.array([marks[t] for t in tail], np.int64)
+        b, n = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        usual = np.array([w not in apart for w in words], bool)
+        b[usual, 0], n[usual, 0], b[usual, 1], n[usual, 1] = begin[of], size[of], extra_begin[mark], extra[mark]
+        b[~usual, 0], n[~usual, 0] = extra_begin[len(marks) :], extra[len(marks) :]
+        self.keep(pa.array(words, pa.string()), pool[spread(b.ravel(), n.ravel())], n.sum(axis=1))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with the end id after each text, number of ids for each text)."""
@@ -110,38 +154,35 @@ class Encoder:
         fast = pc.filter(texts, pa.array(~loose))
         lists = pc.split_pattern(fast, " ")
         pieces = lists.flatten().dictionary_encode()
-        words = pieces.dictionary.to_pylist()
-        if len(self.cache) + len(words) > CACHE_WORDS:
+        words = pieces.dictionary
+        if len(self.words) + len(words) > CACHE_WORDS:
             self.forget()
-        new = [w for w in words if w not in self.cache]
-        if len(new) < len(words):
-            self.again.update(w for w in words if w in self.cache)
-        if new:
-            self.learn(new)
-        known = np.fromiter((self.cache[w] for w in words), dtype=np.int64, count=len(words))
-        begin, size, flat = known >> 16, known & 65535, self.store
-        index = pieces.indices.to_numpy().astype(np.int64)
-        offsets = lists.offsets.to_numpy().astype(np.int64)
+        rows = self.find(words)
+        self.again[rows[rows >= 0]] = True
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            rows[new] = len(self.words) + np.arange(len(new))
+            self.learn(words.take(pa.array(new)).to_pylist())
+        index = rows[pieces.indices.to_numpy()]
         # the first piece of a text has no space before it
-        heads = self.whole([fast[i].as_py().split(" ", 1)[0] for i in range(len(fast))]) if len(fast) else []
+        heads = self.whole([x.split(" ", 1)[0] for x in fast.to_pylist()]) if len(fast) else []
         odd = self.whole(pc.filter(texts, pa.array(loose)).to_pylist()) if loose.any() else []
-        out, counts = [], np.zeros(len(texts), np.int64)
-        end = np.array([END_ID], np.int32)
-        f = o = 0
-        for i, is_odd in enumerate(loose.tolist()):
-            if is_odd:
-                parts = [odd[o], end]
-                o += 1
-            else:
-                a, b = offsets[f] + 1, offsets[f + 1]
-                n = size[index[a:b]]
-                # positions of the pieces' ids in flat, laid one after the other
-                take = np.repeat(begin[index[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                parts = [heads[f], flat[take], end]
-                f += 1
-            counts[i] = sum(map(len, parts))
-            out += parts
-        return np.concatenate(out) if out else np.zeros(0, np.int32), counts
+        # stretches of the store: a text's pieces, or itself if it is loose, and the end id
+        stretches = np.full(len(texts), 2, np.int64)
+        stretches[~loose] = np.diff(lists.offsets.to_numpy()) + 1
+        last = np.cumsum(stretches) - 1
+        first = last - stretches + 1
+        begin, size = np.zeros(stretches.sum(), np.int64), np.ones(stretches.sum(), np.int64)
+        inside = np.repeat(~loose, stretches)
+        inside[last] = False
+        begin[inside], size[inside] = self.begin[index], self.size[index]
+        own = [*heads, *odd, np.array([END_ID], self.dtype)]
+        sizes = np.array([len(x) for x in own], np.int64)
+        starts = len(self.store) + np.cumsum(sizes) - sizes
+        alone = np.concatenate([first[~loose], first[loose]])
+        begin[alone], size[alone], begin[last] = starts[:-1], sizes[:-1], starts[-1]
+        ids = np.concatenate([self.store, *own])[spread(begin, size)].astype(np.int32)
+        return ids, np.add.reduceat(size, first) if len(first) else np.zeros(0, np.int64)
 
 
 def encoder_of(path: str) -> Encoder:
@@ -159,14 +200,16 @@ def encoder_of(path: str) -> Encoder:
 
 def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """docs(doc_id, text, ..) -> doc_id, n_tokens, ids; the end id closes each document."""
-    rows = 512
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path)
         for batch in batches:
-            for s in range(0, batch.num_rows, rows):  # results are several times as large as the texts
-                part = batch.slice(s, rows)
-                ids, counts = encoder.encode(pc.fill_null(part.column(1).cast(pa.string()), ""))
+            texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
+            block = (np.cumsum(pc.binary_length(texts).to_numpy()) // SLICE_CHARS) if len(texts) else np.zeros(0, np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(a, b - a)
+                ids, counts = encoder.encode(texts.slice(a, b - a))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], names=["doc_id", "n_tokens", "ids"])
 
