@@ -98,54 +98,74 @@ class Encoder:
         self.words, self.again = pa.concat_arrays([self.words, words]), np.append(self.again, np.zeros(len(words), bool))
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids for each word) of words after a space. Many are encoded at once, parted by tabs, which are tokens of their own."""
+        """(ids, number of ids for each word). Words with no tab, which end in no white space, are encoded together, parted by tabs: a tab is a token of its own there."""
         ids, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
         for s in range(0, len(words), 2000):
             part = words[s : s + 2000]
-            got = self.whole(["\t".join(" " + w for w in part)])[0] if len(self.tab) == 1 else None
-            tabs = np.flatnonzero(got == self.tab[0]) if got is not None else []
-            if len(tabs) == len(part) - 1 and not any(w == "" or "\t" in w or w[-1].isspace() for w in part):
+            got = self.whole(["\t".join(part)])[0]
+            tabs = np.flatnonzero(got == self.tab[0])
+            if len(self.tab) == 1 and len(tabs) == len(part) - 1:
                 starts = np.insert(tabs + 1, 0, 0)
                 ids.append(np.delete(got, tabs))
                 sizes.append(np.append(tabs, len(got)) - starts)
             else:
-                each = self.whole([" " + w for w in part])
+                each = self.whole(part)
                 ids += each
                 sizes.append(np.array([len(x) for x in each], np.int64))
         return np.concatenate(ids), np.concatenate(sizes)
 
     def learn(self, words: list[str]) -> None:
-        """Adds a row for each word, in this order. Words that differ in closing marks alone share the work on their letters."""
+        """Adds a row for each word, in this order, and then for their stems.
+
+        A word is cut at a single line feed, and each side's closing marks go: what is left are stems, on which words
+        share the work. A stem after a line feed has no space before it; its row begins with that line feed.
+        """
         stems: dict[str, int] = {}
-        of, tail = [], []
-        odd = [w for w in words if "\t" in w or not w or w[-1].isspace()]
-        apart = set(odd)
-        for w in words:
-            stem = w.rstrip(CLOSING) if w[-1:] in CLOSING else w
-            if stem is not w and not stem.isalpha():
-                stem = w
-            if w not in apart:
-                of.append(stems.setdefault(stem, len(stems)))
-                tail.append(w[len(stem) :])
-        known = self.find(pa.array(list(stems), pa.string()))
-        new = [w for w, row in zip(stems, known.tolist(), strict=True) if row < 0]
-        ids, sizes = self.encode_words(new)
-        marks = {t: i for i, t in enumerate(dict.fromkeys(tail))}
-        mark_ids = self.whole(list(marks)) if marks else []
-        # one pool: the store, then the new stems, then the marks, then the odd words
-        odd_ids = self.whole([" " + w for w in odd])
-        pool = np.concatenate([self.store, ids, *mark_ids, *odd_ids])
-        begin, size = np.zeros(len(stems), np.int64), np.zeros(len(stems), np.int64)
-        begin[known >= 0], size[known >= 0] = self.begin[known[known >= 0]], self.size[known[known >= 0]]
-        begin[known < 0], size[known < 0] = len(self.store) + np.cumsum(sizes) - sizes, sizes
-        extra = np.array([len(x) for x in [*mark_ids, *odd_ids]], np.int64)
-        extra_begin = len(self.store) + len(ids) + np.cumsum(extra) - extra
-        of, mark = np.array(of, np.int64), np.array([marks[t] for t in tail], np.int64)
-        b, n = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
-        usual = np.array([w not in apart for w in words], bool)
-        b[usual, 0], n[usual, 0], b[usual, 1], n[usual, 1] = begin[of], size[of], extra_begin[mark], extra[mark]
-        b[~usual, 0], n[~usual, 0] = extra_begin[len(marks) :], extra[len(marks) :]
-        self.keep(pa.array(words, pa.string()), pool[spread(b.ravel(), n.ravel())], n.sum(axis=1))
+        marks: dict[str, int] = {"": 0, "\n": 1}
+        parts, odd = [], []  # a word's parts: stem, marks, line feed, stem, marks; stems from 0 up, the others from -1 down
+
+        def cut(x: str, before: str) -> tuple[int, int]:
+            stem = x.rstrip(CLOSING) if x[-1] in CLOSING else x
+            if not (stem and stem[-1] < "\u0500" and stem.isalpha()):
+                stem = x
+            return stems.setdefault(before + stem, len(stems)), -1 - marks.setdefault(x[len(stem) :], len(marks))
+
+        for i, w in enumerate(words):
+            if not w or "\t" in w or w[-1].isspace():
+                odd.append(i)
+                parts.append((-1, -1, -1, -1, -1))
+                continue
+            a, feed, b = w.partition("\n")
+            if feed and a and not a[-1].isspace() and not b[0].isspace() and "\n" not in b:
+                parts.append((*cut(a, ""), -2, *cut(b, "\n")))
+            else:
+                parts.append((*cut(w, ""), -1, -1, -1))
+        names = list(stems)
+        known = self.find(pa.array(names, pa.string()))
+        new = [names[i] for i in np.flatnonzero(known < 0).tolist()]
+        ids, sizes = self.encode_words([w[1:] if w[0] == "\n" else " " + w for w in new])
+        others = self.whole([*marks, *[" " + words[i] for i in odd]])
+        # one pool: the store, the new stems, marks, odd words
+        pool = np.concatenate([self.store, ids, *others])
+        extra = np.array([len(x) for x in others], np.int64)
+        stem_size, stem_begin = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        old = known >= 0
+        stem_begin[old], stem_size[old] = self.begin[known[old]], self.size[known[old]]
+        stem_begin[~old], stem_size[~old] = len(self.store) + np.cumsum(sizes) - sizes, sizes
+        # marks stand before the stems in reverse, so that a part is a place in both arrays
+        mark_begin = len(self.store) + len(ids) + np.cumsum(extra) - extra
+        n = len(marks)
+        place = np.array(parts, np.int64).reshape(len(words), 5) + n
+        begin, size = np.append(mark_begin[:n][::-1], stem_begin)[place], np.append(extra[:n][::-1], stem_size)[place]
+        begin[odd, 0], size[odd, 0] = mark_begin[n:], extra[n:]
+        whole = size.sum(axis=1)
+        listed = set(words)
+        more = [w not in listed for w in new]
+        more_ids = spread((np.cumsum(sizes) - sizes)[more], sizes[more])
+        self.keep(
+            pa.array(words + [w for w, x in zip(new, more, strict=True) if x], pa.string()),
+            np.concatenate([pool[spread(begin.ravel(), size.ravel())], ids[more_ids]]), np.append(whole, sizes[more]),
+        )
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with the end id after each text, number of ids for each text)."""
@@ -165,7 +185,7 @@ class Encoder:
             self.learn(words.take(pa.array(new)).to_pylist())
         index = rows[pieces.indices.to_numpy()]
         # the first piece of a text has no space before it
-        heads = self.whole([x.split(" ", 1)[0] for x in fast.to_pylist()]) if len(fast) else []
+        heads = self.whole(lists.flatten().take(lists.offsets[:-1]).to_pylist()) if len(fast) else []
         odd = self.whole(pc.filter(texts, pa.array(loose)).to_pylist()) if loose.any() else []
         # stretches of the store: a text's pieces, or itself if it is loose, and the end id
         stretches = np.full(len(texts), 2, np.int64)
