@@ -232,6 +232,7 @@ def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 ids, counts = encoder.encode(texts.slice(a, b - a))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], names=["doc_id", "n_tokens", "ids"])
+            pa.default_memory_pool().release_unused()
 
     out = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return docs.select("doc_id", "text").mapInArrow(each, out)
