@@ -128,9 +128,9 @@ def auprc(spark, sf_dir):
 
 
 @query("""with r as (select l_orderkey, rank() over (partition by l_orderkey order by l_quantity) + (count(*) over (partition by l_orderkey, l_quantity) - 1) / 2.0 as a, rank() over (partition by l_orderkey order by l_linenumber) + (count(*) over (partition by l_orderkey, l_linenumber) - 1) / 2.0 as b from lineitem)
-select l_orderkey, round(case when count(*) >= 3 and stddev_pop(a) > 0 and stddev_pop(b) > 0 then covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) end, 6) as rho from r group by 1""")
+select l_orderkey, round(case when count(*) >= 3 and stddev_pop(a) > 0 and stddev_pop(b) > 0 then covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) end, 6) + 0.0 as rho from r group by 1""")
 def monotonicity(spark, sf_dir):
-    return episodes.monotonicity(read(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_quantity", "l_linenumber").select("l_orderkey", r6("rho"))
+    return episodes.monotonicity(read(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_quantity", "l_linenumber").select("l_orderkey", (r6("rho") + 0.0).alias("rho"))  # no negative zero
 
 
 @query("with v as (select l_quantity as v, l_returnflag = 'R' as a from lineitem where l_returnflag in ('R', 'N')), g as (select v, count(*) filter (where a) as a, count(*) filter (where not a) as b from v group by 1), w as (select abs(sum(a) over (order by v) / sum(a) over () - sum(b) over (order by v) / sum(b) over ()) as gap from g) select round(max(gap), 6) as ks from w")
