@@ -1,9 +1,13 @@
-"""Substring dedup by hashing lines: normalised units, global groups of digests, the earliest occurrence stays.
+"""Substring dedup: sentence and line units and all word windows, global groups of digests, the earliest occurrence stays.
 
-A unit is a line, or within a line a stretch that ends with a sentence once it has MIN_UNIT words, so that a passage
-which stands in the midst of a line still yields units of its own. Units are ranked by (doc_id, offset). A unit that
-occurs earlier is a repeat; repeats that follow each other in a document form one passage, and a passage of at least
-`min_words` words is removed, with its offsets in the original text.
+A unit is a line, or within a line a stretch that ends with a sentence once it has MIN_UNIT words. A window is any
+`min_words` words in a row, across lines too. Both compare lower-cased words and are ranked by (doc_id, word). One that
+occurs earlier is a repeat; the words of repeats that touch or overlap form one passage, and a passage of at least
+`min_words` words is removed, with its offsets in the original text. So a stretch of min_words words that stands earlier
+is found wherever it begins and ends, to the exact word, and shorter repeated units that follow each other are too.
+
+Not every window is shuffled. The least hash of the ANCHOR-word runs inside a window is its anchor: equal windows have equal
+anchors, about one in seven windows has one of its own, and only windows whose anchor occurs twice are looked at.
 
 Defined results: a null text has no units; a null doc_id ranks last; units of white space alone belong to no passage;
 rows that repeat a doc_id are one document (equal units of it at one place are one unit); an empty table gives an empty result.
@@ -14,18 +18,24 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axlewatch.llm.common import settled
 
 MIN_UNIT = 5
 MIN_WORDS = 20
 #: A digest found this often or more is hot: there are at most units / HOT of those, they are broadcast, and their rows are salted.
 HOT, SALTS = 20_000, 64
 END = re.compile(r"[.!?]+(?=\s)")
+SPACED = re.compile(r"\S+")
+ANCHOR = 8
+#: Words whose hashes a Python worker keeps.
+KEPT_WORDS = 200_000
 
 
 def units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
@@ -43,49 +53,110 @@ def units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
         at += len(line) + 1
 
 
-def unit_table(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, unit (its number), start, end, words, digest."""
+def run_hashes(h: np.ndarray, length: int, factor: int) -> np.ndarray:
+    """The 64-bit hash of each `length` words in a row."""
+    out = np.zeros(max(len(h) - length + 1, 0), np.uint64)
+    for k in range(length if len(out) else 0):
+        out = out * np.uint64(factor) + h[k : k + len(out)]
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def windows(text: str, width: int, kept: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, anchor) of each window of `width` words."""
+    words = text.lower().split()
+    if len(words) < width:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    if len(kept) > KEPT_WORDS:
+        kept.clear()
+    h = np.zeros(len(words), np.uint64)
+    for i, w in enumerate(words):
+        x = kept.get(w)
+        if x is None:
+            x = kept[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        h[i] = x
+    short = min(ANCHOR, width)
+    runs = run_hashes(h, short, 0xD6E8FEB86659FD93)
+    return run_hashes(h, width, 0x9E3779B97F4A7C15), np.lib.stride_tricks.sliding_window_view(runs, width - short + 1).min(axis=1)
+
+
+def anchor_table(docs: DataFrame, width: int) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, anchor, n: each anchor of a document once; n is 2 if one of its windows repeats within the document."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, int] = {}
         for batch in batches:
-            ids, number, start, end, words, digest = [], [], [], [], [], []
+            ids, anchors, counts = [], [], []
             for i, t in enumerate(batch.column(1)):
-                for k, (a, b, n, d) in enumerate(units(t.as_py() or "")):
-                    ids.append(i), number.append(k), start.append(a), end.append(b), words.append(n), digest.append(d)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(ids, pa.int64())), *[pa.array(x, pa.int32()) for x in (number, start, end, words)], pa.array(digest, pa.binary())],
-                names=["doc_id", "unit", "start", "end", "words", "digest"],
-            )
+                h, a = windows(t.as_py() or "", width, kept)
+                once = np.unique(a)
+                twice = np.ones(len(h), bool)
+                twice[np.unique(h, return_index=True)[1]] = False
+                ids.append(np.full(len(once), i)), anchors.append(once), counts.append(1 + np.isin(once, a[twice]))
+            ids, anchors, counts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, anchors, counts))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(anchors.view(np.int64)), pa.array(counts, pa.int32())], names=["doc_id", "anchor", "n"])
+
+    out = [docs.schema["doc_id"], T.StructField("anchor", T.LongType()), T.StructField("n", T.IntegerType())]
+    return docs.select("doc_id", "text").mapInArrow(each, T.StructType(out))
+
 
-    ints = [T.StructField(c, T.IntegerType()) for c in ("unit", "start", "end", "words")]
-    return docs.select("doc_id", "text").mapInArrow(each, T.StructType([docs.schema["doc_id"], *ints, T.StructField("digest", T.BinaryType())]))
+def salted_join(rows: DataFrame, first: DataFrame, key: str) -> DataFrame:
+    """rows whose key is in first (a row per key, with its count n), with first's other columns. A hot key is salted, so no task gets all its rows."""
+    hot = F.broadcast(first.where(F.col("n") >= HOT).select(F.col(key).alias("h_key"), F.lit(SALTS).alias("salts")))
+    owners = first.select(F.col(key).alias("f_key"), *[c for c in first.columns if c not in (key, "n")], F.explode(F.sequence(F.lit(0), F.when(F.col("n") >= HOT, SALTS - 1).otherwise(0))).alias("f_salt"))
+    salted = rows.join(hot, rows[key] == hot["h_key"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    return salted.join(owners, (salted[key] == owners["f_key"]) & (salted["salt"] == owners["f_salt"])).drop("h_key", "salts", "f_key", "f_salt", "salt")
+
+
+def piece_table(docs: DataFrame, width: int) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, at (word), words, start, end, whole, digest: a row per unit (whole) and per window whose anchor is found twice."""
+    anchors = anchor_table(docs, width)
+    found = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").checkpoint()
+    wanted = salted_join(anchors.select("doc_id", "anchor"), found, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")).withColumnRenamed("doc_id", "w_id")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, int] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, marked = batch.column(1)[i].as_py() or "", batch.column(2)[i].values
+                at, words, start, end, digest = [], [], [], [], []
+                place = 0
+                for a, b, n, d in units(text):
+                    at.append(place), words.append(n), start.append(a), end.append(b), digest.append(d)
+                    place += n
+                whole = len(at)
+                if marked is not None and len(marked):
+                    h, anchor = windows(text, width, kept)
+                    spans = [m.span() for m in SPACED.finditer(text)]
+                    for k in np.flatnonzero(np.isin(anchor, marked.to_numpy().view(np.uint64))).tolist():
+                        at.append(k), words.append(width), start.append(spans[k][0]), end.append(spans[k + width - 1][1]), digest.append(h[k].tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([i] * len(at), pa.int64())), *[pa.array(x, pa.int32()) for x in (at, words, start, end)], pa.array([j < whole for j in range(len(at))], pa.bool_()), pa.array(digest, pa.binary())],
+                    names=["doc_id", "at", "words", "start", "end", "whole", "digest"],
+                )
+
+    both = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["w_id"]), "left").select("doc_id", "text", "anchors")
+    ints = [T.StructField(c, T.IntegerType()) for c in ("at", "words", "start", "end")]
+    return both.mapInArrow(each, T.StructType([docs.schema["doc_id"], *ints, T.StructField("whole", T.BooleanType()), T.StructField("digest", T.BinaryType())]))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row per passage to remove: doc_id, start_char, end_char, n_words, n_units, kept_doc_id (that of its first unit).
+    """A row per passage to remove: doc_id, start_char, end_char, n_words, n_units (repeated units in it), kept_doc_id (that of its first repeat).
 
-    Digests are counted with partial aggregation; only those found twice go on. Their units join back by (digest, salt),
-    where a hot digest is salted, so no task gets all units of a frequent line.
+    Digests are counted with partial aggregation; only those found twice go on, and their pieces join back.
     """
-    u = unit_table(docs)
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("unit").alias("u"))
-    first = u.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
-    hot = F.broadcast(first.where(F.col("n") >= HOT).select(F.col("digest").alias("h_digest"), F.lit(SALTS).alias("salts")))
-    owners = first.select(
-        F.col("digest").alias("f_digest"), F.col("first.d").alias("kept_doc_id"), F.col("first.u").alias("kept_unit"), F.explode(F.sequence(F.lit(0), F.when(F.col("n") >= HOT, SALTS - 1).otherwise(0))).alias("f_salt")
-    )
-    salted = u.join(hot, u["digest"] == hot["h_digest"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "unit"), F.coalesce("salts", F.lit(1))).cast("int"))
-    again = (
-        salted.join(owners, (salted["digest"] == owners["f_digest"]) & (salted["salt"] == owners["f_salt"]))
-        .where(~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("unit") == F.col("kept_unit"))))
-        .select("doc_id", "unit", "start", "end", "words", "kept_doc_id")
-        .dropDuplicates(["doc_id", "unit", "start"])
-    )
-    by_doc = Window.partitionBy("doc_id").orderBy("unit", "start")
-    runs = again.withColumn("run", F.col("unit") - F.row_number().over(by_doc))
+    u = settled(piece_table(docs.select("doc_id", "text"), min_words), "pieces")
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("at").alias("u"))
+    first = u.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "n", F.col("first.d").alias("kept_doc_id"), F.col("first.u").alias("kept_at")).checkpoint()
+    again = salted_join(u, first, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("at") == F.col("kept_at"))))
+    again = again.select("doc_id", "at", (F.col("at") + F.col("words")).alias("to"), "start", "end", "whole", "kept_doc_id")
+    by_doc = Window.partitionBy("doc_id").orderBy("at", "to")
+    runs = again.withColumn("reach", F.max("to").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))).withColumn("run", F.sum((F.col("at") > F.coalesce("reach", F.lit(-1))).cast("int")).over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
     return (
         runs.groupBy("doc_id", "run")
-        .agg(F.min("start").alias("start_char"), F.max("end").alias("end_char"), F.sum("words").alias("n_words"), F.count(F.lit(1)).alias("n_units"), F.min(F.struct("unit", "kept_doc_id")).alias("f"))
+        .agg(
+            F.min("start").alias("start_char"), F.max("end").alias("end_char"), (F.max("to") - F.min("at")).cast("long").alias("n_words"),
+            F.size(F.collect_set(F.when(F.col("whole"), F.col("at")))).cast("long").alias("n_units"), F.min(F.struct("at", "kept_doc_id")).alias("f"),
+        )
         .where(F.col("n_words") >= min_words)
         .select("doc_id", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), "n_words", "n_units", F.col("f.kept_doc_id").alias("kept_doc_id"))
     )

@@ -112,6 +112,14 @@ def test_repeated_passages(spark, odd):
     assert substring.repeated_passages(odd.limit(0)).count() == 0
 
 
+def test_repeats_inside_lines_are_found_to_the_word(spark):
+    long = sentence(7, 60)[:-1]  # one long sentence in the midst of a line
+    short = " ".join(sentence(20 + i, 9) for i in range(3))  # its first and last sentence touch other text
+    docs = [(i, f"{sentence(40 + i, 13)[:-1]} {p} {sentence(50 + i, 11)}") for i, p in enumerate([long, long.replace(" ", "\n", 2).upper(), short, short])]
+    got = {r.doc_id: r for r in substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: (docs[i][1][r.start_char : r.end_char], r.n_words, r.kept_doc_id) for i, r in got.items()} == {1: (long.replace(" ", "\n", 2).upper(), 60, 0), 3: (short, 27, 2)}
+
+
 def test_units_cover_their_text():
     t = "One two three. Four five six seven! Eight.\n\n nine ten\nend"
     assert [t[a:b] for a, b, _, _ in brute_units(t)] == ["One two three. Four five six seven!", " Eight.", " nine ten", "end"]
