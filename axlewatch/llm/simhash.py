@@ -21,9 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axlewatch.llm.substring import run_hashes
+
 SHINGLE, BITS, SEED = 3, 64, 42
 #: Shingles that are counted at once, so that a very long text needs no more memory than a short one.
 BLOCK = 1 << 16
+#: Similarity of texts: words a shingle, bands of a text's minima and minima a band. At 0.8, 1 - (1 - 0.8**5)**20 = 0.9996 share a band.
+WIDE, BANDS, BAND = 5, 20, 5
+FACTORS = np.random.default_rng(SEED).integers(1 << 62, size=BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None) -> int:
@@ -70,6 +75,66 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     return pairs.select(F.col("q").alias("a"), F.col("fp").alias("b")).distinct()
 
 
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's shingles of WIDE words; none below WIDE words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.unique(run_hashes(np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64), WIDE, 0x9E3779B97F4A7C15))
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, key (of its set of shingles), bands; documents without a shingle are left out."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, keys, bands = [], [], []
+            for i, t in enumerate(batch.column(1)):
+                s = shingles(t.as_py())
+                if not len(s):
+                    continue
+                least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+                for a in range(0, len(s), BLOCK):
+                    for k, f in enumerate(FACTORS):
+                        x = s[a : a + BLOCK] * f
+                        least[k] = min(least[k], (x ^ (x >> np.uint64(32))).min())
+                at.append(i), keys.append(xxhash.xxh64_intdigest(s.tobytes())), bands.append([xxhash.xxh64_intdigest(b.tobytes()) for b in least.reshape(BANDS, BAND)])
+            key = pa.array(np.array(keys, np.uint64).view(np.int64))
+            band = pa.array(np.array(bands, np.uint64).reshape(-1, BANDS).view(np.int64).tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), key, band], names=["doc_id", "key", "bands"])
+
+    out = T.StructType([docs.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    return docs.select("doc_id", "text").mapInArrow(each, out)
+
+
+def similar(docs: DataFrame, similarity: float) -> DataFrame:
+    """docs(doc_id, text) -> (x, y), documents whose sets of five-word shingles have at least this Jaccard similarity, verified on their texts.
+
+    Equal sets collapse first. In each bucket of a band every member is compared with one member only, drawn anew for each
+    band, so the work is linear in a group's size; not all pairs of a group are given, but they connect it. Documents
+    with a null id or of fewer than five words are only compared by fingerprint.
+    """
+    every = signatures(docs.where(F.col("doc_id").isNotNull())).checkpoint()
+    reps = every.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    b = reps.select("rep", F.posexplode("bands").alias("band", "h")).withColumn("draw", F.struct(F.xxhash64("rep", "band").alias("r"), F.col("rep").alias("d")))
+    centres = b.groupBy("band", "h").agg(F.min("draw").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "h", F.col("c.d").alias("centre"))
+    pairs = b.join(centres, ["band", "h"]).where("rep <> centre").select(F.least("rep", "centre").alias("x"), F.greatest("rep", "centre").alias("y")).distinct().checkpoint()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = []
+            for s, t in zip(batch.column(2), batch.column(3), strict=True):
+                a, c = shingles(s.as_py()), shingles(t.as_py())
+                both = len(np.intersect1d(a, c, assume_unique=True))
+                hit.append(both >= similarity * (len(a) + len(c) - both))
+            yield batch.select(["x", "y"]).filter(pa.array(hit, pa.bool_()))
+
+    texts = docs.select("doc_id", "text")
+    x = pairs.join(texts, F.col("x") == F.col("doc_id")).select("x", "y", F.col("text").alias("s"))
+    both = x.join(texts, F.col("y") == F.col("doc_id")).select("x", "y", "s", F.col("text").alias("t"))
+    near = both.mapInArrow(verify, pairs.schema)
+    same = every.join(reps.select("key", "rep"), "key").where("doc_id <> rep").select(F.col("rep").alias("x"), F.col("doc_id").alias("y"))
+    return near.unionAll(same)
+
+
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """nodes(node), edges(a, b) -> (node, root): root is the least node of the component; nodes without edges are left out.
 
@@ -103,15 +168,20 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 3, similarity: float | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable).
 
     Exact copies collapse to their fingerprint before anything is paired, so a group of copies costs one row. Ids meet
-    their component in a join that Spark may split where one fingerprint has many documents.
+    their component in a join that Spark may split where one fingerprint has many documents. With a similarity, documents
+    that `similar` gives are linked too.
     """
     fps = fingerprints(docs).checkpoint()
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first")).checkpoint()
-    roots = components(classes.select(F.col("fp").alias("node")), links(classes.select("fp"), distance))
+    edges = links(classes.select("fp"), distance)
+    if similarity is not None:
+        more = similar(docs, similarity).join(fps.select(F.col("doc_id").alias("x"), F.col("fp").alias("a")), "x").join(fps.select(F.col("doc_id").alias("y"), F.col("fp").alias("b")), "y")
+        edges = edges.unionAll(more.where("a <> b").select("a", "b"))
+    roots = components(classes.select(F.col("fp").alias("node")), edges)
     of = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = of.groupBy("root").agg(F.min("first").alias("component_id"))
     # rows of classes carry their component; then documents join by fingerprint
@@ -119,9 +189,9 @@ def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     return fps.join(named, fps["fp"] == named["c_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, distance: int = 3, similarity: float | None = None) -> DataFrame:
     """docs with one document of each component: that of the least doc_id (of rows that repeat this id, one)."""
-    found = near_duplicates(docs, distance)
+    found = near_duplicates(docs, distance, similarity)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"))
     again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id"))
     left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")

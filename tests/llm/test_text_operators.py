@@ -210,6 +210,19 @@ def test_simhash_against_brute_force(spark, odd):
     assert simhash.without_near_duplicates(odd).columns == odd.columns
 
 
+def test_pipeline_drops_near_copies_beyond_three_bits(spark, odd):
+    import corpus_pipeline
+
+    base = [sentence(i, 120) for i in range(8)]
+    edited = [" ".join("edited" if k in (20, 80) else w for k, w in enumerate(t.split())) for t in base]  # Jaccard 106 / 126
+    far = [" ".join("far" if k % 12 == 0 else w for k, w in enumerate(t.split())) for t in base]  # under 0.8
+    assert any((slow_fingerprint(a) ^ slow_fingerprint(b)).bit_count() > 3 for a, b in zip(base, edited, strict=True))
+    texts = [(i, t) for i, t in enumerate(base + edited + far)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(texts, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(8), *range(16, 24)]
+    assert corpus_pipeline.near_dedup(spark, odd, "").columns == odd.columns and corpus_pipeline.near_dedup(spark, odd.limit(0), "").count() == 0
+
+
 def test_rules_against_brute_force(spark, odd, labels):
     texts = [(i, ("a b c d e f g " * (i % 5) + sentence(i, 20 + i)) + "\nline\nline\n \n \n#$|") for i in range(40)]
     df = spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string")
