@@ -2,7 +2,8 @@
 
 A text is reduced to a template, token by token: marks other than letters and digits go, digits become <num>, a unit
 after a number becomes <unit>, a capital with the small letters after it becomes <name>, the rest is lower-cased. Five-token windows of the
-templates are joined by hash. An item counts as contained in a document if at least `min_share` of the item's windows
+templates are joined by hash. So that a copy in capitals or small letters is found too, each window has a second key, of the
+lower-cased words without <name>; an item is judged by each key on its own. An item counts as contained in a document if at least `min_share` of the item's windows
 occur there and its slots are filled consistently: along one alignment, a value that fills several slots of the item
 corresponds to one value of the document (so "Ann has 3 ... Ann" matches "Eve has 7 ... Eve" but not "Eve has 7 ... Tom").
 A document that leaves enough slots unchanged is a copy and needs no such check.
@@ -34,23 +35,27 @@ def tokens(text: Column) -> Column:
     return F.split(F.trim(stripped(text)), r"\s+")
 
 
-def template(text: Column) -> Column:
-    """The template token for each token of tokens(text). Each token's template depends on the token alone, but a unit's on the number before it."""
-    t = F.regexp_replace(stripped(text), r"[0-9]+", NUM)
-    t = F.regexp_replace(t, f"{NUM} (?:{'|'.join(UNITS.split())})(?=\\s|$)", f"{NUM} {UNIT}")
-    t = F.regexp_replace(t, r"\p{Lu}\p{Ll}+", NAME)
+def template(text: Column, names: bool = True) -> Column:
+    """The template token for each token of tokens(text). Each token's template depends on the token alone, but a unit's on the number before it.
+
+    Without names the case of letters counts nowhere.
+    """
+    t = F.regexp_replace(stripped(text) if names else F.lower(stripped(text)), r"[0-9]+", NUM)
+    t = F.regexp_replace(t, f"{NUM}\\s+(?:{'|'.join(UNITS.split())})(?=\\s|$)", f"{NUM} {UNIT}")
+    if names:
+        t = F.regexp_replace(t, r"\p{Lu}\p{Ll}+", NAME)
     return F.split(F.trim(F.lower(t)), r"\s+")
 
 
-def windows(df: DataFrame) -> DataFrame:
+def windows(df: DataFrame, names: bool = True) -> DataFrame:
     """Adds _w (hash of the window of template tokens from each position on).
 
     Explode _w as outer: for an inner explode the optimizer adds a filter on it, pushes that below these projections and
     so computes the tokens anew for each position.
     """
-    df = df.withColumn("_h", F.transform(template(F.col("text")), lambda x: F.xxhash64(x)))
+    df = df.withColumn("_h", F.transform(template(F.col("text"), names), lambda x: F.xxhash64(x)))
     return df.withColumn(
-        "_w", F.when(F.size("_h") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("_h") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(WINDOW)])))
+        "_w", F.when(F.size("_h") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("_h") - WINDOW), lambda i: F.xxhash64(F.lit(names), *[F.get(F.col("_h"), i + k) for k in range(WINDOW)])))
     ).drop("_h")
 
 
@@ -58,15 +63,16 @@ def is_slot(token: Column) -> Column:
     return F.contains(token, F.lit("<"))
 
 
-def item_windows(items: DataFrame) -> DataFrame:
-    """items(item_id, text) -> a row per window that has two literal tokens: item_id, at, hash, values, slots, n (the item's windows)."""
-    w = windows(items.select("item_id", "text", tokens(F.col("text")).alias("_v"), template(F.col("text")).alias("_t")))
+def item_windows(items: DataFrame, names: bool = True) -> DataFrame:
+    """items(item_id, text) -> a row per window that has two literal tokens: item_id, at, hash, values, slots, n (the item's windows), names."""
+    text = F.col("text")
+    w = windows(items.select("item_id", "text", tokens(text if names else F.lower(text)).alias("_v"), template(text, names).alias("_t")), names)
     w = w.select("item_id", "_v", "_t", F.posexplode_outer("_w").alias("at", "hash"))
     w = w.select("item_id", "at", "hash", F.slice("_v", F.col("at") + 1, WINDOW).alias("values"), F.slice("_t", F.col("at") + 1, WINDOW).alias("t"))
     w = w.select("item_id", "at", "hash", F.filter(F.transform("t", lambda x, i: F.when(is_slot(x), i)), lambda x: x.isNotNull()).alias("slots"), "values")
     w = w.where(F.col("hash").isNotNull() & (F.size("slots") <= WINDOW - 2))
     n = w.groupBy("item_id").agg(F.countDistinct("hash").alias("n"))
-    return w.join(n, "item_id")
+    return w.join(n, "item_id").withColumn("names", F.lit(names))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, min_share: float = 0.8, min_consistent: float = 0.8) -> DataFrame:
@@ -75,40 +81,44 @@ def contaminated(docs: DataFrame, items: DataFrame, min_share: float = 0.8, min_
     The items' windows are broadcast if a count shows that they are few. Each document window is looked up where the
     document is, and only hits are shuffled, by (document, item).
     """
-    wanted = settled(item_windows(items), "decon-items")
+    wanted = settled(item_windows(items).unionByName(item_windows(items, False)), "decon-items")
     docs = docs.select("doc_id", "text")
-    d = windows(docs).select("doc_id", F.posexplode_outer("_w").alias("pos", "hash"))
-    hits = settled(d.join(small(wanted.select("hash", "item_id", "at", "n", "slots")), "hash").select("doc_id", "item_id", "n", "hash", "pos", "at", "slots"), "decon-hits")
+    d = windows(docs).select("doc_id", F.posexplode_outer("_w").alias("pos", "hash")).unionAll(windows(docs, False).select("doc_id", F.posexplode_outer("_w").alias("pos", "hash")))
+    hits = settled(d.join(small(wanted.select("hash", "item_id", "names", "at", "n", "slots")), "hash").select("doc_id", "item_id", "names", "n", "hash", "pos", "at", "slots"), "decon-hits")
     shares = settled(
-        hits.groupBy("doc_id", "item_id")
+        hits.groupBy("doc_id", "item_id", "names")
         .agg(F.countDistinct("hash").alias("matched"), F.first("n").alias("n"))
         .withColumn("share", F.col("matched") / F.col("n"))
         .where(F.col("share") >= min_share),
         "decon-shares",
     )
     # the values in the slots: only of documents that hold enough windows of an item
-    few = small(shares.select(F.col("doc_id").alias("f_doc"), F.col("item_id").alias("f_item")))
-    at = hits.join(few, F.col("doc_id").eqNullSafe(F.col("f_doc")) & F.col("item_id").eqNullSafe(F.col("f_item")), "left_semi")
-    at = at.select("doc_id", "item_id", "hash", "at", (F.col("pos") - F.col("at")).alias("shift"), F.explode("slots").alias("k"))
-    mine = wanted.select(F.col("item_id").alias("w_item"), F.col("at").alias("w_at"), F.posexplode("values").alias("w_k", "a"))
+    few = small(shares.select(F.col("doc_id").alias("f_doc"), F.col("item_id").alias("f_item"), F.col("names").alias("f_names")))
+    at = hits.join(few, F.col("doc_id").eqNullSafe(F.col("f_doc")) & F.col("item_id").eqNullSafe(F.col("f_item")) & (F.col("names") == F.col("f_names")), "left_semi")
+    at = at.select("doc_id", "item_id", "names", "hash", "at", (F.col("pos") - F.col("at")).alias("shift"), F.explode("slots").alias("k"))
+    mine = wanted.select(F.col("item_id").alias("w_item"), F.col("names").alias("w_names"), F.col("at").alias("w_at"), F.posexplode("values").alias("w_k", "a"))
     theirs = docs.join(small(shares.select(F.col("doc_id").alias("f_doc")).distinct()), F.col("doc_id").eqNullSafe(F.col("f_doc")), "left_semi")
     theirs = theirs.select(F.col("doc_id").alias("v_doc"), F.posexplode(tokens(F.col("text"))).alias("v_pos", "b"))
     slots = (
-        at.join(small(mine), F.col("item_id").eqNullSafe(F.col("w_item")) & (F.col("at") == F.col("w_at")) & (F.col("k") == F.col("w_k")))
+        at.join(small(mine), F.col("item_id").eqNullSafe(F.col("w_item")) & (F.col("names") == F.col("w_names")) & (F.col("at") == F.col("w_at")) & (F.col("k") == F.col("w_k")))
         .join(theirs, F.col("doc_id").eqNullSafe(F.col("v_doc")) & (F.col("shift") + F.col("at") + F.col("k") == F.col("v_pos")))
-        .groupBy("doc_id", "item_id", "shift", "a")
+        .withColumn("b", F.when(F.col("names"), F.col("b")).otherwise(F.lower("b")))
+        .groupBy("doc_id", "item_id", "names", "shift", "a")
         .agg(F.countDistinct("b").alias("values"), F.countDistinct("v_pos").alias("places"), F.countDistinct(F.when(F.col("a") == F.col("b"), F.col("v_pos"))).alias("same"))
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", "item_id", "names")
         .agg(F.avg(F.when(F.col("places") > 1, (F.col("values") == 1).cast("double"))).alias("consistent"), F.sum("places").alias("places"), F.sum("same").alias("same"))
     )
-    s = slots.select(F.col("doc_id").alias("s_doc"), F.col("item_id").alias("s_item"), "consistent", "places", "same")
-    same = F.col("doc_id").eqNullSafe(F.col("s_doc")) & F.col("item_id").eqNullSafe(F.col("s_item"))
-    return (
+    s = slots.select(F.col("doc_id").alias("s_doc"), F.col("item_id").alias("s_item"), F.col("names").alias("s_names"), "consistent", "places", "same")
+    same = F.col("doc_id").eqNullSafe(F.col("s_doc")) & F.col("item_id").eqNullSafe(F.col("s_item")) & (F.col("names") == F.col("s_names"))
+    fits = (
         shares.join(s, same, "left")
         .withColumn("consistent", F.coalesce("consistent", F.lit(1.0)))
         .where((F.col("consistent") >= min_consistent) | (F.col("same") >= min_consistent * F.col("places")))
-        .select("doc_id", "item_id", F.col("matched").cast("long").alias("matched"), F.col("n").cast("long").alias("n"), "share", "consistent", F.coalesce(F.col("places") - F.col("same"), F.lit(0)).cast("long").alias("changed"))
+        .select("doc_id", "item_id", "names", F.col("matched").cast("long").alias("matched"), F.col("n").cast("long").alias("n"), "share", "consistent", F.coalesce(F.col("places") - F.col("same"), F.lit(0)).cast("long").alias("changed"))
     )
+    # one row where both keys fit: that of the larger share
+    best = fits.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "names", "matched", "n", "consistent", "changed")).alias("m"))
+    return best.select("doc_id", "item_id", "m.matched", "m.n", "m.share", "m.consistent", "m.changed")
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:

@@ -163,6 +163,13 @@ def test_decontamination_finds_reparameterised_items(spark, odd):
     assert decontam.without_contaminated(odd, items).count() == len(ODD)
 
 
+def test_decontamination_finds_changed_case_and_spaced_units(spark):
+    item = "When Alice has 12 apples and gives 5 kg of them to Robert then Alice asks Maria how many apples Robert and Peter still have"
+    docs = [(1, "So " + item.upper()), (2, item.lower()), (3, item.replace("5 kg", "5\n kg").upper()), (4, item.replace("Alice", "Olga").upper())]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.share, r.changed) for r in got) == [(1, 1.0, 0), (2, 1.0, 0), (3, 1.0, 0)]
+
+
 def test_quality_learns_and_defines_odd_rows(spark, odd, labels):
     docs = spark.createDataFrame([(i, sentence(i, 60) if i % 4 else sentence(i, 60).replace(" ", "### ")) for i in range(400)], "doc_id long, text string")
     got = quality.quality_scores(docs, labels).collect()
