@@ -4,7 +4,8 @@ A text is reduced to a template, token by token: marks other than letters and di
 after a number becomes <unit>, a capital with the small letters after it becomes <name>, the rest is lower-cased. Five-token windows of the
 templates are joined by hash. So that a copy in capitals or small letters is found too, each window has a second key, of the
 lower-cased words without <name>; an item is judged by each key on its own. An item counts as contained in a document if at least `min_share` of the item's windows
-occur there and its slots are filled consistently: along one alignment, a value that fills several slots of the item
+occur there and its slots are filled consistently: along any one alignment (one shift between item and document, nearby
+shifts joined, or all shifts of the document), a value that fills several slots of the item
 corresponds to one value of the document (so "Ann has 3 ... Ann" matches "Eve has 7 ... Eve" but not "Eve has 7 ... Tom").
 A document that leaves enough slots unchanged is a copy and needs no such check.
 
@@ -15,12 +16,14 @@ document; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axlewatch.llm.common import settled, small
 
 WINDOW = 5
+#: Shifts (place in the document less place in the item) at most so far apart may belong to one alignment with small insertions.
+NEARBY = 3
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 UNITS = "mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr hours minutes seconds days weeks months years percent dollars euros pounds cents miles meters metres kilometers kilometres grams kilograms liters litres degrees watts volts"
 
@@ -92,8 +95,26 @@ def contaminated(docs: DataFrame, items: DataFrame, min_share: float = 0.8, min_
         .where(F.col("share") >= min_share),
         "decon-shares",
     )
+    # alignments: each shift, nearby shifts joined, all shifts of the document; an item is contained if any of them passes
+    key = ["doc_id", "item_id", "names"]
+    shifts = hits.withColumn("shift", F.col("pos") - F.col("at")).select(*key, "n", "hash", "shift")
+    enough = small(shares.select(*[F.col(c).alias(f"f_{c}") for c in key]))
+    shifts = shifts.join(enough, F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & F.col("item_id").eqNullSafe(F.col("f_item_id")) & (F.col("names") == F.col("f_names")), "left_semi")
+    by = Window.partitionBy(*key).orderBy("shift")
+    joined = shifts.select(*key, "shift").distinct().withColumn("far", (F.col("shift") - F.lag("shift").over(by) > NEARBY).cast("int"))
+    joined = joined.withColumn("run", F.sum(F.coalesce("far", F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), x.cast("long").alias("group")) for k, x in (("one", F.col("shift")), ("near", F.col("run")), ("all", F.lit(0)))])).alias("g")
+    aligned = settled(joined.select(*[F.col(c).alias(f"g_{c}") for c in key], F.col("shift").alias("g_shift"), kinds).select("g_doc_id", "g_item_id", "g_names", "g_shift", "g.kind", "g.group"), "decon-aligned")
+
+    def of_group(rows: DataFrame) -> DataFrame:
+        on = F.col("doc_id").eqNullSafe(F.col("g_doc_id")) & F.col("item_id").eqNullSafe(F.col("g_item_id")) & (F.col("names") == F.col("g_names")) & (F.col("shift") == F.col("g_shift"))
+        return rows.join(aligned, on).drop("g_doc_id", "g_item_id", "g_names", "g_shift")
+
+    group = [*key, "kind", "group"]
+    shares = of_group(shifts).groupBy(*group).agg(F.countDistinct("hash").alias("matched"), F.first("n").alias("n")).withColumn("share", F.col("matched") / F.col("n")).where(F.col("share") >= min_share)
+    shares = settled(shares, "decon-shares")
     # the values in the slots: only of documents that hold enough windows of an item
-    few = small(shares.select(F.col("doc_id").alias("f_doc"), F.col("item_id").alias("f_item"), F.col("names").alias("f_names")))
+    few = small(shares.select(F.col("doc_id").alias("f_doc"), F.col("item_id").alias("f_item"), F.col("names").alias("f_names")).distinct())
     at = hits.join(few, F.col("doc_id").eqNullSafe(F.col("f_doc")) & F.col("item_id").eqNullSafe(F.col("f_item")) & (F.col("names") == F.col("f_names")), "left_semi")
     at = at.select("doc_id", "item_id", "names", "hash", "at", (F.col("pos") - F.col("at")).alias("shift"), F.explode("slots").alias("k"))
     mine = wanted.select(F.col("item_id").alias("w_item"), F.col("names").alias("w_names"), F.col("at").alias("w_at"), F.posexplode("values").alias("w_k", "a"))
@@ -103,20 +124,27 @@ def contaminated(docs: DataFrame, items: DataFrame, min_share: float = 0.8, min_
         at.join(small(mine), F.col("item_id").eqNullSafe(F.col("w_item")) & (F.col("names") == F.col("w_names")) & (F.col("at") == F.col("w_at")) & (F.col("k") == F.col("w_k")))
         .join(theirs, F.col("doc_id").eqNullSafe(F.col("v_doc")) & (F.col("shift") + F.col("at") + F.col("k") == F.col("v_pos")))
         .withColumn("b", F.when(F.col("names"), F.col("b")).otherwise(F.lower("b")))
-        .groupBy("doc_id", "item_id", "names", "shift", "a")
+    )
+    # in joined shifts a value must correspond across them; among all shifts, along each
+    slots = (
+        of_group(slots)
+        .withColumn("part", F.when(F.col("kind") == "all", F.col("shift")).otherwise(F.lit(0)))
+        .groupBy(*group, "part", "a")
         .agg(F.countDistinct("b").alias("values"), F.countDistinct("v_pos").alias("places"), F.countDistinct(F.when(F.col("a") == F.col("b"), F.col("v_pos"))).alias("same"))
-        .groupBy("doc_id", "item_id", "names")
+        .groupBy(*group)
         .agg(F.avg(F.when(F.col("places") > 1, (F.col("values") == 1).cast("double"))).alias("consistent"), F.sum("places").alias("places"), F.sum("same").alias("same"))
     )
-    s = slots.select(F.col("doc_id").alias("s_doc"), F.col("item_id").alias("s_item"), F.col("names").alias("s_names"), "consistent", "places", "same")
-    same = F.col("doc_id").eqNullSafe(F.col("s_doc")) & F.col("item_id").eqNullSafe(F.col("s_item")) & (F.col("names") == F.col("s_names"))
+    s = slots.select(*[F.col(c).alias(f"s_{c}") for c in group], "consistent", "places", "same")
+    same = F.lit(True)
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"s_{c}"))
     fits = (
         shares.join(s, same, "left")
         .withColumn("consistent", F.coalesce("consistent", F.lit(1.0)))
         .where((F.col("consistent") >= min_consistent) | (F.col("same") >= min_consistent * F.col("places")))
         .select("doc_id", "item_id", "names", F.col("matched").cast("long").alias("matched"), F.col("n").cast("long").alias("n"), "share", "consistent", F.coalesce(F.col("places") - F.col("same"), F.lit(0)).cast("long").alias("changed"))
     )
-    # one row where both keys fit: that of the larger share
+    # one row where several fit: that of the largest share
     best = fits.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "names", "matched", "n", "consistent", "changed")).alias("m"))
     return best.select("doc_id", "item_id", "m.matched", "m.n", "m.share", "m.consistent", "m.changed")
 

@@ -170,6 +170,15 @@ def test_decontamination_finds_changed_case_and_spaced_units(spark):
     assert sorted((r.doc_id, r.share, r.changed) for r in got) == [(1, 1.0, 0), (2, 1.0, 0), (3, 1.0, 0)]
 
 
+def test_decontamination_checks_each_alignment(spark):
+    item = "When Alice has 12 apples and gives 5 kg of them to Robert then how many apples does Alice still have in total after that"
+    bad = [item.replace("Alice has", f"{x} has").replace("12", str(i)).replace("5", str(i + 60)).replace("Robert", y) for i, (x, y) in enumerate([("Maria", "Olga"), ("Peter", "Ines"), ("Clara", "Emil"), ("Hugo", "Lena"), ("Paula", "Karl"), ("Rita", "Otto")], 20)]
+    bad = [t.replace("does Alice", "does Bruno") for t in bad]
+    docs = [(1, " . ".join([*bad, item])), (2, " . ".join(bad))]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [r.doc_id for r in got] == [1]
+
+
 def test_quality_learns_and_defines_odd_rows(spark, odd, labels):
     docs = spark.createDataFrame([(i, sentence(i, 60) if i % 4 else sentence(i, 60).replace(" ", "### ")) for i in range(400)], "doc_id long, text string")
     got = quality.quality_scores(docs, labels).collect()
