@@ -51,12 +51,12 @@ def nearest(rows: DataFrame, sample: DataFrame, row_id: str, sample_id: str, vec
     return rows.join(block).select(row_id, F.get(F.array_sort(d), k - 1).alias("score"))
 
 
-def ecod(rows: DataFrame, row_id: str, features: list[str]) -> DataFrame:
-    """row id and score: summed -log tail probabilities, the larger of left, right and skew-selected sums.
+def ecod(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """keys (of a row) and score: summed -log tail probabilities, the larger of left, right and skew-selected sums.
 
     Tail shares come from distinct values: they are counted before the window, so a frequent value is one row of it.
     """
-    long = rows.unpivot([row_id], features, "feature", "v")
+    long = rows.unpivot(keys, features, "feature", "v")
     n = long.groupBy("feature").agg(F.count("v").alias("n"), F.skewness("v").alias("skew"))
     counts = long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("c"))
     up = Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
@@ -64,7 +64,7 @@ def ecod(rows: DataFrame, row_id: str, features: list[str]) -> DataFrame:
     tails = counts.withColumn("l", F.sum("c").over(up)).withColumn("r", F.sum("c").over(down)).join(F.broadcast(n), "feature")
     tails = tails.select("feature", "v", (-F.log(F.col("l") / F.col("n"))).alias("l"), (-F.log(F.col("r") / F.col("n"))).alias("r"), "skew")
     j = long.join(tails, ["feature", "v"])
-    return j.groupBy(row_id).agg(F.greatest(F.sum("l"), F.sum("r"), F.sum(F.when(F.col("skew") < 0, F.col("l")).otherwise(F.col("r")))).alias("score"))
+    return j.groupBy(*keys).agg(F.greatest(F.sum("l"), F.sum("r"), F.sum(F.when(F.col("skew") < 0, F.col("l")).otherwise(F.col("r")))).alias("score"))
 
 
 def conformal(scores: DataFrame, calibration: DataFrame, score: str) -> DataFrame:

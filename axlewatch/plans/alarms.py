@@ -244,8 +244,8 @@ def det_knn(spark, sf_dir):
 k as (select feature, count(*) as n, avg(pow(v - mu, 3)) as skew from mm group by 1), t as (select id, l.feature, -ln(cume_dist() over (partition by l.feature order by v)) as lf, -ln(cume_dist() over (partition by l.feature order by v desc)) as rt, skew from l join k using (feature))
 select id, round(greatest(sum(lf), sum(rt), sum(case when skew < 0 then lf else rt end)), 5) as score from t group by 1""")
 def det_ecod(spark, sf_dir):
-    w = window_features(spark, sf_dir).withColumn("id", F.col("component_id") * 1000000 + F.col("segment") * 1000 + F.col("window"))
-    return detect.ecod(w, "id", FEATURES).select("id", F.round("score", 5).alias("score"))
+    e = detect.ecod(window_features(spark, sf_dir), ["component_id", "segment", "window"], FEATURES)
+    return e.select((F.col("component_id") * 1000000 + F.col("segment") * 1000 + F.col("window")).alias("id"), F.round("score", 5).alias("score"))
 
 
 @query(f"with {TEL}, cal as (select value as s from tel where component_id % 5 = 0), n as (select count(*) as n from cal) select event_id, round(1 - (1 + (select count(*) from cal where s >= value)) / (1 + n), 6) as p_alarm from tel, n where component_id % 5 <> 0")

@@ -96,3 +96,12 @@ def test_stream_equals_batch(spark):
 
     sf = "/root/testdata/sf0.001"
     assert rows(QUERIES["stream_ewma_cusum"](spark, sf), "event_id", "cusum") == rows(QUERIES["cusum_two_sided"](spark, sf), "event_id", "cusum")
+
+
+def test_ecod_keeps_windows_whose_ids_collide(spark, monkeypatch):
+    from axlewatch.plans import alarms
+
+    rows = spark.createDataFrame([(1, 0, 1000, 1.0, 1.0, 1.0), (1, 1, 0, 2.0, 2.0, 2.0), (2, 0, 0, 3.0, 3.0, 9.0)], "component_id long, segment long, window long, mean double, std double, peak double")
+    monkeypatch.setattr(alarms, "window_features", lambda spark, sf_dir: rows)
+    got = [r.id for r in alarms.det_ecod(spark, "").collect()]
+    assert sorted(got) == [1001000, 1001000, 2000000]
