@@ -7,8 +7,10 @@ marks turns; what looks like a mark inside a text is escaped, so that the turns
 The output is a row per turn: its piece of the formatted conversation, with offsets in the whole. So a conversation of
 any length is written and read in bounded memory; the pieces in order of `turn_no` are the formatted conversation.
 
-Defined results: turns are ordered by (turn, role, text), nulls first; a null text or role is empty; a null conv_id is a
-conversation of its own; repeated rows are turns of their own; an empty table gives no conversation.
+Defined results: turns are ordered by (turn, role, text), a null turn first; a null text or role is empty; turns equal in these
+are ordered by their parts as JSON; a part of an unknown type becomes an `other` placeholder of no tokens, recorded with the type
+it has; null parts are left out; a null conv_id is a conversation of its own; repeated rows are turns of their own; an
+empty table gives no conversation.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 
 OPEN, LOSS, CLOSE = '<turn role="{}">', '<turn role="{}" loss>', "</turn>\n"
 #: What would be read as a mark: a backslash, and < before the name of a mark.
-CONTROL = re.compile(r"\\|<(?=/?(?:turn|image|audio|document)\b)")
+CONTROL = re.compile(r"\\|<(?=/?(?:turn|image|audio|document|other)\b)")
 MARK = re.compile(r'<turn role="([^"]*)"( loss)?>|</turn>\n')
 ROLE_ESCAPES = {"\\": "\\\\", '"': "\\q", "\n": "\\n", "<": "\\l", ">": "\\g"}
 TRAINED_ROLES = ("assistant",)
@@ -54,16 +56,17 @@ class PartVisitor:
     def visit(self, parts: list[dict]) -> tuple[str, list[dict]]:
         """The flattened, escaped text of one message and its attachments. Texts side by side are joined before escaping."""
         out, run, found = [], [], []
-        for part in parts:
+        count = {"image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+        for part in filter(None, parts):
             kind = part.get("type") or "text"
             if kind == "text":
                 run.append(part.get("text") or "")
                 continue
             out.append(escape("".join(run)))
             run = []
-            tokens = getattr(self, f"visit_{kind}")(part)
+            tokens = count[kind](part) if kind in count else 0
             found.append({"n": self.n, "type": kind, "ref": part.get("ref"), "tokens": tokens})
-            out.append(f"<{kind}:{self.n}:{tokens}>")
+            out.append(f"<{kind if kind in count else 'other'}:{self.n}:{tokens}>")
             self.n += 1
         return "".join(out) + escape("".join(run)), found
 
@@ -120,7 +123,8 @@ def format_turns(messages: DataFrame, trained_roles: tuple[str, ...] = TRAINED_R
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(out)
-    ordered = messages.select("conv_id", "turn", "role", "parts").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", F.to_json("parts"))
+    text = F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    ordered = messages.select("conv_id", "turn", "role", "parts").repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), text, F.to_json("parts"))
     return ordered.mapInArrow(each, out)
 
 
