@@ -1,15 +1,18 @@
 """WARC archives with payload dedup, and an index of all captures by external merge.
 
-Writing: each task sorts its captures by (URL key, timestamp) and writes one gzip-per-record archive to the shared
-folder. Scanning an archive gives its index entries in that order, a locally sorted run. Merging: the key space is cut
-into ranges, and each range merges its pieces of the runs with a loser tree, so the whole is globally ordered.
+Writing: each task sorts its captures by (URL key, timestamp, page_id) and writes one gzip-per-record archive to the shared
+folder. Scanning an archive gives its index entries in that order, a locally sorted run, which is a Parquet file of small row
+groups there. Merging: the key space is cut into ranges at keys of a bounded sample of row groups, and each range
+streams its part of up to FAN runs through a loser tree, a row group of each at a time; more runs are merged in
+passes. So no task ever holds a run or a range.
 
 Of captures with equal payloads of at least `min_bytes` bytes, that of the smallest page_id is the response and the others
 are revisits of it.
 
 Defined results: a null html is an empty payload; a null url has an empty key; a null page_id ranks last and, having no
 smaller twin without an id, is a revisit where an id holds the payload; rows that repeat a response's page_id are responses;
-an empty table gives an empty result.
+an empty table gives an empty result. `pages` has no capture time, so a capture's timestamp is page_id seconds after
+EPOCH (modulo 2 ** 31; that of a null page_id is EPOCH).
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from axlewatch.llm.common import new_path, settled
 
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
 URL = re.compile(r"^(?:([A-Za-z][\w+.-]*):)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?([^?#]*)(\?[^#]*)?")
+#: Runs that one task merges at once; rows of a row group of a run; row groups that are sampled for the ranges.
+FAN, GROUP_ROWS, SAMPLE = 256, 1000, 50_000
 ENTRY = "url_key string, timestamp string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 
 
@@ -154,7 +159,7 @@ def captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     """rows(page_id, url, payload, refers_to) -> the archives' paths. An archive of a task that failed is never listed."""
-    key = F.udf(url_key, "string")
+    key = F.udf(url_key, "string", useArrow=True)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -173,13 +178,62 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[1]])], names=["archive"])
 
-    ordered = rows.withColumn("k", key("url")).sortWithinPartitions("k", "page_id").select("page_id", "url", "payload", "refers_to")
+    at = F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1 << 31))
+    ordered = rows.withColumn("k", key("url")).withColumn("at", at).sortWithinPartitions("k", "at", F.col("page_id").asc_nulls_last()).select("page_id", "url", "payload", "refers_to")
     return ordered.mapInArrow(each, "archive string")
 
 
+def order(entry: dict) -> tuple:
+    """Where an entry stands in the index."""
+    return entry["url_key"], entry["timestamp"], entry["page_id"] is None, entry["page_id"] or 0
+
+
+class RunWriter:
+    """Writes sorted entries as a run: a Parquet file of row groups of GROUP_ROWS rows, with the URL keys' least and greatest in its footer."""
+
+    def __init__(self, store, path: str, schema: pa.Schema):
+        import pyarrow.parquet as pq
+
+        self.out = store.open_output_stream(path)
+        self.writer, self.schema, self.rows = pq.ParquetWriter(self.out, schema, compression="zstd"), schema, []
+        self.firsts: list[dict] = []
+
+    def put(self, row: dict) -> None:
+        self.rows.append(row)
+        if len(self.rows) == GROUP_ROWS:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.rows:
+            self.firsts.append(self.rows[0])
+            self.writer.write_batch(pa.RecordBatch.from_pylist(self.rows, schema=self.schema))
+            self.rows = []
+
+    def close(self) -> None:
+        self.flush()
+        self.writer.close()
+        self.out.close()
+
+
+def read_run(store, path: str, low: tuple | None, high: tuple | None) -> Iterator[tuple[tuple, dict]]:
+    """(order, entry) of a run's entries from low on and before high, a row group at a time; others are skipped by the footer."""
+    import pyarrow.parquet as pq
+
+    with store.open_input_file(path) as f:
+        run = pq.ParquetFile(f)
+        for g in range(run.num_row_groups):
+            keys = run.metadata.row_group(g).column(0).statistics
+            if keys is not None and keys.has_min_max and ((low is not None and keys.max < low[0]) or (high is not None and keys.min > high[0])):
+                continue
+            for row in run.read_row_group(g).to_pylist():
+                at = order(row)
+                if (low is None or at >= low) and (high is None or at < high):
+                    yield at, row
+
+
 def scan_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """archives(archive) -> the index entries of all their records, each archive's in its own order."""
-    schema = T._parse_datatype_string(ENTRY)
+    """archives(archive) -> run, and the first url_key, timestamp and page_id of each of its row groups. Writes a run for each archive."""
+    schema = T._parse_datatype_string("run string, url_key string, timestamp string, page_id long")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -187,49 +241,82 @@ def scan_archives(archives: DataFrame, folder: str) -> DataFrame:
         store, base = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                rows = []
+                run = f"{uuid.uuid4().hex}.run"
+                writer = RunWriter(store, f"{base}/{run}", arrow)
                 with store.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for offset, length, raw in members(stream):
-                        rows.append(parse(raw) | {"archive": name, "offset": offset, "length": length})
-                        if len(rows) == 5000:
-                            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                            rows = []
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                        writer.put(parse(raw) | {"archive": name, "offset": offset, "length": length})
+                writer.close()
+                yield pa.RecordBatch.from_pylist([{"run": run, **{c: x[c] for c in ("url_key", "timestamp", "page_id")}} for x in writer.firsts], schema=out)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(schema)
+    arrow, out = to_arrow_schema(T._parse_datatype_string(ENTRY)), to_arrow_schema(schema)
     return archives.mapInArrow(each, schema)
 
 
-def merge_runs(entries: DataFrame) -> DataFrame:
-    """Index entries, sorted by archive -> globally ordered by (url_key, timestamp, page_id); `position` counts inside a range."""
-    schema = T._parse_datatype_string(ENTRY + ", position long")
+def range_cuts(groups: DataFrame, ranges: int) -> list[tuple]:
+    """Places that cut the key space into ranges of about as many row groups, from at most about SAMPLE of them."""
+    step = groups.count() // SAMPLE + 1
+    rows = groups.where(F.pmod(F.xxhash64("run", "url_key", "timestamp", "page_id"), F.lit(step)) == 0).drop("run").collect()
+    places = sorted({order(r.asDict()) for r in rows})
+    return [places[len(places) * i // ranges] for i in range(1, min(ranges, len(places)))]
+
+
+def merged_runs(jobs: DataFrame, folder: str, keep: bool) -> DataFrame:
+    """jobs(job, low, high, runs) -> the entries of each job in order, with `position` inside it; or, to keep them, the run (job, run) that each job writes."""
+    entry = ENTRY + ", position long"
+    schema = T._parse_datatype_string("job long, run string" if keep else entry)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[dict]] = {}
-        for batch in batches:  # one range of the keys
-            for row in batch.to_pylist():
-                runs.setdefault(row["archive"], []).append(row)
-        order = lambda r: (r["url_key"], r["timestamp"], r["page_id"] is None, r["page_id"] or 0)
-        keyed = []
-        for name in sorted(runs):
-            run = sorted(runs.pop(name), key=lambda r: r["offset"])  # blocks of a run may arrive in any order
-            keyed.append([(order(r), r) for r in run])
-        merged = ({**r, "position": i} for i, r in enumerate(LoserTree(keyed)))
-        part: list[dict] = []
-        for row in merged:
-            part.append(row)
-            if len(part) == 5000:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for job in batch.to_pylist():
+                low, high = (None if job[c] is None else order(job[c]) for c in ("low", "high"))
+                tree = LoserTree([read_run(store, f"{base}/{r}", low, high) for r in sorted(job["runs"])])
+                if keep:
+                    run = f"{uuid.uuid4().hex}.run"
+                    writer = RunWriter(store, f"{base}/{run}", plain)
+                    for row in tree:
+                        writer.put(row)
+                    writer.close()
+                    yield pa.RecordBatch.from_pylist([{"job": job["job"], "run": run}], schema=arrow)
+                    continue
+                part: list[dict] = []
+                for i, row in enumerate(tree):
+                    part.append({**row, "position": i})
+                    if len(part) == 5000:
+                        yield pa.RecordBatch.from_pylist(part, schema=arrow)
+                        part = []
                 yield pa.RecordBatch.from_pylist(part, schema=arrow)
-                part = []
-        if part:
-            yield pa.RecordBatch.from_pylist(part, schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(schema)
-    return entries.repartitionByRange(F.col("url_key"), F.col("timestamp"), F.col("page_id").asc_nulls_last()).mapInArrow(each, schema)
+    arrow, plain = to_arrow_schema(schema), to_arrow_schema(T._parse_datatype_string(ENTRY))
+    return jobs.repartitionByRange(max(jobs.count(), 1), "job").mapInArrow(each, schema)
+
+
+def merge_runs(groups: DataFrame, folder: str, ranges: int) -> DataFrame:
+    """The index entries of all runs (groups: run and the first key of each row group), globally ordered by (url_key, timestamp, page_id)."""
+    spark = groups.sparkSession
+    cuts = range_cuts(groups, ranges)
+    place = "struct<url_key:string,timestamp:string,page_id:long>"
+    as_place = lambda x: None if x is None else (x[0], x[1], None if x[2] else x[3])
+    bounds = [(j, as_place(a), as_place(b)) for j, (a, b) in enumerate(zip([None, *cuts], [*cuts, None], strict=True))]
+    spans = F.broadcast(spark.createDataFrame(bounds, f"job long, low {place}, high {place}"))  # a row per range
+    runs = groups.select("run").distinct().withColumn("job", F.lit(None).cast("long"))  # runs of all ranges
+    number = runs.count()
+    while number > FAN:  # a pass merges FAN runs to one for each range
+        parts = -(-number // FAN)
+        part = runs.withColumn("part", F.pmod(F.xxhash64("run"), F.lit(parts)))
+        jobs = part.join(spans.withColumnRenamed("job", "s_job"), F.col("job").isNull() | (F.col("job") == F.col("s_job"))).groupBy("s_job", "part", "low", "high").agg(F.collect_set("run").alias("runs"))
+        jobs = settled(jobs.select((F.col("s_job") * parts + F.col("part")).alias("job"), "low", "high", "runs"), "warc-jobs")
+        runs = settled(merged_runs(jobs, folder, True), "warc-merged").select("run", F.floor(F.col("job") / parts).alias("job"))
+        number = parts
+    jobs = runs.join(spans.withColumnRenamed("job", "s_job"), F.col("job").isNull() | (F.col("job") == F.col("s_job"))).groupBy(F.col("s_job").alias("job"), "low", "high").agg(F.collect_set("run").alias("runs"))
+    return merged_runs(settled(jobs, "warc-jobs"), folder, False)
 
 
 def capture_index(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -238,5 +325,5 @@ def capture_index(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     folder = new_path(spark, "warc")
     archives = settled(write_archives(captures(pages, min_bytes), folder), "warc-list")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = settled(scan_archives(archives.repartition(tasks), folder), "warc-runs")
-    return merge_runs(entries)
+    groups = settled(scan_archives(archives.repartition(tasks), folder), "warc-runs")
+    return merge_runs(groups, folder, tasks)
