@@ -5,8 +5,8 @@ there and its excess goes to the others by weight, until none is above. Each doc
 floor(target / source size) times, and documents in a seeded order are taken once more until the target is reached.
 
 Defined results: a null text has size 0; the null source is a source of its own and comes last; a source of size 0 gets
-target 0; repeated rows of one doc_id are taken alike; an empty table gives an empty result; columns of the documents
-may have any names.
+target 0; rows equal in doc_id and text are taken alike, other rows of one doc_id, or of none, one by one; an empty table
+gives an empty result; columns of the documents may have any names.
 """
 
 from __future__ import annotations
@@ -14,15 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axlewatch.llm.common import n_words, settled, small
+from axlewatch.llm.common import n_words, row_of, settled, small
 
 #: Hexadecimal digits of the order key that make a bin: 4096 bins a source, so a source of any size is summed by bin.
 BIN_DIGITS = 3
 
 
-def order_key(doc_id: Column, seed: int) -> Column:
-    """A seeded order of documents that doesn't depend on partitions."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def order_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """A seeded order of documents that doesn't depend on partitions; documents of one id follow each other by their texts."""
+    return F.concat(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), F.md5(F.coalesce(text, F.lit(""))))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
@@ -56,7 +56,7 @@ def mixing_plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_epoc
     docs: doc_id, text, source. Sums go by (source, bin of the order key) before any shuffle, so a source with a third
     of all rows is as cheap as another; only the one bin in which a target is reached is ordered by row.
     """
-    sized = settled(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_key(F.col("doc_id"), seed).alias("key")), "mix-sizes")
+    sized = settled(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_key(F.col("doc_id"), F.col("text"), seed).alias("key")), "mix-sizes")
     binned = sized.withColumn("bin", F.substring("key", 1, BIN_DIGITS))
     by_bin = settled(binned.groupBy("source", "bin").agg(F.sum("size").alias("words")), "mix-bins")
     sizes = by_bin.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -77,9 +77,11 @@ def mixing_plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_epoc
         .select(F.col("source").alias("r_source"), F.col("at.bin").alias("r_bin"), F.col("at.left").alias("left"))
     )
     reached = settled(reached, "mix-reached")
-    by_key = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first(), "size")
+    by_key = Window.partitionBy("source").orderBy("key")
     last = (
         binned.join(small(reached), F.col("source").eqNullSafe(F.col("r_source")) & (F.col("bin") == F.col("r_bin")))
+        .groupBy("source", "key", "left")
+        .agg(F.sum("size").alias("size"))
         .withColumn("before", F.sum("size").over(by_key.rowsBetween(Window.unboundedPreceding, -1)))
         .where(F.coalesce(F.col("before"), F.lit(0)) + F.col("size") / 2 <= F.col("left"))
         .groupBy("source")
@@ -97,12 +99,8 @@ def mixing_plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_epoc
 def repetitions(docs: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     """docs as a struct `row`, with source_size, target and `times`, how often the mix takes the document."""
     p = small(plan)
-    return docs.join(p, docs["source"].eqNullSafe(p["p_source"])).select(
-        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
-        "source_size",
-        "target",
-        (F.col("whole") + (order_key(docs["doc_id"], seed) <= F.col("last_key")).cast("long")).alias("times"),
-    )
+    rows = docs.select(row_of(docs).alias("row"), order_key(F.col("doc_id"), F.col("text"), seed).alias("key"))
+    return rows.join(p, F.col("row.source").eqNullSafe(F.col("p_source"))).select("row", "source_size", "target", (F.col("whole") + (F.col("key") <= F.col("last_key")).cast("long")).alias("times"))
 
 
 def mix_sizes(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
