@@ -4,8 +4,8 @@ Trusted positives (labels of quality 1) and unlabelled documents train a linear
 the prior p of positives, the risk is p * R(positives as 1) + max(0, R(unlabelled as 0) - p * R(positives as 0)); when the
 bracket falls below zero, the step instead undoes the overfitting. The prior is estimated from the training labels.
 
-The fit sees at most `fit_rows` positives and `fit_rows` unlabelled rows (a documented bound; they are chosen by a hash
-of doc_id); every document is scored over its whole text.
+The fit sees about `fit_rows` positives and `fit_rows` unlabelled documents at most (a documented bound; they are chosen by a
+hash of doc_id, and rows of one doc_id are one document, that of the least features); every document is scored over its whole text.
 
 Defined results: a null text counts as empty and gets the score of an empty text; without trusted positives all scores are 0.5; a
 null doc_id is not held out; rows repeat as in the input; an empty table gives an empty result.
@@ -63,6 +63,16 @@ def features(text: str | None) -> np.ndarray:
 N_FEATURES = 13 + len(MARKS) + 3
 
 
+def pu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(risk of positives as 1, risk of negatives, and the gradient of each) of the logistic loss; both carry their share of the prior."""
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    soft = lambda z: np.logaddexp(0, z)
+    zp, zu = p @ w, u @ w
+    g_pos = prior * (p.T @ (sig(zp) - 1)) / len(p)
+    g_neg = (u.T @ sig(zu)) / len(u) - prior * (p.T @ sig(zp)) / len(p)
+    return prior * soft(-zp).mean(), soft(zu).mean() - prior * soft(zp).mean(), g_pos, g_neg
+
+
 def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> dict:
     """Linear weights on standardised, clipped features and their squares, fitted to the non-negative risk by Adam."""
     mean, scale = unl.mean(axis=0), unl.std(axis=0) + 1e-6
@@ -72,15 +82,10 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 600, r
         return np.hstack([z, z * z / 6, np.ones((len(z), 1))])
 
     p, u = expand(pos), expand(unl)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    soft = lambda z: np.logaddexp(0, z)
     w, m, v = np.zeros(p.shape[1]), 0.0, 0.0
     for t in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
-        bracket = soft(zu).mean() - prior * soft(zp).mean()
-        g_pos = prior * (p.T @ (sig(zp) - 1)) / len(p)
-        g_neg = (u.T @ sig(zu)) / len(u) - prior * (p.T @ sig(zp)) / len(p)
-        g = (g_pos + g_neg if bracket >= 0 else -g_neg) + decay * w
+        _, negatives, g_pos, g_neg = pu_risk(w, p, u, prior)
+        g = (g_pos + g_neg if negatives >= 0 else -g_neg) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return {"mean": mean, "scale": scale, "w": w}
@@ -121,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict
     rest = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     n_docs = rest.select("doc_id").count()
     share_p, share_u = min(1.0, fit_rows / n_pos), min(1.0, fit_rows / max(n_docs, 1))
-    x = _featured(rest.where(_share(F.col("doc_id"), max(share_p, share_u))))
+    x = _featured(rest.where(_share(F.col("doc_id"), max(share_p, share_u)))).groupBy("doc_id").agg(F.min("x").alias("x"))
     k = known.where((F.col("quality") == 1) & _share(F.col("doc_id"), share_p)).select(F.col("doc_id").alias("k_id"))
     rows = x.join(k, x["doc_id"] == k["k_id"], "left").select("x", F.col("k_id").isNotNull().alias("pos"), _share(F.col("doc_id"), share_u).alias("unl"))
     got = rows.where("pos or unl").toPandas()
