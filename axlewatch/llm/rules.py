@@ -1,19 +1,24 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-A rule rejects a text whose metric is above (or below) a cutoff. Labelled good texts choose the cutoffs: for each
-stratum and rule, of a fixed grid of cutoffs the strictest is taken that provably rejects at most `alpha` of the
-stratum's good texts: k of n good texts lie beyond it and P(Bin(n, alpha) <= k) is at most delta / tests, the exact
-(Clopper-Pearson) bound, where `tests` counts all rules, strata and cutoffs (Bonferroni). A stratum with too few labels gets no cutoff.
+A rule rejects a text whose metric is above (or below) a cutoff. All rules tighten together: level j applies the j-th cutoff
+of each rule, and a text's own level is the mildest one that rejects it. For each stratum labelled good texts, held out for
+this, choose the level: from the mildest on, level j is accepted if k of n good texts are rejected by any rule at it and
+P(Bin(n, alpha) <= k) is at most delta / strata, the exact (Clopper-Pearson) bound; the first level that fails ends the
+sequence. Levels are nested and tested in fixed order, so only strata need the (Bonferroni) correction, and with
+probability 1 - delta no stratum loses more than the share `alpha` of its good texts to all rules together. What the base
+rule rejects isn't the method's to reject and doesn't count. A fifth of the good texts takes no part in the choice;
+`audit` measures the rejected share on them.
 
 Defined results: a null text has no words; a text without words fails the base rule; null strata form one stratum;
-ratios of a text without words are 0; an empty label table leaves the base rules alone.
+ratios of a text without words are 0; a stratum with too few labels gets no level; an empty label table leaves the base
+rule alone; a doc_id that is labelled twice counts with its best label, each of its rows alike.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axlewatch.llm.common import WORD, settled, small
@@ -22,15 +27,18 @@ WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
-#: rule -> (metric, whether large values are bad, cutoffs from mild to strict)
+#: rule -> (metric, whether large values are bad, its cutoff at each level)
 RULES: dict[str, tuple[str, bool, tuple[float, ...]]] = {
-    "symbols": ("r_symbols", True, (2.0, 1.0, 0.7, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05, 0.02)),
-    "repeats": ("r_repeats", True, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1)),
-    "lines": ("r_lines", True, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)),
-    "capitals": ("r_capitals", True, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2)),
-    "long words": ("r_word", True, (40.0, 30.0, 20.0, 15.0, 12.0, 10.0)),
-    "short words": ("r_word", False, (1.0, 1.5, 2.0, 2.5, 3.0, 3.5)),
+    "symbols": ("r_symbols", True, (2.0, 1.0, 0.7, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05, 0.02)),
+    "repeats": ("r_repeats", True, (0.19, 0.18, 0.17, 0.16, 0.15, 0.14, 0.13, 0.12, 0.11, 0.1, 0.08, 0.05)),
+    "lines": ("r_lines", True, (0.9, 0.8, 0.7, 0.6, 0.55, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2)),
+    "capitals": ("r_capitals", True, (0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15)),
+    "long words": ("r_word", True, (60.0, 50.0, 40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 15.0, 14.0, 13.0, 12.0)),
+    "short words": ("r_word", False, (1.0, 1.2, 1.4, 1.6, 1.8, 2.0, 2.2, 2.4, 2.6, 2.8, 3.0, 3.2)),
 }
+LEVELS = 12
+#: Good texts of this remainder of the hash of their id, of AUDIT, are left out of the choice.
+AUDIT = 5
 
 
 def base_metrics(docs: DataFrame) -> DataFrame:
@@ -97,45 +105,61 @@ def binomial_at_most(k: Column, n: Column, alpha: float) -> Column:
     return F.exp(terms)
 
 
-def calibrate(good: DataFrame, stratum: str, alpha: float, delta: float) -> DataFrame:
-    """good: the metrics of labelled good texts -> (stratum, rule, cutoff), a row for each rule that a stratum may use.
-
-    Counts beyond each cutoff are sums over rows, so they are combined before the shuffle and no stratum is gathered.
-    """
-    beyond = []
-    for rule, (metric, large, cuts) in RULES.items():
+def own_level() -> Column:
+    """The mildest level that rejects a text with these ratios; LEVELS if none does."""
+    firsts = []
+    for metric, large, cuts in RULES.values():
+        when = F.when(F.lit(False), F.lit(0))
         for j, cut in enumerate(cuts):
-            bad = (F.col(metric) > cut) if large else (F.col(metric) < cut)
-            beyond.append((rule, j, cut, F.sum(bad.cast("long"))))
-    sums = good.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), F.array(*[x[3] for x in beyond]).alias("k"))
-    grid = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(j).alias("step"), F.lit(float(c)).alias("cutoff")) for r, j, c, _ in beyond])
-    tests = settled(sums.select("stratum", "n", F.explode(F.arrays_zip(grid.alias("g"), F.col("k").alias("k"))).alias("x")).select("stratum", "n", "x.g.*", F.col("x.k").alias("k")), "rule-tests")
-    n_tests = tests.agg(F.count(F.lit(1)).alias("n_tests"))
-    passed = (
-        tests.crossJoin(F.broadcast(n_tests))  # one row
-        .where((F.col("k") < F.lit(alpha) * F.col("n")) | ((F.col("k") == 0) & (F.col("n") > 0)))
-        .where(binomial_at_most(F.col("k"), F.col("n"), alpha) <= F.lit(delta) / F.col("n_tests"))
-    )
-    return passed.groupBy("stratum", "rule").agg(F.max(F.struct("step", "cutoff")).alias("best")).select("stratum", "rule", F.col("best.cutoff").alias("cutoff"))
+            when = when.when((F.col(metric) > cut) if large else (F.col(metric) < cut), F.lit(j))
+        firsts.append(when.otherwise(F.lit(LEVELS)))
+    return F.least(*firsts)
 
 
-def apply_rules(metrics: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """metrics(doc_id, stratum, counts..) and labels(doc_id, quality) -> with base_failed and kept.
+def audited(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("audit"), doc_id), F.lit(AUDIT)) == 0
+
+
+def calibrate(good: DataFrame, stratum: str, alpha: float, delta: float) -> DataFrame:
+    """good(stratum, level), a row per labelled good text -> stratum, allowed: the strictest level that the stratum may use.
 
-    A doc_id that is labelled twice counts with its best label.
+    Rows are counted by (stratum, level) before any shuffle; the running sums are over LEVELS rows a stratum.
     """
-    m = settled(metrics.withColumns(ratios()).withColumn("base_failed", base_failed()), "rule-metrics")
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    cutoffs = calibrate(m.join(good, "doc_id", "left_semi"), stratum, alpha, delta)
-    wide = settled(cutoffs.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")), "rule-cutoffs")
-    rejected = F.lit(False)
-    for rule, (metric, large, _) in RULES.items():
-        bad = (F.col(metric) > F.col(f"`{rule}`")) if large else (F.col(metric) < F.col(f"`{rule}`"))
-        rejected = rejected | F.coalesce(bad, F.lit(False))
-    return m.join(small(wide), F.col(stratum).eqNullSafe(F.col("stratum")), "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
-
-
-def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """docs(doc_id, text, lang) -> a row per document: the counts, base_failed and kept."""
+    counts = settled(good.groupBy(F.col(stratum).alias("stratum"), "level").agg(F.count(F.lit(1)).alias("c")), "rule-counts")
+    every = counts.groupBy("stratum").agg(F.sum("c").alias("n"))
+    strata = every.agg(F.count(F.lit(1)).alias("strata"))
+    ladder = every.join(F.broadcast(strata)).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))  # one row of strata
+    c = counts.select(F.col("stratum").alias("c_stratum"), F.col("level").alias("c_level"), "c")
+    ladder = ladder.join(c, F.col("stratum").eqNullSafe(F.col("c_stratum")) & (F.col("c_level") == F.col("step")), "left")
+    up = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    ladder = ladder.withColumn("k", F.sum(F.coalesce("c", F.lit(0))).over(up))
+    bound = F.when((F.col("k") < F.lit(alpha) * F.col("n")) | (F.col("k") == 0), binomial_at_most(F.col("k"), F.col("n"), alpha)).otherwise(F.lit(1.0))
+    ladder = ladder.withColumn("failed", F.max((bound > F.lit(delta) / F.col("strata")).cast("int")).over(up))
+    return ladder.where("failed = 0").groupBy("stratum").agg(F.max("step").alias("allowed"))
+
+
+def measured(metrics: DataFrame) -> DataFrame:
+    """metrics with base_failed and level."""
+    return metrics.withColumns(ratios()).withColumns({"base_failed": base_failed(), "level": own_level()})
+
+
+def apply_rules(metrics: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """metrics(doc_id, stratum, counts..) and labels(doc_id, quality) -> with base_failed, level, allowed and kept."""
+    m = settled(measured(metrics), "rule-metrics")
+    good = labels.where("quality = 1").select("doc_id").distinct().where(~audited(F.col("doc_id")))
+    allowed = settled(calibrate(m.where(~F.col("base_failed")).join(good, "doc_id", "left_semi"), stratum, alpha, delta), "rule-levels")
+    joined = m.join(small(allowed), F.col(stratum).eqNullSafe(F.col("stratum")), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("level") > F.coalesce("allowed", F.lit(-1))))
+
+
+def audit(applied: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """applied (of apply_rules) -> stratum, good, rejected: of good texts that took no part in the choice, how many pass the base rule and how many of these the rules reject."""
+    held = labels.where("quality = 1").select("doc_id").distinct().where(audited(F.col("doc_id")))
+    rows = applied.where(~F.col("base_failed")).join(held, "doc_id", "left_semi")
+    return rows.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("good"), F.count(F.when(~F.col("kept"), 1)).alias("rejected"))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """docs(doc_id, text, lang) -> a row per document: the counts, base_failed, kept and the level that rejects it (LEVELS: none)."""
     out = apply_rules(base_metrics(docs.select("doc_id", "lang", "text")), labels, "lang", alpha, delta)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "level")
