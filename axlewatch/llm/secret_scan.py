@@ -1,12 +1,15 @@
 """Secret scans: fixed patterns, and assignment-aware lexing.
 
-The lexer reads name-value pairs of source and configuration syntax (name = "..", name: .., "name": "..", name := .., name => ..),
-follows names to the literals they stand for, also through sums of terms, and scores a literal by the most sensitive name
-that receives it and by its own randomness. The patterns' spans stay as they are; the lexer adds literals that no
-pattern's span covers.
+The lexer reads name-value pairs of source and configuration syntax (name = "..", name: .., "name": "..", name := .., name => ..,
+name: type = "..", name string = ".."), follows names to the literals they stand for, and scores a literal by the most
+sensitive name that receives it and by the randomness of its own text or of the sum ("a" + "b", or of constants) that it is a
+part of, whichever is greater. The patterns' spans stay as they are; the lexer's are added, under patterns' spans too.
+
+Work is linear in the text: a name is read once, and each name is followed at most once for each sensitivity.
 
 Defined results: a null or empty text has no spans; equal spans of one kind are reported once; rows repeat as in the
-input; offsets are code points, end exclusive; an empty table gives an empty result.
+input; offsets are code points, end exclusive; sums of over MOST_CHARS characters are judged term by term; a name that is
+bound more than once stands for each of its literals, but isn't joined into sums; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,10 +39,16 @@ NAMES = (
 STEMS = ("passw", "passphrase", "pwd", "private", "secret", "api", "access", "auth", "credential", "token", "bearer", "signing", "client", "encryption", "salt", "dsn", "conn")
 ASSIGN_STEMS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 PLACEHOLDER = re.compile(r"^(x+|\*+|\.+|changeme|example|test|todo|none|null|true|false|your[_ -].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|env\..*)$", re.IGNORECASE)
-TERM = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_$][\w$.]*|[^\s"'#;,(){}\[\]+]+)"""
-PAIR = re.compile(rf"""(?<![\w$])([A-Za-z_$][\w$.-]*)["']?[ \t]*(?::=|=>|[:=])[ \t]*({TERM}(?:[ \t]*\+[ \t]*{TERM})*)""")
+TERM = r"""(?:"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|[A-Za-z_$][\w$.]*+|[^\s"'#;,(){}\[\]+]++)"""
+#: A name begins where no name goes on, and is taken whole, so no part of it is tried again.
+PAIR = re.compile(
+    rf"""(?<![\w$.-])[.-]*+([A-Za-z_$][\w$.-]*+)["']?+[ \t]*+"""
+    rf"""(?::[ \t]*+[A-Za-z_$][\w$.]*+(?:<[^<>\n]{{0,80}}>|\[\])?\??[ \t]*+(?==)|(?:string|str|bytes|text)\b[ \t]*+(?==))?"""
+    rf"""(?::=|=>|[:=])[ \t]*+({TERM}(?:[ \t]*+\+[ \t]*+{TERM})*+)"""
+)
 ONE = re.compile(TERM)
 IDENT = re.compile(r"[A-Za-z_$][\w$.]*$")
+MOST_CHARS = 4096
 LEAST_SCORE = 0.5
 
 
@@ -57,33 +66,62 @@ def sensitivity(name: str) -> float:
     return max((w for w, p in NAMES if p.search(name)), default=0.0)
 
 
+class Bindings:
+    """The expressions that names of one text are bound to. An expression is a list of terms: (value, None, start, end) or (None, name, start, end)."""
+
+    def __init__(self, text: str):
+        self.exprs: list[list[tuple[str | None, str | None, int, int]]] = []
+        self.of: dict[str, list[int]] = {}
+        raw = []
+        for m in PAIR.finditer(text):
+            at = m.start(2)
+            raw.append([(x[0], at + x.start(), at + x.end()) for x in ONE.finditer(m[2])])
+            self.of.setdefault(m[1], []).append(len(raw) - 1)
+        for terms in raw:
+            self.exprs.append([(t[1:-1], None, a + 1, b - 1) if t[0] in "\"'" else (None, t, a, b) if IDENT.match(t) and t in self.of else (t, None, a, b) for t, a, b in terms])
+        self.values: dict[int, str | None] = {}
+
+    def value(self, i: int) -> str | None:
+        """The text that expression i stands for; None if a term is unknown, bound more than once, bound to itself, or the text is too long."""
+        stack, open_ = [i], set()
+        while stack:
+            j = stack[-1]
+            if j in self.values:
+                stack.pop()
+                continue
+            inner = [self.of[n][0] if len(self.of[n]) == 1 else -1 for _, n, _, _ in self.exprs[j] if n is not None]
+            ahead = [] if j in open_ else [k for k in inner if k >= 0 and k not in self.values and k not in open_]
+            open_.add(j)
+            if ahead:
+                stack += ahead
+                continue
+            parts = [v if n is None else self.values.get(self.of[n][0]) if len(self.of[n]) == 1 else None for v, n, _, _ in self.exprs[j]]
+            known = all(x is not None for x in parts) and sum(map(len, parts)) <= MOST_CHARS
+            self.values[j] = "".join(parts) if known else None
+            stack.pop()
+        return self.values[i]
+
+
 def lexed(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of the literals that reach a sensitive name."""
-    pairs: list[tuple[str, list[tuple[str, int, int]]]] = []
-    for m in PAIR.finditer(text):
-        at = m.start(2)
-        pairs.append((m[1], [(x[0], at + x.start(), at + x.end()) for x in ONE.finditer(m[2])]))
-    bound: dict[str, list[tuple[str, int, int]]] = {}
-    for name, terms in pairs:
-        bound.setdefault(name, []).extend(terms)
+    names = Bindings(text)
     found: dict[tuple[int, int], float] = {}
-    for name, terms in pairs:
-        if not (weight := sensitivity(name)):
-            continue
-        todo, seen = list(terms), {name}
+    for level in sorted({w for w, _ in NAMES}, reverse=True):
+        todo = [(n, 0.0) for n in names.of if sensitivity(n) == level]
+        seen: set[tuple[str, bool]] = set()  # a name is followed again only if a sum that it belongs to is what scores
         while todo:
-            term, a, b = todo.pop()
-            if term[0] in "\"'":
-                value, a, b = term[1:-1], a + 1, b - 1
-            elif IDENT.match(term) and term in bound:
-                if term not in seen:
-                    seen.add(term)
-                    todo += bound[term]
+            name, above = todo.pop()
+            if (name, level * above >= LEAST_SCORE) in seen:
                 continue
-            else:
-                value = term
-            if (score := weight * randomness(value)) >= LEAST_SCORE:
-                found[a, b] = max(found.get((a, b), 0.0), score)
+            seen.add((name, level * above >= LEAST_SCORE))
+            for i in names.of[name]:
+                terms = names.exprs[i]
+                whole = max(above, randomness(names.value(i) or "")) if len(terms) > 1 else above
+                for value, inner, a, b in terms:
+                    if inner is not None:
+                        todo.append((inner, whole))
+                    elif b > a and (score := level * max(whole, randomness(value))) >= LEAST_SCORE:
+                        found[a, b] = max(found.get((a, b), 0.0), score)
     return [(a, b, s) for (a, b), s in found.items()]
 
 
@@ -103,7 +141,7 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     base = base_spans(text)
     low = text.lower()
     more = lexed(text) if (":" in text or "=" in text) and any(x in low for x in STEMS) else []
-    added = [("lexed", a, b) for a, b, _ in more if not any(s <= a and b <= e for _, s, e in base)]
+    added = [("lexed", a, b) for a, b, _ in more]
     return base, sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
