@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
         if current.isDefined():
             folder = current.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
             spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -59,6 +62,14 @@ def row_of(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def run_hashes(h: np.ndarray, length: int, factor: int) -> np.ndarray:
+    """The 64-bit hash of each `length` words in a row, from the words' hashes."""
+    out = np.zeros(max(len(h) - length + 1, 0), np.uint64)
+    for k in range(length if len(out) else 0):
+        out = out * np.uint64(factor) + h[k : k + len(out)]
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs that run inside hand Python at most so many rows at once; for rows that are large."""

@@ -29,7 +29,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+    return substring.repeated_passages(table(spark, sf_dir, "documents"), min_words=20, min_line_words=20)
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,20 +73,20 @@ with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
 ), turns as (
-  select *, length(text) + length(text) - length(replace(text, '\', '')) + len(regexp_extract_all(text, '</?(turn|image|audio|document)\b')) as escaped,
+  select *, length(text) + length(text) - length(replace(text, '\', '')) + len(regexp_extract_all(text, '</?(turn|image|audio|document|other)\b')) as escaped,
     case when role = 'assistant' then length('<turn role="assistant" loss>') else length('<turn role="">') + length(role) end + length('</turn>' || chr(10)) as marks
   from rows
 )
-select conv_id, cast(count(*) as bigint) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+select conv_id, cast(count(*) as bigint) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   cast(sum(escaped + marks) as bigint) as formatted_chars
 from turns group by conv_id
 """,
     "op3_mix_sources": r"""
 with sized as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
-    md5('17:' || coalesce(cast(doc_id as varchar), '')) as key from documents
+    md5('17:' || coalesce(cast(doc_id as varchar), '')) || md5(coalesce(text, '')) as key from documents
 ), sources as (select source, cast(sum(size) as bigint) as source_size from sized group by source),
 ranked as (
   select source, source_size, list_extract([3.0::double, 1.0::double, 2.0::double], cast((row_number() over (order by encode(source) nulls last) - 1) % 3 + 1 as integer)) as weight, source_size * 2.0::double as cap from sources
@@ -97,11 +97,13 @@ ranked as (
   select source, source_size, case when cap / weight <= level then cap else weight * coalesce(max(level) filter (where cap / weight > level) over (), 0) end as target from leveled
 ), need as (
   select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole from targets
-), walked as (
-  select d.doc_id, d.size, n.source_size, n.target, n.whole, n.target - n.whole * n.source_size as need,
-    coalesce(sum(d.size) over (partition by d.source order by d.key, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as before
-  from sized d join need n on d.source is not distinct from n.source
+), alike as (select source, key, sum(size) as words from sized group by all),
+walked as (
+  select a.source, a.key, n.source_size, n.target, n.whole, n.target - n.whole * n.source_size as need, a.words,
+    coalesce(sum(a.words) over (partition by a.source order by a.key rows between unbounded preceding and 1 preceding), 0) as before
+  from alike a join need n on a.source is not distinct from n.source
 )
-select doc_id, size, source_size, target, cast(size * (whole + case when need > 0 and before + size / 2.0 <= need then 1 else 0 end) as bigint) as taken from walked
+select d.doc_id, d.size, w.source_size, w.target, cast(d.size * (w.whole + case when w.need > 0 and w.before + w.words / 2.0 <= w.need then 1 else 0 end) as bigint) as taken
+from sized d join walked w on d.source is not distinct from w.source and d.key = w.key
 """,
 }

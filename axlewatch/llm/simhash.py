@@ -17,11 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axlewatch.llm.substring import run_hashes
+from axlewatch.llm.common import row_of, run_hashes, settled
 
 SHINGLE, BITS, SEED = 3, 64, 42
 #: Shingles that are counted at once, so that a very long text needs no more memory than a short one.
@@ -81,58 +81,67 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(run_hashes(np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64), WIDE, 0x9E3779B97F4A7C15))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, key (of its set of shingles), bands; documents without a shingle are left out."""
+def sketches(docs: DataFrame, bands: bool) -> DataFrame:
+    """docs(doc_id, text, h) -> doc_id, h, fp and, if wanted, key (a digest of the text's set of shingles) and bands of its minima; these are null below WIDE words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, keys, bands = [], [], []
-            for i, t in enumerate(batch.column(1)):
-                s = shingles(t.as_py())
+            fps, keys, minima = [], [], []
+            for t in batch.column(1):
+                text = t.as_py()
+                fps.append(fingerprint(text))
+                s = shingles(text) if bands else ()
                 if not len(s):
+                    keys.append(None), minima.append(None)
                     continue
                 least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
                 for a in range(0, len(s), BLOCK):
                     for k, f in enumerate(FACTORS):
                         x = s[a : a + BLOCK] * f
                         least[k] = min(least[k], (x ^ (x >> np.uint64(32))).min())
-                at.append(i), keys.append(xxhash.xxh64_intdigest(s.tobytes())), bands.append([xxhash.xxh64_intdigest(b.tobytes()) for b in least.reshape(BANDS, BAND)])
-            key = pa.array(np.array(keys, np.uint64).view(np.int64))
-            band = pa.array(np.array(bands, np.uint64).reshape(-1, BANDS).view(np.int64).tolist(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), key, band], names=["doc_id", "key", "bands"])
+                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                minima.append(np.array([xxhash.xxh64_intdigest(b.tobytes()) for b in least.reshape(BANDS, BAND)], np.uint64).view(np.int64).tolist())
+            columns = [batch.column(0), batch.column(2), pa.array(fps, pa.int64()), pa.array(keys, pa.binary()), pa.array(minima, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fp", "key", "bands"])
 
-    out = T.StructType([docs.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return docs.select("doc_id", "text").mapInArrow(each, out)
+    out = [docs.schema["doc_id"], *[T.StructField(n, t) for n, t in (("h", T.LongType()), ("fp", T.LongType()), ("key", T.BinaryType()), ("bands", T.ArrayType(T.LongType())))]]
+    return docs.select("doc_id", "text", "h").mapInArrow(each, T.StructType(out))
 
 
-def similar(docs: DataFrame, similarity: float) -> DataFrame:
-    """docs(doc_id, text) -> (x, y), documents whose sets of five-word shingles have at least this Jaccard similarity, verified on their texts.
+def similar(rows: DataFrame, every: DataFrame, similarity: float) -> DataFrame:
+    """rows(doc_id, h, text) and their sketches -> (a, b), fingerprints of texts whose sets of five-word shingles have at least this Jaccard similarity, verified on the texts.
 
     Equal sets collapse first. In each bucket of a band every member is compared with one member only, drawn anew for each
-    band, so the work is linear in a group's size; not all pairs of a group are given, but they connect it. Documents
-    with a null id or of fewer than five words are only compared by fingerprint.
+    band, so the work is linear in a group's size; not all pairs of a group are given, but they connect it. Texts
+    of fewer than five words are only compared by fingerprint.
     """
-    every = signatures(docs.where(F.col("doc_id").isNotNull())).checkpoint()
-    reps = every.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    b = reps.select("rep", F.posexplode("bands").alias("band", "h")).withColumn("draw", F.struct(F.xxhash64("rep", "band").alias("r"), F.col("rep").alias("d")))
-    centres = b.groupBy("band", "h").agg(F.min("draw").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "h", F.col("c.d").alias("centre"))
-    pairs = b.join(centres, ["band", "h"]).where("rep <> centre").select(F.least("rep", "centre").alias("x"), F.greatest("rep", "centre").alias("y")).distinct().checkpoint()
+    one = F.struct("doc_id", "h", "fp")
+    kept = every.where("key is not null")
+    reps = kept.groupBy("key").agg(F.min(one).alias("rep"), F.first("bands").alias("bands")).checkpoint()
+    b = reps.select("rep", F.posexplode("bands").alias("band", "m")).withColumn("draw", F.struct(F.xxhash64("rep", "band").alias("r"), F.col("rep").alias("d")))
+    centres = b.groupBy("band", "m").agg(F.min("draw").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "m", F.col("c.d").alias("centre"))
+    differ = ~F.col("rep").eqNullSafe(F.col("centre"))
+    pairs = b.join(centres, ["band", "m"]).where(differ).select(F.least("rep", "centre").alias("x"), F.greatest("rep", "centre").alias("y")).distinct().checkpoint()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = []
             for s, t in zip(batch.column(2), batch.column(3), strict=True):
-                a, c = shingles(s.as_py()), shingles(t.as_py())
-                both = len(np.intersect1d(a, c, assume_unique=True))
-                hit.append(both >= similarity * (len(a) + len(c) - both))
-            yield batch.select(["x", "y"]).filter(pa.array(hit, pa.bool_()))
+                p, q = shingles(s.as_py()), shingles(t.as_py())
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                hit.append(both >= similarity * (len(p) + len(q) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    texts = rows.select("doc_id", "h", "text")
 
-    texts = docs.select("doc_id", "text")
-    x = pairs.join(texts, F.col("x") == F.col("doc_id")).select("x", "y", F.col("text").alias("s"))
-    both = x.join(texts, F.col("y") == F.col("doc_id")).select("x", "y", "s", F.col("text").alias("t"))
-    near = both.mapInArrow(verify, pairs.schema)
-    same = every.join(reps.select("key", "rep"), "key").where("doc_id <> rep").select(F.col("rep").alias("x"), F.col("doc_id").alias("y"))
-    return near.unionAll(same)
+    def of(side: str) -> Column:
+        return F.col(f"{side}.doc_id").eqNullSafe(F.col("doc_id")) & (F.col(f"{side}.h") == F.col("h"))
+
+    x = pairs.join(texts, of("x")).select("x", "y", F.col("text").alias("s"))
+    both = x.join(texts, of("y")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), "s", F.col("text").alias("t"))
+    near = both.mapInArrow(verify, "a long, b long")
+    same = kept.join(reps.select("key", F.col("rep.fp").alias("a")), "key").select("a", F.col("fp").alias("b"))
+    return near.unionAll(same).where("a <> b").distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -168,32 +177,45 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, similarity: float | None = None) -> DataFrame:
+def roots_of(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """classes(fp, first), edges(a, b) between fingerprints -> fp, least: the least `first` of the fingerprint's component."""
+    roots = components(classes.select(F.col("fp").alias("node")), edges)
+    of = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return of.join(of.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable).
 
     Exact copies collapse to their fingerprint before anything is paired, so a group of copies costs one row. Ids meet
-    their component in a join that Spark may split where one fingerprint has many documents. With a similarity, documents
-    that `similar` gives are linked too.
+    their component in a join that Spark may split where one fingerprint has many documents.
     """
     fps = fingerprints(docs).checkpoint()
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first")).checkpoint()
-    edges = links(classes.select("fp"), distance)
-    if similarity is not None:
-        more = similar(docs, similarity).join(fps.select(F.col("doc_id").alias("x"), F.col("fp").alias("a")), "x").join(fps.select(F.col("doc_id").alias("y"), F.col("fp").alias("b")), "y")
-        edges = edges.unionAll(more.where("a <> b").select("a", "b"))
-    roots = components(classes.select(F.col("fp").alias("node")), edges)
-    of = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    # rows of classes carry their component; then documents join by fingerprint
-    named = of.join(ids, "root").select(F.col("fp").alias("c_fp"), "component_id").checkpoint()
+    named = roots_of(classes, links(classes.select("fp"), distance)).select(F.col("fp").alias("c_fp"), F.col("least").alias("component_id")).checkpoint()
     return fps.join(named, fps["fp"] == named["c_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, distance: int = 3, similarity: float | None = None) -> DataFrame:
-    """docs with one document of each component: that of the least doc_id (of rows that repeat this id, one)."""
-    found = near_duplicates(docs, distance, similarity)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"))
-    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id"))
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
-    twice = left.join(again, left["doc_id"].eqNullSafe(again["again_id"]), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, left["doc_id"].eqNullSafe(again["again_id"]), "left_anti").unionByName(twice)
+    """docs with one row of each component of linked texts: that of the least doc_id (null last), then of the least row hash.
+
+    Rows are decided one by one, whatever their ids: rows of one id, or without an id, whose texts differ are different
+    documents; of rows that are equal in all columns one stays. With a similarity, texts that `similar` gives are linked too.
+    A row is known by its id and its hash, so copies spread over all tasks. Columns of type map don't enter the hash.
+    """
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)]
+    rows = docs.select(row_of(docs).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64(*plain).alias("h"))
+    every = sketches(rows, similarity is not None).checkpoint()
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
+    classes = every.groupBy("fp").agg(F.min(rank).alias("first")).checkpoint()
+    edges = links(classes.select("fp"), distance)
+    if similarity is not None:
+        edges = edges.unionAll(similar(rows, every, similarity))
+    least = roots_of(classes, edges).select("least").distinct()
+    stay = least.join(every.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")), F.col("least.id").eqNullSafe(F.col("doc_id")) & (F.col("least.h") == F.col("h")))
+    stay = settled(stay.select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), "n"), "near-kept")
+    left = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h"))).select("row", "doc_id", "h", "n")
+    if stay.where("n > 1").limit(1).count() == 0:
+        return left.select("row.*")
+    once = left.where("n > 1").dropDuplicates(["doc_id", "h"])
+    return left.where("n = 1").unionAll(once).select("row.*")

@@ -1,5 +1,6 @@
 """Text operators against brute force, round trips, and odd rows: nulls, empty and long texts, ties, repeats, clashing columns."""
 
+import base64
 import collections
 import hashlib
 import re
@@ -11,7 +12,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from axlewatch.llm import chat, decontam, mixing, quality, rules, secret_scan, simhash, substring, tokens, warc
+from axlewatch.llm import chat, decontam, mixing, quality, rules, secret_scan, simhash, tokens, warc
 
 TOK = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [(1, None, "en", "a"), (2, "", "en", None), (3, "word", None, "b"), (3, "word", None, "b"), (None, "Ein wort. " * 4000, "de", "a"), (4, "a b\nc  d\t e", "en", "a"), (5, "x" * 100000, "en", "a")]
@@ -69,6 +70,8 @@ def test_warc_index_is_ordered_and_complete(spark):
     for i, _, h in pages:
         if i is not None:
             first[h or ""] = min(first.get(h or "", i), i)
+    sha = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+    assert collections.Counter((r.page_id, r.payload_digest) for r in got) == collections.Counter((i, sha(h)) for i, _, h in pages)
     want = collections.Counter((i, len((h or "").encode()), "response" if first[h or ""] == i else "revisit", None if first[h or ""] == i else first[h or ""]) for i, _, h in pages)
     assert collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == want
     order = [(r.url_key, r.timestamp, r.page_id is None, r.page_id or 0) for r in got]
@@ -76,6 +79,36 @@ def test_warc_index_is_ordered_and_complete(spark):
     assert warc.url_key("http://www.H0.org:80/p?b=2&a=1#f") == "org,h0)/p?a=1&b=2"
 
 
+@pytest.mark.parametrize(("fan", "rows"), [(256, 1000), (2, 3)])
+def test_runs_merge_in_passes_and_small_groups(spark, monkeypatch, fan, rows):
+    monkeypatch.setattr(warc, "FAN", fan)
+    monkeypatch.setattr(warc, "GROUP_ROWS", rows)
+    pages = [(i * 7919 % 500, f"http://h{i % 2 and i % 11}.org/p{i % 5}", f"{i}") for i in range(500)] + [(None, "http://h0.org/p0", "x"), (None, "", None)]
+    got = warc.capture_index(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)).collect()
+    assert len(got) == len(pages) and [warc.order(r.asDict()) for r in got] == sorted(warc.order(r.asDict()) for r in got)
+    assert warc.capture_index(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_chat_ties_unknown_parts_and_null_roles(spark):
+    rows = [(1, 0, None, "a!"), (1, 0, "", "a"), (1, 0, None, None), (1, None, "user", "first")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = chat.read_back(chat.format_turns(chat.text_parts(df))).first()
+    assert got.turns_sha256 == hashlib.sha256(b"user\nfirst\n\n\n\na\n\na!\n").hexdigest()
+    text, found = chat.PartVisitor().visit([{"type": "video", "ref": "v"}, None, {"text": "<other"}])
+    assert (text, found) == ("<other:0:0>\\lother", [{"n": 0, "type": "video", "ref": "v", "tokens": 0}])
+
+
+def test_mix_takes_any_column_names_and_rows_of_one_id_one_by_one(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(None, sentence(i, 10), "s") for i in range(30)] + [(1, sentence(99, 10), "t")] * 2, "doc_id long, text string, source string")
+    for c in ("target", "whole", "source_size", "last_key", "row", "size", "key", "bin", "times", "p_source", "copy", "need"):
+        docs = docs.withColumn(c, F.lit("own"))
+    assert mixing.mix(docs).columns == docs.columns
+    got = [r for r in mixing.mix_sizes(docs, (1, 1), 1.25).collect() if r.doc_id is None]
+    assert {r.taken for r in got} == {10, 20} and abs(sum(r.taken for r in got) - got[0].target) <= 10
+
+
 def test_mix_reaches_targets(spark, odd):
     docs = spark.createDataFrame([(i, sentence(i, 5 + i % 40), "s" + str(i % 4) if i % 9 else None) for i in range(400)], "doc_id long, text string, source string")
     got = mixing.mix_sizes(docs).collect()
@@ -94,37 +127,6 @@ def test_mix_reaches_targets(spark, odd):
     assert mixing.mix_sizes(odd.limit(0)).count() == 0
 
 
-def brute_units(text):
-    return list(substring.units(text or ""))
-
-
-def test_repeated_passages(spark, odd):
-    passage = " ".join(sentence(i, 12) for i in range(6))
-    docs = [(1, "Start here now. " + passage), (2, sentence(90) + "\n" + sentence(91)), (3, sentence(92, 9)[:-1] + " " + passage + " " + sentence(93)), (4, "All rights reserved.\n" + sentence(94)), (5, "All rights reserved.\n" + sentence(95))]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = substring.repeated_passages(df).collect()
-    assert [(r.doc_id, r.kept_doc_id) for r in got] == [(3, 1)]
-    cut = docs[2][1][got[0].start_char : got[0].end_char]
-    assert cut in docs[2][1] and len(cut.split()) >= 55 and passage.endswith(cut.strip())
-    texts = {r.doc_id: r.text for r in substring.without_repeats(df).collect()}
-    assert texts[1] == docs[0][1] and cut not in texts[3] and len(texts[3]) == len(docs[2][1]) - len(cut)
-    assert [r.doc_id for r in substring.repeated_passages(odd).collect()] == [None]  # repeats of its own first unit
-    assert substring.repeated_passages(odd.limit(0)).count() == 0
-
-
-def test_repeats_inside_lines_are_found_to_the_word(spark):
-    long = sentence(7, 60)[:-1]  # one long sentence in the midst of a line
-    short = " ".join(sentence(20 + i, 9) for i in range(3))  # its first and last sentence touch other text
-    docs = [(i, f"{sentence(40 + i, 13)[:-1]} {p} {sentence(50 + i, 11)}") for i, p in enumerate([long, long.replace(" ", "\n", 2).upper(), short, short])]
-    got = {r.doc_id: r for r in substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert {i: (docs[i][1][r.start_char : r.end_char], r.n_words, r.kept_doc_id) for i, r in got.items()} == {1: (long.replace(" ", "\n", 2).upper(), 60, 0), 3: (short, 27, 2)}
-
-
-def test_units_cover_their_text():
-    t = "One two three. Four five six seven! Eight.\n\n nine ten\nend"
-    assert [t[a:b] for a, b, _, _ in brute_units(t)] == ["One two three. Four five six seven!", " Eight.", " nine ten", "end"]
-
-
 def test_token_files_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
@@ -265,14 +267,7 @@ def test_binomial_bound(spark):
         assert abs(r.p - sum(comb(r.n, i) * 0.02**i * 0.98 ** (r.n - i) for i in range(r.k + 1))) < 1e-9
 
 
-def test_secrets(spark, odd):
-    text = 'é API_KEY: "abc123XYZ" token=short\nAKIA' + "A" * 16 + " AKIA12 " + "0123456789abcdef01234567" + '\nk = "hQ9z" + "Rk3Lw8Vt2"\nDB_PWD := k\npassword = changeme'
-    base, every = secret_scan.scan(text)
-    want = [("assign", m.start(), m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
-    assert [b for b in base if b[0] == "assign"] == want
-    assert [text[a:b] for k, a, b in base if k != "assign"] == ["AKIA" + "A" * 16, "0123456789abcdef01234567"]
-    assert [text[a:b] for k, a, b in every if k == "lexed"] == ["Rk3Lw8Vt2"]
-    assert set(base) <= set(every)
+def test_secrets_of_odd_rows(spark, odd):
     assert secret_scan.secret_spans(odd).count() == len(ODD)
     assert {r.base_sha256 for r in secret_scan.secret_spans(odd).collect()} == {hashlib.sha256(b"").hexdigest()}
     assert secret_scan.secret_spans(odd.limit(0)).count() == 0
