@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from axlewatch.llm.common import batches_of, row_of, run_hashes, settled
 
-RUN, CHOICE = 11, 9
+RUN, CHOICE = 10, 10
 MIN_WORDS = 20
 #: A unit found this often or more is hot: its rows are salted, so no task gets all of them.
 HOT, SALTS = 20_000, 64
@@ -186,7 +186,7 @@ def neighbours(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "pos", "side", "words", "chars"])
 
     out = [docs.schema["doc_id"], T.StructField("t", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("side", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("chars", T.ArrayType(T.IntegerType()))]
-    return both.mapInArrow(each, T.StructType(out)).dropDuplicates(["doc_id", "t", "pos", "side"])
+    return both.mapInArrow(each, T.StructType(out))
 
 
 def passages(docs: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
@@ -196,10 +196,10 @@ def passages(docs: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
     with batches_of(spark, BATCH_ROWS):
         u = settled(unit_table(docs, min_line_words), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("t").alias("t"), F.col("at").alias("at"))
-    first = u.groupBy("h", "h2").agg(F.min(rank).alias("k"), F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
+    first = settled(u.groupBy("h", "h2").agg(F.min(rank).alias("k"), F.count(F.lit(1)).alias("n")).where("n > 1"), "unit-first")
     again = salted_join(u, first, {"h": "h", "h2": "h2"}, ["doc_id", "t"])
     again = again.where(~(F.col("doc_id").eqNullSafe(F.col("k.id")) & (F.col("t") == F.col("k.t")) & (F.col("at") == F.col("k.at"))))
-    again = again.select("doc_id", "t", "at", (F.col("at") + F.col("words")).alias("to"), (F.col("h2") != 0).alias("line"), F.col("k.id").alias("k_id"), F.col("k.t").alias("k_t"), F.col("k.at").alias("k_at")).checkpoint()
+    again = settled(again.select("doc_id", "t", "at", (F.col("at") + F.col("words")).alias("to"), (F.col("h2") != 0).alias("line"), F.col("k.id").alias("k_id"), F.col("k.t").alias("k_t"), F.col("k.at").alias("k_at")), "unit-again")
     edge = F.struct("at", "to", "k_id", "k_t", "k_at")
     runs = merged(again.where("not line"), "at", "to").groupBy("doc_id", "t", "run").agg(F.min(edge).alias("head"), F.max(edge).alias("tail"))
     # the two edges of each run and of each line; a line's edges have no twin and stay
@@ -215,9 +215,12 @@ def passages(docs: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
     lines = again.where("line").select("doc_id", "t", "line", F.col("at").cast("long").alias("no"), F.col("k_id").alias("kept"), F.explode(own).alias("e")).select("doc_id", "t", "line", "no", "kept", "e.*")
     edges = settled(edges.unionByName(lines), "unit-edges")
     twins = edges.where("k_t is not null").groupBy(F.col("k_id").alias("doc_id"), F.col("k_t").alias("t"), F.col("k_pos").alias("pos"), "side").agg(F.count(F.lit(1)).alias("n"))
-    wanted = edges.select("doc_id", "t", "pos", "side").unionByName(twins.select("doc_id", "t", "pos", "side")).distinct()
+    wanted = edges.select("doc_id", "t", "pos", "side").unionByName(twins.select("doc_id", "t", "pos", "side"))
+    near = neighbours(docs, wanted)
+    if docs.groupBy("doc_id", text_hash()).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        near = near.dropDuplicates(["doc_id", "t", "pos", "side"])  # rows that are equal in id and text
     with batches_of(spark, BATCH_ROWS):
-        near = settled(neighbours(docs, wanted), "unit-neighbours")
+        near = settled(near, "unit-neighbours")
     key = ["doc_id", "t", "pos", "side"]
     mine = near.select(*[F.col(c).alias(f"m_{c}") for c in key], F.col("words").alias("m_words"), "chars")
     on = F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & (F.col("t") == F.col("m_t")) & (F.col("pos") == F.col("m_pos")) & (F.col("side") == F.col("m_side"))
