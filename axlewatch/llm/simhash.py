@@ -178,10 +178,9 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
 
 
 def roots_of(classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """classes(fp, first), edges(a, b) between fingerprints -> fp, least: the least `first` of the fingerprint's component."""
+    """classes(fp, first), edges(a, b) between fingerprints -> fp, first, root."""
     roots = components(classes.select(F.col("fp").alias("node")), edges)
-    of = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    return of.join(of.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
+    return classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
@@ -192,7 +191,9 @@ def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     """
     fps = fingerprints(docs).checkpoint()
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first")).checkpoint()
-    named = roots_of(classes, links(classes.select("fp"), distance)).select(F.col("fp").alias("c_fp"), F.col("least").alias("component_id")).checkpoint()
+    of = roots_of(classes, links(classes.select("fp"), distance))
+    ids = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = of.join(ids, "root").select(F.col("fp").alias("c_fp"), "component_id").checkpoint()
     return fps.join(named, fps["fp"] == named["c_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -211,7 +212,7 @@ def without_near_duplicates(docs: DataFrame, distance: int = 3, similarity: floa
     edges = links(classes.select("fp"), distance)
     if similarity is not None:
         edges = edges.unionAll(similar(rows, every, similarity))
-    least = roots_of(classes, edges).select("least").distinct()
+    least = roots_of(classes, edges).groupBy("root").agg(F.min("first").alias("least"))
     stay = least.join(every.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")), F.col("least.id").eqNullSafe(F.col("doc_id")) & (F.col("least.h") == F.col("h")))
     stay = settled(stay.select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), "n"), "near-kept")
     left = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h"))).select("row", "doc_id", "h", "n")
