@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from axlewatch.operators.ranked import running_sums
+
 
 def fit_ranges(train: DataFrame, features: list[str]) -> DataFrame:
     """One row: minimum, maximum, interquartile range, mean and population deviation of each feature."""
@@ -43,10 +45,10 @@ def robust_scores(rows: DataFrame, model: DataFrame, keys: list[str], features:
     return long.groupBy(*keys).agg(F.sort_array(F.collect_list(F.abs((F.col("v") - F.col("centre")) / F.col("spread"))), asc=False).alias("z"))
 
 
-def nearest(rows: DataFrame, sample: DataFrame, row_id: str, sample_id: str, vector: str, k: int = 1) -> DataFrame:
-    """row id and distance to its k-th nearest vector of a bounded, broadcast sample; itself excluded. Each row keeps its own k least: nothing is shuffled but (row, distance)."""
-    s = sample.select(F.col(sample_id).alias("_s"), F.col(vector).alias("_v"))
-    block = F.broadcast(s.agg(F.collect_list(F.struct("_s", "_v")).alias("_block")))  # the sample's size is bounded by its caller
+def nearest(rows: DataFrame, sample: DataFrame, row_id: str, sample_id: str, vector: str, k: int = 1, most: int = 500) -> DataFrame:
+    """row id and distance to its k-th nearest vector of a reference; itself excluded. The reference is the `most` rows of sample that are least in the hash of their id, so it is one bounded, broadcast row, and work is linear in rows."""
+    s = sample.select(F.col(sample_id).alias("_s"), F.col(vector).alias("_v")).orderBy(F.md5(F.col("_s").cast("string")), "_s").limit(most)
+    block = F.broadcast(s.agg(F.collect_list(F.struct("_s", "_v")).alias("_block")))
     d = F.transform(F.filter("_block", lambda b: b["_s"] != F.col(row_id)), lambda b: F.sqrt(F.aggregate(F.zip_with(vector, b["_v"], lambda x, y: (x - y).cast("double") * (x - y)), F.lit(0.0), lambda a, x: a + x)))
     return rows.join(block).select(row_id, F.get(F.array_sort(d), k - 1).alias("score"))
 
@@ -54,24 +56,41 @@ def nearest(rows: DataFrame, sample: DataFrame, row_id: str, sample_id: str, vec
 def ecod(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """keys (of a row) and score: summed -log tail probabilities, the larger of left, right and skew-selected sums.
 
-    Tail shares come from distinct values: they are counted before the window, so a frequent value is one row of it.
+    Tail shares come from distinct values, counted before they are put in order, so a frequent value is one row of it.
     """
     long = rows.unpivot(keys, features, "feature", "v")
     n = long.groupBy("feature").agg(F.count("v").alias("n"), F.skewness("v").alias("skew"))
     counts = long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("c"))
-    up = Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("feature").orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tails = counts.withColumn("l", F.sum("c").over(up)).withColumn("r", F.sum("c").over(down)).join(F.broadcast(n), "feature")
-    tails = tails.select("feature", "v", (-F.log(F.col("l") / F.col("n"))).alias("l"), (-F.log(F.col("r") / F.col("n"))).alias("r"), "skew")
+    tails = running_sums(counts, ["v"], {"l": F.col("c")}, ["feature"]).join(F.broadcast(n), "feature")  # a row per feature
+    tails = tails.select("feature", "v", (-F.log(F.col("l") / F.col("n"))).alias("l"), (-F.log((F.col("n") - F.col("l") + F.col("c")) / F.col("n"))).alias("r"), "skew")
     j = long.join(tails, ["feature", "v"])
     return j.groupBy(*keys).agg(F.greatest(F.sum("l"), F.sum("r"), F.sum(F.when(F.col("skew") < 0, F.col("l")).otherwise(F.col("r")))).alias("score"))
 
 
 def conformal(scores: DataFrame, calibration: DataFrame, score: str) -> DataFrame:
     """Adds p_alarm = 1 - (1 + #{calibration >= s}) / (1 + n), by running counts over distinct scores."""
-    u = calibration.select(F.col(score).alias("_s"), F.lit(1).alias("_c")).unionAll(scores.select(F.col(score).alias("_s"), F.lit(0).alias("_c")))
-    g = u.groupBy("_s").agg(F.sum("_c").alias("_c"))
-    w = Window.orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    p = g.select("_s", (1 - (1 + F.sum("_c").over(w)) / (1 + F.sum("_c").over(every))).alias("p_alarm"))
-    return scores.join(p, F.col(score) == F.col("_s")).drop("_s")
+    u = calibration.select((-F.col(score)).alias("_s"), F.lit(1).alias("_c")).unionAll(scores.select((-F.col(score)).alias("_s"), F.lit(0).alias("_c")))
+    p = running_sums(u.groupBy("_s").agg(F.sum("_c").alias("_c")), ["_s"], {"_k": F.col("_c")})
+    p = p.join(F.broadcast(calibration.agg(F.count(score).alias("_n")))).select("_s", (1 - (1 + F.col("_k")) / (1 + F.col("_n"))).alias("p_alarm"))  # one row of n
+    return scores.join(p, -F.col(score) == F.col("_s")).drop("_s")
+
+
+def window_variance(windows: DataFrame, train: DataFrame, std: str) -> DataFrame:
+    """Adds score: the variance of a window as a multiple of the training windows' median variance."""
+    base = train.agg(F.percentile(F.col(std) * F.col(std), 0.5).alias("_m"))
+    return windows.join(F.broadcast(base)).withColumn("score", F.col(std) * F.col(std) / F.col("_m")).drop("_m")  # one row
+
+
+def squared_diff(samples: DataFrame, keys: list[str], pos: str, value: str) -> DataFrame:
+    """keys and score: the mean squared step inside a window as a multiple of the median over all windows."""
+    d = samples.withColumn("_d", F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(pos)))
+    s = d.groupBy(*keys).agg(F.avg(F.col("_d") * F.col("_d")).alias("_m"))
+    return s.join(F.broadcast(s.agg(F.percentile("_m", 0.5).alias("_b")))).select(*keys, (F.col("_m") / F.col("_b")).alias("score"))  # one row
+
+
+def l2_norm(rows: DataFrame, train: DataFrame, keys: list[str], channels: list[str]) -> DataFrame:
+    """keys, peak and mean of the samples' lengths in standardised channels (population deviation, 1 where it is 0)."""
+    model = train.agg(*[f(c).alias(f"{c}_{n}") for c in channels for n, f in (("mu", F.avg), ("sd", F.stddev_pop))])
+    z = [(F.col(c) - F.col(f"{c}_mu")) / F.coalesce(F.nullif(F.col(f"{c}_sd"), F.lit(0.0)), F.lit(1.0)) for c in channels]
+    x = rows.join(F.broadcast(model)).select(*keys, F.sqrt(sum(v * v for v in z)).alias("_l"))  # one row
+    return x.groupBy(*keys).agg(F.max("_l").alias("peak"), F.avg("_l").alias("mean"))

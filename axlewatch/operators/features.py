@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def window_stats(df: DataFrame, keys: list[str], value: str, pos: str) -> DataFrame:
@@ -56,10 +60,27 @@ def cusum_two_sided(df: DataFrame, keys: list[str], order: list[str], z: Column,
 
 
 def ewma(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float) -> DataFrame:
-    """keys, n and the last exponentially weighted mean (adjust=False) of each series, folded over its ordered values."""
-    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias("_v"))
-    first = F.element_at("_v", 1)[value]
-    return g.select(*keys, F.size("_v").cast("long").alias("n"), F.aggregate("_v", first, lambda a, x: a * (1 - alpha) + x[value] * alpha).alias("ewma"))
+    """keys, order columns, ewma (adjust=False): a row per reading. A NULL or NaN carries the last mean; before the first value it is NULL.
+
+    Rows stream in order through the task of their series, which holds one number.
+    """
+    schema = T.StructType([*[df.schema[c] for c in (*keys, *order)], T.StructField("ewma", T.DoubleType())])
+    width = len(keys)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mean = None, None
+        for batch in batches:
+            out = []
+            for *key, x in zip(*(batch.column(i).to_pylist() for i in (*range(width), batch.num_columns - 1)), strict=True):
+                if key != now:
+                    now, mean = key, None
+                if x is not None and x == x:
+                    mean = x if mean is None else mean * (1 - alpha) + x * alpha
+                out.append(mean)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=schema.names)
+
+    rows = df.select(*keys, *order, F.col(value).cast("double").alias("_x")).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return rows.mapInArrow(each, schema)
 
 
 def rolling_median(df: DataFrame, keys: list[str], time: str, value: str, width: int) -> DataFrame:
@@ -91,3 +112,52 @@ def majority_vote(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """The most frequent label of each group; the smallest on a tie."""
     c = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"))
     return c.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(label).alias("label"))).alias("x")).select(*keys, F.col("x.label").alias("label"))
+
+
+def held_cusum(df: DataFrame, keys: list[str], order: list[str], time: str, excess: Column, above: Column, hold: int, k: float = 0.5) -> DataFrame:
+    """Rows above, with score: their CUSUM inside the crossing, 0 until it has held; it begins anew after a recovery."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    d = df.withColumn("_o", F.coalesce(above, F.lit(False))).withColumn("_e", excess)
+    d = d.withColumn("_isle", F.row_number().over(w) - F.sum(F.col("_o").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_o")
+    run = Window.partitionBy(*keys, "_isle").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    c = d.withColumn("_p", F.sum(F.col("_e") - k).over(run)).withColumn("_held", F.col(time) - F.min(time).over(run))
+    return c.withColumn("score", F.when(F.col("_held") >= hold, F.col("_p") - F.least(F.lit(0.0), F.min("_p").over(run))).otherwise(F.lit(0.0))).drop("_o", "_e", "_isle", "_p", "_held")
+
+
+def block_extrema(df: DataFrame, keys: list[str], order: list[str], value: str, counts: tuple[int, ...] = (5, 10, 20, 50, 100, 200)) -> DataFrame:
+    """keys, blocks, mean_extent: the mean of maximum less minimum over so many equal blocks in a row; what is left at the end isn't used. Series shorter than a count have no row for it."""
+    w = Window.partitionBy(*keys)
+    p = df.select(*keys, F.col(value).alias("_v"), (F.row_number().over(w.orderBy(*order)) - 1).alias("_p"), F.count(F.lit(1)).over(w).alias("_n"))
+    p = p.withColumn("blocks", F.explode(F.array(*[F.lit(c) for c in counts]))).withColumn("_len", F.floor(F.col("_n") / F.col("blocks")))
+    p = p.where(F.col("_len") > 0).withColumn("_b", F.floor(F.col("_p") / F.col("_len"))).where(F.col("_b") < F.col("blocks"))
+    return p.groupBy(*keys, "blocks", "_b").agg((F.max("_v") - F.min("_v")).alias("_x")).groupBy(*keys, "blocks").agg(F.avg("_x").alias("mean_extent"))
+
+
+def degenerate_feature(df: DataFrame, case: str, value: str, levels: int = 3) -> DataFrame:
+    """One row: cases, the share of them with at most so many distinct values, and whether that is half or more."""
+    d = df.groupBy(case).agg(F.countDistinct(value).alias("k"))
+    return d.agg(F.count(F.lit(1)).alias("cases"), F.avg((F.col("k") <= levels).cast("double")).alias("degenerate_share")).withColumn("degenerate", F.col("degenerate_share") >= 0.5)
+
+
+def peer_delta(df: DataFrame, group: list[str], value: str, by: str = "mean") -> DataFrame:
+    """Adds peer_delta: the value less the mean or median of the others of its group; 0 without others. For groups of a few peers at one time."""
+    w = Window.partitionBy(*group)
+    if by == "mean":
+        n = F.count(value).over(w) - 1
+        return df.withColumn("peer_delta", F.when(n > 0, F.col(value) - (F.sum(value).over(w) - F.col(value)) / n).otherwise(F.lit(0.0)))
+    every = F.array_sort(F.collect_list(value).over(w))
+    at = F.array_position(F.col("_every"), F.col(value)).cast("int")  # leave out one of the equal values
+    x = df.withColumn("_every", every)
+    x = x.withColumn("_rest", F.concat(F.slice("_every", 1, at - 1), F.slice("_every", at + 1, F.greatest(F.size("_every") - at, F.lit(0)))))
+    n = F.size("_rest")
+    mid = (F.get("_rest", F.floor((n - 1) / 2).cast("int")) + F.get("_rest", F.floor(n / 2).cast("int"))) / 2
+    return x.withColumn("peer_delta", F.when(n > 0, F.col(value) - mid).otherwise(F.lit(0.0))).drop("_every", "_rest")
+
+
+def alarm_levels(df: DataFrame, keys: list[str], order: list[str], excess: Column, absolute: Column, warm: float, often: int, hot: float, limit: float) -> DataFrame:
+    """Rows at which a series reaches a new greatest level: 1 excess over warm, 2 at its `often`-th time, 3 excess over hot, 4 absolute over the limit."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    x = df.withColumn("_e", excess).withColumn("_n", F.sum((F.col("_e") > warm).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    level = F.when(absolute > limit, 4).when(F.col("_e") > hot, 3).when((F.col("_e") > warm) & (F.col("_n") >= often), 2).when(F.col("_e") > warm, 1).otherwise(0)
+    x = x.withColumn("level", level).withColumn("_top", F.coalesce(F.max("level").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return x.where(F.col("level") > F.col("_top")).drop("_e", "_n", "_top")

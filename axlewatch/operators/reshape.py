@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 
 def to_wide(df: DataFrame, keys: list[str], signal: str, value: str, signals: list[str]) -> DataFrame:
-    """One column per requested signal; an absent one is NULL. Duplicate keys are reported by duplicate_keys()."""
+    """One column per requested signal; an absent one is NULL. Two rows of one key and signal are an error."""
+    if duplicate_keys(df.where(F.col(signal).isin(signals)), [*keys, signal]).limit(1).count():
+        raise ValueError(f"rows that repeat {[*keys, signal]}")
     return df.groupBy(*keys).pivot(signal, signals).agg(F.first(value, ignorenulls=True))
 
 

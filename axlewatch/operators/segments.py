@@ -32,16 +32,16 @@ def make_windows(df: DataFrame, keys: list[str], time: str, length: int, stride:
     return p.withColumn("pos", F.col("_p") - F.col("window") * stride).drop("_p", "_n")
 
 
-def fixed_bins(df: DataFrame, keys: list[str], time: str, value: str, width: int) -> DataFrame:
-    """Bins aligned to the epoch: mean, maximum and count of the value, and whether it crossed its sign inside the bin."""
+def fixed_bins(df: DataFrame, keys: list[str], time: str, value: str, width: int, active: Column) -> DataFrame:
+    """Bins aligned to the epoch: mean, maximum and count of the value, the share of active rows, and whether the bin has active and other rows."""
     b = df.withColumn("bin", F.floor(F.col(time) / width).cast("long"))
-    return b.groupBy(*keys, "bin").agg(F.avg(value).alias("mean"), F.max(value).alias("peak"), F.count(value).alias("n"), F.avg((F.col(value) > 100).cast("double")).alias("duty"))
+    return b.groupBy(*keys, "bin").agg(F.avg(value).alias("mean"), F.max(value).alias("peak"), F.count(value).alias("n"), F.avg(active.cast("double")).alias("duty"), (F.max(active.cast("int")) > F.min(active.cast("int"))).alias("is_transition"))
 
 
 def duty_cycles(df: DataFrame, keys: list[str], time: str, active: Column, tie: str) -> DataFrame:
-    """Adds cycle: the count of off-to-active edges so far, from 1; rows before the first edge are dropped."""
+    """Adds cycle: the count of off-to-active edges so far, from 1; rows before the first edge are dropped. A row of unknown activity is off."""
     w = series(keys, time, tie)
-    a = df.withColumn("_a", active.cast("int"))
+    a = df.withColumn("_a", F.coalesce(active.cast("int"), F.lit(0)))
     edge = (F.col("_a") == 1) & (F.lag("_a").over(w) == 0)
     return a.withColumn("_e", F.coalesce(edge, F.lit(False)).cast("int")).withColumn("cycle", F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("cycle > 0").drop("_a", "_e")
 
@@ -58,4 +58,5 @@ def contiguous_blocks(df: DataFrame, keys: list[str], time: str, n: int, tie: st
     w = series(keys, time, tie)
     total = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     p = F.row_number().over(w) - 1
-    return df.withColumn("_p", p).withColumn("_t", total).withColumn("block", F.floor((F.col("_p") * n) / F.col("_t")).cast("long")).drop("_p", "_t")
+    edges = F.filter(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.rint(i * F.col("_t") / n)), lambda e: e <= F.col("_p")) if n > 1 else F.array()
+    return df.withColumn("_p", p).withColumn("_t", total).withColumn("block", F.size(edges).cast("long")).drop("_p", "_t")

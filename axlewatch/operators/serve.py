@@ -32,15 +32,18 @@ def ticker_at(episodes: DataFrame, at: int, n: int = 20) -> DataFrame:
     return transitions(episodes).where(F.col("t") <= at).orderBy(F.col("t").desc(), "component_id", "what").limit(n)
 
 
-def series_minmax(df: DataFrame, keys: list[str], time: str, value: str, buckets: int) -> DataFrame:
-    """At most two points a bucket of equal count: the first least and the first greatest value, in time order."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    p = df.withColumn("_b", F.floor((F.row_number().over(w) - 1) * buckets / F.count(F.lit(1)).over(Window.partitionBy(*keys))))
-    low = F.min(F.struct(F.col(value).alias("v"), F.col(time).alias("t")))
-    high = F.min(F.struct((-F.col(value)).alias("v"), F.col(time).alias("t")))
-    g = p.groupBy(*keys, "_b").agg(low.alias("a"), high.alias("z"))
+def series_minmax(df: DataFrame, keys: list[str], time: str, value: str, max_points: int) -> DataFrame:
+    """A series of at most max_points rows whole; else, of each of max_points / 2 buckets of equal count, the first least and the first greatest finite value, or its first row if none is finite."""
+    w, buckets = Window.partitionBy(*keys), max(max_points // 2, 1)
+    p = df.select(*keys, F.col(time).alias("t"), F.col(value).cast("double").alias("value"), (F.row_number().over(w.orderBy(time)) - 1).alias("_p"), F.count(F.lit(1)).over(w).alias("_n"))
+    p = p.withColumn("_b", F.when(F.col("_n") <= max_points, F.col("_p")).otherwise(F.floor(F.col("_p") * buckets / F.col("_n"))))
+    finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    low = F.min(F.when(finite, F.struct(F.col("value").alias("v"), "t")))
+    high = F.min(F.when(finite, F.struct((-F.col("value")).alias("v"), "t")))
+    g = p.groupBy(*keys, "_b").agg(low.alias("a"), high.alias("z"), F.min(F.struct("t", "value")).alias("first"))
     both = F.array_distinct(F.array(F.struct(F.col("a.t").alias("t"), F.col("a.v").alias("v")), F.struct(F.col("z.t").alias("t"), (-F.col("z.v")).alias("v"))))
-    return g.select(*keys, F.explode(both).alias("x")).select(*keys, F.col("x.t").alias("t"), F.col("x.v").alias("value"))
+    none = F.array(F.struct(F.col("first.t").alias("t"), F.col("first.value").alias("v")))
+    return g.select(*keys, F.explode(F.when(F.col("a").isNull(), none).otherwise(both)).alias("x")).select(*keys, F.col("x.t").alias("t"), F.col("x.v").alias("value"))
 
 
 def recent_events(events: DataFrame, at: int, n: int, key: str) -> DataFrame:

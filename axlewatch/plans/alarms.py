@@ -44,10 +44,7 @@ def episodes_k1(spark, sf_dir):
 
 @query(f"with {EP} select event_id, exists (select 1 from ep where ep.component_id = x.component_id and x.p between pa and pb) as alert from x")
 def alert_flags(spark, sf_dir):
-    e = found(spark, sf_dir).select(F.col("component_id").alias("c"), "t_start", "t_end")
-    s = scores(spark, sf_dir)
-    hit = s.join(e, (F.col("component_id") == F.col("c")) & F.col("t").between(F.col("t_start"), F.col("t_end")), "left_semi").select(F.col("event_id").alias("h"))
-    return s.join(hit, F.col("event_id") == F.col("h"), "left").select("event_id", F.col("h").isNotNull().alias("alert"))
+    return episodes.alert_flags(scores(spark, sf_dir), ["component_id"], "t", "event_id", F.col("score") > THR, "score", K, MERGE, STEP).select("event_id", "alert")
 
 
 MATCH = f"{EP}, {FLT}, m as (select ep.component_id, ep.episode, ep.t_start, ep.t_end, min(fault_id) as fault_id from ep left join flt on flt.component_id = ep.component_id and ep.t_start <= failure and ep.t_end >= onset - {H} group by all)"
@@ -74,24 +71,16 @@ def event_metrics(spark, sf_dir):
     return det.join(fa).join(days).select("n_faults", "n_detected", r6(F.col("n_detected") / F.nullif(F.col("n_faults"), F.lit(0)), "recall"), "n_false", r6(F.col("n_false") / F.col("train_days"), "false_per_day"))
 
 
-GRID = 16
+GRID = 128
 
 
 @query(f"""with {SC}, lim as (select quantile_cont(score, 0.5) as lo, max(score) as hi from sc), grid as (select i, lo + (hi - lo) * i / {GRID - 1} as thr from lim, unnest(generate_series(0, {GRID - 1})) u(i)),
 gs as (select sc.*, i, thr from sc, grid), {episodes_sql('gs', 'i, component_id', 'thr')}, days as (select sum(d) as td from (select (max(t) - min(t)) / 8.64e10 as d from sc group by component_id)),
-per as (select grid.i, thr, count(episode) as n_episodes from grid left join ep on ep.i = grid.i group by all)
-select i::bigint as step, round(thr, 6) as threshold, n_episodes, n_episodes > td * 0.02 as over_budget, i > coalesce((select max(p2.i) from per p2, days d2 where p2.n_episodes > d2.td * 0.02), -1) as usable from per, days""")
+per as (select grid.i, thr, count(episode) as n_episodes from grid left join sp on sp.i = grid.i group by all)
+select i::bigint as step, round(thr, 6) as threshold, n_episodes, n_episodes > td / 7.0 as over_budget, i > coalesce((select max(p2.i) from per p2, days d2 where p2.n_episodes > d2.td / 7.0), -1) as usable from per, days""")
 def calibrate_budget(spark, sf_dir):
-    """All thresholds of the grid in one pass: the grid step is part of the series key; usable are those above the last violation."""
-    s = scores(spark, sf_dir)
-    lim = s.agg(F.percentile("score", 0.5).alias("lo"), F.max("score").alias("hi"))
-    grid = lim.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(GRID - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (GRID - 1))).alias("step", "thr"))
-    gs = s.join(F.broadcast(grid))  # the grid has a fixed number of rows
-    ep = episodes.episodes(gs, ["step", "component_id"], "t", "event_id", F.col("score") > F.col("thr"), "score", K, MERGE, STEP)
-    per = grid.join(ep.groupBy("step").agg(F.count(F.lit(1)).alias("n")), "step", "left").withColumn("n_episodes", F.coalesce("n", F.lit(0)))
-    per = per.join(episodes.train_days(s, ["component_id"], "t")).withColumn("over_budget", F.col("n_episodes") > F.col("train_days") * 0.02)
-    worst = F.max(F.when(F.col("over_budget"), F.col("step"))).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return per.select(F.col("step").cast("bigint").alias("step"), r6("thr", "threshold"), "n_episodes", "over_budget", (F.col("step") > F.coalesce(worst, F.lit(-1))).alias("usable"))
+    out = episodes.calibrate_budget(scores(spark, sf_dir), ["component_id"], "t", "event_id", "score", K, MERGE, STEP, 1 / 7, GRID)
+    return out.select(F.col("step").cast("bigint").alias("step"), r6("threshold"), "n_episodes", "over_budget", "usable")
 
 
 @query("select event_type, round(quantile_cont(value, 0.995), 6) as q995, round(quantile_cont(value, 0.999), 6) as q999 from events group by 1")
@@ -145,18 +134,13 @@ def rul_errors(spark, sf_dir):
 
 
 @query("""with p as (select l_returnflag as truth, case when l_quantity > 30 then 'R' when l_quantity > 15 then 'N' else 'A' end as guess from lineitem), v as (select unnest(['A', 'N', 'R']) as label),
-c as (select label, count(*) filter (where truth = label and guess = label) as tp, count(*) filter (where truth <> label and guess = label) as fp, count(*) filter (where truth = label and guess <> label) as fn from v, p group by 1)
-select label, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1 from c""")
+c as (select label, count(*) filter (where truth = label and guess = label) as tp, count(*) filter (where truth <> label and guess = label) as fp, count(*) filter (where truth = label and guess <> label) as fn from v, p group by 1),
+f as (select *, coalesce(tp / nullif(tp + fp, 0), 0) as precision, coalesce(tp / nullif(tp + fn, 0), 0) as recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) as f1 from c)
+select label, tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, round(avg(f1) over (), 6) as macro_f1, round(avg(recall) filter (where tp + fn > 0) over (), 6) as balanced_accuracy from f""")
 def cls_metrics(spark, sf_dir):
     p = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("truth"), F.when(F.col("l_quantity") > 30, "R").when(F.col("l_quantity") > 15, "N").otherwise("A").alias("guess"))
-    cells = p.groupBy("truth", "guess").agg(F.count(F.lit(1)).alias("n"))  # confusion first; the vocabulary meets it, not the rows
-    v = spark.createDataFrame([(x,) for x in ("A", "N", "R")], "label string")
-    hit = lambda t, g: F.coalesce(F.sum(F.when(t & g, F.col("n"))), F.lit(0))
-    t, g = F.col("truth") == F.col("label"), F.col("guess") == F.col("label")
-    c = cells.join(F.broadcast(v)).groupBy("label").agg(hit(t, g).alias("tp"), hit(~t, g).alias("fp"), hit(t, ~g).alias("fn"))
-    ratio = lambda a, b: F.round(F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0)), 6)
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return c.select("label", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    m = episodes.cls_metrics(p, "truth", "guess", ["A", "N", "R"])
+    return m.select("label", "tp", "fp", "fn", *[r6(c) for c in ("precision", "recall", "f1", "macro_f1", "balanced_accuracy")])
 
 
 # detectors
@@ -211,16 +195,12 @@ def det_k_of_n(spark, sf_dir):
 @query(f'with {WF}, b as (select quantile_cont(std * std, 0.5) as m from train) select component_id, segment, "window", round(std * std / m, 5) as score from wf, b')
 def det_window_variance(spark, sf_dir):
     w = window_features(spark, sf_dir)
-    base = w.where("component_id % 2 = 0").agg(F.percentile(F.col("std") * F.col("std"), 0.5).alias("m"))
-    return w.join(F.broadcast(base)).select("component_id", "segment", "window", F.round(F.col("std") * F.col("std") / F.col("m"), 5).alias("score"))
+    return detect.window_variance(w, w.where("component_id % 2 = 0"), "std").select("component_id", "segment", "window", F.round("score", 5).alias("score"))
 
 
 @query(f'with {WIN}, d as (select component_id, segment, "window", value - lag(value) over (partition by component_id, segment, "window" order by pos) as d from win), s as (select component_id, segment, "window", avg(d * d) as m from d group by 1, 2, 3), b as (select quantile_cont(m, 0.5) as b from s) select component_id, segment, "window", round(m / b, 5) as score from s, b')
 def det_squared_diff(spark, sf_dir):
-    w = Window.partitionBy("component_id", "segment", "window").orderBy("pos")
-    d = windowed(spark, sf_dir).withColumn("d", F.col("value") - F.lag("value").over(w))
-    s = d.groupBy("component_id", "segment", "window").agg(F.avg(F.col("d") * F.col("d")).alias("m"))
-    return s.join(F.broadcast(s.agg(F.percentile("m", 0.5).alias("b")))).select("component_id", "segment", "window", F.round(F.col("m") / F.col("b"), 5).alias("score"))
+    return detect.squared_diff(windowed(spark, sf_dir), ["component_id", "segment", "window"], "pos", "value").select("component_id", "segment", "window", F.round("score", 5).alias("score"))
 
 
 @query(f'with {WF} select component_id, segment, "window", round(-peak, 6) as score from wf')
@@ -228,16 +208,16 @@ def det_single_feature(spark, sf_dir):
     return window_features(spark, sf_dir).select("component_id", "segment", "window", r6(-F.col("peak"), "score"))
 
 
-@query("with s as (select vec_id, embedding from embeddings where vec_id % 5 = 0) select e.vec_id, round(min(list_distance(e.embedding::double[], s.embedding::double[])), 4) as score from embeddings e, s where e.vec_id <> s.vec_id group by 1")
+@query("with s as (select vec_id, embedding from embeddings order by md5(vec_id::varchar), vec_id limit 500) select e.vec_id, round(min(list_distance(e.embedding::double[], s.embedding::double[])), 4) as score from embeddings e, s where e.vec_id <> s.vec_id group by 1")
 def det_nn1(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    return detect.nearest(e, e.where("vec_id % 5 = 0"), "vec_id", "vec_id", "embedding").select("vec_id", F.round("score", 4).alias("score"))
+    return detect.nearest(e, e, "vec_id", "vec_id", "embedding").select("vec_id", F.round("score", 4).alias("score"))
 
 
-@query("with s as (select vec_id, embedding from embeddings where vec_id % 5 = 0), d as (select e.vec_id, list_distance(e.embedding::double[], s.embedding::double[]) as d, row_number() over (partition by e.vec_id order by list_distance(e.embedding::double[], s.embedding::double[])) as r from embeddings e, s where e.vec_id <> s.vec_id) select vec_id, round(d, 4) as score from d where r = 5")
+@query("with s as (select vec_id, embedding from embeddings order by md5(vec_id::varchar), vec_id limit 500), d as (select e.vec_id, list_distance(e.embedding::double[], s.embedding::double[]) as d, row_number() over (partition by e.vec_id order by list_distance(e.embedding::double[], s.embedding::double[])) as r from embeddings e, s where e.vec_id <> s.vec_id) select vec_id, round(d, 4) as score from d where r = 5")
 def det_knn(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    return detect.nearest(e, e.where("vec_id % 5 = 0"), "vec_id", "vec_id", "embedding", 5).select("vec_id", F.round("score", 4).alias("score"))
+    return detect.nearest(e, e, "vec_id", "vec_id", "embedding", 5).select("vec_id", F.round("score", 4).alias("score"))
 
 
 @query(f"""with {WF}, l as (select component_id * 1000000 + segment * 1000 + "window" as id, feature, v from wf unpivot (v for feature in (mean, std, peak))), mm as (select *, avg(v) over (partition by feature) as mu from l),
@@ -324,10 +304,10 @@ def kpis_at(spark, sf_dir):
     return m.agg(F.count(F.when(a & (z >= AT), 1)).alias("open_now"), F.count(F.when(a, 1)).alias("opened"), r6(F.percentile(F.when(z <= AT, F.col("lead_h")), 0.5), "median_lead_h"))
 
 
-@query(f"""with {TEL}, b as (select *, (row_number() over (partition by component_id order by t) - 1) * 10 // count(*) over (partition by component_id) as b from tel),
+@query(f"""with {TEL}, b0 as (select *, row_number() over (partition by component_id order by t) - 1 as p, count(*) over (partition by component_id) as n from tel), b as (select *, case when n <= 20 then p else p * 10 // n end as b from b0),
 r as (select component_id, b, t, value, row_number() over (partition by component_id, b order by value, t) as lo, row_number() over (partition by component_id, b order by value desc, t) as hi from b) select component_id, t, value from r where lo = 1 or hi = 1""")
 def series_minmax(spark, sf_dir):
-    return serve.series_minmax(telemetry(spark, sf_dir).select("component_id", "t", "value"), ["component_id"], "t", "value", 10)
+    return serve.series_minmax(telemetry(spark, sf_dir).select("component_id", "t", "value"), ["component_id"], "t", "value", 20)
 
 
 @query(f"with {TEL}, r as (select *, row_number() over (partition by component_id order by t desc, event_id desc) as r from tel where t <= {AT}) select component_id, event_id, t from r where r <= 5")

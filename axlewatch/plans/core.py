@@ -87,9 +87,9 @@ def prediction_table_check(spark, sf_dir):
     return validate.prediction_table_check(given, truth, ["F"])
 
 
-@query("select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey % 10 = 0")
+@query("select l_orderkey, l_linenumber, l_quantity from lineitem")
 def column_dropout(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    li = read(spark, sf_dir, "lineitem")
     return validate.column_dropout(li, [c for c in li.columns if c not in ("l_orderkey", "l_linenumber", "l_quantity")], set(li.columns) - {"l_orderkey", "l_linenumber"})
 
 
@@ -263,9 +263,9 @@ def make_windows(spark, sf_dir):
     return windowed(spark, sf_dir).select("component_id", "segment", "window", "pos", "event_id")
 
 
-@query(f"with {TEL} select component_id, t // 86400000000 as bin, round(avg(value), 6) as mean, max(value) as peak, count(value) as n, round(avg(case when value > 100 then 1.0 else 0.0 end), 6) as duty from tel group by 1, 2")
+@query(f"with {TEL} select component_id, t // 86400000000 as bin, round(avg(value), 6) as mean, max(value) as peak, count(value) as n, round(avg(case when value > 100 then 1.0 else 0.0 end), 6) as duty, bool_or(value > 100) and bool_or(value <= 100) as is_transition from tel group by 1, 2")
 def fixed_bins(spark, sf_dir):
-    return segments.fixed_bins(telemetry(spark, sf_dir), ["component_id"], "t", "value", DAY_US).select("component_id", "bin", r6("mean"), "peak", "n", r6("duty"))
+    return segments.fixed_bins(telemetry(spark, sf_dir), ["component_id"], "t", "value", DAY_US, F.col("value") > 100).select("component_id", "bin", r6("mean"), "peak", "n", r6("duty"), "is_transition")
 
 
 @query(f"with {TEL}, a as (select *, case when value > 50 and lag(value) over (partition by component_id order by t, event_id) <= 50 then 1 else 0 end as e from tel), c as (select *, sum(e) over (partition by component_id order by t, event_id rows unbounded preceding) as cycle from a) select event_id, cycle from c where cycle > 0")
@@ -278,7 +278,7 @@ def edge_events(spark, sf_dir):
     return segments.edge_events(telemetry(spark, sf_dir), ["component_id"], "t", F.col("value") > 50, "event_id").select("event_id", "event")
 
 
-@query(f"with {TEL}, a as (select *, row_number() over (partition by component_id order by t, event_id) - 1 as p, count(*) over (partition by component_id) as n from tel) select event_id, (p * 5) // n as block from a")
+@query(f"with {TEL}, a as (select *, row_number() over (partition by component_id order by t, event_id) - 1 as p, count(*) over (partition by component_id) as n from tel) select event_id, (select count(*) from generate_series(1, 4) g(i) where round_even(i * n / 5.0, 0) <= p) as block from a")
 def contiguous_blocks(spark, sf_dir):
     return segments.contiguous_blocks(telemetry(spark, sf_dir), ["component_id"], "t", 5, "event_id").select("event_id", "block")
 
@@ -325,10 +325,10 @@ def cusum_two_sided(spark, sf_dir):
     return features.cusum_two_sided(telemetry(spark, sf_dir), ["component_id"], ["t", "event_id"], (F.col("value") - 50) / 50).select("event_id", F.round("cusum", 5).alias("cusum"))
 
 
-@query(f"""with recursive {TEL}, o as (select component_id, value, row_number() over (partition by component_id order by t, event_id) as i, count(*) over (partition by component_id) as n from tel),
-e as (select component_id, i, n, value as ewma from o where i = 1 union all select o.component_id, o.i, o.n, e.ewma * 0.8 + o.value * 0.2 from e join o on o.component_id = e.component_id and o.i = e.i + 1) select component_id, n, round(ewma, 6) as ewma from e where i = n""")
+@query(f"""with recursive {TEL}, o as (select component_id, event_id, value, row_number() over (partition by component_id order by t, event_id) as i from tel),
+e as (select component_id, event_id, i, value as ewma from o where i = 1 union all select o.component_id, o.event_id, o.i, coalesce(e.ewma * 0.8 + o.value * 0.2, o.value, e.ewma) from e join o on o.component_id = e.component_id and o.i = e.i + 1) select event_id, round(ewma, 6) as ewma from e""")
 def ewma(spark, sf_dir):
-    return features.ewma(telemetry(spark, sf_dir), ["component_id"], ["t", "event_id"], "value", 0.2).select("component_id", "n", r6("ewma"))
+    return features.ewma(telemetry(spark, sf_dir), ["component_id"], ["t", "event_id"], "value", 0.2).select("event_id", r6("ewma"))
 
 
 @query(f"with {TEL} select event_id, round(quantile_cont(value, 0.5) over (partition by component_id order by t range between 259199999999 preceding and current row), 6) as rolling from tel")
@@ -357,13 +357,11 @@ def majority_vote(spark, sf_dir):
     return features.majority_vote(telemetry(spark, sf_dir), ["component_id"], "signal")
 
 
-@query(f"with {TEL}, g as (select component_id, date_trunc('month', make_timestamp(t)) as m, (row_number() over (partition by component_id order by t, event_id) - 1) // 10 as b, value from tel) select component_id, b as block, round(max(value) - min(value), 6) as extent from g group by 1, 2")
+@query(f"""with {TEL}, p as (select component_id, value, row_number() over (partition by component_id order by t, event_id) - 1 as p, count(*) over (partition by component_id) as n from tel),
+b as (select component_id, c as blocks, p // (n // c) as b, value from p, (select unnest([5, 10, 20, 50, 100, 200]) as c) where n >= c), x as (select component_id, blocks, max(value) - min(value) as x from b where b < blocks group by component_id, blocks, b)
+select component_id, blocks, round(avg(x), 6) as mean_extent from x group by 1, 2""")
 def block_extrema(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("component_id").orderBy("t", "event_id")
-    g = telemetry(spark, sf_dir).withColumn("block", F.floor((F.row_number().over(w) - 1) / 10).cast("long"))
-    return g.groupBy("component_id", "block").agg(r6(F.max("value") - F.min("value"), "extent"))
+    return features.block_extrema(telemetry(spark, sf_dir), ["component_id"], ["t", "event_id"], "value").select("component_id", "blocks", r6("mean_extent"))
 
 
 @query(f"with {TEL} select component_id, round(avg(case when signal = 'error' then 1.0 else 0.0 end), 6) as share, avg(case when signal = 'error' then 1.0 else 0.0 end) > 0.25 as excluded from tel group by 1")
@@ -372,7 +370,6 @@ def exclusive_mask_share(spark, sf_dir):
     return telemetry(spark, sf_dir).groupBy("component_id").agg(r6(s, "share"), (s > 0.25).alias("excluded"))
 
 
-@query(f"with {TEL}, d as (select component_id, count(distinct signal) as k from tel group by 1) select count(*) as cases, round(avg(case when k <= 4 then 1.0 else 0.0 end), 6) as degenerate_share from d")
+@query(f"with {TEL}, d as (select component_id, count(distinct signal) as k from tel group by 1) select count(*) as cases, round(avg(case when k <= 3 then 1.0 else 0.0 end), 6) as degenerate_share, avg(case when k <= 3 then 1.0 else 0.0 end) >= 0.5 as degenerate from d")
 def degenerate_feature(spark, sf_dir):
-    d = telemetry(spark, sf_dir).groupBy("component_id").agg(F.countDistinct("signal").alias("k"))
-    return d.agg(F.count(F.lit(1)).alias("cases"), r6(F.avg((F.col("k") <= 4).cast("double")), "degenerate_share"))
+    return features.degenerate_feature(telemetry(spark, sf_dir), "component_id", "signal").select("cases", r6("degenerate_share"), "degenerate")

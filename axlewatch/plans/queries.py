@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axlewatch.plans import alarms, core, fatigue, ranks, streams  # noqa: F401  they register their queries
+from axlewatch.plans import alarms, core, fatigue, judge, ranks, streams  # noqa: F401  they register their queries
 from axlewatch.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 

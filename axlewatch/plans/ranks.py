@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from axlewatch.operators import features
 from axlewatch.plans.registry import query, r6
 from axlewatch.sources.bind import DAY_US, TEL, read, telemetry
 
@@ -50,14 +51,9 @@ def mode_margin(spark, sf_dir):
 c as (select *, sum(z - 0.5) over w as p, t - min(t) over (partition by component_id, isle) as held from d where o window w as (partition by component_id, isle order by t, event_id rows unbounded preceding))
 select event_id, round(case when held >= {DAY_US} then p - least(0, min(p) over (partition by component_id, isle order by t, event_id rows unbounded preceding)) else 0 end, 5) as score from c""")
 def held_cusum(spark, sf_dir):
-    """CUSUM inside each crossing, 0 until it has held for a day; it begins anew after a recovery."""
-    w = Window.partitionBy("component_id").orderBy("t", "event_id")
-    d = telemetry(spark, sf_dir).withColumn("o", F.col("value") > 40)
-    d = d.withColumn("isle", F.row_number().over(w) - F.sum(F.col("o").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("o")
-    run = Window.partitionBy("component_id", "isle").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    c = d.withColumn("p", F.sum(F.col("value") - 40 - 0.5).over(run)).withColumn("held", F.col("t") - F.min("t").over(run))
-    score = F.when(F.col("held") >= DAY_US, F.col("p") - F.least(F.lit(0.0), F.min("p").over(run))).otherwise(F.lit(0.0))
-    return c.select("event_id", F.round(score, 5).alias("score"))
+    """CUSUM inside each crossing, 0 until it has held for a day."""
+    over = F.col("value") > 40
+    return features.held_cusum(telemetry(spark, sf_dir), ["component_id"], ["t", "event_id"], "t", F.col("value") - 40, over, DAY_US).select("event_id", F.round("score", 5).alias("score"))
 
 
 @query("with e as (select quantile_cont(p_retailprice, 0.25) as a, quantile_cont(p_retailprice, 0.5) as b, quantile_cont(p_retailprice, 0.75) as c from part where p_size > 25) select p_partkey, case when p_retailprice < a then 0 when p_retailprice < b then 1 when p_retailprice < c then 2 else 3 end as fold from part, e")

@@ -1,8 +1,11 @@
 """Hand-computed cases of the engine's operators."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from axlewatch.operators import episodes, features, joins, segments, validate
+from axlewatch.operators import episodes, features, guards, joins, ranked, reshape, segments, serve, validate
 
 
 def rows(df, *cols):
@@ -79,6 +82,75 @@ def test_missing_column_is_an_error(spark):
         raise AssertionError
 
 
+def test_null_readings_dont_stop_an_ewma(spark):
+    df = series(spark, (0, None), (1, 10.0), (2, None), (3, float("nan")), (4, 20.0))
+    assert rows(features.ewma(df, ["c"], ["t"], "v", 0.5).na.fill(-1.0), "t", "ewma") == [(0, -1.0), (1, 10.0), (2, 10.0), (3, 10.0), (4, 15.0)]
+    two = df.unionByName(df.withColumn("c", F.lit(2)))
+    assert features.ewma(two, ["c"], ["t"], "v", 0.5).where("t = 4").select("ewma").distinct().count() == 1
+
+
+def test_null_activity_is_off(spark):
+    df = series(spark, (0, 0.0), (1, None), (2, 60.0), (3, 0.0), (4, 60.0))
+    assert rows(segments.duty_cycles(df, ["c"], "t", F.col("v") > 50, "id"), "t", "cycle") == [(2, 1), (3, 1), (4, 2)]
+
+
+def test_block_edges_are_rounded(spark):
+    got = rows(segments.contiguous_blocks(series(spark, *[(i, 0.0) for i in range(7)]), ["c"], "t", 5, "id"), "t", "block")
+    assert [b for _, b in got] == [0, 1, 1, 2, 3, 3, 4]  # edges 1, 3, 4, 6
+
+
+def test_least_and_greatest_skip_nulls(spark):
+    df = series(spark, *enumerate([5.0, None, 1.0, 9.0, None, None, float("nan"), None]))
+    assert rows(serve.series_minmax(df, ["c"], "t", "v", 4).na.fill(-1.0), "t", "value") == [(2, 1.0), (3, 9.0), (4, -1.0)]
+    assert serve.series_minmax(df, ["c"], "t", "v", 8).count() == 8
+
+
+def test_repeated_keys_are_an_error(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0), (1, "b", 3.0)], "k int, s string, v double")
+    with pytest.raises(ValueError, match="repeat"):
+        reshape.to_wide(df, ["k"], "s", "v", ["a"])
+    assert reshape.to_wide(df, ["k"], "s", "v", ["b"]).first().b == 3.0
+
+
+def test_bins_tell_crossings(spark):
+    got = segments.fixed_bins(series(spark, (0, 1.0), (1, 3.0), (10, 3.0), (11, None)), ["c"], "t", "v", 10, F.col("v") > 2)
+    assert rows(got, "bin", "is_transition", "duty", "n") == [(0, True, 0.5, 2), (1, False, 1.0, 1)]
+
+
+def test_alerts_are_flagged_by_position(spark):
+    df = series(spark, (0, 2.0), (10, 2.0), (10, 0.0), (20, 0.0))
+    got = episodes.alert_flags(df, ["c"], "t", "id", F.col("v") > 1, "v", 2, 25, 15)
+    assert rows(got, "id", "alert") == [(0, True), (1, True), (2, False), (3, False)]
+
+
+def test_budget_grid_equals_one_threshold_at_a_time(spark):
+    r = random.Random(1)
+    df = spark.createDataFrame([(c, i, i * 10, r.choice([r.random(), r.random() ** 3])) for c in range(3) for i in range(120)], "c int, id int, t long, v double")
+    got = episodes.calibrate_budget(df, ["c"], "t", "id", "v", 2, 25, 15, 1.0, 16).collect()
+    for x in got[::5]:
+        assert x.n_episodes == episodes.episodes(df, ["c"], "t", "id", F.col("v") > x.threshold, "v", 2, 25, 15).count()
+
+
+def test_running_sums_over_any_ranges(spark):
+    r = random.Random(2)
+    data = [(g, r.randrange(50), 1) for g in "ab" for _ in range(300)]
+    df = spark.createDataFrame(data, "g string, x int, n int").groupBy("g", "x").agg(F.sum("n").alias("n"))
+    got = ranked.running_sums(df, ["x"], {"upto": F.col("n")}, ["g"]).collect()
+    assert {(y.g, y.x): y.upto for y in got} == {(g, x): sum(a == g and b <= x for a, b, _ in data) for g, x, _ in data}
+    assert ranked.running_sums(df.limit(0), ["x"], {"upto": F.col("n")}).count() == 0
+
+
+def test_peers_by_median_leave_one_of_equals_out(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, 1.0), (1, 5.0), (2, 7.0)], "g int, v double")
+    assert rows(features.peer_delta(df, ["g"], "v", "median"), "g", "v", "peer_delta") == [(1, 1.0, -2.0), (1, 1.0, -2.0), (1, 5.0, 4.0), (2, 7.0, 0.0)]
+
+
+def test_segments_take_the_label_they_share_most_with(spark):
+    s = spark.createDataFrame([(1, 0, 0, 10), (1, 1, 100, 101)], "component_id long, segment long, t_start long, t_end long")
+    f = spark.createDataFrame([(1, 5, 8, 30), (1, 4, 0, 9), (1, 3, 0, 9), (1, 6, 90, 1000)], "component_id long, fault_id long, onset long, failure long")
+    assert rows(guards.label_segments(s, f, "component_id", ["component_id", "segment"], "fault_id"), "segment", "label") == [(0, 3), (1, None)]
+
+
 def test_partitions_dont_change_rows(spark):
     from axlewatch.plans.queries import QUERIES
 
