@@ -220,11 +220,12 @@ def det_knn(spark, sf_dir):
     return detect.nearest(e, e, "vec_id", "vec_id", "embedding", 5).select("vec_id", F.round("score", 4).alias("score"))
 
 
-@query(f"""with {WF}, l as (select component_id * 1000000 + segment * 1000 + "window" as id, feature, v from wf unpivot (v for feature in (mean, std, peak))), mm as (select *, avg(v) over (partition by feature) as mu from l),
+@query(f"""with {WF}, l as (select component_id * 1000000 + segment * 1000 + "window" as id, feature, round(v, 9) as v from wf unpivot (v for feature in (mean, std, peak))), mm as (select *, avg(v) over (partition by feature) as mu from l),
 k as (select feature, count(*) as n, avg(pow(v - mu, 3)) as skew from mm group by 1), t as (select id, l.feature, -ln(cume_dist() over (partition by l.feature order by v)) as lf, -ln(cume_dist() over (partition by l.feature order by v desc)) as rt, skew from l join k using (feature))
 select id, round(greatest(sum(lf), sum(rt), sum(case when skew < 0 then lf else rt end)), 5) as score from t group by 1""")
 def det_ecod(spark, sf_dir):
-    e = detect.ecod(window_features(spark, sf_dir), ["component_id", "segment", "window"], FEATURES)
+    w = window_features(spark, sf_dir).withColumns({c: F.round(c, 9) for c in FEATURES})  # equal windows tie whatever the order of their sums
+    e = detect.ecod(w, ["component_id", "segment", "window"], FEATURES)
     return e.select((F.col("component_id") * 1000000 + F.col("segment") * 1000 + F.col("window")).alias("id"), F.round("score", 5).alias("score"))
 
 
