@@ -72,18 +72,18 @@ def _lines(spark, sf_dir):
 
 def _ranked(x):
     x = rankers.rank_case(x.withColumn("score", F.round("score", 9)), ["l_orderkey"], "score", ["l_extendedprice"], "l_linenumber", F.col("l_discount") > 0)
-    return x.select("l_orderkey", "l_linenumber", F.round("score", 5).alias("score"), "rank")
+    return x.select("l_orderkey", "l_linenumber", "score", "rank")
 
 
 @query(f"""with {TAX}, m as (select l_orderkey, {', '.join(f'quantile_cont({c}, 0.5) as m_{c}, max({c}) - min({c}) as g_{c}' for c in WEIGHTS)} from li group by 1), d as (select l_orderkey, {', '.join(f'quantile_cont(abs({c} - m_{c}), 0.5) * 1.4826 as s_{c}' for c in WEIGHTS)} from li join m using (l_orderkey) group by 1),
 z as (select li.*, {' + '.join(f'coalesce({w} * ({c} - m_{c}) / case when s_{c} > 0 then s_{c} when g_{c} > 0 then g_{c} else 1 end, 0)' for c, w in WEIGHTS.items())} as s from li join m using (l_orderkey) join d using (l_orderkey))
-select l_orderkey, l_linenumber, case when l_discount > 0 then round(s, 5) end as score, {RANK} as rank from z""")
+select l_orderkey, l_linenumber, case when l_discount > 0 then round(s, 9) + 0.0 end as score, {RANK} as rank from z""")
 def acv_rank_zsum(spark, sf_dir):
     return _ranked(rankers.zsum_score(_lines(spark, sf_dir), ["l_orderkey"], WEIGHTS))
 
 
 @query(f"""with {TAX}, b as (select *, count(*) over (partition by l_orderkey) as n, {', '.join(f'rank() over (partition by l_orderkey order by {c} desc) + (count(*) over (partition by l_orderkey, {c}) - 1) / 2 as r_{c}' for c in WEIGHTS)} from li), z as (select *, {' + '.join(f'coalesce({w} * (n - r_{c}) / n, 0)' for c, w in WEIGHTS.items())} as s from b)
-select l_orderkey, l_linenumber, case when l_discount > 0 then round(s, 5) end as score, {RANK} as rank from z""")
+select l_orderkey, l_linenumber, case when l_discount > 0 then round(s, 9) + 0.0 end as score, {RANK} as rank from z""")
 def acv_rank_borda(spark, sf_dir):
     return _ranked(rankers.borda_score(_lines(spark, sf_dir), ["l_orderkey"], WEIGHTS))
 
@@ -93,10 +93,10 @@ def chance_floor_rank(spark, sf_dir):
     return rankers.chance_floor_rank(read(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_discount") > 0).select(r6("uniform"), r6("blind"))
 
 
-@query("""with c as (select l_suppkey as fold, l_linenumber as place, round(avg(l_tax), 2) as score, round(avg((l_discount > 0.05)::int), 1) as top1, stddev_pop(l_quantity) as sep, count(distinct l_returnflag) as features from lineitem group by 1, 2), r as (select *, count(*) over (partition by fold, score, top1) as n_tied, row_number() over (partition by fold order by score desc, top1 desc, round(sep, 6) desc, features, place) as r from c)
+@query("""with c as (select l_suppkey as fold, l_linenumber as place, floor(avg(round(l_tax * 100))) as score, floor(10 * avg((l_discount > 0.05)::int)) as top1, stddev_pop(l_quantity) as sep, count(distinct l_returnflag) as features from lineitem group by 1, 2), r as (select *, count(*) over (partition by fold, score, top1) as n_tied, row_number() over (partition by fold order by score desc, top1 desc, round(sep, 6) desc, features, place) as r from c)
 select fold, place, score, top1, features, n_tied from r where r = 1""")
 def select_ranker(spark, sf_dir):
-    c = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("fold"), F.col("l_linenumber").alias("place")).agg(F.round(F.avg("l_tax"), 2).alias("score"), F.round(F.avg((F.col("l_discount") > 0.05).cast("int")), 1).alias("top1"), F.stddev_pop("l_quantity").alias("sep"), F.count_distinct("l_returnflag").alias("features"))
+    c = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("fold"), F.col("l_linenumber").alias("place")).agg(F.floor(F.avg(F.round(F.col("l_tax") * 100))).cast("double").alias("score"), F.floor(10 * F.avg((F.col("l_discount") > 0.05).cast("int"))).cast("double").alias("top1"), F.stddev_pop("l_quantity").alias("sep"), F.count_distinct("l_returnflag").alias("features"))
     return rankers.select_ranker(c, ["fold"], "score", "top1", "sep", "features", "place").select("fold", "place", "score", "top1", "features", "n_tied")
 
 
