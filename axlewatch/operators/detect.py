@@ -53,17 +53,22 @@ def nearest(rows: DataFrame, sample: DataFrame, row_id: str, sample_id: str, vec
     return rows.join(block).select(row_id, F.get(F.array_sort(d), k - 1).alias("score"))
 
 
-def ecod(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
-    """keys (of a row) and score: summed -log tail probabilities, the larger of left, right and skew-selected sums.
+def tails(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """keys, feature, l and r (the -log shares of values up to and from this one) and the feature's skew: a row for each row and feature.
 
     Tail shares come from distinct values, counted before they are put in order, so a frequent value is one row of it.
     """
     long = rows.unpivot(keys, features, "feature", "v")
     n = long.groupBy("feature").agg(F.count("v").alias("n"), F.skewness("v").alias("skew"))
     counts = long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("c"))
-    tails = running_sums(counts, ["v"], {"l": F.col("c")}, ["feature"]).join(F.broadcast(n), "feature")  # a row per feature
-    tails = tails.select("feature", "v", (-F.log(F.col("l") / F.col("n"))).alias("l"), (-F.log((F.col("n") - F.col("l") + F.col("c")) / F.col("n"))).alias("r"), "skew")
-    j = long.join(tails, ["feature", "v"])
+    shares = running_sums(counts, ["v"], {"l": F.col("c")}, ["feature"]).join(F.broadcast(n), "feature")  # a row per feature
+    shares = shares.select("feature", "v", (-F.log(F.col("l") / F.col("n"))).alias("l"), (-F.log((F.col("n") - F.col("l") + F.col("c")) / F.col("n"))).alias("r"), "skew")
+    return long.join(shares, ["feature", "v"])
+
+
+def ecod(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """keys (of a row) and score: summed -log tail probabilities, the larger of left, right and skew-selected sums."""
+    j = tails(rows, keys, features)
     return j.groupBy(*keys).agg(F.greatest(F.sum("l"), F.sum("r"), F.sum(F.when(F.col("skew") < 0, F.col("l")).otherwise(F.col("r")))).alias("score"))
 
 
@@ -94,3 +99,9 @@ def l2_norm(rows: DataFrame, train: DataFrame, keys: list[str], channels: list[s
     z = [(F.col(c) - F.col(f"{c}_mu")) / F.coalesce(F.nullif(F.col(f"{c}_sd"), F.lit(0.0)), F.lit(1.0)) for c in channels]
     x = rows.join(F.broadcast(model)).select(*keys, F.sqrt(sum(v * v for v in z)).alias("_l"))  # one row
     return x.groupBy(*keys).agg(F.max("_l").alias("peak"), F.avg("_l").alias("mean"))
+
+
+def copod(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """keys (of a row) and score: summed over features, the greater of the skew-selected -log tail and the mean of both tails."""
+    x = tails(rows, keys, features)
+    return x.groupBy(*keys).agg(F.sum(F.greatest(F.when(F.col("skew") < 0, F.col("l")).when(F.col("skew") > 0, F.col("r")).otherwise(F.col("l") + F.col("r")), (F.col("l") + F.col("r")) / 2)).alias("score"))

@@ -161,3 +161,33 @@ def alarm_levels(df: DataFrame, keys: list[str], order: list[str], excess: Colum
     level = F.when(absolute > limit, 4).when(F.col("_e") > hot, 3).when((F.col("_e") > warm) & (F.col("_n") >= often), 2).when(F.col("_e") > warm, 1).otherwise(0)
     x = x.withColumn("level", level).withColumn("_top", F.coalesce(F.max("level").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return x.where(F.col("level") > F.col("_top")).drop("_e", "_n", "_top")
+
+
+def stress_stats(df: DataFrame, keys: list[str], order: list[str], value: str, levels: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
+    """keys, spreads, moments and steps of a record, and up_<c>: how often it rises through median + c deviations, 1 at least. NULLs are left out."""
+    x = df.where(F.col(value).isNotNull()).withColumn("_p", F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    step, q = F.col(value) - F.col("_p"), F.percentile(value, [0.005, 0.01, 0.5, 0.99, 0.995])
+    g = x.groupBy(*keys).agg(
+        q.alias("_q"), F.max(value).alias("_b"), F.min(value).alias("_a"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.coalesce(F.skewness(value), F.lit(0.0)).alias("skew"),
+        F.coalesce(F.kurtosis(value) + 3, F.lit(0.0)).alias("kurtosis"), F.coalesce(F.avg(F.abs(step)), F.lit(0.0)).alias("roughness"), F.coalesce(F.stddev_samp(step), F.lit(0.0)).alias("diff_std"),
+    )
+    s = g.select(*keys, (F.col("_b") - F.col("_a")).alias("p2p"), (F.col("_b") - F.col("_q")[2]).alias("max_dev"), (F.col("_q")[2] - F.col("_a")).alias("min_dev"), "std", "skew", "kurtosis", "roughness", "diff_std",
+                 (F.col("_q")[3] - F.col("_q")[1]).alias("p99_p01"), (F.col("_q")[4] - F.col("_q")[0]).alias("p995_p005"), F.col("_q")[2].alias("_m"))
+    at = [F.col("_m") + c * F.col("std") for c in levels]
+    rises = [F.greatest(F.sum(((F.col("_p") < a) & (F.col(value) >= a)).cast("long")), F.lit(1)).alias(f"up_{c:g}") for c, a in zip(levels, at, strict=True)]
+    ups = x.join(s.select(*keys, "_m", "std"), keys).groupBy(*keys).agg(*[F.coalesce(r, F.lit(1)).alias(f"up_{c:g}") for c, r in zip(levels, rises, strict=True)])
+    return s.drop("_m").join(ups, keys)
+
+
+def side_contrast(df: DataFrame, keys: list[str], side: str, value: str, sides: tuple[str, str] = ("I", "II")) -> DataFrame:
+    """keys, median, 90 % quantile and maximum of each side, and contrast: the first side's median less the second's."""
+    of = [F.when(F.col(side) == s, F.col(value)) for s in sides]
+    g = df.groupBy(*keys).agg(*[f(v).alias(f"{s}_{n}") for s, v in zip(sides, of, strict=True) for n, f in (("median", lambda v: F.percentile(v, 0.5)), ("p90", lambda v: F.percentile(v, 0.9)), ("max", F.max))])
+    return g.withColumn("contrast", F.col(f"{sides[0]}_median") - F.col(f"{sides[1]}_median"))
+
+
+def implicated_side(df: DataFrame, keys: list[str], side: str, box: str, value: str, sides: tuple[str, str] = ("I", "II"), top: int = 3) -> DataFrame:
+    """The boxes of greatest value on each record's worse side (the first unless the contrast is negative), with rank; at most `top`."""
+    c = side_contrast(df, keys, side, value, sides).select(*keys, F.when(F.col("contrast") < 0, sides[1]).otherwise(sides[0]).alias("worse"), "contrast")
+    w = Window.partitionBy(*keys).orderBy(F.col(value).desc(), box)
+    return df.join(c, keys).where(F.col(side) == F.col("worse")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

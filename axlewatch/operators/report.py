@@ -55,3 +55,27 @@ def top_signals_json(df: DataFrame, z: dict[str, Column], values: dict[str, Colu
 def parse_top_signals(column: Column) -> Column:
     """The list in JSON, empty where it is NULL or can't be read."""
     return F.coalesce(F.from_json(column, SIGNALS), F.array().cast(SIGNALS))
+
+
+def generalisation_gap(df: DataFrame, axes: list[str], split: str, metric: str, control: str, held: str) -> DataFrame:
+    """Rows of the held-out split with generalisation_gap: the metric of the run that is equal on all axes (NULLs too) under the control split, less theirs."""
+    c = df.where(F.col(split) == control).groupBy(*axes).agg(F.max(metric).alias("_c"))
+    h = df.where(F.col(split) == held).alias("h")
+    on = [F.col(f"h.{a}").eqNullSafe(F.col(f"c.{a}")) for a in axes]
+    return h.join(c.alias("c"), on, "left").select("h.*", (F.col("_c") - F.col(metric)).alias("generalisation_gap"))
+
+
+def operating_point(df: DataFrame, uncalibrated: str, silent: str, impossible: str, fabricated: str) -> DataFrame:
+    """Adds eligible and op_point: runs that are calibrated, not silent (which says nothing on a fabricated timeline) and able to form episodes, and the reason."""
+    u, s, i, f = (F.coalesce(F.col(c), F.lit(False)) for c in (uncalibrated, silent, impossible, fabricated))
+    why = F.when(u, "uncalibrated").when(i, "episodes impossible").when(f & s, "budget n/a, silent on validation").when(f, "budget n/a").when(s, "silent").otherwise("calibrated")
+    return df.withColumns({"eligible": ~u & ~(s & ~f) & ~i, "op_point": why})
+
+
+def fold_aggregate(df: DataFrame, run: list[str], counts: list[str], flags: list[str], texts: list[str], means: list[str], rates: dict[str, tuple[str, str]]) -> DataFrame:
+    """A row per run: counts summed, flags or-ed, texts joined (distinct, in order of text), the rest averaged, rates anew from the sums (NULL over 0)."""
+    g = df.groupBy(*run).agg(
+        F.count(F.lit(1)).alias("folds"), *[F.sum(c).alias(c) for c in counts], *[F.coalesce(F.max(c), F.lit(False)).alias(c) for c in flags],
+        *[F.array_join(F.array_sort(F.collect_set(c)), ";").alias(c) for c in texts], *[F.avg(c).alias(c) for c in means],
+    )
+    return g.withColumns({k: F.col(a) / F.nullif(F.col(b), F.lit(0)) for k, (a, b) in rates.items()})

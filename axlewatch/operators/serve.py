@@ -50,3 +50,20 @@ def recent_events(events: DataFrame, at: int, n: int, key: str) -> DataFrame:
     """The last n events of each component by T."""
     w = Window.partitionBy(key).orderBy(F.col("t").desc(), F.col("event_id").desc())
     return events.where(F.col("t") <= at).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
+def nearest_cycle(df: DataFrame, keys: list[str], time: str, at: int, gap: int, reaches: tuple[int, ...]) -> DataFrame:
+    """keys, t_start, t_end, n of the stretch (steps up to gap) whose midpoint is nearest to `at`; the first on a tie.
+
+    The least of the given reaches that holds any row is searched; a stretch that runs up to its border counts only if no
+    whole one is there. A series without rows in the widest reach gives none.
+    """
+    far = F.abs(F.col(time) - at)
+    x = df.where(far <= reaches[-1])
+    least = x.groupBy(*keys).agg(F.min(far).alias("_f")).select(*keys, F.coalesce(*[F.when(F.col("_f") <= r, F.lit(r)) for r in reaches]).alias("_reach"))
+    w = Window.partitionBy(*keys).orderBy(time)
+    x = x.join(least, keys).where(far <= F.col("_reach")).withColumn("_new", (F.coalesce(F.col(time) - F.lag(time).over(w), F.lit(gap + 1)) > gap).cast("int"))
+    s = x.withColumn("_s", F.sum("_new").over(w)).groupBy(*keys, "_s").agg(F.min(time).alias("t_start"), F.max(time).alias("t_end"), F.count(F.lit(1)).alias("n"), F.first("_reach").alias("_reach"))
+    cut = (F.col("t_start") - (at - F.col("_reach")) < gap) | (at + F.col("_reach") - F.col("t_end") < gap)
+    best = Window.partitionBy(*keys).orderBy(cut, F.abs(F.floor((F.col("t_start") + F.col("t_end")) / 2) - at), "t_start")
+    return s.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(*keys, "t_start", "t_end", "n")
