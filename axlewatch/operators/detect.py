@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from axlewatch.operators.features import cusum_two_sided, held_cusum, rolling_median
+from axlewatch.operators.joins import nearest_event_distance
 from axlewatch.operators.ranked import running_sums
 
 
@@ -105,3 +107,17 @@ def copod(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """keys (of a row) and score: summed over features, the greater of the skew-selected -log tail and the mean of both tails."""
     x = tails(rows, keys, features)
     return x.groupBy(*keys).agg(F.sum(F.greatest(F.when(F.col("skew") < 0, F.col("l")).when(F.col("skew") > 0, F.col("r")).otherwise(F.col("l") + F.col("r")), (F.col("l") + F.col("r")) / 2)).alias("score"))
+
+
+def duty_ratio(df: DataFrame, keys: list[str], order: list[str], time: str, value: str, width: int, learn: int, hold: int, low: float = 0.05) -> DataFrame:
+    """Rows whose rolling median lies below the series' own low quantile of its first `learn` units of time, with score: their held CUSUM."""
+    begun = df.groupBy(*keys).agg(F.min(time).alias("_t0"))
+    floor = df.join(begun, keys).where(F.col(time) < F.col("_t0") + learn).groupBy(*keys).agg(F.percentile(value, low).alias("_floor"))
+    x = rolling_median(df, keys, time, value, width).join(floor, keys)
+    return held_cusum(x, keys, order, time, F.col("_floor") - F.col("rolling"), F.col("rolling") < F.col("_floor"), hold).drop("_floor")
+
+
+def transition_mask(df: DataFrame, events: DataFrame, keys: list[str], order: list[str], time: str, z: Column, near: int) -> DataFrame:
+    """Adds score: the two-sided CUSUM of z within `near` of an event of the series (events: keys and `at`), |z| elsewhere."""
+    x = nearest_event_distance(cusum_two_sided(df, keys, order, z), events, keys, time, "at")
+    return x.withColumn("score", F.when(F.col("distance") <= near, F.col("cusum")).otherwise(F.abs(z))).drop("cusum", "distance")

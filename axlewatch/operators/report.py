@@ -79,3 +79,20 @@ def fold_aggregate(df: DataFrame, run: list[str], counts: list[str], flags: list
         *[F.array_join(F.array_sort(F.collect_set(c)), ";").alias(c) for c in texts], *[F.avg(c).alias(c) for c in means],
     )
     return g.withColumns({k: F.col(a) / F.nullif(F.col(b), F.lit(0)) for k, (a, b) in rates.items()})
+
+
+def select_per_subsystem(df: DataFrame, subsystem: str, name: str, measured: str, metrics: list[str], control: str) -> DataFrame:
+    """The run of each subsystem with measured evidence before others, then the greatest first metric present, then by name; its value (`validated`), `deferred` if no run has one, and the control run's value as `floor`."""
+    value = F.coalesce(*metrics)
+    x = df.withColumn("validated", value)
+    floor = x.where(F.col(name) == control).groupBy(subsystem).agg(F.max("validated").alias("floor"))
+    w = Window.partitionBy(subsystem).orderBy(F.coalesce(F.col(measured), F.lit(False)).desc(), F.col("validated").desc_nulls_last(), name)
+    best = x.where(F.col(name) != control).withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    return best.join(floor, subsystem, "left").select(subsystem, name, "validated", F.col("validated").isNull().alias("deferred"), "floor")
+
+
+def validation_guard(df: DataFrame, part: str, key: str) -> DataFrame:
+    """One row: how many rows may calibrate (part is 'val'), how many may not, and a digest of the former's keys that doesn't depend on their order: the sum of the first 32 bits of their md5."""
+    val = F.coalesce(F.col(part) == "val", F.lit(False))
+    bits = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    return df.agg(F.coalesce(F.sum(val.cast("long")), F.lit(0)).alias("allowed"), F.coalesce(F.sum((~val).cast("long")), F.lit(0)).alias("barred"), F.coalesce(F.sum(F.when(val, bits)), F.lit(0)).alias("digest"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from axlewatch.operators.joins import asof_backward
+
 
 def component_state_at(scores: DataFrame, episodes: DataFrame, at: int, threshold: float, stale_us: int, warn: float = 0.8) -> DataFrame:
     """component_id, score, state: the latest score by T; stale scores are ok, an open episode is crit, above warn * threshold is warn."""
@@ -67,3 +69,18 @@ def nearest_cycle(df: DataFrame, keys: list[str], time: str, at: int, gap: int,
     cut = (F.col("t_start") - (at - F.col("_reach")) < gap) | (at + F.col("_reach") - F.col("t_end") < gap)
     best = Window.partitionBy(*keys).orderBy(cut, F.abs(F.floor((F.col("t_start") + F.col("t_end")) / 2) - at), "t_start")
     return s.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(*keys, "t_start", "t_end", "n")
+
+
+def alert_context(episodes: DataFrame, scores: DataFrame, keys: list[str], name: str, limit: int = 12) -> DataFrame:
+    """A row per episode(keys, name, t_start, t_end): its length in hours, the last score in it, its peak, and the last `limit` event ids, newest first. scores: keys, t, event_id, score.
+
+    Episodes of a series don't overlap, so each score row finds its own by one running last, not by a range join.
+    """
+    e = episodes.select(*keys, "t_start", F.struct(name, F.col("t_start").alias("a"), F.col("t_end").alias("b")).alias("_e"))
+    inside = asof_backward(scores, e, keys, "t", "t_start", ["_e"]).where(F.col("t") <= F.col("_e.b")).select("*", "_e.*")
+    w = Window.partitionBy(*keys, name).orderBy(F.col("t").desc(), F.col("event_id").desc())
+    last = inside.withColumn("_r", F.row_number().over(w)).groupBy(*keys, name).agg(
+        F.max("score").alias("peak"), F.max(F.when(F.col("_r") == 1, F.col("score"))).alias("score"), F.array_sort(F.collect_list(F.when(F.col("_r") <= limit, F.struct("_r", "event_id")))).alias("_l"),
+    )
+    out = episodes.select(*keys, name, ((F.col("t_end") - F.col("t_start")) / 3.6e9).alias("hours"))
+    return out.join(last, [*keys, name], "left").select(*keys, name, "hours", "score", "peak", F.coalesce(F.transform("_l", lambda x: x["event_id"]), F.array().cast("array<long>")).alias("events"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from axlewatch.operators import detect, drift, features, peers, report, saloon, serve, splits, volume
-from axlewatch.plans.alarms import AT
+from axlewatch.operators import detect, drift, features, peers, report, saloon, segments, serve, splits, volume
+from axlewatch.plans.alarms import AT, EP, found, scores
 from axlewatch.plans.registry import query, r6
-from axlewatch.sources.bind import TEL, read, telemetry
+from axlewatch.plans.streams import drained, events
+from axlewatch.sources.bind import DAY_US, TEL, read, telemetry
+from axlewatch.streaming import streams
 
 BUFFER, GRID = 10, 250
 
@@ -68,10 +70,10 @@ def pulldown_penalty(spark, sf_dir):
 @query(f"""with {TEL}, x as (select component_id as c, value as v, lag(value) over (partition by component_id order by t, event_id) as p from tel), s as (select c, max(v) - min(v) as p2p, max(v) - quantile_cont(v, 0.5) as max_dev, quantile_cont(v, 0.5) - min(v) as min_dev, quantile_cont(v, 0.5) as m, coalesce(stddev_samp(v), 0) as std, avg(v) as mu,
 coalesce(avg(abs(v - p)), 0) as roughness, coalesce(stddev_samp(v - p), 0) as diff_std, quantile_cont(v, 0.99) - quantile_cont(v, 0.01) as p99, quantile_cont(v, 0.995) - quantile_cont(v, 0.005) as p995 from x group by 1), z as (select c, avg(pow(v - mu, 2)) as m2, avg(pow(v - mu, 3)) as m3, avg(pow(v - mu, 4)) as m4,
 {', '.join(f'greatest(count(*) filter (where p < m + {k} * std and v >= m + {k} * std), 1) as up_{k}' for k in (1, 2, 3))} from x join s using (c) group by 1)
-select c as component_id, round(p2p, 4) as p2p, round(max_dev, 4) as max_dev, round(min_dev, 4) as min_dev, round(std, 4) as std, round(coalesce(m3 / nullif(pow(m2, 1.5), 0), 0), 4) as skew, round(coalesce(m4 / nullif(m2 * m2, 0), 0), 4) as kurtosis, round(roughness, 4) as roughness, round(diff_std, 4) as diff_std, round(p99, 4) as p99_p01, round(p995, 4) as p995_p005, up_1, up_2, up_3 from s join z using (c)""")
+select c as component_id, round(p2p, 4) as p2p, round(max_dev, 4) as max_dev, round(min_dev, 4) as min_dev, round(std, 4) as std, round(coalesce(m3 / nullif(pow(m2, 1.5), 0), 0), 4) as skew, round(coalesce(m4 / nullif(m2 * m2, 0), 0), 4) as kurtosis, round(roughness + 1e-7, 4) as roughness, round(diff_std, 4) as diff_std, round(p99 + 1e-7, 4) as p99_p01, round(p995 + 1e-7, 4) as p995_p005, up_1, up_2, up_3 from s join z using (c)""")
 def stress_stats(spark, sf_dir):
     s = features.stress_stats(telemetry(spark, sf_dir), ["component_id"], ["t", "event_id"], "value")
-    return s.select("component_id", *[F.round(c, 4).alias(c) for c in ("p2p", "max_dev", "min_dev", "std", "skew", "kurtosis", "roughness", "diff_std", "p99_p01", "p995_p005")], "up_1", "up_2", "up_3")
+    return s.select("component_id", *[F.round(F.col(c) + (1e-7 if c in ("roughness", "p99_p01", "p995_p005") else 0), 4).alias(c) for c in ("p2p", "max_dev", "min_dev", "std", "skew", "kurtosis", "roughness", "diff_std", "p99_p01", "p995_p005")], "up_1", "up_2", "up_3")
 
 
 SIDES = "s as (select l_orderkey, l_linenumber, l_quantity as v, case when l_linestatus = 'F' then 'I' else 'II' end as side from lineitem), g as (select l_orderkey, " + ", ".join(f"quantile_cont(v, 0.5) filter (where side = '{s}') as {s}_median, quantile_cont(v, 0.9) filter (where side = '{s}') as {s}_p90, max(v) filter (where side = '{s}') as {s}_max" for s in ("I", "II")) + " from s group by 1)"
@@ -124,12 +126,12 @@ def operating_point(spark, sf_dir):
     return report.operating_point(r, "u", "s", "i", "f").select("o_orderkey", "eligible", "op_point")
 
 
-@query("""select o_custkey, count(*) as folds, sum(o_orderkey % 10)::bigint as events, sum(o_orderkey % 4)::bigint as found, bool_or(o_totalprice > 400000) as flag, array_to_string(list_sort(list(distinct o_orderpriority)), ';') as o_orderpriority, round(avg(o_totalprice), 4) as metric,
+@query("""select o_custkey, count(*) as folds, sum(o_orderkey % 10)::bigint as events, sum(o_orderkey % 4)::bigint as found, bool_or(o_totalprice > 400000) as flag, array_to_string(list_sort(list(distinct o_orderpriority)), ';') as o_orderpriority, round(avg(o_totalprice) + 1e-7, 4) as metric,
 round(sum(o_orderkey % 4) / nullif(sum(o_orderkey % 10), 0)::double, 6) as recall from orders group by 1""")
 def fold_aggregate(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 10).alias("events"), (F.col("o_orderkey") % 4).alias("found"), (F.col("o_totalprice") > 400000).alias("flag"), "o_orderpriority", F.col("o_totalprice").alias("metric"))
     g = report.fold_aggregate(o, ["o_custkey"], ["events", "found"], ["flag"], ["o_orderpriority"], ["metric"], {"recall": ("found", "events")})
-    return g.withColumns({"metric": F.round("metric", 4), "recall": F.round("recall", 6)})
+    return g.withColumns({"metric": F.round(F.col("metric") + 1e-7, 4), "recall": F.round("recall", 6)})
 
 
 @query("with g as (select o_custkey, (row_number() over (order by count(*) desc, o_custkey) - 1) % 10 as r from orders group by 1) select o_orderkey, (case when r < 5 then r else 9 - r end)::int as fold from orders join g using (o_custkey)")
@@ -174,3 +176,62 @@ COLS = ["o_totalprice", "o_custkey"]
 def det_copod(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", *[F.col(c).cast("double").alias(c) for c in COLS])
     return detect.copod(o, ["o_orderkey"], COLS).select("o_orderkey", F.round("score", 5).alias("score"))
+
+
+@query(PH)
+def stream_page_hinkley(spark, sf_dir):
+    p = drained(spark, streams.stream_page_hinkley(events(spark, sf_dir), threshold=200.0, warm=10), "append")
+    return p.select("event_id", F.round("evidence", 4).alias("evidence"), "drift")
+
+
+NEAR = 21_600_000_000
+
+
+@query(f"""with recursive {TEL}, o as (select train_id, component_id as s, event_id, t, row_number() over (partition by train_id order by t, event_id) as i from tel), g as (select train_id, event_id, i, t as a, [s] as seen, 1::bigint as g from o where i = 1 union all
+select train_id, event_id, i, case when new then t else a end, case when new then [s] else list_append(seen, s) end, case when new then g + 1 else g end from (select o.train_id, o.event_id, o.i, o.t, o.s, a, seen, g, o.t - a > {NEAR} or list_contains(seen, o.s) as new from g join o on o.train_id = g.train_id and o.i = g.i + 1)) select event_id, g as peer_group from g""")
+def peer_groups(spark, sf_dir):
+    return peers.peer_groups(telemetry(spark, sf_dir), "train_id", "component_id", "t", "event_id", NEAR).select("event_id", "peer_group")
+
+
+@query(f"""with {EP}, i as (select ep.component_id, episode, t, event_id, score, row_number() over (partition by ep.component_id, episode order by t desc, event_id desc) as r from ep join sc on sc.component_id = ep.component_id and sc.t between t_start and t_end)
+select ep.component_id, ep.episode::bigint as episode, round(any_value(t_end - t_start) / 3.6e9, 6) as hours, max(i.score) filter (where r = 1) as score, max(i.score) as peak, string_agg(event_id::varchar, ',' order by r) filter (where r <= 12) as events from ep join i on i.component_id = ep.component_id and i.episode = ep.episode group by 1, 2""")
+def alert_context(spark, sf_dir):
+    c = serve.alert_context(found(spark, sf_dir), scores(spark, sf_dir).select("component_id", "t", "event_id", "score"), ["component_id"], "episode")
+    return c.select("component_id", "episode", r6("hours"), "score", "peak", F.array_join(F.col("events").cast("array<string>"), ",").alias("events"))
+
+
+@query("""with r as (select s_nationkey, s_suppkey, s_suppkey % 3 = 0 as measured, coalesce(case when s_acctbal > 0 then s_acctbal end, case when s_suppkey % 2 = 0 then abs(s_acctbal) end) as v from supplier), c as (select s_nationkey, min(s_suppkey) as c from r group by 1),
+n as (select r.*, case when s_suppkey = c then 'control' else 'm' || s_suppkey end as name from r join c using (s_nationkey)), b as (select *, row_number() over (partition by s_nationkey order by measured desc, v desc nulls last, name) as r from n where name <> 'control')
+select b.s_nationkey, b.name, b.v as validated, b.v is null as deferred, n.v as floor from b left join n on n.s_nationkey = b.s_nationkey and n.name = 'control' where r = 1""")
+def select_per_subsystem(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").withColumn("c", F.min("s_suppkey").over(Window.partitionBy("s_nationkey")))
+    s = s.select("s_nationkey", F.when(F.col("s_suppkey") == F.col("c"), "control").otherwise(F.concat(F.lit("m"), F.col("s_suppkey").cast("string"))).alias("name"), (F.col("s_suppkey") % 3 == 0).alias("measured"),
+                 F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("auprc"), F.when(F.col("s_suppkey") % 2 == 0, F.abs("s_acctbal")).alias("f1"))
+    return report.select_per_subsystem(s, "s_nationkey", "name", "measured", ["auprc", "f1"], "control")
+
+
+@query("select count(*) filter (where c_nationkey % 5 = 1) as allowed, count(*) filter (where c_nationkey % 5 <> 1) as barred, (sum(('0x' || substr(md5(c_custkey::varchar), 1, 8))::bigint) filter (where c_nationkey % 5 = 1))::bigint as digest from customer")
+def validation_guard(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").withColumn("part", F.when(F.col("c_nationkey") % 5 == 1, "val").otherwise("train"))
+    return report.validation_guard(c, "part", "c_custkey")
+
+
+DUTY = (2 * DAY_US, 8 * DAY_US, DAY_US // 4)
+
+
+@query(f"""with {TEL}, b as (select component_id, min(t) as t0 from tel group by 1), f as (select component_id, quantile_cont(value, 0.4) as floor from tel join b using (component_id) where t < t0 + {DUTY[1]} group by 1),
+r as (select component_id, event_id, t, quantile_cont(value, 0.5) over (partition by component_id order by t range between {DUTY[0] - 1} preceding and current row) as m from tel), x as (select *, m < floor as o, floor - m as e from r join f using (component_id)),
+i as (select *, row_number() over w - sum(o::int) over (w rows unbounded preceding) as isle from x window w as (partition by component_id order by t, event_id)), c as (select *, sum(e - 0.5) over w as p, t - min(t) over w as held from i where o window w as (partition by component_id, isle order by t, event_id rows unbounded preceding))
+select event_id, round(case when held >= {DUTY[2]} then p - least(0, min(p) over (partition by component_id, isle order by t, event_id rows unbounded preceding)) else 0 end, 5) as score from c""")
+def det_duty_ratio(spark, sf_dir):
+    return detect.duty_ratio(telemetry(spark, sf_dir), ["component_id"], ["t", "event_id"], "t", "value", *DUTY, low=0.4).select("event_id", F.round("score", 5).alias("score"))
+
+
+@query(f"""with {TEL}, a as (select *, value > 100 as on_, lag(value > 100) over (partition by component_id order by t, event_id) as was from tel), ev as (select component_id, t as at from a where on_ <> was), z as (select event_id, component_id, t, (value - 50) / 50 as z from tel),
+p as (select *, sum(z - 0.5) over w as u, sum(-z - 0.5) over w as d from z window w as (partition by component_id order by t, event_id rows unbounded preceding)), c as (select *, greatest(u - least(0, min(u) over w), d - least(0, min(d) over w)) as cusum from p window w as (partition by component_id order by t, event_id rows unbounded preceding))
+select event_id, round(case when exists (select 1 from ev where ev.component_id = c.component_id and abs(ev.at - c.t) <= {DAY_US}) then cusum else abs(z) end, 5) as score from c""")
+def det_transition_mask(spark, sf_dir):
+    t = telemetry(spark, sf_dir)
+    edges = segments.edge_events(t, ["component_id"], "t", F.col("value") > 100, "event_id").select("component_id", F.col("t").alias("at"))
+    x = detect.transition_mask(t.select("event_id", "component_id", "t", "value"), edges, ["component_id"], ["t", "event_id"], "t", (F.col("value") - 50) / 50, DAY_US)
+    return x.select("event_id", F.round("score", 5).alias("score"))

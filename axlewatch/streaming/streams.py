@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from axlewatch.operators.drift import START, page_hinkley_step
+
 CUSUM_OUT = "component_id long, event_id long, t long, ewma double, cusum double"
+DRIFT_OUT = "component_id long, event_id long, t long, evidence double, drift boolean"
+DRIFT_STATE = "n long, mean double, up double, down double, low double, high double, base double, top double, drift boolean"
 CUSUM_STATE = "n long, ewma double, up double, down double"
 
 
@@ -47,3 +51,19 @@ def stream_ewma_cusum(stream: DataFrame, centre: float = 50.0, spread: float = 5
         yield pd.DataFrame(out, columns=["component_id", "event_id", "t", "ewma", "cusum"])
 
     return stream.groupBy("component_id").applyInPandasWithState(step, CUSUM_OUT, CUSUM_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_page_hinkley(stream: DataFrame, threshold: float = 50.0, delta: float = 0.005, alpha: float = 1 - 1e-4, warm: int = 30) -> DataFrame:
+    """The drift test carried per component; rows of a micro-batch are taken in order of (t, event_id)."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = tuple(state.get) if state.exists else START
+        rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
+        out = []
+        for event_id, t, value in zip(rows["event_id"], rows["t"], rows["value"], strict=True):
+            now = page_hinkley_step(now, value, threshold, delta, alpha, warm)
+            out.append((key[0], event_id, t, now[7], now[8]))
+        state.update(now)
+        yield pd.DataFrame(out, columns=["component_id", "event_id", "t", "evidence", "drift"])
+
+    return stream.groupBy("component_id").applyInPandasWithState(step, DRIFT_OUT, DRIFT_STATE, "append", GroupStateTimeout.NoTimeout)

@@ -99,3 +99,28 @@ def test_stress_of_short_and_null_records(spark):
     s = {r.k: r for r in features.stress_stats(d, ["k"], ["t"], "x", (0.5,)).collect()}
     assert (s["a"].p2p, s["a"].std, s["a"].roughness, s["a"]["up_0.5"]) == (0.0, 0.0, 0.0, 1)
     assert (s["b"].p2p, s["b"].roughness, s["b"]["up_0.5"]) == (4.0, 4.0, 1)
+
+
+def test_peer_groups_end_at_a_repeated_series_and_at_the_tolerance(spark):
+    rows = [("u", "a", 0, 1), ("u", "b", 2, 2), ("u", None, 3, 3), ("u", "a", 4, 4), ("u", "b", 20, 5), ("v", "a", 0, 6), ("v", "b", None, 7)]
+    d = spark.createDataFrame(rows, "u string, s string, t long, i long")
+    assert sorted((r.i, r.peer_group) for r in peers.peer_groups(d, "u", "s", "t", "i", 5).collect()) == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (6, 1)]
+
+
+def test_alert_context_lists_the_last_events_inside(spark):
+    e = spark.createDataFrame([(1, 0, 0, 10), (1, 1, 20, 30), (2, 0, 100, 110)], "component_id int, episode int, t_start long, t_end long")
+    s = spark.createDataFrame([(1, t, t, float(t)) for t in (0, 5, 10, 15, 30)], "component_id int, t long, event_id long, score double")
+    out = {(r.component_id, r.episode): (r.score, r.peak, r.events) for r in serve.alert_context(e, s, ["component_id"], "episode", 2).collect()}
+    assert out == {(1, 0): (10.0, 10.0, [10, 5]), (1, 1): (30.0, 30.0, [30]), (2, 0): (None, None, [])}
+
+
+def test_validation_guard_bars_unknown_parts(spark):
+    d = spark.createDataFrame([(1, "val"), (2, "train"), (3, None)], "i long, part string")
+    a, b = report.validation_guard(d, "part", "i").first(), report.validation_guard(d.where("i = 1"), "part", "i").first()
+    assert (a.allowed, a.barred) == (1, 2) and a.digest == b.digest
+    assert tuple(report.validation_guard(d.where("i > 9"), "part", "i").first()) == (0, 0, 0)
+
+
+def test_selection_defers_where_no_metric_is(spark):
+    d = spark.createDataFrame([("s", "a", False, 0.9), ("s", "b", True, 0.5), ("s", "c", None, 1.0), ("s", "control", True, 0.1), ("z", "a", True, None)], "s string, n string, m boolean, x double")
+    assert sorted(map(tuple, report.select_per_subsystem(d, "s", "n", "m", ["x"], "control").collect())) == [("s", "b", 0.5, False, 0.1), ("z", "a", None, True, None)]
