@@ -191,3 +191,18 @@ def implicated_side(df: DataFrame, keys: list[str], side: str, box: str, value:
     c = side_contrast(df, keys, side, value, sides).select(*keys, F.when(F.col("contrast") < 0, sides[1]).otherwise(sides[0]).alias("worse"), "contrast")
     w = Window.partitionBy(*keys).orderBy(F.col(value).desc(), box)
     return df.join(c, keys).where(F.col(side) == F.col("worse")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def fold_baseline(df: DataFrame, train: DataFrame, op: str, value: str, name: str = "*") -> DataFrame:
+    """Adds rel (value by centre) and z by the training rows' median and 1.4826 MAD of the same operation; an operation without training rows takes that of all.
+
+    Where the MAD is 0 the scale is 5 % of the centre, and 1 where that is 0 too; rel is NULL for a centre of 0.
+    """
+    x = train.where(F.col(value).isNotNull()).select(F.explode(F.array(F.col(op).cast("string"), F.lit(name))).alias("_op"), F.col(value).alias("_v")).where("_op is not null")
+    c = x.groupBy("_op").agg(F.percentile("_v", 0.5).alias("_c"))
+    s = x.join(c, "_op").groupBy("_op", "_c").agg((1.4826 * F.percentile(F.abs(F.col("_v") - F.col("_c")), 0.5)).alias("_m"))
+    s = s.select("_op", "_c", F.when(F.col("_m") > 0, F.col("_m")).when(F.col("_c") != 0, F.abs("_c") * 0.05).otherwise(F.lit(1.0)).alias("_s"))
+    every = s.where(F.col("_op") == name).select(F.col("_c").alias("_c0"), F.col("_s").alias("_s0"))  # one row
+    y = df.join(s.where(F.col("_op") != name), df[op].cast("string") == F.col("_op"), "left").join(F.broadcast(every), how="left")
+    centre, scale = F.coalesce("_c", "_c0"), F.coalesce("_s", "_s0")
+    return y.select(*df.columns, (F.col(value) / F.nullif(centre, F.lit(0.0))).alias("rel"), ((F.col(value) - centre) / scale).alias("z"))

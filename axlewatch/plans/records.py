@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from axlewatch.operators import detect, drift, features, peers, report, saloon, segments, serve, splits, volume
+from axlewatch.operators import detect, drift, features, intervals, peers, report, saloon, segments, serve, splits, volume
 from axlewatch.plans.alarms import AT, EP, found, scores
 from axlewatch.plans.registry import query, r6
 from axlewatch.plans.streams import drained, events
-from axlewatch.sources.bind import DAY_US, TEL, read, telemetry
+from axlewatch.sources.bind import DAY_US, FLT, TEL, fault_log, read, telemetry
 from axlewatch.streaming import streams
 
 BUFFER, GRID = 10, 250
@@ -235,3 +235,33 @@ def det_transition_mask(spark, sf_dir):
     edges = segments.edge_events(t, ["component_id"], "t", F.col("value") > 100, "event_id").select("component_id", F.col("t").alias("at"))
     x = detect.transition_mask(t.select("event_id", "component_id", "t", "value"), edges, ["component_id"], ["t", "event_id"], "t", (F.col("value") - 50) / 50, DAY_US)
     return x.select("event_id", F.round("score", 5).alias("score"))
+
+
+IOU = f"""{EP}, {FLT}, cand as (select ep.component_id, fault_id as true_id, episode::bigint as found_id, (least(t_end, failure) - greatest(t_start, onset)) / (greatest(t_end, failure) - least(t_start, onset))::double as iou from ep join flt on flt.component_id = ep.component_id and least(t_end, failure) > greatest(t_start, onset)),
+rk as (select *, row_number() over (partition by component_id order by iou desc, true_id, found_id) as i from cand), go as (select component_id, i, true_id, found_id, iou, true as hit, [true_id] as ut, [found_id] as uf from rk where i = 1 union all
+select component_id, i, true_id, found_id, iou, hit, case when hit then list_append(ut, true_id) else ut end, case when hit then list_append(uf, found_id) else uf end from (select rk.*, ut, uf, not list_contains(ut, rk.true_id) and not list_contains(uf, rk.found_id) as hit from go join rk on rk.component_id = go.component_id and rk.i = go.i + 1)),
+mt as (select component_id, true_id, found_id, iou from go where hit)"""
+
+
+def judged_intervals(spark, sf_dir):
+    truth = fault_log(spark, sf_dir).select("component_id", F.col("fault_id").alias("id"), F.col("onset").alias("a"), F.col("failure").alias("b"))
+    got = found(spark, sf_dir).select("component_id", F.col("episode").alias("id"), F.col("t_start").alias("a"), F.col("t_end").alias("b")).checkpoint()
+    return truth, got, intervals.iou_match(intervals.overlaps(truth, got, ["component_id"], 2 * DAY_US), ["component_id"])
+
+
+@query(f"with recursive {IOU} select component_id, true_id, found_id, round(iou, 6) as iou from mt")
+def iou_match(spark, sf_dir):
+    return judged_intervals(spark, sf_dir)[2].select("component_id", "true_id", "found_id", r6("iou"))
+
+
+@query(f"with recursive {IOU}, q as (select coalesce((select sum(iou) from mt), 0) as s, (select count(*) from flt) as n, (select count(*) from ep) as m), rp as (select coalesce(s / nullif(n, 0), 0) as r, coalesce(s / nullif(m, 0), 0) as p from q) select round(r, 6) as soft_recall, round(p, 6) as soft_precision, round(coalesce(2 * r * p / nullif(r + p, 0), 0), 6) as score from rp")
+def iou_f1(spark, sf_dir):
+    return intervals.iou_f1(*judged_intervals(spark, sf_dir)).select(r6("soft_recall"), r6("soft_precision"), r6("score"))
+
+
+@query("""with tr as (select * from lineitem where l_returnflag <> 'R'), x as (select l_suppkey::varchar as op, l_quantity as v from tr where l_suppkey % 9 <> 0 union all select '*', l_quantity from tr where l_suppkey % 9 <> 0), c as (select op, quantile_cont(v, 0.5) as c from x group by 1), s as (select op, c, 1.4826 * quantile_cont(abs(v - c), 0.5) as m from x join c using (op) group by 1, 2),
+k as (select op, c, case when m > 0 then m when c <> 0 then abs(c) * 0.05 else 1 end as s from s), y as (select l_orderkey, l_linenumber, l_quantity as v, coalesce(k.c, a.c) as c, coalesce(k.s, a.s) as s from lineitem left join k on k.op = l_suppkey::varchar, (select * from k where op = '*') a) select l_orderkey, l_linenumber, round(v / nullif(c, 0) + 1e-8, 6) as rel, round((v - c) / s, 6) as z from y""")
+def fold_baseline(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag")
+    x = features.fold_baseline(li, li.where("l_returnflag <> 'R' and l_suppkey % 9 <> 0"), "l_suppkey", "l_quantity")
+    return x.select("l_orderkey", "l_linenumber", r6(F.col("rel") + 1e-8, "rel"), r6("z"))

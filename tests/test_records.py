@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from axlewatch.operators import drift, features, peers, report, saloon, serve, splits, volume
+from axlewatch.operators import drift, features, intervals, peers, report, saloon, serve, splits, volume
 
 
 def brute_vus(score, y, buffer, thresholds):
@@ -124,3 +124,31 @@ def test_validation_guard_bars_unknown_parts(spark):
 def test_selection_defers_where_no_metric_is(spark):
     d = spark.createDataFrame([("s", "a", False, 0.9), ("s", "b", True, 0.5), ("s", "c", None, 1.0), ("s", "control", True, 0.1), ("z", "a", True, None)], "s string, n string, m boolean, x double")
     assert sorted(map(tuple, report.select_per_subsystem(d, "s", "n", "m", ["x"], "control").collect())) == [("s", "b", 0.5, False, 0.1), ("z", "a", None, True, None)]
+
+
+def test_matching_goes_by_falling_overlap(spark):
+    r = random.Random(3)
+    made = [[(k, i, a, a + r.randrange(1, 30)) for k in (1, 2) for i in range(12) for a in [r.randrange(100)]] for _ in range(2)]
+    truth, found = (spark.createDataFrame(m, "k int, id int, a long, b long") for m in made)
+    pairs, want = [], []
+    for k, i, a, b in made[0]:
+        for q, j, c, d in made[1]:
+            inter = min(b, d) - max(a, c)
+            if k == q and inter > 0:
+                pairs.append((k, i, j, inter / (b - a + d - c - inter)))
+    for k, i, j, x in sorted(pairs, key=lambda p: (-p[3], p[1], p[2])):
+        if not any(k == q and (i == s or j == t) for q, s, t, _ in want):
+            want.append((k, i, j, x))
+    got = intervals.overlaps(truth, found, ["k"], 7)
+    assert sorted(map(tuple, got.collect())) == sorted(pairs)
+    assert sorted(map(tuple, intervals.iou_match(got, ["k"]).collect())) == sorted(want)
+    none = intervals.iou_match(got.where("iou > 2"), ["k"])
+    assert tuple(intervals.iou_f1(truth, found, none).first()) == (0.0, 0.0, 0.0)
+
+
+def test_baseline_of_an_unknown_operation_is_that_of_all(spark):
+    t = spark.createDataFrame([("a", 10.0), ("a", 10.0), ("b", 0.0), (None, 4.0)], "o string, x double")
+    d = spark.createDataFrame([("a", 11.0), ("b", 2.0), ("c", 14.0), (None, None)], "o string, x double")
+    out = {r.o: (r.rel, r.z) for r in features.fold_baseline(d, t, "o", "x").collect()}
+    assert out["a"] == (1.1, 2.0) and out["b"] == (None, 2.0) and out[None] == (None, None)
+    assert out["c"] == (2.0, pytest.approx(7 / (1.4826 * 3)))
