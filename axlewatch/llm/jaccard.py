@@ -147,8 +147,11 @@ class Tree:
         self.hidden = np.maximum.reduceat(n - ones(self.maps), starts)  # tokens that share a bit with another of their set
 
 
-def linked(a: Members, b: Members, t: Threshold, labels: dict[bytes, bytes]) -> list[tuple[bytes, bytes]]:
-    """Links that connect what the traversal of two blocks (or of one with itself) can connect; labels: what is connected already."""
+def linked(a: Members, b: Members, t: Threshold, labels: dict[bytes, bytes]) -> tuple[list[tuple[bytes, bytes]], list[bytes]]:
+    """(links that connect what the traversal of two blocks, or of one with itself, can connect; a label for each member of b: equal labels are connected).
+
+    labels: what is connected already. Roots are members of a where there is one, so that blocks met with the same a get labels that can be compared.
+    """
     bits = int(min(1 << 17, max(256, 1 << int(max(a.sizes.max(), b.sizes.max()) * 8 - 1).bit_length())))
     left = Tree(a, bits)
     right = left if a is b else Tree(b, bits)
@@ -159,9 +162,16 @@ def linked(a: Members, b: Members, t: Threshold, labels: dict[bytes, bytes]) ->
             parent[x] = x = parent.get(up, up)
         return x
 
+    first = set(a.nodes)
+
+    def join(x: bytes, y: bytes) -> None:
+        x, y = find(x), find(y)
+        if x != y:
+            top, low = sorted((x, y), key=lambda r: (r not in first, r))
+            parent[low] = top
+
     for x, y in labels.items():
-        if find(x) != find(y):
-            parent[find(x)] = find(y)
+        join(x, y)
     found = []
     for p in range(len(left.starts)):
         near = (100 * right.high >= t.percent * left.low[p]) & (100 * left.high[p] >= t.percent * right.low)
@@ -178,15 +188,14 @@ def linked(a: Members, b: Members, t: Threshold, labels: dict[bytes, bytes]) ->
                 k, l = int(i[u]), int(j[v])
                 if a is b and k >= l:
                     continue
-                one, two = find(a.nodes[k]), find(b.nodes[l])
-                if one == two:
+                if find(a.nodes[k]) == find(b.nodes[l]):
                     continue
                 s, r = a.of(k), b.of(l)
                 at_r = np.minimum(np.searchsorted(r, s), len(r) - 1)
                 if int(np.count_nonzero(r[at_r] == s)) >= t.shared(len(s), len(r)):
-                    parent[one] = two
+                    join(a.nodes[k], b.nodes[l])
                     found.append((a.nodes[k], b.nodes[l]))
-    return found
+    return found, [find(x) for x in b.nodes]
 
 
 BLOCK = "tree binary, block long, nodes array<binary>, sizes array<long>, tokens binary, map binary, low long, high long, hidden long"
@@ -214,7 +223,7 @@ def members(row: dict, side: str) -> Members:
 
 
 def traversed(pairs: DataFrame, t: Threshold, both: bool) -> DataFrame:
-    """Blocks (nodes, sizes, tokens) or pairs of blocks (with nodes2, sizes2, tokens2, labels) -> a, b: links."""
+    """Blocks, or pairs of blocks (the second's columns end in 2, both with roots) -> tree, block (the second's), links (a, b), roots of its members."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,11 +231,15 @@ def traversed(pairs: DataFrame, t: Threshold, both: bool) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 a = members(row, "")
                 known = {m: r for s in ("", "2") for m, r in zip(row[f"nodes{s}"], row[f"roots{s}"], strict=True)} if both else {}
-                links = linked(a, members(row, "2") if both else a, t, known)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.binary()), pa.array([x[1] for x in links], pa.binary())], names=["a", "b"])
+                links, roots = linked(a, members(row, "2") if both else a, t, known)
+                yield pa.RecordBatch.from_pylist([{"tree": row["tree"], "block": row["block2" if both else "block"], "links": [{"a": x, "b": y} for x, y in links], "roots": roots}], schema=ARROW_LINKS)
 
     sides = ("", "2") if both else ("",)
-    return pairs.select(*[f"{c}{s}" for s in sides for c in ("nodes", "sizes", "tokens", *(["roots"] if both else []))]).mapInArrow(each, "a binary, b binary")
+    columns = [f"{c}{s}" for s in sides for c in ("block", "nodes", "sizes", "tokens", *(["roots"] if both else []))]
+    return pairs.select("tree", *columns).mapInArrow(each, "tree binary, block long, links array<struct<a: binary, b: binary>>, roots array<binary>")
+
+
+ARROW_LINKS = pa.schema([("tree", pa.binary()), ("block", pa.int64()), ("links", pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())]))), ("roots", pa.list_(pa.binary()))])
 
 
 def bounded(pairs: DataFrame, t: Threshold) -> DataFrame:
@@ -260,25 +273,24 @@ def links(docs: DataFrame, classes: DataFrame, words: int, t: Threshold) -> Data
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     chosen = texts.join(placed, F.col("rep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("rep.h") == F.col("h"))).select("tree", "block", "node", "n", "text")
     blocks = settled(blocks_of(chosen.mapInArrow(tokens_of, "tree binary, block long, node binary, n long, tokens binary")), "jaccard-blocks")
-    found = settled(traversed(blocks, t, False), "jaccard-inside")
+    inside = settled(traversed(blocks, t, False), "jaccard-inside")
+    found = inside.select(F.inline("links"))
     large = blocks.groupBy("tree").agg(F.count(F.lit(1)).alias("held"), F.min("block").alias("first")).where("held > 1")
     many = settled(blocks.join(small(large), "tree"), "jaccard-many")
-    for to_first in (True, False):
-        if not many.limit(1).count():
-            break
-        roots = components(classes.select("node"), found).select(F.col("node").alias("r_node"), "root")
-        of = many.select("tree", "block", F.explode("nodes").alias("m")).join(roots, F.col("m") == F.col("r_node"), "left").groupBy("tree", "block").agg(F.map_from_entries(F.collect_list(F.struct("m", F.coalesce("root", "m").alias("root")))).alias("root_of"))
-        now = many.join(of, ["tree", "block"]).withColumn("roots", F.transform("nodes", lambda x: F.col("root_of")[x])).drop("root_of")
-        now = settled(now.withColumn("single", F.when(F.size(F.array_distinct("roots")) == 1, F.col("roots")[0])), "jaccard-rooted")
+    labels = inside.select("tree", "block", "roots")
+    for to_first in (True, False) if many.limit(1).count() else ():
+        single = F.when(F.size(F.array_distinct("roots")) == 1, F.col("roots")[0])
+        now = many.join(labels, ["tree", "block"]).withColumn("single", single)
         nodes = now.select("tree", "block", "first", "single", "map", "low", "high", "hidden")
         other = nodes.select("tree", *[F.col(c).alias(f"{c}2") for c in ("block", "single", "map", "low", "high", "hidden")])
         sides = (F.col("block") == F.col("first")) if to_first else (F.col("block") > F.col("first"))
         sizes = (100 * F.col("high2") >= t.percent * F.col("low")) & (100 * F.col("high") >= t.percent * F.col("low2"))
         pairs = nodes.where(sides).join(other, "tree").where((F.col("block2") > F.col("block")) & sizes & ~F.coalesce(F.col("single") == F.col("single2"), F.lit(False)))
-        pairs = settled(bounded(pairs, t), "jaccard-pairs")
         carried = now.select("tree", "block", "nodes", "sizes", "tokens", "roots")
-        full = pairs.join(carried, ["tree", "block"]).join(carried.select("tree", *[F.col(c).alias(f"{c}2") for c in ("block", "nodes", "sizes", "tokens", "roots")]), ["tree", "block2"])
-        found = settled(found.unionAll(traversed(full, t, True)), "jaccard-across")
+        full = bounded(pairs, t).join(carried, ["tree", "block"]).join(carried.select("tree", *[F.col(c).alias(f"{c}2") for c in ("block", "nodes", "sizes", "tokens", "roots")]), ["tree", "block2"])
+        across = settled(traversed(full, t, True), "jaccard-across")
+        found = found.unionAll(across.select(F.inline("links")))
+        labels = labels.join(across.select("tree", "block", F.col("roots").alias("now")), ["tree", "block"], "left").select("tree", "block", F.coalesce("now", "roots").alias("roots"))
     return found
 
 
