@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axlewatch.plans.registry import query, r6
 from axlewatch.sources.bind import TEL, read
-from axlewatch.streaming import streams
+from axlewatch.streaming import alarms, streams
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,18 @@ def shared(spark: SparkSession) -> str:
     return (folder or "file://" + tempfile.mkdtemp(prefix="spark-shared-")).rstrip("/")
 
 
+@contextlib.contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, as timers need it."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     path = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
     name = f"{path}/out"
