@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 from axlewatch.operators.features import cusum_two_sided, held_cusum, rolling_median
 from axlewatch.operators.joins import nearest_event_distance
-from axlewatch.operators.ranked import running_sums
+from axlewatch.operators.ranked import order_statistics, running_sums
 
 
 def fit_ranges(train: DataFrame, features: list[str]) -> DataFrame:
     """One row: minimum, maximum, interquartile range, mean and population deviation of each feature."""
-    return train.agg(
-        *[f(x).alias(f"{x}_{n}") for x in features for n, f in (("lo", F.min), ("hi", F.max), ("mu", F.avg), ("sd", F.stddev_pop))],
-        *[(F.percentile(x, 0.75) - F.percentile(x, 0.25)).alias(f"{x}_iqr") for x in features],
-        *[F.percentile(x, 0.5).alias(f"{x}_med") for x in features],
-    )
+    plain = train.agg(*[f(x).alias(f"{x}_{n}") for x in features for n, f in (("lo", F.min), ("hi", F.max), ("mu", F.avg), ("sd", F.stddev_pop))])
+    q = order_statistics(train.unpivot([], features, "_f", "_v"), "_v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, ["_f"])
+    spread = q.agg(*[f(F.when(F.col("_f") == x, v)).alias(f"{x}_{n}") for f in (F.max,) for x in features for n, v in (("iqr", F.col("q3") - F.col("q1")), ("med", F.col("q2")))])
+    return plain.join(spread)  # one row each
 
 
 def sensor_range(rows: DataFrame, model: DataFrame, features: list[str]) -> DataFrame:
@@ -36,8 +35,9 @@ def trivial_set(rows: DataFrame, model: DataFrame, features: list[str]) -> DataF
 def fit_robust(train: DataFrame, features: list[str]) -> DataFrame:
     """feature, centre, spread: median and 1.4826 MAD (else deviation, else 1), all features in one long pass."""
     long = train.unpivot([], features, "feature", "v")
-    c = long.groupBy("feature").agg(F.percentile("v", 0.5).alias("centre"), F.stddev_pop("v").alias("sd"))
-    m = long.join(F.broadcast(c), "feature").groupBy("feature").agg(F.first("centre").alias("centre"), F.first("sd").alias("sd"), (1.4826 * F.percentile(F.abs(F.col("v") - F.col("centre")), 0.5)).alias("mad"))
+    c = order_statistics(long, "v", {"centre": 0.5}, ["feature"]).join(long.groupBy("feature").agg(F.stddev_pop("v").alias("sd")), "feature").checkpoint()
+    far = long.join(F.broadcast(c), "feature").select("feature", F.abs(F.col("v") - F.col("centre")).alias("far"))  # a row per feature
+    m = order_statistics(far, "far", {"mid": 0.5}, ["feature"]).join(c, "feature").withColumn("mad", 1.4826 * F.col("mid"))
     return m.select("feature", "centre", F.when(F.col("mad") > 0, F.col("mad")).when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0)).alias("spread"))
 
 
@@ -84,7 +84,7 @@ def conformal(scores: DataFrame, calibration: DataFrame, score: str) -> DataFram
 
 def window_variance(windows: DataFrame, train: DataFrame, std: str) -> DataFrame:
     """Adds score: the variance of a window as a multiple of the training windows' median variance."""
-    base = train.agg(F.percentile(F.col(std) * F.col(std), 0.5).alias("_m"))
+    base = order_statistics(train.select((F.col(std) * F.col(std)).alias("_v")), "_v", {"_m": 0.5})
     return windows.join(F.broadcast(base)).withColumn("score", F.col(std) * F.col(std) / F.col("_m")).drop("_m")  # one row
 
 
@@ -92,7 +92,7 @@ def squared_diff(samples: DataFrame, keys: list[str], pos: str, value: str) -> D
     """keys and score: the mean squared step inside a window as a multiple of the median over all windows."""
     d = samples.withColumn("_d", F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(pos)))
     s = d.groupBy(*keys).agg(F.avg(F.col("_d") * F.col("_d")).alias("_m"))
-    return s.join(F.broadcast(s.agg(F.percentile("_m", 0.5).alias("_b")))).select(*keys, (F.col("_m") / F.col("_b")).alias("score"))  # one row
+    return s.join(F.broadcast(order_statistics(s, "_m", {"_b": 0.5}))).select(*keys, (F.col("_m") / F.col("_b")).alias("score"))  # one row
 
 
 def l2_norm(rows: DataFrame, train: DataFrame, keys: list[str], channels: list[str]) -> DataFrame:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axlewatch.operators.ranked import running_sums
+from axlewatch.operators.joins import asof_backward
+from axlewatch.operators.ranked import order_statistics, running_sums
 
 
 def quantile_thresholds(scores: DataFrame, score: str, qs: list[float], keys: list[str] = []) -> DataFrame:  # noqa: B006
-    return scores.groupBy(*keys).agg(*[F.percentile(score, q).alias(f"q{str(q)[2:]}") for q in qs])
+    return order_statistics(scores, score, {f"q{str(q)[2:]}": q for q in qs}, keys)
 
 
 def row_pitch(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
     """One row: the median positive step inside series."""
     w = Window.partitionBy(*keys).orderBy(time, tie)
-    return df.select((F.col(time) - F.lag(time).over(w)).alias("step")).where("step > 0").agg(F.percentile("step", 0.5).alias("pitch"))
+    return df.select((F.col(time) - F.lag(time).over(w)).alias("step")).where("step > 0").transform(order_statistics, "step", {"pitch": 0.5})
 
 
 def alarm_spans(scores: DataFrame, keys: list[str], time: str, tie: str, over: Column, score: str, k: int, merge_gap: int, max_step: int) -> tuple[DataFrame, DataFrame]:
@@ -39,16 +40,15 @@ def episodes(scores: DataFrame, keys: list[str], time: str, tie: str, over: Colu
     keys, episode (from 0), t_start, t_end, n_rows, peak. Windows by series only; spans join back by position.
     """
     x, spans = alarm_spans(scores, keys, time, tie, over, score, k, merge_gap, max_step)
-    named = spans.select(*[F.col(c).alias(f"_{c}") for c in keys], "episode", "t_start", "t_end", "pa", "pb")
-    inside = x.drop("_row").join(named, [F.col(c) == F.col(f"_{c}") for c in keys] + [F.col("_p").between(F.col("pa"), F.col("pb"))])
+    inside = asof_backward(x.drop("_row"), spans, keys, "_p", "pa", ["episode", "t_start", "t_end", "pb"]).where("_p <= pb")  # spans of a series don't overlap
     return inside.groupBy(*keys, "episode", "t_start", "t_end").agg(F.count(F.lit(1)).alias("n_rows"), F.max("_s").alias("peak"))
 
 
 def alert_flags(scores: DataFrame, keys: list[str], time: str, tie: str, over: Column, score: str, k: int, merge_gap: int, max_step: int) -> DataFrame:
     """Adds alert: whether a row lies in an episode, by position, so rows that tie with an episode's border aren't drawn in."""
     x, spans = alarm_spans(scores, keys, time, tie, over, score, k, merge_gap, max_step)
-    named = spans.select(*[F.col(c).alias(f"_{c}") for c in keys], "pa", "pb")
-    return x.join(named, [F.col(c) == F.col(f"_{c}") for c in keys] + [F.col("_p").between(F.col("pa"), F.col("pb"))], "left").select("_row.*", F.col("pa").isNotNull().alias("alert"))
+    near = asof_backward(x, spans.where(F.col("pa").isNotNull()), keys, "_p", "pa", ["pb"])
+    return near.select("_row.*", F.coalesce(F.col("_p") <= F.col("pb"), F.lit(False)).alias("alert"))
 
 
 def calibrate_budget(scores: DataFrame, keys: list[str], time: str, tie: str, score: str, k: int, merge_gap: int, max_step: int, per_day: float = 1 / 7, steps: int = 128) -> DataFrame:
@@ -57,7 +57,7 @@ def calibrate_budget(scores: DataFrame, keys: list[str], time: str, tie: str, sc
     Positions and cuts are found once; a row is then repeated for the thresholds it exceeds only, and runs are the positions
     that follow each other.
     """
-    lim = scores.agg(F.percentile(score, 0.5).alias("lo"), F.max(score).alias("hi"))
+    lim = order_statistics(scores, score, {"lo": 0.5}).join(scores.agg(F.max(score).alias("hi")))  # one row each
     grid = lim.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (steps - 1))).alias("step", "thr"))
     all_thr = grid.agg(F.array_sort(F.collect_list("thr")).alias("_thr"))  # one row of `steps` thresholds
     w = Window.partitionBy(*keys).orderBy(time, tie)

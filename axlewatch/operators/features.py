@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,17 +69,44 @@ def ewma(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: fl
     schema = T.StructType([*[df.schema[c] for c in (*keys, *order)], T.StructField("ewma", T.DoubleType())])
     width = len(keys)
 
+    step = 128
+    lag = np.arange(step)[:, None] - np.arange(step)[None]
+    weight, carry = alpha * np.where(lag >= 0, (1 - alpha) ** np.maximum(lag, 0), 0.0), (1 - alpha) ** np.arange(1, step + 1)
+
+    def smoothed(x: np.ndarray, mean: float | None) -> tuple[np.ndarray, float | None]:
+        """The means of a run of one series, a block of `step` values at a time; a missing value holds the mean before it."""
+        held = np.flatnonzero(~np.isnan(x))
+        v, out = x[held], np.empty(len(held))
+        if mean is None and len(v):
+            mean = v[0]
+        for a in range(0, len(v), step):
+            n = len(v[a : a + step])
+            out[a : a + n] = weight[:n, :n] @ v[a : a + n] + carry[:n] * mean
+            mean = out[a + n - 1]
+        return np.concatenate([[np.nan], out])[np.searchsorted(held, np.arange(len(x)), "right")], mean
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, mean = None, None
         for batch in batches:
-            out = []
-            for *key, x in zip(*(batch.column(i).to_pylist() for i in (*range(width), batch.num_columns - 1)), strict=True):
+            x = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.float64)
+            new = np.zeros(len(x), bool)
+            for i in range(width):
+                c = batch.column(i)
+                if len(x) > 1:
+                    new[1:] |= ~(pc.fill_null(pc.equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False) | (pc.is_null(c[1:]).to_numpy(zero_copy_only=False) & pc.is_null(c[:-1]).to_numpy(zero_copy_only=False)))
+            edges = [0, *np.flatnonzero(new).tolist(), len(x)]
+            out = np.empty(len(x))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                key = [batch.column(i)[a].as_py() for i in range(width)]
                 if key != now:
                     now, mean = key, None
-                if x is not None and x == x:
-                    mean = x if mean is None else mean * (1 - alpha) + x * alpha
-                out.append(mean)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=schema.names)
+                before = mean
+                out[a:b], mean = smoothed(x[a:b], mean)
+                if before is not None:
+                    out[a:b] = np.where(np.isnan(out[a:b]), before, out[a:b])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64(), from_pandas=True)], names=schema.names)
 
     rows = df.select(*keys, *order, F.col(value).cast("double").alias("_x")).repartition(*keys).sortWithinPartitions(*keys, *order)
     return rows.mapInArrow(each, schema)
@@ -145,13 +174,13 @@ def peer_delta(df: DataFrame, group: list[str], value: str, by: str = "mean") ->
     if by == "mean":
         n = F.count(value).over(w) - 1
         return df.withColumn("peer_delta", F.when(n > 0, F.col(value) - (F.sum(value).over(w) - F.col(value)) / n).otherwise(F.lit(0.0)))
-    every = F.array_sort(F.collect_list(value).over(w))
-    at = F.array_position(F.col("_every"), F.col(value)).cast("int")  # leave out one of the equal values
-    x = df.withColumn("_every", every)
-    x = x.withColumn("_rest", F.concat(F.slice("_every", 1, at - 1), F.slice("_every", at + 1, F.greatest(F.size("_every") - at, F.lit(0)))))
-    n = F.size("_rest")
-    mid = (F.get("_rest", F.floor((n - 1) / 2).cast("int")) + F.get("_rest", F.floor(n / 2).cast("int"))) / 2
-    return x.withColumn("peer_delta", F.when(n > 0, F.col(value) - mid).otherwise(F.lit(0.0))).drop("_every", "_rest")
+    place = F.sum(F.when(F.col(value).isNotNull(), 1).otherwise(0)).over(w.orderBy(F.col(value).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)) - 1
+    x = df.withColumn("_at", place).withColumn("_m", F.count(value).over(w) - 1)
+    low, high = F.floor((F.col("_m") - 1) / 2), F.floor(F.col("_m") / 2)  # places of the middle of the others, counted without this one
+    held = {f"_{n}{k}": F.max(F.when(F.col("_at") == p + k, F.col(value))).over(w) for n, p in (("a", low), ("b", high)) for k in (0, 1)}
+    x = x.withColumns(held)
+    mid = (F.when(low >= F.col("_at"), F.col("_a1")).otherwise(F.col("_a0")) + F.when(high >= F.col("_at"), F.col("_b1")).otherwise(F.col("_b0"))) / 2
+    return x.withColumn("peer_delta", F.when(F.col("_m") > 0, F.col(value) - mid).otherwise(F.lit(0.0))).drop("_at", "_m", *held)
 
 
 def alarm_levels(df: DataFrame, keys: list[str], order: list[str], excess: Column, absolute: Column, warm: float, often: int, hot: float, limit: float) -> DataFrame:

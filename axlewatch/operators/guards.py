@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axlewatch.operators.joins import in_cells, reached
+from axlewatch.operators.ranked import running_sums
+
 
 def events_in_slice(faults: DataFrame, rows: DataFrame, key: str, time: str, horizon: int) -> DataFrame:
     """Faults whose detection window [onset - horizon, failure] touches the span of their series in the slice."""
@@ -12,10 +15,11 @@ def events_in_slice(faults: DataFrame, rows: DataFrame, key: str, time: str, hor
     return faults.join(span, (F.col(key) == F.col("_k")) & (F.col("onset") - horizon <= F.col("_b")) & (F.col("failure") >= F.col("_a")), "left_semi")
 
 
-def label_segments(segments: DataFrame, truth: DataFrame, key: str, id_: list[str], label: str, least: float = 0.1) -> DataFrame:
-    """Adds label and iou of the truth interval (onset, failure, label) of the same key that a segment (t_start, t_end) shares most with, if it is `least` or more; the first label on a tie."""
-    t = truth.select(F.col(key).alias("_k"), F.col("onset").alias("_a"), F.col("failure").alias("_b"), F.col(label).alias("_l"))
-    j = segments.join(t, (F.col(key) == F.col("_k")) & (F.col("t_start") <= F.col("_b")) & (F.col("t_end") >= F.col("_a")))
+def label_segments(segments: DataFrame, truth: DataFrame, key: str, id_: list[str], label: str, least: float = 0.1, cell: int = 2 * 86_400_000_000) -> DataFrame:
+    """Adds label and iou of the truth interval (onset, failure, label) of the same key that a segment (t_start, t_end) shares most with, if it is `least` or more; the first label on a tie. Both meet in cells of time."""
+    t = in_cells(truth.select(F.col(key).alias("_k"), F.col("onset").alias("_a"), F.col("failure").alias("_b"), F.col(label).alias("_l")), F.col("_a"), F.col("_b"), cell)
+    s = in_cells(segments.select(*segments.columns), F.col("t_start"), F.col("t_end"), cell).withColumnRenamed("_cell", "_at")
+    j = s.join(t, (F.col(key) == F.col("_k")) & (F.col("_at") == F.col("_cell")) & (F.col("t_start") <= F.col("_b")) & (F.col("t_end") >= F.col("_a")))
     shared = F.least("t_end", "_b") - F.greatest("t_start", "_a")
     j = j.withColumn("_iou", shared / F.nullif(F.greatest("t_end", "_b") - F.least("t_start", "_a"), F.lit(0))).where(F.col("_iou") >= least)
     best = j.groupBy(*[F.col(c).alias(f"_{c}") for c in id_]).agg(F.max_by(F.struct("_l", "_iou"), F.struct("_iou", -F.col("_l"))).alias("_x"))
@@ -24,9 +28,9 @@ def label_segments(segments: DataFrame, truth: DataFrame, key: str, id_: list[st
 
 def normal_window_guard(rows: DataFrame, faults: DataFrame, key: str, time: str, start: int, end: int, guard: int) -> DataFrame:
     """Rows of [start, end) further than the guard from every failure of their series."""
-    f = faults.select(F.col(key).alias("_k"), F.col("failure").alias("_f"))
     inside = rows.where((F.col(time) >= start) & (F.col(time) < end))
-    return inside.join(f, (F.col(key) == F.col("_k")) & F.col(time).between(F.col("_f") - guard, F.col("_f") + guard), "left_anti")
+    x = reached(inside, faults.select(key, "failure"), [key], F.col(time), F.col("failure") - guard, F.col("failure") + guard)
+    return x.where(~F.coalesce(F.col("_reach") >= F.col(time), F.lit(False))).select(*rows.columns)
 
 
 def extend_labels_to_end(rows: DataFrame, faults: DataFrame, key: str, time: str) -> DataFrame:
@@ -40,7 +44,7 @@ def carve_rows(df: DataFrame, series: str, row_id: str, share: float) -> DataFra
     names = df.select(F.col(series).alias("_s")).distinct()
     n = names.count()
     if n > 1:
-        ranked = names.withColumn("_r", F.row_number().over(Window.orderBy(F.md5(F.col("_s").cast("string")), "_s")))  # a row per series
+        ranked = running_sums(names.withColumn("_h", F.md5(F.col("_s").cast("string"))), ["_h", "_s"], {"_r": F.lit(1)})
         part = F.when(F.col("_r") <= F.ceil(F.lit(n * share)), "val").otherwise("train")
         return df.join(ranked.select("_s", part.alias("part")), F.col(series).eqNullSafe(F.col("_s"))).drop("_s")
     bits = F.conv(F.substring(F.md5(F.col(row_id).cast("string")), 1, 8), 16, 10).cast("long")
@@ -63,8 +67,8 @@ def peer_split_guard(df: DataFrame, group: list[str], held: str) -> DataFrame:
 
 def alarm_window_rows(rows: DataFrame, faults: DataFrame, key: str, time: str, horizon: int) -> DataFrame:
     """One row: rows, and how many of them lie in any detection window of their series."""
-    f = faults.select(F.col(key).alias("_k"), F.col("onset").alias("_a"), F.col("failure").alias("_b"))
-    inside = rows.join(f, (F.col(key) == F.col("_k")) & F.col(time).between(F.col("_a") - horizon, F.col("_b")), "left_semi").agg(F.count(F.lit(1)).alias("inside"))
+    x = reached(rows, faults.select(key, "onset", "failure"), [key], F.col(time), F.col("onset") - horizon, F.col("failure"))
+    inside = x.agg(F.count(F.when(F.col("_reach") >= F.col(time), 1)).alias("inside"))
     return rows.agg(F.count(F.lit(1)).alias("n_rows")).join(inside)  # one row each
 
 

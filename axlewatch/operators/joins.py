@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,23 +29,45 @@ def label_from_fault_log(rows: DataFrame, faults: DataFrame, gamma: float = 2.0,
     ).withColumn("alarm", F.coalesce(inside & (F.col("failure") - F.col("t") <= alarm_us), F.lit(False)))
 
 
-def label_from_events(rows: DataFrame, faults: DataFrame) -> DataFrame:
-    """Labels by containment in a fault's interval: is_faulty, the least rul, and the last fault in log order."""
-    f = faults.select(F.col("component_id").alias("_c"), "onset", "failure", "fault_id")
-    j = rows.join(f, (F.col("component_id") == F.col("_c")) & F.col("t").between(F.col("onset"), F.col("failure")), "left")
+def reached(rows: DataFrame, spans: DataFrame, keys: list[str], at: Column, start: Column, end: Column) -> DataFrame:
+    """Adds _reach: the greatest end of the spans of the same keys that start at or before `at`; NULL if none does.
+
+    A span that starts by `at` and ends no earlier than some point exists if and only if _reach is no earlier, so this one
+    union and running maximum answers whether any span covers or overlaps, however many spans a series has.
+    """
+    known = [start.isNotNull(), end.isNotNull(), *[F.col(k).isNotNull() for k in keys]]
+    s = spans.where(functools.reduce(Column.__and__, known)).select(*keys, start.alias("_t"), F.lit(0).alias("_side"), end.alias("_end"), F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType).alias("_row"))
+    r = rows.select(*keys, at.alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(s.schema["_end"].dataType).alias("_end"), F.struct("*").alias("_row"))
+    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    return s.unionByName(r).withColumn("_reach", F.max("_end").over(w)).where("_side = 1").select("_row.*", "_reach")
+
+
+def in_cells(df: DataFrame, start: Column, end: Column, cell: int) -> DataFrame:
+    """Adds _cell: a row for each cell of time of this width that [start, end] touches."""
+    return df.where(start <= end).withColumn("_cell", F.explode(F.sequence(F.floor(start / cell), F.floor(end / cell))))
+
+
+def label_from_events(rows: DataFrame, faults: DataFrame, cell: int = 2 * 86_400_000_000) -> DataFrame:
+    """Labels by containment in a fault's interval: is_faulty, the least rul, and the last fault in log order.
+
+    Rows meet the faults of their own cell of time only; a cell should be about as long as a fault.
+    """
+    f = in_cells(faults.select(F.col("component_id").alias("_c"), "onset", "failure", "fault_id"), F.col("onset"), F.col("failure"), cell)
+    j = rows.withColumn("_at", F.floor(F.col("t") / cell)).join(f, (F.col("component_id") == F.col("_c")) & (F.col("_at") == F.col("_cell")) & F.col("t").between(F.col("onset"), F.col("failure")), "left")
     return j.groupBy("event_id", "component_id", "t").agg(F.max(F.col("fault_id").isNotNull()).alias("is_faulty"), F.min((F.col("failure") - F.col("t")) / 1e6).alias("rul_s"), F.max("fault_id").alias("fault_id"))
 
 
 def overlaps_fault(spans: DataFrame, faults: DataFrame, key: str, before_us: int = 0) -> DataFrame:
     """spans(key, t_start, t_end, component_id) that overlap a fault's interval, widened by before_us at its onset."""
-    f = faults.select(F.col("component_id").alias("_c"), "onset", "failure")
-    return spans.join(f, (F.col("component_id") == F.col("_c")) & (F.col("t_start") <= F.col("failure")) & (F.col("t_end") >= F.col("onset") - before_us), "left_semi")
+    x = reached(spans, faults.select("component_id", "onset", "failure"), ["component_id"], F.col("t_end"), F.col("onset") - before_us, F.col("failure"))
+    return x.where(F.col("_reach") >= F.col("t_start")).select(*spans.columns)
 
 
-def match_episodes(episodes: DataFrame, faults: DataFrame, horizon_us: int) -> DataFrame:
-    """Adds fault_id, matched and lead_h: the first fault in log order whose detection window [onset - H, failure] an episode overlaps claims it."""
-    f = faults.select(F.col("component_id").alias("_c"), "fault_id", "onset", "failure")
-    hit = episodes.join(f, (F.col("component_id") == F.col("_c")) & (F.col("t_start") <= F.col("failure")) & (F.col("t_end") >= F.col("onset") - horizon_us))
+def match_episodes(episodes: DataFrame, faults: DataFrame, horizon_us: int, cell: int = 4 * 86_400_000_000) -> DataFrame:
+    """Adds fault_id, matched and lead_h: the first fault in log order whose detection window [onset - H, failure] an episode overlaps claims it. Both meet in cells of time."""
+    f = in_cells(faults.select(F.col("component_id").alias("_c"), "fault_id", "onset", "failure"), F.col("onset") - horizon_us, F.col("failure"), cell)
+    e = in_cells(episodes, F.col("t_start"), F.col("t_end"), cell).withColumnRenamed("_cell", "_at")
+    hit = e.join(f, (F.col("component_id") == F.col("_c")) & (F.col("_at") == F.col("_cell")) & (F.col("t_start") <= F.col("failure")) & (F.col("t_end") >= F.col("onset") - horizon_us))
     first = hit.groupBy("component_id", "episode").agg(F.min(F.struct("fault_id", "onset", "failure")).alias("f"))
     return episodes.join(first, ["component_id", "episode"], "left").select(
         *episodes.columns, F.col("f.fault_id").alias("fault_id"), F.col("f").isNotNull().alias("matched"), ((F.col("f.failure") - F.col("t_start")) / 3.6e9).alias("lead_h")
@@ -52,10 +76,8 @@ def match_episodes(episodes: DataFrame, faults: DataFrame, horizon_us: int) -> D
 
 def faults_detected(faults: DataFrame, episodes: DataFrame, horizon_us: int) -> DataFrame:
     """Adds detected: whether any episode overlaps the fault's detection window."""
-    e = episodes.select(F.col("component_id").alias("_c"), "t_start", "t_end")
-    near = (F.col("component_id") == F.col("_c")) & (F.col("t_start") <= F.col("failure")) & (F.col("t_end") >= F.col("onset") - horizon_us)
-    hit = faults.join(e, near, "left_semi").select(F.col("fault_id").alias("_f"))
-    return faults.join(hit, F.col("fault_id") == F.col("_f"), "left").withColumn("detected", F.col("_f").isNotNull()).drop("_f")
+    x = reached(faults, episodes.select("component_id", "t_start", "t_end"), ["component_id"], F.col("failure"), F.col("t_start"), F.col("t_end"))
+    return x.withColumn("detected", F.coalesce(F.col("_reach") >= F.col("onset") - horizon_us, F.lit(False))).drop("_reach")
 
 
 def nearest_event_distance(rows: DataFrame, events: DataFrame, keys: list[str], time: str, event_time: str) -> DataFrame:
@@ -69,8 +91,8 @@ def nearest_event_distance(rows: DataFrame, events: DataFrame, keys: list[str],
 
 def blank_post_failure(rows: DataFrame, faults: DataFrame, hold_us: int) -> DataFrame:
     """Rows outside of (failure, failure + hold] of every fault of their component."""
-    f = faults.select(F.col("component_id").alias("_c"), "failure")
-    return rows.join(f, (F.col("component_id") == F.col("_c")) & (F.col("t") > F.col("failure")) & (F.col("t") <= F.col("failure") + hold_us), "left_anti")
+    x = reached(rows, faults.select("component_id", "failure"), ["component_id"], F.col("t"), F.col("failure") + 1, F.col("failure") + hold_us)
+    return x.where(~F.coalesce(F.col("_reach") >= F.col("t"), F.lit(False))).select(*rows.columns)
 
 
 def overlay_patch(rows: DataFrame, patch: DataFrame, keys: list[str], time: str) -> DataFrame:

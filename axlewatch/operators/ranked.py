@@ -22,3 +22,22 @@ def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column], group
     inside = Window.partitionBy(*groups, "_part").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     out = g.join(F.broadcast(before), on)  # at most a row per range and group
     return out.select(*df.columns, *[(F.col(f"_b_{k}") + F.sum(f"_v_{k}").over(inside)).alias(k) for k in sums])
+
+
+def order_statistics(df: DataFrame, value: str, names: dict[str, float], groups: list[str] = []) -> DataFrame:  # noqa: B006
+    """One row (or a row per group) of exact quantiles: a column for each name, interpolated between neighbours; NULLs don't count.
+
+    Values are counted before they are put in order, ranks are running sums over ranges, and a quantile is a minimum over
+    the values beyond its rank, so no task and no buffer holds a group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = running_sums(counts, ["_x"], {"_upto": F.col("_c")}, groups)
+    total = counts.groupBy(*[F.col(g).alias(f"_q_{g}") for g in groups]).agg(F.sum("_c").alias("_n"))
+    on = F.lit(True)
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"_q_{g}"))
+    ranked = upto.join(total, on) if groups else upto.join(F.broadcast(total))  # one row without groups
+    at = {n: (F.col("_n") - 1) * q for n, q in names.items()}
+    picked = ranked.groupBy(*groups).agg(F.first("_n").alias("_n"), *[F.min(F.when(F.col("_upto") > f(at[n]), F.col("_x"))).alias(f"_{s}_{n}") for n in names for s, f in (("lo", F.floor), ("hi", F.ceil))])
+    part = {n: at[n] - F.floor(at[n]) for n in names}
+    return picked.select(*groups, *[F.when(F.col(f"_lo_{n}") == F.col(f"_hi_{n}"), F.col(f"_lo_{n}").cast("double")).otherwise((1 - part[n]) * F.col(f"_lo_{n}") + part[n] * F.col(f"_hi_{n}")).alias(n) for n in names])

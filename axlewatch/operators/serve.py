@@ -19,8 +19,8 @@ def component_state_at(scores: DataFrame, episodes: DataFrame, at: int, threshol
 def alerts_at(episodes: DataFrame, scores: DataFrame, at: int, limit: int = 25) -> DataFrame:
     """Episodes begun by T, newest first; the peak is that of rows by T and the end is NULL while open."""
     e = episodes.where(F.col("t_start") <= at)
-    rows = scores.where(F.col("t") <= at).select(F.col("component_id").alias("_c"), F.col("t").alias("_t"), "score")
-    j = e.join(rows, (F.col("component_id") == F.col("_c")) & F.col("_t").between(F.col("t_start"), F.col("t_end")))
+    rows = scores.where(F.col("t") <= at).select("component_id", F.col("t").alias("_t"), "score")
+    j = asof_backward(rows, e, ["component_id"], "_t", "t_start", ["episode", "t_start", "t_end"]).where(F.col("_t") <= F.col("t_end"))
     g = j.groupBy("component_id", "episode", "t_start", "t_end").agg(F.max("score").alias("peak"))
     return g.orderBy(F.col("t_start").desc(), "component_id").limit(limit).select("component_id", "episode", "t_start", F.when(F.col("t_end") <= at, F.col("t_end")).alias("t_end"), "peak")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axlewatch.operators.ranked import running_sums
+from axlewatch.operators.ranked import order_statistics, running_sums
 
 
 def temporal_split(df: DataFrame, start: str, end: str, val_from: Column, test_from: Column) -> DataFrame:
@@ -20,25 +20,28 @@ def peer_atomic_support(df: DataFrame, group: list[str], start: str, end: str) -
 
 
 def fraction_split(df: DataFrame, start: str, end: str, val: float = 0.6, test: float = 0.8) -> DataFrame:
-    cuts = df.agg(F.percentile(start, val).alias("_v"), F.percentile(start, test).alias("_t"))
+    cuts = order_statistics(df, start, {"_v": val, "_t": test})
     return temporal_split(df.join(F.broadcast(cuts)), start, end, F.col("_v"), F.col("_t")).drop("_v", "_t")
 
 
-def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
-    """Rows repeated for each fold: test in the fold of their own group, else train. For a bounded number of groups."""
+def leave_one_group_out(df: DataFrame, group: str, most: int = 1000) -> DataFrame:
+    """Rows repeated for each fold: test in the fold of their own group, else train. For at most `most` groups, which is checked."""
     folds = df.select(F.col(group).alias("fold")).distinct()
+    if (n := folds.limit(most + 1).count()) > most:
+        raise ValueError(f"leave_one_group_out: over {n - 1} groups; a fold for each would repeat every row as often")
     return df.join(F.broadcast(folds)).withColumn("part", F.when(F.col("fold") == F.col(group), "test").otherwise("train"))
 
 
 def group_holdout(df: DataFrame, group: str, seed: str, n_test: int, n_val: int) -> DataFrame:
     """Whole groups by the order of md5(seed, group): the first to test, the next to validation."""
-    g = df.select(group).distinct().withColumn("_r", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(seed), F.col(group).cast("string"))))))
+    g = df.select(group).distinct().withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(group).cast("string"))))
+    g = running_sums(g, ["_h", group], {"_r": F.lit(1)}).drop("_h")
     g = g.withColumn("part", F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_val, "val").otherwise("train")).drop("_r")
     return df.join(g, group)
 
 
 def rank_of_group_split(df: DataFrame, group: str, val_from: int, test_from: int) -> DataFrame:
-    g = df.select(group).distinct().withColumn("rank", F.row_number().over(Window.orderBy(group)) - 1)
+    g = running_sums(df.select(group).distinct(), [group], {"_r": F.lit(1)}).select(group, (F.col("_r") - 1).alias("rank"))
     return df.join(g, group).withColumn("part", F.when(F.col("rank") >= test_from, "test").when(F.col("rank") >= val_from, "val").otherwise("train"))
 
 

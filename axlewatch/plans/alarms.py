@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from axlewatch.operators import detect, episodes, joins, serve, splits
+from axlewatch.operators.ranked import order_statistics, running_sums
 from axlewatch.plans.core import SEG, WIN, windowed
 from axlewatch.plans.registry import query, r6
 from axlewatch.sources.bind import DAY_US, FLT, TEL, fault_log, read, telemetry
@@ -220,13 +221,13 @@ def det_knn(spark, sf_dir):
     return detect.nearest(e, e, "vec_id", "vec_id", "embedding", 5).select("vec_id", F.round("score", 4).alias("score"))
 
 
-@query(f"""with {WF}, l as (select component_id * 1000000 + segment * 1000 + "window" as id, feature, round(v, 9) as v from wf unpivot (v for feature in (mean, std, peak))), mm as (select *, avg(v) over (partition by feature) as mu from l),
-k as (select feature, count(*) as n, avg(pow(v - mu, 3)) as skew from mm group by 1), t as (select id, l.feature, -ln(cume_dist() over (partition by l.feature order by v)) as lf, -ln(cume_dist() over (partition by l.feature order by v desc)) as rt, skew from l join k using (feature))
-select id, round(greatest(sum(lf), sum(rt), sum(case when skew < 0 then lf else rt end)), 5) as score from t group by 1""")
+@query(f"""with {WF}, l as (select component_id, segment, "window", feature, round(v, 9) as v from wf unpivot (v for feature in (mean, std, peak))), mm as (select *, avg(v) over (partition by feature) as mu from l),
+k as (select feature, count(*) as n, avg(pow(v - mu, 3)) as skew from mm group by 1), t as (select component_id, segment, "window", l.feature, -ln(cume_dist() over (partition by l.feature order by v)) as lf, -ln(cume_dist() over (partition by l.feature order by v desc)) as rt, skew from l join k using (feature))
+select component_id, segment, "window", round(greatest(sum(lf), sum(rt), sum(case when skew < 0 then lf else rt end)), 5) as score from t group by all""")
 def det_ecod(spark, sf_dir):
     w = window_features(spark, sf_dir).withColumns({c: F.round(c, 9) for c in FEATURES})  # equal windows tie whatever the order of their sums
     e = detect.ecod(w, ["component_id", "segment", "window"], FEATURES)
-    return e.select((F.col("component_id") * 1000000 + F.col("segment") * 1000 + F.col("window")).alias("id"), F.round("score", 5).alias("score"))
+    return e.select("component_id", "segment", "window", F.round("score", 5).alias("score"))
 
 
 @query(f"with {TEL}, cal as (select value as s from tel where component_id % 5 = 0), n as (select count(*) as n from cal) select event_id, round(1 - (1 + (select count(*) from cal where s >= value)) / (1 + n), 6) as p_alarm from tel, n where component_id % 5 <> 0")
@@ -302,7 +303,8 @@ def ticker_at(spark, sf_dir):
 def kpis_at(spark, sf_dir):
     m = joins.match_episodes(found(spark, sf_dir), fault_log(spark, sf_dir), H)
     a, z = F.col("t_start") <= AT, F.col("t_end")
-    return m.agg(F.count(F.when(a & (z >= AT), 1)).alias("open_now"), F.count(F.when(a, 1)).alias("opened"), r6(F.percentile(F.when(z <= AT, F.col("lead_h")), 0.5), "median_lead_h"))
+    lead = order_statistics(m.where(z <= AT), "lead_h", {"median_lead_h": 0.5}).select(r6("median_lead_h"))
+    return m.agg(F.count(F.when(a & (z >= AT), 1)).alias("open_now"), F.count(F.when(a, 1)).alias("opened")).join(lead)  # one row each
 
 
 @query(f"""with {TEL}, b0 as (select *, row_number() over (partition by component_id order by t) - 1 as p, count(*) over (partition by component_id) as n from tel), b as (select *, case when n <= 20 then p else p * 10 // n end as b from b0),
@@ -324,14 +326,16 @@ def score_points(spark, sf_dir):
 @query(f"with {TEL}, l as (select component_id, train_id, arg_max(value, t) as score from tel where t <= {AT} group by 1, 2) select component_id, rank() over (order by score desc) as rank, round(quantile_cont(score, 0.5) over (), 6) as median, round(quantile_cont(score, 0.9) over (), 6) as p90 from l")
 def rank_peers(spark, sf_dir):
     last = telemetry(spark, sf_dir).where(F.col("t") <= AT).groupBy("component_id").agg(F.max_by("value", "t").alias("score"))
-    q = last.agg(r6(F.percentile("score", 0.5), "median"), r6(F.percentile("score", 0.9), "p90"))
-    return last.withColumn("rank", F.rank().over(Window.orderBy(F.col("score").desc()))).join(F.broadcast(q)).select("component_id", "rank", "median", "p90")
+    q = order_statistics(last, "score", {"median": 0.5, "p90": 0.9}).select(r6("median"), r6("p90"))
+    counts = last.groupBy((-F.col("score")).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
+    ranks = running_sums(counts, ["_s"], {"_upto": F.col("_c")}).select("_s", (F.col("_upto") - F.col("_c") + 1).cast("int").alias("rank"))
+    return last.join(ranks, -F.col("score") == F.col("_s")).join(F.broadcast(q)).select("component_id", "rank", "median", "p90")
 
 
 @query(f"with {EP}, al as (select component_id, t, event_id from sc where score > 150) select event_id from al where not exists (select 1 from ep where ep.component_id = al.component_id and al.t between t_start and t_end)")
 def scores_audit(spark, sf_dir):
-    e = found(spark, sf_dir).select(F.col("component_id").alias("c"), "t_start", "t_end")
-    return scores(spark, sf_dir).where("score > 150").join(e, (F.col("component_id") == F.col("c")) & F.col("t").between(F.col("t_start"), F.col("t_end")), "left_anti").select("event_id")
+    high = joins.reached(scores(spark, sf_dir).where("score > 150"), found(spark, sf_dir), ["component_id"], F.col("t"), F.col("t_start"), F.col("t_end"))
+    return high.where(~F.coalesce(F.col("_reach") >= F.col("t"), F.lit(False))).select("event_id")
 
 
 # flagship
@@ -345,7 +349,7 @@ select component_id, episode::bigint as episode, t_start, t_end, n_rows, fault_i
 def alarm_episodes_of_components(spark, sf_dir):
     """Which components had alarm episodes, and did each precede a fault? gaps -> windows -> robust z -> threshold -> episodes -> faults."""
     z = robust(spark, sf_dir).select("component_id", F.col("window").alias("event_id"), "t", F.get("z", F.lit(0)).alias("score"))
-    thr = F.broadcast(z.agg(F.percentile("score", 0.8).alias("thr")))
+    thr = F.broadcast(order_statistics(z, "score", {"thr": 0.8}))  # one row
     ep = episodes.episodes(z.join(thr), ["component_id"], "t", "event_id", F.col("score") > F.col("thr"), "score", K, MERGE, STEP)
     return joins.match_episodes(ep, fault_log(spark, sf_dir), H).select("component_id", "episode", "t_start", "t_end", "n_rows", "fault_id", "matched")
 

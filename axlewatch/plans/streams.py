@@ -55,9 +55,9 @@ def stream_bins(spark, sf_dir):
     return out.select("component_id", F.floor(F.unix_micros(F.col("w.start")) / 86_400_000_000).alias("day"), r6("mean"), "peak", "n")
 
 
-@query(f"with {TEL}, z as (select *, (value - 50) / 50 as z from tel), p as (select *, sum(z - 0.5) over w as u, sum(-z - 0.5) over w as d from z window w as (partition by component_id order by t, event_id rows unbounded preceding)) select event_id, round(greatest(u - least(0, min(u) over w), d - least(0, min(d) over w)), 5) as cusum from p window w as (partition by component_id order by t, event_id rows unbounded preceding)")
+@query(f"with recursive {TEL}, z as (select *, (value - 50) / 50 as z from tel), p as (select *, sum(z - 0.5) over w as u, sum(-z - 0.5) over w as d from z window w as (partition by component_id order by t, event_id rows unbounded preceding)), m as (select *, row_number() over (partition by component_id order by t, event_id) as n, value as x from tel), e as (select component_id, n, event_id, x as ewma from m where n = 1 union all select m.component_id, m.n, m.event_id, 0.8::double * e.ewma + 0.2::double * m.x from e join m on m.component_id = e.component_id and m.n = e.n + 1), c as (select event_id, round(greatest(u - least(0, min(u) over w), d - least(0, min(d) over w)), 5) as cusum from p window w as (partition by component_id order by t, event_id rows unbounded preceding)) select event_id, cusum, round(ewma, 6) as ewma from c join e using (event_id)")
 def stream_ewma_cusum(spark, sf_dir):
-    return drained(spark, streams.stream_ewma_cusum(events(spark, sf_dir)), "append").select("event_id", F.round("cusum", 5).alias("cusum"))
+    return drained(spark, streams.stream_ewma_cusum(events(spark, sf_dir)), "append").select("event_id", F.round("cusum", 5).alias("cusum"), r6("ewma"))
 
 
 @query(f"""with {TEL}, s as (select component_id, t, case when t - lag(t) over w < 259200000000 then 0 else 1 end as new from tel window w as (partition by component_id order by t)), n as (select *, sum(new) over (partition by component_id order by t) as n from s)

@@ -25,7 +25,7 @@ def plain(row):
         if isinstance(x, bool) or x is None or isinstance(x, str):
             out.append(str(x))
         else:
-            out.append(f"{float(x):.4g}")
+            out.append(f"{float(x):.9g}")
     return tuple(out)
 
 
