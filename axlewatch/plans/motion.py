@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from axlewatch.operators import adaptive, automaton
+from axlewatch.operators import adaptive, automaton, order_track
 from axlewatch.plans.alarms import K, MERGE, STEP, THR, episodes_sql
 from axlewatch.plans.registry import query, r6
 from axlewatch.plans.streams import drained, events, rocks
@@ -98,3 +98,58 @@ def stream_episodes(spark, sf_dir):
     """Episodes that are over once the watermark stands a day before the last event."""
     with rocks(spark):
         return drained(spark, alarms.stream_episodes(events(spark, sf_dir), THR, K, MERGE, STEP), "append")
+
+
+# distance and wavelength: a component's readings in order of time are its recording, readings above 50 its pulse
+
+DX, POINTS, TOOTH = 0.25, 16, 1.0
+WAVES, CENTRES = order_track.log_wavelengths(0.5, 4.0, 24), order_track.third_octaves(0.75, 3.0)
+TRACK = f"""{TEL}, pl as (select component_id, event_id, value, row_number() over (partition by component_id order by t, event_id) - 1 as place, case when value > 50 then 1 else 0 end as p from tel),
+ed as (select *, p <> lag(p) over (partition by component_id order by place) as edge from pl), kk as (select *, sum(case when edge then 1 else 0 end) over (partition by component_id order by place rows unbounded preceding) as k from ed),
+ab as (select *, max(case when edge then place end) over (partition by component_id order by place rows unbounded preceding) as a, min(case when edge then place end) over (partition by component_id order by place rows between current row and unbounded following) as b, max(k) over (partition by component_id) as n from kk),
+ez as (select *, max(case when edge and k = 1 then place end) over c as e1, max(case when edge and k = 2 then place end) over c as e2, max(case when edge and k = n - 1 then place end) over c as ey, max(case when edge and k = n then place end) over c as ez from ab window c as (partition by component_id)),
+ds as (select *, {TOOTH}::double * case when n < 2 then 0 when k = 0 then -(e1 - place) / (e2 - e1)::double when b is null then n - 1 + (place - ez) / (ez - ey)::double else k - 1 + case when b > a then (place - a) / (b - a)::double else 0 end end as d0 from ez),
+di as (select component_id, event_id, place, value, d0 - first_value(d0) over (partition by component_id order by place) as distance from ds)"""
+GRID_SQL = f"""{TRACK}, uq as (select component_id, distance as d, arg_max(value, place) as v from di where value is not null group by 1, 2), sp as (select component_id, max(d) as far, min(d) as near from uq group by 1 having max(d) - min(d) > {4 * DX}),
+gr as (select component_id, unnest(generate_series(ceil(near / {DX})::bigint, floor(far / {DX})::bigint)) as j from sp), lf as (select gr.component_id, j, max(d) as ld from gr join uq on uq.component_id = gr.component_id and d <= j * {DX} group by 1, 2), rt as (select gr.component_id, j, min(d) as rd from gr join uq on uq.component_id = gr.component_id and d >= j * {DX} group by 1, 2),
+rs as (select lf.component_id, lf.j, case when coalesce(rd, ld) > ld then l.v + (r.v - l.v) * (lf.j * {DX} - ld) / (rd - ld) else l.v end as x from lf left join rt using (component_id, j) join uq l on l.component_id = lf.component_id and l.d = ld left join uq r on r.component_id = lf.component_id and r.d = rd)"""
+WAVE_SQL = f"""{GRID_SQL}, q as (select component_id, x, row_number() over (partition by component_id order by j) - 1 as p, count(*) over (partition by component_id) as n from rs),
+fr as (select component_id, w, p - w * {POINTS // 2} as pos, x - avg(x) over (partition by component_id, w) as v from q, unnest(generate_series(0, (n - {POINTS}) // {POINTS // 2})) u(w) where n >= {POINTS} and p between w * {POINTS // 2} and w * {POINTS // 2} + {POINTS - 1}),
+hn as (select i, 0.5 - 0.5 * cos(2 * pi() * i / {POINTS}) as h from generate_series(0, {POINTS - 1}) g(i)), ks as (select k from generate_series(2, {POINTS // 2}) g(k)),
+ft as (select component_id, w, k, pow(sum(v * h * cos(2 * pi() * k * pos / {POINTS})), 2) + pow(sum(v * h * sin(2 * pi() * k * pos / {POINTS})), 2) as power from fr join hn on hn.i = fr.pos, ks group by 1, 2, 3),
+ps as (select component_id, {POINTS * DX} / k as w, 10 * log10(greatest(avg(power * case when k = {POINTS // 2} then 1 else 2 end / (select sum(h * h) from hn) * {DX}), 1e-20)) as db from ft group by 1, k),
+wv as (select unnest([{', '.join(repr(w) for w in WAVES)}]::double[]) as wavelength), br as (select component_id, wavelength, arg_max(struct_pack(w := w, db := db), w) filter (where w <= wavelength) as l0, arg_min(struct_pack(w := w, db := db), w) filter (where w >= wavelength) as r0 from ps, wv group by 1, 2),
+sd as (select component_id, wavelength, l.db + case when r.w > l.w then (r.db - l.db) * (wavelength - l.w) / (r.w - l.w) else 0 end as db from (select component_id, wavelength, coalesce(l0, r0) as l, coalesce(r0, l0) as r from br))"""
+
+
+def tracked(spark, sf_dir):
+    return order_track.pulse_distance(telemetry(spark, sf_dir), ["component_id"], ["t", "event_id"], F.col("value") > 50, TOOTH)
+
+
+def gridded(spark, sf_dir):
+    return order_track.resampled(tracked(spark, sf_dir), ["component_id"], "distance", "place", "value", DX)
+
+
+def waves(spark, sf_dir):
+    return order_track.wavelength_spectrum(gridded(spark, sf_dir), ["component_id"], DX, POINTS, WAVES)
+
+
+@query(f"with {TRACK} select event_id, round(distance, 6) as distance from di")
+def pulse_distance(spark, sf_dir):
+    return tracked(spark, sf_dir).select("event_id", r6("distance"))
+
+
+@query(f"with {GRID_SQL} select component_id, j, round(x, 6) as x from rs")
+def distance_resample(spark, sf_dir):
+    return gridded(spark, sf_dir).select("component_id", "j", r6("x"))
+
+
+@query(f"with {WAVE_SQL} select component_id, round(wavelength, 6) as wavelength, round(db, 4) as db from sd")
+def wavelength_spectrum(spark, sf_dir):
+    return waves(spark, sf_dir).select("component_id", r6("wavelength"), F.round("db", 4).alias("db"))
+
+
+@query(f"""with {WAVE_SQL}, ce as (select unnest([{', '.join(repr(c) for c in CENTRES)}]::double[]) as centre) select component_id, round(centre, 6) as centre, round(10 * log10(greatest(avg(pow(10, db / 10)), 1e-20)), 4) as db
+from sd, ce where wavelength >= centre * pow(2, -1 / 6.0::double) and wavelength < centre * pow(2, 1 / 6.0::double) group by 1, 2""")
+def wavelength_bands(spark, sf_dir):
+    return order_track.band_levels(waves(spark, sf_dir), ["component_id"], CENTRES, WAVES).select("component_id", r6("centre"), F.round("db", 4).alias("db"))
