@@ -187,3 +187,39 @@ def robust_mahalanobis(rows: DataFrame, train: DataFrame, features: list[str], s
     centre, cov, _ = robust_covariance(train, features, share)
     d = squared_distance(features, centre, np.linalg.pinv(cov))
     return rows.withColumn("score", F.sqrt(F.when(d < 0, 0.0).otherwise(d)))
+
+
+# principal components
+
+
+def principal(train: DataFrame, features: list[str], share: float = 0.9) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(means, deviations, loadings, variances) of the components that explain `share` of the standardised variance: one aggregate of sums of products, a solve of the features' number."""
+    x = train.select(*[F.col(f).cast("double").alias(f) for f in features]).dropna()
+    k = len(features)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    row = x.agg(*[F.avg(f) for f in features], *[F.covar_pop(features[i], features[j]) for i, j in pairs]).first()
+    mu, cov = np.array(row[:k]), np.zeros((k, k))
+    cov[np.triu_indices(k)] = row[k:]
+    cov = cov + np.triu(cov, 1).T
+    sd = np.sqrt(np.diag(cov))
+    sd = np.where(sd > 0, sd, 1.0)
+    values, vectors = np.linalg.eigh(cov / np.outer(sd, sd))
+    values, vectors = values[::-1], vectors[:, ::-1]
+    n = min(k, int(np.searchsorted(np.cumsum(values) / max(values.sum(), 1e-300), share - 1e-12)) + 1)
+    return mu, sd, vectors[:, :n], values[:n]
+
+
+def pca_spe_t2(rows: DataFrame, train: DataFrame, features: list[str], share: float = 0.9) -> DataFrame:
+    """Adds spe (squared residual), t2 (Hotelling's) and score: the sum of both, each over its 99th percentile in training. NULL where a feature is missing."""
+    mu, sd, loadings, variances = principal(train, features, share)
+
+    def with_parts(df: DataFrame) -> DataFrame:
+        z = [(F.col(f) - float(m)) / float(s) for f, m, s in zip(features, mu, sd, strict=True)]
+        scores = [sum(float(loadings[i, j]) * z[i] for i in range(len(z))) for j in range(loadings.shape[1])]
+        fit = [sum(float(loadings[i, j]) * scores[j] for j in range(len(scores))) for i in range(len(z))]
+        spe = sum((a - b) * (a - b) for a, b in zip(z, fit, strict=True))
+        return df.withColumns({"spe": spe, "t2": sum(s * s / max(float(v), 1e-12) for s, v in zip(scores, variances, strict=True))})
+
+    seen = with_parts(train)
+    limit = {c: float(order_statistics(seen, c, {"q": 0.99}).first().q or 0.0) for c in ("spe", "t2")}
+    return with_parts(rows).withColumn("score", sum(F.col(c) / max(limit[c], 1e-12) for c in ("spe", "t2")))

@@ -115,3 +115,21 @@ def door_cycle_features(spark, sf_dir):
     ch = s.select("component_id", "segment", "t", "event_id", *[F.expr(e.replace("::double", "")).cast("double").alias(n) for n, e in DOOR.items()])
     d = cycles.door_cycle_features(ch, ["component_id", "segment"], "t", "event_id")
     return d.select("component_id", "segment", "operation", "n_rows", *[F.round(n, 4).alias(n) for n in STROKE])
+
+
+@query(f"with {TEL} select t // 1000 * 1000 as t, value as current, event_id::double as position, null::double as force from tel")
+def ingest_door_csv(spark, sf_dir):
+    """Times unpadded to the millisecond, headers in another case, a column that isn't there."""
+    t = telemetry(spark, sf_dir).withColumn("ts", F.timestamp_micros("t"))
+    stamp = F.concat_ws("-", *[f("ts").cast("string") for f in (F.year, F.month, F.day, F.hour, F.minute, F.second)], F.floor(F.col("t") / 1000 % 1000).cast("string"))
+    wide = t.select(stamp.alias("Datetime"), F.col("value").alias("Motor Current(mA)"), F.col("event_id").alias("Door leaf Position"))
+    d = recordings.door(*written(wide, "door"), {"datetime": ["Datetime"], "current": ["Motor current (mA)"], "position": ["Door leaf position"], "force": ["Motor force"]}, ["position"])
+    return d.select("t", "current", "position", "force")
+
+
+@query("""with b as (select unnest([1, 2]) as box) select event_id::double as pulse, box, case when box = 1 then value when event_id % 5 <> 0 then value * 2 else 0 end as vibration, case when box = 1 then event_id % 9 else 1 end::double as shock from events, b""")
+def ingest_rail_csv(spark, sf_dir):
+    """Two boxes; what isn't a number becomes 0."""
+    t = telemetry(spark, sf_dir)
+    wide = t.select(F.col("event_id").alias("pulse"), F.col("value").alias("v1"), (F.col("event_id") % 9).alias("s1"), F.when(F.col("event_id") % 5 != 0, (F.col("value") * 2).cast("string")).otherwise("NaN").alias("v2"), F.lit(1).alias("s2"))
+    return recordings.rail(*written(wide, "rail"), boxes=2).select("pulse", "box", "vibration", "shock")

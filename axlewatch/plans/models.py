@@ -34,3 +34,10 @@ def det_isolation_forest(spark, sf_dir):
 def det_robust_mahalanobis(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem")
     return fitted.robust_mahalanobis(li, li, LINE).select("l_orderkey", "l_linenumber", "l_partkey", F.round("score", 6).alias("score"))
+
+
+@query()
+def det_pca_spe_t2(spark, sf_dir):
+    w = window_features(spark, sf_dir)
+    p = fitted.pca_spe_t2(w, w.where("component_id % 2 = 0"), FEATURES)
+    return p.select("component_id", "segment", "window", F.round("score", 6).alias("score"))

@@ -10,7 +10,7 @@ from axlewatch.plans.alarms import K, MERGE, STEP, THR, episodes_sql
 from axlewatch.plans.registry import query, r6
 from axlewatch.plans.streams import drained, events, rocks
 from axlewatch.sources.bind import DAY_US, TEL, telemetry
-from axlewatch.streaming import alarms
+from axlewatch.streaming import alarms, prefix
 
 WEEK = 7 * DAY_US
 
@@ -153,3 +153,16 @@ def wavelength_spectrum(spark, sf_dir):
 from sd, ce where wavelength >= centre * pow(2, -1 / 6.0::double) and wavelength < centre * pow(2, 1 / 6.0::double) group by 1, 2""")
 def wavelength_bands(spark, sf_dir):
     return order_track.band_levels(waves(spark, sf_dir), ["component_id"], CENTRES, WAVES).select("component_id", r6("centre"), F.round("db", 4).alias("db"))
+
+
+@query()
+def stream_prefix_damage(spark, sf_dir):
+    d = drained(spark, prefix.stream_prefix_damage(events(spark, sf_dir), 3.0, 1e9), "append")
+    return d.select("component_id", "event_id", "cycles", F.round("damage", 9).alias("damage"))
+
+
+@query(f"""with {TEL}, e as (select *, coalesce(value > 50, false) <> lag(coalesce(value > 50, false)) over w as edge, t - min(t) over (partition by component_id) as s from tel window w as (partition by component_id order by t, event_id)),
+n as (select *, sum(case when edge then 1 else 0 end) over (partition by component_id order by t, event_id rows unbounded preceding) as edges from e) select event_id, edges::bigint as edges, round(edges / 2.0::double * 1000000 / nullif(s / 1e6::double, 0), 6) as speed, edges >= 5 as ready from n""")
+def stream_prefix_speed(spark, sf_dir):
+    s = drained(spark, prefix.stream_prefix_speed(events(spark, sf_dir), 50.0, 1e6, 5), "append")
+    return s.select("event_id", "edges", r6("speed"), "ready")

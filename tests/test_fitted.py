@@ -63,3 +63,17 @@ def test_gross_outliers_do_not_move_the_centre(spark):
     assert score[999] is None and min(score[i] for i in range(100)) > max(score[i] for i in range(100, 500))
     d = x[300] - centre
     assert score[300] == pytest.approx(math.sqrt(d @ np.linalg.inv(cov) @ d))
+
+
+def test_principal_components_by_numpy(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 3)) @ np.array([[1.0, 2.0, 0.1], [0.0, 0.3, 0.2], [0.0, 0.0, 0.5]]) + [5, 0, -3]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(999, None, 1.0, 1.0)], "i long, a double, b double, c double").repartition(3)
+    got = {r.i: r for r in fitted.pca_spe_t2(df, df, ["a", "b", "c"]).collect()}
+    z = (x - x.mean(0)) / x.std(0)
+    values, vectors = np.linalg.eigh(z.T @ z / len(z))
+    n = int(np.searchsorted(np.cumsum(values[::-1]) / values.sum(), 0.9)) + 1
+    v, lam = vectors[:, ::-1][:, :n], values[::-1][:n]
+    spe, t2 = ((z - z @ v @ v.T) ** 2).sum(1), ((z @ v) ** 2 / lam).sum(1)
+    score = spe / np.quantile(spe, 0.99) + t2 / np.quantile(t2, 0.99)
+    assert all(got[i].score == pytest.approx(score[i], rel=1e-6) for i in range(300)) and got[999].score is None
