@@ -79,10 +79,11 @@ def acv_ridge_residual(spark, sf_dir):
     return out.select("train", "car", F.round("residual", 4).alias("residual"))
 
 
-# cycles of machines: channels are arithmetic on the readings
+# cycles of machines: channels are arithmetic on the readings, by factors that keep their means off the half places where engines round apart
 
-UNIT = {"Motor_current": "value / 25", "Reservoirs": "(event_id * 13 % 97) / 10.0", "Oil_temperature": "(event_id * 7 % 53) / 2.0", "TP2": "value / 50", "TP3": "(event_id * 3 % 31) / 8.0", "H1": "value / 40", "LPS": "case when event_id % 29 = 0 then 1.0 else 0.0 end", "Towers": "event_id * 5 % 3 % 2", "Pressure_switch": "case when event_id % 4 < 2 then 1.0 else 0.0 end"}
+UNIT = {"Motor_current": "value / 25.3", "Reservoirs": "(event_id * 13 % 97) / 10.0", "Oil_temperature": "(event_id * 7 % 53) / 2.0", "TP2": "value / 53.1", "TP3": "(event_id * 3 % 31) / 8.0", "H1": "value / 41.7", "LPS": "case when event_id % 29 = 0 then 1.0 else 0.0 end", "Towers": "event_id * 5 % 3 % 2", "Pressure_switch": "case when event_id % 4 < 2 then 1.0 else 0.0 end"}
 COMPRESSOR = ["t_loaded", "t_unloaded", "t_off", "I_loaded_mean", "I_start_peak", "T_oil_max", "TP2_minus_TP3_mean", "H1_loaded_mean", "transition_frac", "dP_dt_loaded", "dP_dt_off", "duty_ratio", "idle_run_ratio", "hour_of_day"]
+PLACES = dict.fromkeys(["t_loaded", "t_unloaded", "t_off"], 6)  # whole microseconds
 
 
 @query(f"""with {TEL}, ch as (select component_id, t, event_id, signal, {', '.join(f'({e})::double as {n}' for n, e in UNIT.items())} from tel),
@@ -93,28 +94,29 @@ d as (select *, row_number() over (partition by component_id, cycle order by t,
 g as (select component_id, cycle, min(t) as t_start, max(t) as t_end, coalesce(sum(dt) filter (where s = 2), 0) as t_loaded, coalesce(sum(dt) filter (where s = 1), 0) as t_unloaded, coalesce(sum(dt) filter (where s = 0), 0) as t_off, avg(Motor_current) filter (where s = 2 and p > 4) as I_loaded_mean, max(Motor_current) as I_start_peak, max(Oil_temperature) as T_oil_max, avg(TP2 - TP3) filter (where s = 2) as TP2_minus_TP3_mean, avg(H1) filter (where s = 2) as H1_loaded_mean,
 coalesce(max(LPS) > 0.5, false) as LPS_any, avg((signal = 'view')::int) as transition_frac, avg(rate) filter (where s = 2) as dP_dt_loaded, avg(rate) filter (where s = 0) as dP_dt_off, sum(flip)::bigint as tower_switches, sum(rise)::bigint as purge_count from d group by 1, 2),
 h as (select *, t_loaded / nullif(t_loaded + t_unloaded + t_off, 0) as duty_ratio, t_off / nullif(t_loaded, 0) as idle_run_ratio, hour(make_timestamp(t_start)) + minute(make_timestamp(t_start)) / 60.0::double as hour_of_day from g)
-select component_id, cycle::bigint as cycle, t_start, t_end, LPS_any, tower_switches, purge_count, {', '.join(f'round({c}, 5) as {c}' for c in COMPRESSOR)} from h""")
+select component_id, cycle::bigint as cycle, t_start, t_end, LPS_any, tower_switches, purge_count, {', '.join(f'round({c}, {PLACES.get(c, 5)}) as {c}' for c in COMPRESSOR)} from h""")
 def compressor_cycle_features(spark, sf_dir):
     t = telemetry(spark, sf_dir)
     ch = t.select("component_id", "t", "event_id", "signal", *[F.expr(e).cast("double").alias(n) for n, e in UNIT.items()])
     c = cycles.compressor_cycle_features(ch, ["component_id"], "t", "event_id", F.col("signal") == "view")
-    return c.select("component_id", F.col("cycle").cast("long").alias("cycle"), "t_start", "t_end", "LPS_any", "tower_switches", "purge_count", *[F.round(n, 5).alias(n) for n in COMPRESSOR])
+    return c.select("component_id", F.col("cycle").cast("long").alias("cycle"), "t_start", "t_end", "LPS_any", "tower_switches", "purge_count", *[F.round(n, PLACES.get(n, 5)).alias(n) for n in COMPRESSOR])
 
 
-DOOR = {"current": "value", "voltage": "(event_id * 11 % 37)::double", "emf": "(event_id * 17 % 41)::double", "position": "(event_id * 23 % 101)::double", "open_time": "(event_id % 3 * 40)::double", "close_time": "(event_id % 5 * 30)::double"}
+DOOR = {"current": "value * 1.0371735119", "voltage": "(event_id * 11 % 37)::double", "emf": "(event_id * 17 % 41)::double", "position": "(event_id * 23 % 101)::double", "open_time": "(event_id % 3 * 40)::double", "close_time": "(event_id % 5 * 30)::double"}
 STROKE = ["duration", "i_mean", "i_rms", "i_std", "i_med", "i_peak", "i_peak_frac", "charge", "energy", "v_mean", "emf_mean", "i_mean_opening", "i_max_opening", "i_mean_cruise", "i_max_cruise", "i_mean_closing", "i_max_closing", "i_std_cruise", "v_mean_cruise", "emf_mean_cruise", "dur_opening", "dur_cruise", "dur_closing", "travel"]
+COARSE = {"charge": 1, "energy": -1, "duration": 3, "dur_opening": 3, "dur_cruise": 3, "dur_closing": 3}  # sums over weeks
 
 
 @query(f"""with {SEG}, ch as (select component_id, segment, t, event_id, {', '.join(f'{e} as {n}' for n, e in DOOR.items())} from seg),
 a as (select *, abs(current) as i, first_value(position) over o as p0, last_value(position) over o as p1, min(position) over k as lo, max(position) over k as hi, (t - min(t) over k) / 1e6::double as x from ch window o as (partition by component_id, segment order by t, event_id rows between unbounded preceding and unbounded following), k as (partition by component_id, segment)),
 b as (select *, case when abs(p1 - p0) < 1e-9 then case when hi > lo then hi - lo else 1 end else p1 - p0 end as tr, case when abs(p1 - p0) < 1e-9 then lo else p0 end as base from a), c as (select *, least(greatest(coalesce((position - base) / tr, 0), 0), 1) as f from b),
 d as (select *, (f between 0.15 and 0.85) or not max(f between 0.15 and 0.85) over (partition by component_id, segment) as cr, f < 0.15 as op, f > 0.85 as cl, coalesce(x - lag(x) over (partition by component_id, segment order by t, event_id), 0) as dt from c)
-select component_id, segment, case when any_value(tr) > 0 then 'Open' else 'Close' end as operation, count(*) as n_rows, {', '.join(f'round({e}, 4) as {n}' for n, e in zip(STROKE, ["max(x)", "avg(i)", "sqrt(avg(i * i))", "stddev_pop(i)", "quantile_cont(i, 0.5)", "max(i)", "arg_min(f, (-i, t, event_id)) filter (where i is not null)", "sum(i * dt)", "sum(i * voltage * 10 * dt)", "avg(voltage)", "avg(emf)", "avg(i) filter (where op)", "max(i) filter (where op)", "avg(i) filter (where cr)", "max(i) filter (where cr)", "avg(i) filter (where cl)", "max(i) filter (where cl)", "stddev_pop(i) filter (where cr)", "avg(voltage) filter (where cr)", "avg(emf) filter (where cr)", "coalesce(sum(dt) filter (where op), 0)", "coalesce(sum(dt) filter (where cr), 0)", "coalesce(sum(dt) filter (where cl), 0)", "abs(any_value(tr))"]))} from d group by 1, 2""")
+select component_id, segment, case when any_value(tr) > 0 then 'Open' else 'Close' end as operation, count(*) as n_rows, {', '.join(f'round({e}, {COARSE.get(n, 4)}) as {n}' for n, e in zip(STROKE, ["max(x)", "avg(i)", "sqrt(avg(i * i))", "stddev_pop(i)", "quantile_cont(i, 0.5)", "max(i)", "arg_min(f, (-i, t, event_id)) filter (where i is not null)", "sum(i * dt)", "sum(i * voltage * 10 * dt)", "avg(voltage)", "avg(emf)", "avg(i) filter (where op)", "max(i) filter (where op)", "avg(i) filter (where cr)", "max(i) filter (where cr)", "avg(i) filter (where cl)", "max(i) filter (where cl)", "stddev_pop(i) filter (where cr)", "avg(voltage) filter (where cr)", "avg(emf) filter (where cr)", "coalesce(sum(dt) filter (where op), 0)", "coalesce(sum(dt) filter (where cr), 0)", "coalesce(sum(dt) filter (where cl), 0)", "abs(any_value(tr))"]))} from d group by 1, 2""")
 def door_cycle_features(spark, sf_dir):
     s = segmented(spark, sf_dir)
     ch = s.select("component_id", "segment", "t", "event_id", *[F.expr(e.replace("::double", "")).cast("double").alias(n) for n, e in DOOR.items()])
     d = cycles.door_cycle_features(ch, ["component_id", "segment"], "t", "event_id")
-    return d.select("component_id", "segment", "operation", "n_rows", *[F.round(n, 4).alias(n) for n in STROKE])
+    return d.select("component_id", "segment", "operation", "n_rows", *[F.round(n, COARSE.get(n, 4)).alias(n) for n in STROKE])
 
 
 @query(f"with {TEL} select t // 1000 * 1000 as t, value as current, event_id::double as position, null::double as force from tel")
