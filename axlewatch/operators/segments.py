@@ -60,3 +60,17 @@ def contiguous_blocks(df: DataFrame, keys: list[str], time: str, n: int, tie: st
     p = F.row_number().over(w) - 1
     edges = F.filter(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.rint(i * F.col("_t") / n)), lambda e: e <= F.col("_p")) if n > 1 else F.array()
     return df.withColumn("_p", p).withColumn("_t", total).withColumn("block", F.size(edges).cast("long")).drop("_p", "_t")
+
+
+def telemetry_windows(df: DataFrame, faults: DataFrame, keys: list[str], component: str, time: str, value: str, tie: str, rate_hz: float, length: int, stride: int) -> DataFrame:
+    """keys, segment, window, t_start, t_end, samples (an array of `length` readings in order), is_faulty, post_failure: raw windows of every run with labels.
+
+    keys (a run and its component among them) name a series; a step above three samples or five seconds, whichever is longer, begins a segment. A
+    window is faulty if it ends at or after its component's first onset, and lies after failure if it ends after the first failure. Times are microseconds.
+    """
+    gap = int(max(3 / rate_hz, 5.0) * 1_000_000)
+    w = make_windows(gap_segments(df, keys, time, gap, tie), [*keys, "segment"], time, length, stride, tie)
+    g = w.groupBy(*keys, "segment", "window").agg(F.min(time).alias("t_start"), F.max(time).alias("t_end"), F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda x: x[value]).alias("samples"))  # length rows
+    first = faults.groupBy(F.col(component).alias("_c")).agg(F.min("onset").alias("_onset"), F.min("failure").alias("_failure"))
+    out = g.join(first, F.col(component) == F.col("_c"), "left")
+    return out.withColumns({"is_faulty": F.coalesce(F.col("t_end") >= F.col("_onset"), F.lit(False)), "post_failure": F.coalesce(F.col("t_end") > F.col("_failure"), F.lit(False))}).drop("_c", "_onset", "_failure")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axlewatch.plans import alarms, cases, core, fatigue, files, judge, models, motion, ranks, records, streams, waves  # noqa: F401  they register their queries
+from axlewatch.plans import alarms, cases, core, fatigue, files, judge, learn, models, motion, ranks, records, streams, waves  # noqa: F401  they register their queries
 from axlewatch.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
