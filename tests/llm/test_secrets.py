@@ -98,6 +98,48 @@ def test_lexer_follows_names(text, want):
     assert [text[a:b] for k, a, b in secret_scan.scan(text)[1] if k == "lexed"] == want
 
 
+K = "hQ9zRk3Lw8Vt2"
+SYNTAX = [
+    (f'os.environ["DB_PASSWORD"] = "{K}"', [K]),
+    (f"cfg['api_secret'] = '{K}'", [K]),
+    (f'pwd = f"{K}"', [K]),
+    (f'pwd = b"{K}"', [K]),
+    (f'pwd = """{K}"""', [K]),
+    (f"pwd = `{K}`", [K]),
+    (f'pwd, x = "{K}", 1', [K]),
+    (f'x, pwd = 1, "{K}"', [K]),
+    (f'#define PWD "{K}"', [K]),
+    (f"<pwd>{K}</pwd>", [K]),
+    (f'<db:pwd kind="a"> {K} </db:pwd>', [K]),
+    (f"pwd: |\n  {K}\nnext: 1", [K]),
+    (f"a:\n  private_key: |-\n    {K}\n    {K[::-1]}\n  b: 1", [f"{K}\n    {K[::-1]}"]),
+    (f'conn.setPassphrase("{K}")', [K]),
+    (f'props.put("api_secret", "{K}")', [K]),
+    (f"run --pwd {K} --user me", [K]),
+    (f"connect(user='me', pwd='{K}')", [K]),
+    ('password = "correct horse battery staple"', ["correct horse battery staple"]),
+    ("the pwd: Constantinople was", []),
+    ("pwd: Constantinople", ["Constantinople"]),
+    (f"the pwd: {K} was", [K]),
+    (f"it's said that pwd = '{K}' isn't good", [K]),
+    ('password = "Enter your password here"', []),
+    ('pwd = f"{value}-{other}"', []),
+    ("we set a secret, then a token, then the pwd of our connection", []),
+    ('setTitle("hQ9zRk3Lw8Vt2")', []),
+    ('pwd, x = f(1), 2', []),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), SYNTAX)
+def test_lexer_reads_the_forms_of_pairs(text, want):
+    assert [text[a:b] for k, a, b in secret_scan.scan(text)[1] if k == "lexed"] == want
+
+
+@pytest.mark.parametrize("text", [f'pwd = "{"x" * 9}\\" + k', "pwd: |", "<pwd>", "<pwd></pwd>", "a[", 'cfg["pwd"]', "--pwd", "#define pwd", "pwd,", "pwd, x =", "set_pwd(", 'put("pwd", ', "pwd: a<", "\\", "pwd = \\"])
+def test_torn_syntax_has_no_spans(text):
+    assert [x for x in secret_scan.scan(text)[1] if x[0] == "lexed"] == []
+
+
 def test_lexer_finds_what_patterns_miss_and_reports_what_they_find(spark):
     rows = [(i, t) for i, (t, _) in enumerate(FOUND)] + [(99, None), (98, "")]
     got = {r.doc_id: r for r in secret_scan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -114,8 +156,9 @@ def test_doubling_sums_stay_small():
 
 @pytest.mark.parametrize(
     "text",
-    ["secret: x " + "a-" * 500_000, "".join(f"k = \"v{i}hQ9zRk3Lw8\"\npassword_{i} = k\n" for i in range(30_000)), "secret " + " " * 1_000_000, "secret=" * 150_000, 'pwd = "' + "\\x" * 500_000, "a=" + "b+" * 500_000, "a" * 1_000_000 + " secret", "\n".join(f"n{i} = n{i + 1}" for i in range(50_000)) + "\npassword = n0"],
-    ids=["hyphens", "constants", "spaces", "keys", "escapes", "sum", "word", "chain"],
+    ["secret: x " + "a-" * 500_000, "".join(f"k = \"v{i}hQ9zRk3Lw8\"\npassword_{i} = k\n" for i in range(30_000)), "secret " + " " * 1_000_000, "secret=" * 150_000, 'pwd = "' + "\\x" * 500_000, "a=" + "b+" * 500_000, "a" * 1_000_000 + " secret", "\n".join(f"n{i} = n{i + 1}" for i in range(50_000)) + "\npassword = n0",
+        "pwd = " + "?a=" * 300_000, "pwd " + "a, " * 300_000, 'pwd "' + '\\"' * 500_000, 'pwd ' + '"""' + 'x""' * 300_000, "pwd " + "<a>" * 300_000, "pwd: |\n" * 100_000, "pwd " + "k: t<" * 200_000, "pwd " + "'" * 500_001, "pwd: x " * 100_000],
+    ids=["hyphens", "constants", "spaces", "keys", "escapes", "sum", "word", "chain", "marks", "names", "open", "triple", "elements", "blocks", "types", "ticks", "line"],
 )
 def test_a_long_text_takes_seconds(text):
     began = time.process_time()
