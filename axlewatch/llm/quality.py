@@ -2,7 +2,9 @@
 
 Trusted positives (labels of quality 1) and unlabelled documents train a linear model on statistics of the text. With
 the prior p of positives, the risk is p * R(positives as 1) + max(0, R(unlabelled as 0) - p * R(positives as 0)); when the
-bracket falls below zero, the step instead undoes the overfitting. The prior is estimated from the training labels.
+bracket falls below zero, the step instead undoes the overfitting. The prior is estimated without labelled negatives: a first model is fitted
+on half of either sample, and on the other half the share of unlabelled documents above a score, over that of positives, bounds the prior
+at every score; the score of the least upper bound gives the estimate. Samples of under LEAST_HALF in a half leave it at 0.5.
 
 The fit sees about `fit_rows` positives and `fit_rows` unlabelled documents at most (a documented bound; they are chosen by a
 hash of doc_id, and rows of one doc_id are one document, that of the least features); every document is scored over its whole text.
@@ -13,6 +15,7 @@ null doc_id is not held out; rows repeat as in the input; an empty table gives a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FIT_ROWS = 20_000
+LEAST_HALF = 50
 MARKS = b"#*$%&|<>!=+@_~^/\\{}[]"
 
 
@@ -91,6 +95,19 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 600, r
     return {"mean": mean, "scale": scale, "w": w}
 
 
+def estimated_prior(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from the scores of both in halves that the scoring model wasn't fitted on."""
+    if min(len(pos), len(unl)) < 2 * LEAST_HALF:
+        return 0.5
+    first = fit_nnpu(pos[::2], unl[::2], 0.5)
+    p, u = np.sort(score_of(first, pos[1::2])), np.sort(score_of(first, unl[1::2]))
+    cuts = np.unique(p)
+    above_p, above_u = 1 - np.searchsorted(p, cuts) / len(p), 1 - np.searchsorted(u, cuts) / len(u)
+    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+    best = int(np.argmin((above_u + slack) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+
+
 def score_of(model: dict | None, x: np.ndarray) -> np.ndarray:
     if model is None:
         return np.full(len(x), 0.5)
@@ -120,7 +137,7 @@ def _featured(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict | None:
     """Learns from rows that are not held out. Only features of the bounded sample are shuffled or reach the driver."""
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n_pos, n_known = known.agg(F.sum((F.col("quality") == 1).cast("long")), F.count("quality")).first()
+    n_pos = known.where(F.col("quality") == 1).count()
     if not n_pos:
         return None
     rest = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -128,12 +145,14 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict
     share_p, share_u = min(1.0, fit_rows / n_pos), min(1.0, fit_rows / max(n_docs, 1))
     x = _featured(rest.where(_share(F.col("doc_id"), max(share_p, share_u)))).groupBy("doc_id").agg(F.min("x").alias("x"))
     k = known.where((F.col("quality") == 1) & _share(F.col("doc_id"), share_p)).select(F.col("doc_id").alias("k_id"))
-    rows = x.join(k, x["doc_id"] == k["k_id"], "left").select("x", F.col("k_id").isNotNull().alias("pos"), _share(F.col("doc_id"), share_u).alias("unl"))
+    rows = x.join(k, x["doc_id"] == k["k_id"], "left").select("doc_id", "x", F.col("k_id").isNotNull().alias("pos"), _share(F.col("doc_id"), share_u).alias("unl"))
     got = rows.where("pos or unl").toPandas()
     if not got["pos"].any() or not got["unl"].any():
         return None
+    got = got.iloc[got["doc_id"].astype(str).map(lambda i: hashlib.md5(i.encode()).digest()).argsort()]  # the halves don't depend on partitions
     every = np.array(got["x"].tolist(), dtype=np.float64)
-    return fit_nnpu(every[got["pos"].to_numpy()], every[got["unl"].to_numpy()], prior=min(n_pos / n_known, 0.99))
+    pos, unl = every[got["pos"].to_numpy()], every[got["unl"].to_numpy()]
+    return fit_nnpu(pos, unl, prior=estimated_prior(pos, unl))
 
 
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -96,3 +96,23 @@ def test_rows_of_one_id_are_one_document_of_the_fit(spark):
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(7)], "doc_id long, quality int")
     scores = [sorted((x.doc_id, x.score) for x in quality.quality_scores(docs.repartition(n), labels, fit_rows=5).collect()) for n in (1, 4)]
     assert scores[0] == scores[1] and len(scores[0]) == 300
+
+
+@pytest.mark.parametrize("prior", [0.15, 0.5, 0.85])
+def test_prior_comes_from_positives_and_unlabelled_rows(prior):
+    r = np.random.default_rng(6)
+    draw = lambda n, good: r.normal(1.5 if good else -1.5, 1.0, (n, 4))
+    unlabelled = np.vstack([draw(int(4000 * prior), True), draw(4000 - int(4000 * prior), False)])
+    got = quality.estimated_prior(draw(3000, True), unlabelled[r.permutation(4000)])
+    assert abs(got - prior) < 0.06
+    assert quality.estimated_prior(draw(30, True), unlabelled) == 0.5
+
+
+def test_negative_labels_do_not_enter_the_fit(spark):
+    good, bad = "The river ran past the mill, and nobody spoke of it again.", "### $$$ buy buy buy %% | | <> click ###"
+    docs = spark.createDataFrame([(i, (good if i % 3 else bad) + f" {i % 17} " + "and so on. " * (i % 5)) for i in range(900)], "doc_id long, text string")
+    positives = [(i, 1) for i in range(900) if i % 3 and i % 2]
+    labelled = [spark.createDataFrame(positives + more, "doc_id long, quality int") for more in ([], [(i, 0) for i in range(900) if i % 3 == 0])]
+    a, b = ({r.doc_id: r.score for r in quality.quality_scores(docs, x).collect()} for x in labelled)
+    assert a == b
+    assert all((a[i] >= 0.5) == bool(i % 3) for i in a)  # held-out documents too
