@@ -3,7 +3,7 @@
 Writing: each task sorts its captures by (URL key, timestamp, page_id) and writes one gzip-per-record archive to the shared
 folder. Scanning an archive gives its index entries in that order, a locally sorted run, which is a Parquet file of small row
 groups there. Merging: the key space is cut into ranges at keys of a bounded sample of row groups, and each range
-streams its part of up to FAN runs through a loser tree, a row group of each at a time; more runs are merged in
+streams the row groups of up to FAN runs that meet it through a loser tree, one of each at a time; more runs are merged in
 passes. So no task ever holds a run or a range.
 
 Of captures with equal payloads of at least `min_bytes` bytes, that of the smallest page_id is the response and the others
@@ -18,6 +18,7 @@ EPOCH (modulo 2 ** 31; that of a null page_id is EPOCH).
 from __future__ import annotations
 
 import base64
+import bisect
 import datetime
 import hashlib
 import re
@@ -25,8 +26,9 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -215,13 +217,13 @@ class RunWriter:
         self.out.close()
 
 
-def read_run(store, path: str, low: tuple | None, high: tuple | None) -> Iterator[tuple[tuple, dict]]:
-    """(order, entry) of a run's entries from low on and before high, a row group at a time; others are skipped by the footer."""
+def read_run(store, path: str, low: tuple | None, high: tuple | None, places: list[int] | None = None) -> Iterator[tuple[tuple, dict]]:
+    """(order, entry) of a run's entries from low on and before high, a row group at a time: those at the given places, or those that the footer doesn't rule out."""
     import pyarrow.parquet as pq
 
     with store.open_input_file(path) as f:
         run = pq.ParquetFile(f)
-        for g in range(run.num_row_groups):
+        for g in range(run.num_row_groups) if places is None else sorted(places):
             keys = run.metadata.row_group(g).column(0).statistics
             if keys is not None and keys.has_min_max and ((low is not None and keys.max < low[0]) or (high is not None and keys.min > high[0])):
                 continue
@@ -232,8 +234,8 @@ def read_run(store, path: str, low: tuple | None, high: tuple | None) -> Iterato
 
 
 def scan_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """archives(archive) -> run, and the first url_key, timestamp and page_id of each of its row groups. Writes a run for each archive."""
-    schema = T._parse_datatype_string("run string, url_key string, timestamp string, page_id long")
+    """archives(archive) -> run, and the place and first url_key, timestamp and page_id of each of its row groups. Writes a run for each archive."""
+    schema = T._parse_datatype_string("run string, place int, url_key string, timestamp string, page_id long")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -247,7 +249,7 @@ def scan_archives(archives: DataFrame, folder: str) -> DataFrame:
                     for offset, length, raw in members(stream):
                         writer.put(parse(raw) | {"archive": name, "offset": offset, "length": length})
                 writer.close()
-                yield pa.RecordBatch.from_pylist([{"run": run, **{c: x[c] for c in ("url_key", "timestamp", "page_id")}} for x in writer.firsts], schema=out)
+                yield pa.RecordBatch.from_pylist([{"run": run, "place": i, **{c: x[c] for c in ("url_key", "timestamp", "page_id")}} for i, x in enumerate(writer.firsts)], schema=out)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -258,13 +260,35 @@ def scan_archives(archives: DataFrame, folder: str) -> DataFrame:
 def range_cuts(groups: DataFrame, ranges: int) -> list[tuple]:
     """Places that cut the key space into ranges of about as many row groups, from at most about SAMPLE of them."""
     step = groups.count() // SAMPLE + 1
-    rows = groups.where(F.pmod(F.xxhash64("run", "url_key", "timestamp", "page_id"), F.lit(step)) == 0).drop("run").collect()
+    rows = groups.where(F.pmod(F.xxhash64("run", "url_key", "timestamp", "page_id"), F.lit(step)) == 0).drop("run", "place").collect()
     places = sorted({order(r.asDict()) for r in rows})
     return [places[len(places) * i // ranges] for i in range(1, min(ranges, len(places)))]
 
 
+def met_ranges(groups: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """run, job, places: the ranges between the cuts that a run's row groups meet, with the places of those row groups in its file.
+
+    A row group reaches from its first key to the first key of the next one of its run, that one included; the last of a run has no upper end.
+    """
+    place = F.struct("url_key", "timestamp", F.col("page_id").isNull().alias("none"), F.coalesce("page_id", F.lit(0)).alias("page"))
+    ahead = Window.partitionBy("run").orderBy("place")
+
+    @F.pandas_udf("array<long>")
+    def ranges(first: pd.DataFrame, following: pd.DataFrame, last: pd.Series) -> pd.Series:
+        out = []
+        for a, b, end in zip(first.itertuples(index=False, name=None), following.itertuples(index=False, name=None), last, strict=True):
+            low = bisect.bisect_right(cuts, a)
+            high = len(cuts) if end else bisect.bisect_right(cuts, b)
+            out.append(list(range(low, high + 1)))
+        return pd.Series(out)
+
+    g = groups.select("run", "place", place.alias("first")).withColumn("next", F.lead("first").over(ahead))
+    g = g.withColumn("last", F.col("next").isNull()).withColumn("next", F.coalesce("next", "first"))
+    return g.withColumn("job", F.explode(ranges("first", "next", "last"))).groupBy("run", "job").agg(F.collect_list("place").alias("places"))
+
+
 def merged_runs(jobs: DataFrame, folder: str, keep: bool) -> DataFrame:
-    """jobs(job, low, high, runs) -> the entries of each job in order, with `position` inside it; or, to keep them, the run (job, run) that each job writes."""
+    """jobs(job, low, high, runs: run and the places of its row groups, or NULL for all of them) -> the entries of each job in order, with `position` inside it; or, to keep them, the run (job, run) that each job writes."""
     entry = ENTRY + ", position long"
     schema = T._parse_datatype_string("job long, run string" if keep else entry)
 
@@ -275,7 +299,7 @@ def merged_runs(jobs: DataFrame, folder: str, keep: bool) -> DataFrame:
         for batch in batches:
             for job in batch.to_pylist():
                 low, high = (None if job[c] is None else order(job[c]) for c in ("low", "high"))
-                tree = LoserTree([read_run(store, f"{base}/{r}", low, high) for r in sorted(job["runs"])])
+                tree = LoserTree([read_run(store, f"{base}/{r['run']}", low, high, r["places"]) for r in sorted(job["runs"], key=lambda r: r["run"])])
                 if keep:
                     run = f"{uuid.uuid4().hex}.run"
                     writer = RunWriter(store, f"{base}/{run}", plain)
@@ -306,16 +330,17 @@ def merge_runs(groups: DataFrame, folder: str, ranges: int) -> DataFrame:
     as_place = lambda x: None if x is None else (x[0], x[1], None if x[2] else x[3])
     bounds = [(j, as_place(a), as_place(b)) for j, (a, b) in enumerate(zip([None, *cuts], [*cuts, None], strict=True))]
     spans = F.broadcast(spark.createDataFrame(bounds, f"job long, low {place}, high {place}"))  # a row per range
-    runs = groups.select("run").distinct().withColumn("job", F.lit(None).cast("long"))  # runs of all ranges
-    number = runs.count()
+    runs = settled(met_ranges(groups, cuts), "warc-met")
+    number = runs.groupBy("job").count().agg(F.max("count")).first()[0] or 0
+    gathered = F.collect_list(F.struct("run", "places")).alias("runs")  # FAN runs or so; their row groups' places are numbers
     while number > FAN:  # a pass merges FAN runs to one for each range
         parts = -(-number // FAN)
         part = runs.withColumn("part", F.pmod(F.xxhash64("run"), F.lit(parts)))
-        jobs = part.join(spans.withColumnRenamed("job", "s_job"), F.col("job").isNull() | (F.col("job") == F.col("s_job"))).groupBy("s_job", "part", "low", "high").agg(F.collect_set("run").alias("runs"))
+        jobs = part.join(spans.withColumnRenamed("job", "s_job"), F.col("job") == F.col("s_job")).groupBy("s_job", "part", "low", "high").agg(gathered)
         jobs = settled(jobs.select((F.col("s_job") * parts + F.col("part")).alias("job"), "low", "high", "runs"), "warc-jobs")
-        runs = settled(merged_runs(jobs, folder, True), "warc-merged").select("run", F.floor(F.col("job") / parts).alias("job"))
+        runs = settled(merged_runs(jobs, folder, True), "warc-merged").select("run", F.floor(F.col("job") / parts).alias("job"), F.lit(None).cast("array<int>").alias("places"))
         number = parts
-    jobs = runs.join(spans.withColumnRenamed("job", "s_job"), F.col("job").isNull() | (F.col("job") == F.col("s_job"))).groupBy(F.col("s_job").alias("job"), "low", "high").agg(F.collect_set("run").alias("runs"))
+    jobs = runs.join(spans.withColumnRenamed("job", "s_job"), F.col("job") == F.col("s_job")).groupBy(F.col("s_job").alias("job"), "low", "high").agg(gathered)
     return merged_runs(settled(jobs, "warc-jobs"), folder, False)
 
 

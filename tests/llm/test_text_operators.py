@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -89,6 +90,21 @@ def test_runs_merge_in_passes_and_small_groups(spark, monkeypatch, fan, rows):
     assert warc.capture_index(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_ranges_get_the_row_groups_that_they_meet(spark):
+    r = random.Random(7)
+    key = lambda: (r.choice("abcdefgh"), str(r.randint(0, 3)), r.random() < 0.1, r.randint(0, 2))
+    runs = {f"r{i}": sorted(key() for _ in range(r.randint(1, 40))) for i in range(20)}
+    rows = [(n, g, k[g * 3][0], k[g * 3][1], None if k[g * 3][2] else k[g * 3][3]) for n, k in runs.items() for g in range(-(-len(k) // 3))]
+    groups = spark.createDataFrame(rows, "run string, place int, url_key string, timestamp string, page_id long")
+    cuts = sorted({key() for _ in range(9)})
+    got = {(x.run, x.job): set(x.places) for x in warc.met_ranges(groups, cuts).collect()}
+    for name, keys in runs.items():
+        for at, k in enumerate(keys):
+            assert at // 3 in got[name, sum(c <= k for c in cuts)]
+    assert len(got) < len(runs) * (len(cuts) + 1)  # a run isn't opened for ranges that it doesn't reach
+    assert {(x.run, x.job) for x in warc.met_ranges(groups, []).collect()} == {(n, 0) for n in runs}
+
+
 def test_chat_ties_unknown_parts_and_null_roles(spark):
     rows = [(1, 0, None, "a!"), (1, 0, "", "a"), (1, 0, None, None), (1, None, "user", "first")]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
