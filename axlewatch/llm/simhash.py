@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,8 @@ SHINGLE, BITS, SEED = 3, 64, 42
 BLOCK = 1 << 16
 #: Similarity of texts: words a shingle, bands of a text's minima and minima a band. At 0.8, 1 - (1 - 0.8**5)**20 = 0.9996 share a band.
 WIDE, BANDS, BAND = 5, 20, 5
+#: Tasks that a bucket's rows are spread over where they meet what is told of it, rows of a piece of a large bucket, and members that each is compared with in it.
+SALTS, PIECE, NEAR = 8, 1000, 3
 FACTORS = np.random.default_rng(SEED).integers(1 << 62, size=BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -108,20 +110,8 @@ def sketches(docs: DataFrame, bands: bool) -> DataFrame:
     return docs.select("doc_id", "text", "h").mapInArrow(each, T.StructType(out))
 
 
-def similar(rows: DataFrame, every: DataFrame, similarity: float) -> DataFrame:
-    """rows(doc_id, h, text) and their sketches -> (a, b), fingerprints of texts whose sets of five-word shingles have at least this Jaccard similarity, verified on the texts.
-
-    Equal sets collapse first. In each bucket of a band every member is compared with one member only, drawn anew for each
-    band, so the work is linear in a group's size; not all pairs of a group are given, but they connect it. Texts
-    of fewer than five words are only compared by fingerprint.
-    """
-    one = F.struct("doc_id", "h", "fp")
-    kept = every.where("key is not null")
-    reps = kept.groupBy("key").agg(F.min(one).alias("rep"), F.first("bands").alias("bands")).checkpoint()
-    b = reps.select("rep", F.posexplode("bands").alias("band", "m")).withColumn("draw", F.struct(F.xxhash64("rep", "band").alias("r"), F.col("rep").alias("d")))
-    centres = b.groupBy("band", "m").agg(F.min("draw").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "m", F.col("c.d").alias("centre"))
-    differ = ~F.col("rep").eqNullSafe(F.col("centre"))
-    pairs = b.join(centres, ["band", "m"]).where(differ).select(F.least("rep", "centre").alias("x"), F.greatest("rep", "centre").alias("y")).distinct().checkpoint()
+def verified(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """rows(doc_id, h, text), pairs(x, y) of structs (doc_id, h, fp) -> (a, b), fingerprints of the pairs whose sets of five-word shingles have at least this Jaccard similarity."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,9 +129,50 @@ def similar(rows: DataFrame, every: DataFrame, similarity: float) -> DataFrame:
 
     x = pairs.join(texts, of("x")).select("x", "y", F.col("text").alias("s"))
     both = x.join(texts, of("y")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), "s", F.col("text").alias("t"))
-    near = both.mapInArrow(verify, "a long, b long")
-    same = kept.join(reps.select("key", F.col("rep.fp").alias("a")), "key").select("a", F.col("fp").alias("b"))
-    return near.unionAll(same).where("a <> b").distinct()
+    return both.mapInArrow(verify, "a long, b long").where("a <> b").distinct()
+
+
+def with_bucket(b: DataFrame, told: DataFrame) -> DataFrame:
+    """Rows b(band, m, rep, ...) with what is told of their bucket, a row each; a bucket's rows are spread over SALTS tasks."""
+    salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return b.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, ["band", "m", "salt"]).drop("salt")
+
+
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    """pairs(p, q) -> distinct (x, y), the lesser first."""
+    return pairs.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
+
+
+def similar_roots(rows: DataFrame, every: DataFrame, classes: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """fp, first, root as `roots_of` gives them, where texts with this similarity are linked besides `edges`.
+
+    Equal sets collapse first. In each bucket of a band every member is compared with the member that a drawn order puts first,
+    which is the same one in most bands of a group, and components are found. Then the members of buckets that still hold
+    several components are put in the order of their next two bands, and each is compared with those of the NEAR before it
+    that are of another component: all pairs of a bucket of up to NEAR + 1 members. The work is linear in a bucket's size,
+    and similarity is verified on the texts. Texts of fewer than five words are only compared by fingerprint.
+    """
+    kept = every.where("key is not null")
+    reps = kept.groupBy("key").agg(F.min(F.struct("doc_id", "h", "fp")).alias("rep"), F.first("bands").alias("bands")).checkpoint()
+    same = kept.join(reps.select("key", F.col("rep.fp").alias("a")), "key").select("a", F.col("fp").alias("b")).where("a <> b").distinct()
+
+    b = reps.select("rep", F.posexplode("bands").alias("band", "m"))
+    draw = F.struct(F.xxhash64("rep").alias("r"), F.col("rep").alias("d"))
+    centres = b.groupBy("band", "m").agg(F.min(draw).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "m", F.col("c.d").alias("q"))
+    first = ordered_pairs(with_bucket(b, centres).where(~F.col("rep").eqNullSafe(F.col("q"))).select(F.col("rep").alias("p"), "q")).checkpoint()
+    of = roots_of(classes, edges.unionAll(same).unionAll(verified(rows, first, similarity))).checkpoint()
+
+    rooted = reps.join(of.select(F.col("fp").alias("r_fp"), "root"), F.col("rep.fp") == F.col("r_fp")).select("rep", "bands", "root")
+    after = [F.col("bands")[(F.col("band") + k) % BANDS].alias(f"after{k}") for k in (1, 2)]
+    c = rooted.select("rep", "root", "bands", F.posexplode("bands").alias("band", "m")).select("rep", "root", "band", "m", *after)
+    several = c.groupBy("band", "m").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "m", "n")
+    piece = F.pmod(F.col("after1"), F.floor(F.col("n") / PIECE) + 1).alias("piece")  # those that also share the next band stay together
+    line = Window.partitionBy("band", "m", "piece").orderBy("after1", "after2", "rep")
+    before = F.array(*[F.lag(F.struct("rep", "root"), k).over(line) for k in range(1, NEAR + 1)])
+    looks = with_bucket(c, several).select("rep", "root", "band", "m", "after1", "after2", piece).select("rep", "root", before.alias("o")).select("rep", "root", F.explode("o").alias("o"))
+    second = ordered_pairs(looks.where("o.root <> root").select(F.col("rep").alias("p"), F.col("o.rep").alias("q"))).checkpoint()
+    joined = of.select(F.col("root").alias("a"), F.col("fp").alias("b")).where("a <> b")
+    return roots_of(classes, joined.unionAll(verified(rows, second, similarity)))
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -201,7 +232,7 @@ def without_near_duplicates(docs: DataFrame, distance: int = 3, similarity: floa
     """docs with one row of each component of linked texts: that of the least doc_id (null last), then of the least row hash.
 
     Rows are decided one by one, whatever their ids: rows of one id, or without an id, whose texts differ are different
-    documents; of rows that are equal in all columns one stays. With a similarity, texts that `similar` gives are linked too.
+    documents; of rows that are equal in all columns one stays. With a similarity, texts that `similar_roots` finds are linked too.
     A row is known by its id and its hash, so copies spread over all tasks. Columns of type map don't enter the hash.
     """
     plain = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)]
@@ -210,9 +241,8 @@ def without_near_duplicates(docs: DataFrame, distance: int = 3, similarity: floa
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
     classes = every.groupBy("fp").agg(F.min(rank).alias("first")).checkpoint()
     edges = links(classes.select("fp"), distance)
-    if similarity is not None:
-        edges = edges.unionAll(similar(rows, every, similarity))
-    least = roots_of(classes, edges).groupBy("root").agg(F.min("first").alias("least"))
+    of = roots_of(classes, edges) if similarity is None else similar_roots(rows, every, classes, edges, similarity)
+    least = of.groupBy("root").agg(F.min("first").alias("least"))
     stay = least.join(every.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")), F.col("least.id").eqNullSafe(F.col("doc_id")) & (F.col("least.h") == F.col("h")))
     stay = settled(stay.select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), "n"), "near-kept")
     left = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h"))).select("row", "doc_id", "h", "n")

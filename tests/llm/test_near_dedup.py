@@ -1,6 +1,8 @@
 """Near-dedup of rows: ids that repeat or are missing, ties, clashing columns."""
 
 import collections
+import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,3 +39,47 @@ def test_a_group_is_named_by_its_least_id_whatever_the_text(spark):
     df = spark.createDataFrame([(5, A), (2, A + " x"), (4, A)], "doc_id long, text string")
     assert [r.doc_id for r in simhash.without_near_duplicates(df, similarity=0.8).collect()] == [2]
     assert simhash.without_near_duplicates(df.limit(0), similarity=0.8).count() == 0
+
+
+def brute_force(rows: list[tuple[int, str]]) -> list[int]:
+    """Ids that stay: the least of each component of texts within 3 bits or with 80 % of their shingles in common, by all pairs."""
+    sets = {i: set(simhash.shingles(t).tolist()) for i, t in rows}
+    fps = {i: simhash.fingerprint(t) & (1 << 64) - 1 for i, t in rows}
+    root = {i: i for i, _ in rows}
+    for i, j in itertools.combinations(sorted(root), 2):
+        both = len(sets[i] & sets[j])
+        if (fps[i] ^ fps[j]).bit_count() <= 3 or both and both >= 0.8 * len(sets[i] | sets[j]):
+            a, b = root[i], root[j]
+            root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    return sorted(set(root.values()))
+
+
+def test_kept_rows_equal_brute_force(spark):
+    """Families of texts with one to six words changed, so that similarities lie on both sides of 0.8 and buckets hold several components."""
+    draw = random.Random(7)
+    rows, words = [], [f"w{k}" for k in range(5000)]
+    for family in range(40):
+        base = draw.choices(words, k=draw.choice((40, 120, 300)))
+        for _ in range(draw.choice((1, 2, 4, 12))):
+            text = list(base)
+            for place in draw.sample(range(len(base)), draw.randint(0, 6)):
+                text[place] = draw.choice(words)
+            rows.append((len(rows), " ".join(text)))
+    draw.shuffle(rows)
+    rows += [(len(rows), "three words only"), (len(rows) + 1, "Three words  only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.without_near_duplicates(df, similarity=0.8).collect()) == brute_force(rows)
+
+
+def test_members_of_one_bucket_that_only_differ_from_its_centre_still_meet(spark):
+    """Four sketches that share one bucket: the one put first resembles none, two others resemble each other."""
+    near = " ".join(f"n{k}" for k in range(300))
+    rows = [(k, t) for k, t in enumerate([A, B, near, near + " n300"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.col("doc_id"))
+    every = simhash.sketches(df, True).withColumn("bands", F.transform("bands", lambda m, k: F.when(k == 0, F.lit(1)).otherwise(F.xxhash64("doc_id", k))))
+    every = every.checkpoint()
+    classes = every.groupBy("fp").agg(F.min(F.struct(F.lit(False).alias("none"), F.col("doc_id").alias("id"), "h")).alias("first")).checkpoint()
+    of = simhash.similar_roots(df, every, classes, spark.createDataFrame([], "a long, b long"), 0.8)
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    root = {r.fp: r.root for r in of.collect()}
+    assert root[fps[2]] == root[fps[3]] and len({root[f] for f in fps}) == 3
