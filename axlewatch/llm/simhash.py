@@ -162,17 +162,19 @@ def similar_roots(rows: DataFrame, every: DataFrame, classes: DataFrame, edges:
     first = ordered_pairs(with_bucket(b, centres).where(~F.col("rep").eqNullSafe(F.col("q"))).select(F.col("rep").alias("p"), "q")).checkpoint()
     of = roots_of(classes, edges.unionAll(same).unionAll(verified(rows, first, similarity))).checkpoint()
 
-    rooted = reps.join(of.select(F.col("fp").alias("r_fp"), "root"), F.col("rep.fp") == F.col("r_fp")).select("rep", "bands", "root")
+    # from here on a component stands for its fingerprints, so that what is added is a small graph of its own
+    named = F.struct("rep.doc_id", "rep.h", F.col("root").alias("fp"))
+    rooted = reps.join(of.select(F.col("fp").alias("r_fp"), "root"), F.col("rep.fp") == F.col("r_fp")).select(named.alias("rep"), "bands")
     after = [F.col("bands")[(F.col("band") + k) % BANDS].alias(f"after{k}") for k in (1, 2)]
-    c = rooted.select("rep", "root", "bands", F.posexplode("bands").alias("band", "m")).select("rep", "root", "band", "m", *after)
-    several = c.groupBy("band", "m").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "m", "n")
+    c = rooted.select("rep", "bands", F.posexplode("bands").alias("band", "m")).select("rep", "band", "m", *after)
+    several = c.groupBy("band", "m").agg(F.count(F.lit(1)).alias("n"), F.min("rep.fp").alias("lo"), F.max("rep.fp").alias("hi")).where("lo <> hi").select("band", "m", "n")
     piece = F.pmod(F.col("after1"), F.floor(F.col("n") / PIECE) + 1).alias("piece")  # those that also share the next band stay together
     line = Window.partitionBy("band", "m", "piece").orderBy("after1", "after2", "rep")
-    before = F.array(*[F.lag(F.struct("rep", "root"), k).over(line) for k in range(1, NEAR + 1)])
-    looks = with_bucket(c, several).select("rep", "root", "band", "m", "after1", "after2", piece).select("rep", "root", before.alias("o")).select("rep", "root", F.explode("o").alias("o"))
-    second = ordered_pairs(looks.where("o.root <> root").select(F.col("rep").alias("p"), F.col("o.rep").alias("q"))).checkpoint()
-    joined = of.select(F.col("root").alias("a"), F.col("fp").alias("b")).where("a <> b")
-    return roots_of(classes, joined.unionAll(verified(rows, second, similarity)))
+    before = F.array(*[F.lag("rep", k).over(line) for k in range(1, NEAR + 1)])
+    looks = with_bucket(c, several).select("rep", "band", "m", "after1", "after2", piece).select("rep", before.alias("o")).select(F.col("rep").alias("p"), F.explode("o").alias("q"))
+    second = ordered_pairs(looks.where("p.fp <> q.fp")).checkpoint()
+    whole = components(of.select(F.col("root").alias("node")), verified(rows, second, similarity)).withColumnRenamed("root", "least_root")
+    return of.join(whole, of["root"] == whole["node"], "left").select("fp", "first", F.coalesce("least_root", "root").alias("root"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
