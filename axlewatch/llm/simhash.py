@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axlewatch.llm.common import row_of, run_hashes, settled
+from axlewatch.llm.common import BROADCAST_ROWS, row_of, run_hashes, settled, small
 
 SHINGLE, BITS, SEED = 3, 64, 42
 #: Shingles that are counted at once, so that a very long text needs no more memory than a short one.
@@ -122,18 +122,22 @@ def verified(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
                 hit.append(both >= similarity * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    texts = rows.select("doc_id", "h", "text")
-
     def of(side: str) -> Column:
         return F.col(f"{side}.doc_id").eqNullSafe(F.col("doc_id")) & (F.col(f"{side}.h") == F.col("h"))
 
+    asked = settled(pairs.select(F.explode(F.array("x", "y")).alias("z")).distinct(), "near-asked")
+    texts = rows.select("doc_id", "h", "text").join(small(asked), of("z"), "leftsemi")
+
     x = pairs.join(texts, of("x")).select("x", "y", F.col("text").alias("s"))
     both = x.join(texts, of("y")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), "s", F.col("text").alias("t"))
     return both.mapInArrow(verify, "a long, b long").where("a <> b").distinct()
 
 
 def with_bucket(b: DataFrame, told: DataFrame) -> DataFrame:
-    """Rows b(band, m, rep, ...) with what is told of their bucket, a row each; a bucket's rows are spread over SALTS tasks."""
+    """Rows b(band, m, rep, ...) with what is told of their bucket, a row each; if that is too much to broadcast, a bucket's rows are spread over SALTS tasks."""
+    told = settled(told, "near-buckets")
+    if told.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return b.join(F.broadcast(told), ["band", "m"])
     salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return b.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, ["band", "m", "salt"]).drop("salt")
 

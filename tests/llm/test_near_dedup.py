@@ -54,8 +54,10 @@ def brute_force(rows: list[tuple[int, str]]) -> list[int]:
     return sorted(set(root.values()))
 
 
-def test_kept_rows_equal_brute_force(spark):
-    """Families of texts with one to six words changed, so that similarities lie on both sides of 0.8 and buckets hold several components."""
+@pytest.mark.parametrize("most", [simhash.BROADCAST_ROWS, -1])
+def test_kept_rows_equal_brute_force(spark, monkeypatch, most):
+    """Families of texts with one to six words changed, so that similarities lie on both sides of 0.8 and buckets hold several components; with bucket tables broadcast and shuffled."""
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
     draw = random.Random(7)
     rows, words = [], [f"w{k}" for k in range(5000)]
     for family in range(40):
