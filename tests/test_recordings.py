@@ -87,3 +87,24 @@ def test_ridge_equals_a_direct_solve(spark):
     r = {q.car: q.residual for q in ridge.peer_residual(df, "k", "car", ["i"], ["a", "b"], "y", F.lit(True), F.lit(True)).collect()}
     pred = np.median([x[2] @ got[c][:2] + got[c][2] for c in (0, 1)], axis=0)
     assert r[2] == pytest.approx(float(np.mean(y[2] + 3 - pred)), rel=1e-9) and r[2] > 2.5 and r[3] is None
+
+
+def test_peer_residual_shuffles_no_predictions(spark):
+    """Each row meets every peer's model, but what is shuffled grows with rows and models, not with their product; pieces and blocks don't change the result."""
+    cars, days = 40, 30
+    df = spark.range(cars * days).selectExpr("1L as k", f"id div {days} as car", f"id % {days} as i", "double(id * 7 % 31) as a", "double(id * id % 43) + id div 300 as y").checkpoint()
+    args = (df, "k", "car", ["i"], ["a"], "y", F.lit(True), F.col("i") % 3 == 0)
+    rows = [r for r in df.collect()]
+    w = {r.car: r.coefficients for r in ridge.fit(df, ["k", "car"], ["a"], "y").collect()}
+    over: dict[int, list] = {}
+    for r in rows:
+        if r.i % 3 == 0:
+            over.setdefault(r.car, []).append(r.y - np.median([m[0] * r.a + m[1] for c, m in w.items() if c != r.car]))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ridge, "PIECE_ROWS", 50)
+        m.setattr(ridge, "BLOCK", 90)
+        r = ridge.peer_residual(*args, least=10)
+        plan = r._jdf.queryExecution().optimizedPlan().toString()
+        got = {x.car: x.residual for x in r.collect()}
+    assert "percentile" not in plan
+    assert got == {c: pytest.approx(float(np.mean(v)), rel=1e-9) for c, v in over.items()}
