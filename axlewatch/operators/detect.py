@@ -110,11 +110,14 @@ def copod(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
 
 
 def duty_ratio(df: DataFrame, keys: list[str], order: list[str], time: str, value: str, width: int, learn: int, hold: int, low: float = 0.05) -> DataFrame:
-    """Rows whose rolling median lies below the series' own low quantile of its first `learn` units of time, with score: their held CUSUM."""
+    """Rows whose rolling median lies below the series' own low quantile of its first `learn` units of time, with score: their held CUSUM.
+
+    Both are compared to nine places, as what is interpolated between two readings may be off in its last bit.
+    """
     begun = df.groupBy(*keys).agg(F.min(time).alias("_t0"))
     floor = df.join(begun, keys).where(F.col(time) < F.col("_t0") + learn).groupBy(*keys).agg(F.percentile(value, low).alias("_floor"))
     x = rolling_median(df, keys, time, value, width).join(floor, keys)
-    return held_cusum(x, keys, order, time, F.col("_floor") - F.col("rolling"), F.col("rolling") < F.col("_floor"), hold).drop("_floor")
+    return held_cusum(x, keys, order, time, F.col("_floor") - F.col("rolling"), F.round("rolling", 9) < F.round("_floor", 9), hold).drop("_floor")
 
 
 def transition_mask(df: DataFrame, events: DataFrame, keys: list[str], order: list[str], time: str, z: Column, near: int) -> DataFrame:

@@ -220,7 +220,7 @@ DUTY = (2 * DAY_US, 8 * DAY_US, DAY_US // 4)
 
 
 @query(f"""with {TEL}, b as (select component_id, min(t) as t0 from tel group by 1), f as (select component_id, quantile_cont(value, 0.4) as floor from tel join b using (component_id) where t < t0 + {DUTY[1]} group by 1),
-r as (select component_id, event_id, t, quantile_cont(value, 0.5) over (partition by component_id order by t range between {DUTY[0] - 1} preceding and current row) as m from tel), x as (select *, m < floor as o, floor - m as e from r join f using (component_id)),
+r as (select component_id, event_id, t, quantile_cont(value, 0.5) over (partition by component_id order by t range between {DUTY[0] - 1} preceding and current row) as m from tel), x as (select *, round(m, 9) < round(floor, 9) as o, floor - m as e from r join f using (component_id)),
 i as (select *, row_number() over w - sum(o::int) over (w rows unbounded preceding) as isle from x window w as (partition by component_id order by t, event_id)), c as (select *, sum(e - 0.5) over w as p, t - min(t) over w as held from i where o window w as (partition by component_id, isle order by t, event_id rows unbounded preceding))
 select event_id, round(case when held >= {DUTY[2]} then p - least(0, min(p) over (partition by component_id, isle order by t, event_id rows unbounded preceding)) else 0 end, 5) as score from c""")
 def det_duty_ratio(spark, sf_dir):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from axlewatch.operators import episodes, features, guards, joins
+from axlewatch.operators import detect, episodes, features, guards, joins
 from axlewatch.operators.ranked import order_statistics
 
 
@@ -84,3 +84,10 @@ def test_one_hot_component_ends_in_time(spark):
     assert joins.blank_post_failure(df, faults, 5).count() == n - 25_000
     assert joins.label_from_events(df, faults, cell=80).where("is_faulty").count() == 55_000
     assert time.time() - began < 120
+
+
+def test_a_median_equal_to_the_floor_is_not_below_it(spark):
+    """The 0.4 quantile of 0.1 and 0.4 is 0.22, in doubles a little over it."""
+    df = spark.createDataFrame([(1, i, t, v) for i, (t, v) in enumerate([(0, 0.1), (1, 0.4), (100, 0.22), (200, 0.21)])], "c int, id int, t long, v double")
+    got = detect.duty_ratio(df, ["c"], ["t", "id"], "t", "v", 1, 2, 0, low=0.4)
+    assert sorted(r.id for r in got.collect()) == [0, 3]
