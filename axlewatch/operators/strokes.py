@@ -11,14 +11,14 @@ from axlewatch.operators.segments import series
 def monotone_strokes(df: DataFrame, keys: list[str], time: str, value: str, tie: str, share: float = 0.05, least: int = 3) -> DataFrame:
     """Rows of the strokes of a set-point, with stroke and pos: runs of steps of one sign, with the row in which the last step ends.
 
-    A step within share of the 95th percentile of the steps that aren't 0 is a wait and belongs to no stroke. A row between two strokes is
+    A step within share of the 95th percentile of the steps that aren't 0, to nine places, is a wait and belongs to no stroke. A row between two strokes is
     in both. Rows without a value are left out first, strokes of fewer than least rows last.
     """
     w = series(keys, time, tie)
     steps = df.where(F.col(value).isNotNull()).withColumn("_d", F.lead(value).over(w) - F.col(value))
     peak = steps.where("_d <> 0").groupBy(*keys).agg(F.expr("percentile(abs(_d), 0.95)").alias("_peak"))
-    dead = share * F.col("_peak")
-    x = steps.join(peak, keys).withColumn("_s", F.when(F.col("_d").isNull(), F.lit(None)).when(F.col("_d") > dead, 1).when(F.col("_d") < -dead, -1).otherwise(0))
+    step, dead = F.round("_d", 9), F.round(share * F.col("_peak"), 9)
+    x = steps.join(peak, keys).withColumn("_s", F.when(F.col("_d").isNull(), F.lit(None)).when(step > dead, 1).when(step < -dead, -1).otherwise(0))
     x = x.withColumn("_cut", (~F.col("_s").eqNullSafe(F.lag("_s").over(w))).cast("int")).withColumn("_run", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     before = F.struct(F.lag("_run").over(w).alias("run"), F.lag("_s").over(w).alias("s"))
     x = x.withColumn("_in", F.array_distinct(F.array(before, F.struct(F.col("_run").alias("run"), F.col("_s").alias("s")))))

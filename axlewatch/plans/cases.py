@@ -9,7 +9,7 @@ from axlewatch.plans.registry import query, r6
 from axlewatch.sources.bind import TEL, read, telemetry
 
 V = f"""{TEL}, v as (select component_id, event_id, value as x, event_id % 97 - 48 as cur, event_id % 13 - 6 as err, row_number() over w as i, lead(value) over w - value as d from tel where value is not null window w as (partition by component_id order by t, event_id)),
-pk as (select component_id, quantile_cont(abs(d), 0.95) as pk from v where d <> 0 group by 1), sg as (select v.*, case when d is null then null when d > 0.05 * pk then 1 when d < -0.05 * pk then -1 else 0 end as g from v join pk using (component_id)),
+pk as (select component_id, quantile_cont(abs(d), 0.95) as pk from v where d <> 0 group by 1), sg as (select v.*, case when d is null then null when round(d, 9) > round(0.05 * pk, 9) then 1 when round(d, 9) < -round(0.05 * pk, 9) then -1 else 0 end as g from v join pk using (component_id)),
 ct as (select *, (g is distinct from lag(g) over (partition by component_id order by i))::int as b from sg), rn as (select *, sum(b) over (partition by component_id order by i) as run from ct),
 sp as (select component_id, run, min(i) as a, max(i) + 1 as z from rn where g <> 0 group by 1, 2), st as (select sp.component_id, sp.run, v.i - sp.a as pos, event_id, x, cur, err from sp join v on v.component_id = sp.component_id and v.i between a and z where z - a + 1 >= 3)"""
 

@@ -19,6 +19,12 @@ def test_strokes_share_their_turning_row_and_drop_waits(spark):
     assert [(r.n_samples, r.duration_s, r.i_peak, r.direction, r.pos_ref_range, r.v_ref) for r in f] == [(3, 1.5, 2, 1, 2.0, 2.0), (3, 1.5, 4, -1, 2.0, 2.0)]
 
 
+def test_a_step_of_just_the_share_is_a_wait_whatever_its_last_bit(spark):
+    """0.4 - 0.3 is a little over 0.05 * 2 in doubles only."""
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([0.0, 2.0] * 40 + [0.3, 0.4])], "k string, t int, v double")
+    assert {r.v for r in strokes.monotone_strokes(df, ["k"], "t", "v", "t", least=2).collect()} == {0.0, 2.0, 0.3}
+
+
 def test_tacho_windows_count_inside_only_and_cut_the_tail(spark):
     df = spark.createDataFrame([("a", i, i % 2) for i in range(9)] + [("b", 0, 1), ("b", 1, 0), ("b", 2, None)], "k string, t int, v int")
     got = strokes.tacho_windows(df, ["k"], "t", F.col("v") == 1, "t", 4, 4.0, 1.0).orderBy("k", "window").collect()
