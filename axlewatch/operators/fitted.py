@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axlewatch.operators.ranked import order_statistics
+from axlewatch.operators.ranked import order_statistics, quantile
 
 # discords
 
@@ -152,19 +152,17 @@ def robust_covariance(train: DataFrame, features: list[str], share: float = 0.75
     """
     x = train.select(*[F.col(f).cast("double").alias(f) for f in features]).dropna().checkpoint()
     k = len(features)
-    middle = [float(order_statistics(x, f, {"m": 0.5}).first().m) for f in features]
-    mad = [float(order_statistics(x.select(F.abs(F.col(f) - m).alias("v")), "v", {"m": 0.5}).first().m) or 1.0 for f, m in zip(features, middle, strict=True)]
+    middle = [float(quantile(x, f, 0.5)) for f in features]
+    mad = [float(quantile(x.select(F.abs(F.col(f) - m).alias("v")), "v", 0.5)) or 1.0 for f, m in zip(features, middle, strict=True)]
     distance = squared_distance(features, np.array(middle), np.diag(1 / np.square(mad)))
     determinants: list[float] = []
     best = None
     for _ in range(steps):
         far = x.withColumn("_d", distance)
-        limit = order_statistics(far, "_d", {"m": share}).first().m
+        limit = quantile(far, "_d", share)
         kept = far.where(F.col("_d") <= limit)
-        sums = kept.agg(F.count(F.lit(1)), *[F.sum(f) for f in features]).first()
-        centre = np.array(sums[1:]) / sums[0]
-        about = [F.col(f) - float(c) for f, c in zip(features, centre, strict=True)]
-        products = kept.agg(*[F.avg(about[i] * about[j]) for i in range(k) for j in range(i, k)]).first()
+        row = kept.agg(*[F.avg(f) for f in features], *[F.covar_pop(features[i], features[j]) for i in range(k) for j in range(i, k)]).first()
+        centre, products = np.array(row[:k]), row[k:]
         cov = np.zeros((k, k))
         cov[np.triu_indices(k)] = products
         cov = cov + np.triu(cov, 1).T
@@ -178,7 +176,7 @@ def robust_covariance(train: DataFrame, features: list[str], share: float = 0.75
         distance = squared_distance(features, centre, np.linalg.inv(cov))
     centre, cov = best
     precision = np.linalg.pinv(cov)
-    median = order_statistics(x.withColumn("_d", squared_distance(features, centre, precision)), "_d", {"m": 0.5}).first().m
+    median = quantile(x.withColumn("_d", squared_distance(features, centre, precision)), "_d", 0.5)
     return centre, cov * (median / (k * (1 - 2 / (9 * k)) ** 3)), determinants
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from axlewatch.operators import detect, episodes, features, guards, joins
+from axlewatch.operators import detect, episodes, features, guards, joins, ranked
 from axlewatch.operators.ranked import order_statistics
 
 
@@ -91,3 +91,20 @@ def test_a_median_equal_to_the_floor_is_not_below_it(spark):
     df = spark.createDataFrame([(1, i, t, v) for i, (t, v) in enumerate([(0, 0.1), (1, 0.4), (100, 0.22), (200, 0.21)])], "c int, id int, t long, v double")
     got = detect.duty_ratio(df, ["c"], ["t", "id"], "t", "v", 1, 2, 0, low=0.4)
     assert sorted(r.id for r in got.collect()) == [0, 3]
+
+
+def test_a_quantile_ranks_few_values_and_is_exact(spark, monkeypatch):
+    df = spark.range(50_000).select(F.when(F.col("id") % 7 != 0, (F.xxhash64("id") % 1_000_003) / 7).alias("v"), (F.col("id") % 3).alias("w")).checkpoint()
+    ranked_rows = []
+    sums = ranked.running_sums
+    monkeypatch.setattr(ranked, "running_sums", lambda g, *a: (ranked_rows.append(g.count()), sums(g, *a))[1])
+    for q in (0.0, 0.3333, 0.75, 1.0):
+        monkeypatch.setattr(ranked, "ONE_TASK", 0)
+        got = ranked.quantile(df, "v", q)
+        assert ranked_rows[-1] < 200
+        assert got == pytest.approx(ranked.order_statistics(df, "v", {"q": q}).first().q, rel=1e-15)
+        monkeypatch.setattr(ranked, "ONE_TASK", 100_000)
+        assert ranked.quantile(df, "v", q) == got
+    assert ranked.quantile(df, "w", 0.5) == 1.0 and ranked.quantile(df.where("v is null"), "v", 0.5) is None
+    monkeypatch.setattr(ranked, "SKETCH", 10)
+    assert ranked.quantile(df, "v", 0.6) == ranked.order_statistics(df, "v", {"q": 0.6}).first().q
