@@ -26,7 +26,7 @@ END_ID = 2
 #: Documents that a Python worker gets at once.
 BATCH_ROWS = 1000
 #: Characters that are encoded at once; results are several times as large as the texts.
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 1 << 20
 #: Pieces whose ids a Python worker keeps, at about 60 bytes each; beyond, those stay that were met again.
 CACHE_PIECES = 1_500_000
 #: Pieces of under so many times 8 bytes are kept, as their bytes.
