@@ -1,15 +1,20 @@
-"""Classifiers, clusters, rules and forecasts that are fitted on rows. Missing and NaN features count as 0."""
+"""Classifiers, clusters, rules and forecasts that are fitted on rows. Missing and NaN features count as 0.
+
+Forests and boosters see a feature by its bin only, so rows of the same bins and label are told to them as one row with
+a weight: the rounds' work grows with the cells that are in use, not with the rows.
+"""
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -18,15 +23,84 @@ from pyspark.sql import functions as F
 from axlewatch.operators.ranked import order_statistics
 
 MOST_CLASSES = 50
+#: Bins of a feature, as many as Spark's trees make of it; a cell with more than one in so many rows is told as several rows, so that draws of rows stay fine.
+BINS, PIECES = 32, 200_000
+
+
+def number(name: str) -> Column:
+    return F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
 def vector(features: list[str]) -> Column:
-    return array_to_vector(F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features]))
+    return array_to_vector(F.array(*[number(c) for c in features]))
+
+
+@dataclass
+class Bins:
+    """For each feature the least values of its bins but the first; few: cells are under a quarter of the rows."""
+
+    starts: dict[str, list[float]]
+    few: bool = False
+
+    def columns(self, features: list[str] | None = None) -> list[str]:
+        return [f"_bin{i}" for i, f in enumerate(self.starts) if features is None or f in features]
+
+    def vector(self, features: list[str]) -> Column:
+        at = {f: i for i, f in enumerate(self.starts)}
+        return array_to_vector(F.array(*[F.col(f"_bin{at[f]}") for f in features]))
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """Adds the bins' columns."""
+        cut = {f"_bin{i}": [-math.inf, *s, math.inf] for i, s in enumerate(self.starts.values()) if s}
+        x = rows.withColumns({f"_in{i}": number(f) for i, f in enumerate(self.starts)} | {f"_bin{i}": F.lit(0.0) for i, s in enumerate(self.starts.values()) if not s})
+        if cut:
+            x = Bucketizer(splitsArray=list(cut.values()), inputCols=[c.replace("_bin", "_in") for c in cut], outputCols=list(cut)).transform(x)
+        return x.drop(*[f"_in{i}" for i in range(len(self.starts))])
+
+    def each(self, rows: DataFrame, add: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """rows with the columns that add gives to rows of bins; each cell once where there are few."""
+        x, at = self.of(rows), self.columns()
+        if not self.few:
+            return add(x).drop(*at)
+        told = add(x.select(*at).distinct())
+        return x.join(told, at).select(*rows.columns, *[c for c in told.columns if c not in at])
+
+
+def bins_of(rows: DataFrame, features: list[str]) -> Bins:
+    """A bin for each value where there are at most BINS, else bins of about as many rows each (right to one in 1000 ranks), over all rows."""
+    x = rows.select(*[number(f).alias(f"_f{i}") for i, f in enumerate(features)])
+    seen = x.agg(*[F.approx_count_distinct(c) for c in x.columns], *[F.percentile_approx(c, [j / BINS for j in range(1, BINS)], 1000) for c in x.columns]).first()
+    some = [i for i in range(len(features)) if seen[i] <= 2 * BINS]  # these sets are small
+    held = dict(zip(some, x.agg(*[F.collect_set(f"_f{i}") for i in some]).first(), strict=True)) if some else {}
+    starts = {}
+    for i, f in enumerate(features):
+        values = sorted(set(held.get(i, ())))
+        cut = values[1:] if values and len(values) <= BINS else sorted(set(seen[len(features) + i] or ()))
+        starts[f] = [v for v in cut if math.isfinite(v)]
+    return Bins(starts)
+
+
+def cells(train: DataFrame, bins: Bins, label: str, others: list[str] = []) -> DataFrame:  # noqa: B006
+    """Labelled rows of the same bins, label and others as one, with _n, their number. Notes in bins whether there are few."""
+    g = bins.of(train.where(F.col(label).isNotNull())).groupBy(*bins.columns(), label, *others).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    n, total = g.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    bins.few = 4 * n <= total
+    return g
+
+
+def told(held: DataFrame, bins: Bins, label: str) -> DataFrame:
+    """Cells as a model is told them: one row for bins and label, heavy ones as equal parts, over all cores."""
+    g = held.groupBy(*bins.columns(), label).agg(F.sum("_n").alias("_n"))
+    n, total = g.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    parts = F.ceil(F.col("_n") * (PIECES / max(total, 1))).cast("int")
+    x = g.select(*bins.columns(), label, (F.col("_n") / parts).alias("_n"), F.explode(F.sequence(F.lit(1), parts)).alias("_part"))
+    return x.repartition(max(held.sparkSession.sparkContext.defaultParallelism, n // PIECES), *bins.columns(), "_part").drop("_part")
 
 
 def classes_of(train: DataFrame, label: str) -> dict[object, int]:
-    """Each class with its count, in order; rows without a label are none. At most MOST_CLASSES, which is checked."""
-    rows = train.where(F.col(label).isNotNull()).groupBy(label).count().limit(MOST_CLASSES + 1).collect()
+    """Each class with its count, in order; rows without a label are none, cells count as their rows. At most MOST_CLASSES, which is checked."""
+    n = F.round(F.sum("_n")).cast("long") if "_n" in train.columns else F.count(F.lit(1))
+    rows = train.where(F.col(label).isNotNull()).groupBy(label).agg(n).limit(MOST_CLASSES + 1).collect()
     if len(rows) > MOST_CLASSES:
         raise ValueError(f"{label} has over {MOST_CLASSES} classes")
     if len(rows) < 2:
@@ -35,26 +109,31 @@ def classes_of(train: DataFrame, label: str) -> dict[object, int]:
 
 
 def coded(train: DataFrame, label: str, classes: dict[object, int]) -> DataFrame:
-    """Adds _y (the place of the class) and _w (its rows weigh as much as those of any other class)."""
+    """Adds _y (the place of the class) and _w (its rows weigh as much as those of any other class; a cell as its rows)."""
     n, k = sum(classes.values()), len(classes)
     y = reduce(lambda c, v: c.when(F.col(label) == v[1], float(v[0])), enumerate(classes), F.when(F.lit(False), 0.0))
     w = reduce(lambda c, v: c.when(F.col(label) == v, n / (k * classes[v])), classes, F.when(F.lit(False), 0.0))
-    return train.where(F.col(label).isNotNull()).withColumn("_y", y).withColumn("_w", w)
+    return train.where(F.col(label).isNotNull()).withColumn("_y", y).withColumn("_w", w * F.col("_n") if "_n" in train.columns else w)
 
 
 @dataclass
 class Fitted:
-    """Classes in order, and the model or models whose mean probability they get."""
+    """Classes in order, and the model or models whose mean probability they get; models of trees are fitted on bins."""
 
     classes: list
     features: list[list[str]]
     models: list[PipelineModel]
+    bins: Bins | None = field(default=None, kw_only=True)
 
     def probabilities(self, rows: DataFrame, name: str = "probability") -> DataFrame:
         """Adds an array of the classes' probabilities."""
+        return self.bins.each(rows, lambda x: self.scored(x, name)) if self.bins else self.scored(rows, name)
+
+    def scored(self, rows: DataFrame, name: str) -> DataFrame:
+        """The same, where rows have their bins if there are any."""
         out, parts = rows, []
         for i, (features, model) in enumerate(zip(self.features, self.models, strict=True)):
-            model_in = out.withColumn("_x", vector(features))
+            model_in = out.withColumn("_x", self.bins.vector(features) if self.bins else vector(features))
             scored = model.transform(model_in)
             drop = [c for c in scored.columns if c not in out.columns and c != "_p"]
             out = scored.withColumn(f"_p{i}", vector_to_array("_p")).drop(*drop, "_p")
@@ -78,24 +157,29 @@ def logistic(train: DataFrame, features: list[str], label: str, penalty: float =
 
 
 def forest(train: DataFrame, features: list[str], label: str, trees: int = 50, depth: int = 8, seed: int = 0) -> Fitted:
+    bins = bins_of(train, features)
+    return forest_of_cells(told(cells(train, bins, label), bins, label), bins, features, label, trees, depth, seed)
+
+
+def forest_of_cells(train: DataFrame, bins: Bins, features: list[str], label: str, trees: int = 50, depth: int = 8, seed: int = 0) -> Fitted:
     classes = classes_of(train, label)
-    x = coded(train, label, classes).withColumn("_x", vector(features))
-    step = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c", numTrees=trees, maxDepth=depth, seed=seed)
-    return Fitted(list(classes), [features], [Pipeline(stages=[step]).fit(x)])
+    x = coded(train, label, classes).withColumn("_x", bins.vector(features))
+    step = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c", numTrees=trees, maxDepth=depth, maxBins=BINS, seed=seed)
+    return Fitted(list(classes), [features], [Pipeline(stages=[step]).fit(x)], bins=bins)
 
 
 @dataclass
 class Boosted(Fitted):
     """One booster for each class but where two classes need one only; models come class by class, seed by seed."""
 
-    def probabilities(self, rows: DataFrame, name: str = "probability") -> DataFrame:
+    def scored(self, rows: DataFrame, name: str) -> DataFrame:
         k = len(self.classes)
         sides = 1 if k == 2 else k
         each = len(self.models) // sides
         out, cols = rows, []
         for side in range(sides):
-            one = Fitted([0, 1], self.features[side * each : (side + 1) * each], self.models[side * each : (side + 1) * each])
-            out = one.probabilities(out, f"_b{side}")
+            one = Fitted([0, 1], self.features[side * each : (side + 1) * each], self.models[side * each : (side + 1) * each], bins=self.bins)
+            out = one.scored(out, f"_b{side}")
             cols.append(f"_b{side}")
         if k == 2:
             return out.withColumn(name, F.col("_b0")).drop("_b0")
@@ -105,17 +189,22 @@ class Boosted(Fitted):
 
 def boosted(train: DataFrame, groups: list[list[str]], label: str, seeds: tuple[int, ...] = (0,), rounds: int = 20, depth: int = 4) -> Boosted:
     """Gradient-boosted trees for each group of features and seed; probabilities are their mean. Over two classes are told one from the rest."""
+    bins = bins_of(train, list(dict.fromkeys(f for g in groups for f in g)))
+    return boosted_of_cells(told(cells(train, bins, label), bins, label), bins, groups, label, seeds, rounds, depth)
+
+
+def boosted_of_cells(train: DataFrame, bins: Bins, groups: list[list[str]], label: str, seeds: tuple[int, ...] = (0,), rounds: int = 20, depth: int = 4) -> Boosted:
     classes = classes_of(train, label)
     x = coded(train, label, classes)
     models, features = [], []
     for side in [1] if len(classes) == 2 else range(len(classes)):
         for group in groups:
-            y = x.withColumn("_x", vector(group)).withColumn("_t", (F.col("_y") == side).cast("double"))
+            y = x.withColumn("_x", bins.vector(group)).withColumn("_t", (F.col("_y") == side).cast("double"))
             for seed in seeds:
-                step = GBTClassifier(featuresCol="_x", labelCol="_t", weightCol="_w", predictionCol="_c", maxIter=rounds, maxDepth=depth, subsamplingRate=0.8, seed=seed)
+                step = GBTClassifier(featuresCol="_x", labelCol="_t", weightCol="_w", predictionCol="_c", maxIter=rounds, maxDepth=depth, maxBins=BINS, subsamplingRate=0.8, seed=seed)
                 models.append(Pipeline(stages=[step.setProbabilityCol("_p").setRawPredictionCol("_r")]).fit(y))
                 features.append(group)
-    return Boosted(list(classes), features, models)
+    return Boosted(list(classes), features, models, bins=bins)
 
 
 REGIMES = ("open", "cruise", "clos")
@@ -136,28 +225,33 @@ def three_regime(train: DataFrame, features: list[str], label: str, **rules) ->
 
 
 def stacked(train: DataFrame, features: list[str], label: str, fold: Column, folds: int = 3) -> tuple[list[Fitted], Fitted]:
-    """A forest and a booster, and a logistic regression on the probabilities that they give rows they were not fitted on. fold is 0 to folds - 1."""
-    x = train.withColumn("_fold", fold)
-    apart = []
-    for k in range(folds):
-        rest, own = x.where(F.col("_fold") != k), x.where(F.col("_fold") == k)
-        apart.append(_both(own, [forest(rest, features, label), boosted(rest, [features], label)]))
-    whole = [forest(train, features, label), boosted(train, [features], label)]
+    """A forest and a booster, and a logistic regression on the probabilities that they give rows they were not fitted on. fold is 0 to folds - 1. All see the same bins, which no label enters."""
+    bins = bins_of(train, features)
+    x = cells(train.withColumn("_fold", fold), bins, label, ["_fold"])
+
+    def fitted(held: DataFrame) -> list[Fitted]:
+        rows = told(held, bins, label).checkpoint()
+        return [forest_of_cells(rows, bins, features, label), boosted_of_cells(rows, bins, [features], label)]
+
+    whole = fitted(x)
+    apart = [_both(x.where(F.col("_fold") == k), fitted(x.where(F.col("_fold") != k)), whole[0].classes) for k in range(folds)]
     k = len(whole[0].classes)
-    return whole, logistic(reduce(DataFrame.unionByName, apart), [f"_s{i}" for i in range(2 * k)], label)
+    return whole, logistic(reduce(DataFrame.unionByName, apart).checkpoint(), [f"_s{i}" for i in range(2 * k)], label)
 
 
-def _both(rows: DataFrame, models: list[Fitted]) -> DataFrame:
-    k = len(models[0].classes)
+def _both(rows: DataFrame, models: list[Fitted], classes: list) -> DataFrame:
+    """rows with their bins -> with the models' probabilities of the classes."""
+    k = len(classes)
     out = rows
     for i, m in enumerate(models):
         at = {c: j for j, c in enumerate(m.classes)}  # a fold may lack a class
-        out = m.probabilities(out, "_q").withColumns({f"_s{i * k + j}": F.get("_q", F.lit(at[c])) if c in at else F.lit(0.0) for j, c in enumerate(models[0].classes)}).drop("_q")
+        out = m.scored(out, "_q").withColumns({f"_s{i * k + j}": F.get("_q", F.lit(at[c])) if c in at else F.lit(0.0) for j, c in enumerate(classes)}).drop("_q")
     return out
 
 
 def stacked_probabilities(rows: DataFrame, whole: list[Fitted], top: Fitted) -> DataFrame:
-    return top.predicted(_both(rows, whole)).drop(*[f"_s{i}" for i in range(2 * len(whole[0].classes))])
+    scores = [f"_s{i}" for i in range(2 * len(whole[0].classes))]
+    return whole[0].bins.each(rows, lambda x: top.predicted(_both(x, whole, whole[0].classes)).drop(*scores))
 
 
 # clusters
@@ -257,10 +351,11 @@ def rule_texts(nodes: dict[int, dict], k: int = 1, so_far: tuple[str, ...] = ())
 
 def forecasts(train: DataFrame, channels: list[str], length: int, rounds: int = 20, depth: int = 4) -> dict[str, tuple[PipelineModel, float]]:
     """For each channel (a column with the array of a window's samples) a booster that foretells its last sample from all earlier ones of all channels, and the deviation of its residuals."""
-    x = train.where(reduce(lambda a, b: a & b, [F.size(c) == length for c in channels]))
+    last = [F.coalesce(F.nanvl(F.element_at(c, length).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"_y{i}") for i, c in enumerate(channels)]
+    x = train.where(reduce(lambda a, b: a & b, [F.size(c) == length for c in channels])).select(_earlier(channels, length).alias("_x"), *last).checkpoint()  # read by several passes for each channel
     out = {}
-    for c in channels:
-        rows = x.select(_earlier(channels, length).alias("_x"), F.coalesce(F.nanvl(F.element_at(c, length).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("_y"))
+    for i, c in enumerate(channels):
+        rows = x.select("_x", F.col(f"_y{i}").alias("_y"))
         model = Pipeline(stages=[GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=rounds, maxDepth=depth, seed=0)]).fit(rows)
         out[c] = (model, (model.transform(rows).agg(F.stddev_pop(F.col("_y") - F.col("_p"))).first()[0] or 0.0) + 1e-9)
     return out

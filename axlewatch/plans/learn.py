@@ -152,7 +152,7 @@ def det_forecast_residual(spark, sf_dir):
     """How far is the last of four readings, and its hour of the day, from what the three before foretell?"""
     t = telemetry(spark, sf_dir).withColumn("both", F.struct("value", (F.floor(F.col("t") / 3_600_000_000) % 24).cast("double").alias("hour")))
     w = segments.telemetry_windows(t, fault_log(spark, sf_dir), ["component_id"], "component_id", "t", "both", "event_id", RATE, LENGTH, 2)
-    w = w.withColumns({"value": F.col("samples.value"), "hour": F.col("samples.hour")})
+    w = w.withColumns({"value": F.col("samples.value"), "hour": F.col("samples.hour")}).drop("samples").checkpoint()  # fitted on and scored
     m = learners.forecasts(w.where("not is_faulty"), ["value", "hour"], LENGTH, rounds=10)
     return learners.forecast_residuals(w, m, LENGTH).select("component_id", "segment", "window", r6("z_value"), r6("z_hour"), r6("score"), "channel")
 

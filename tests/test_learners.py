@@ -113,6 +113,35 @@ def test_classifiers_tell_held_out_rows(spark, kind):
     assert sum(r.y == r.predicted for r in rows) > 0.85 * len(rows)
 
 
+@pytest.mark.parametrize("kind", ["forest", "boosted", "stacked"])
+def test_trees_are_told_cells_not_rows(spark, monkeypatch, kind):
+    """Models see no more rows than there are bins and parts, and every row counts with its weight."""
+    monkeypatch.setattr(learners, "PIECES", 50)
+    seen, fit = [], learners.Pipeline.fit
+
+    def spy(self, rows):
+        seen.append((rows.count(), rows.agg(F.sum("_n")).first()[0] if "_n" in rows.columns else None))
+        return fit(self, rows)
+
+    monkeypatch.setattr(learners.Pipeline, "fit", spy)
+    df = spark.range(20_000).select("id", (F.col("id") % 7).cast("double").alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("b"), F.when(F.col("id") % 7 + F.col("id") % 5 > 5, "y").otherwise("x").alias("y"))
+    if kind == "stacked":
+        out = learners.stacked_probabilities(df, *learners.stacked(df, ["a", "b"], "y", F.col("id") % 3))
+    else:
+        out = (learners.forest(df, ["a", "b"], "y", trees=10) if kind == "forest" else learners.boosted(df, [["a", "b"]], "y", rounds=5)).predicted(df)
+    assert out.columns == [*df.columns, "probability", "predicted"] and out.count() == 20_000
+    assert out.where("y = predicted").count() > 19_000
+    assert max(n for n, _ in seen) <= 3 * (35 + 50) and all(round(w) in (20_000, 13_333, 13_334, 6_666) for _, w in seen if w)
+
+
+def test_bins_keep_rare_values_and_split_many_evenly(spark):
+    df = spark.range(1000).select(F.when(F.col("id") == 5, 0.0).otherwise(1.0).alias("rare"), (F.col("id") * 2).alias("many"), F.when(F.col("id") == 3, float("nan")).alias("none"))
+    bins = learners.bins_of(df, ["rare", "many", "none"])
+    assert bins.starts["rare"] == [1.0] and bins.starts["none"] == [] and len(bins.starts["many"]) == learners.BINS - 1
+    sizes = [r["count"] for r in bins.of(df).groupBy("_bin1").count().collect()]
+    assert len(sizes) == learners.BINS and max(sizes) < 40 and {r[0] for r in bins.of(df).select("_bin2").distinct().collect()} == {0.0}
+
+
 def test_groups_of_features_by_phase():
     assert learners.regime_groups(["i_open", "v_cruise", "closing_time", "temp"]) == [["i_open", "temp"], ["v_cruise", "temp"], ["closing_time", "temp"]]
     assert learners.regime_groups(["a", "b", "c", "d"]) == [["a"], ["b", "c"], ["d"]] and learners.regime_groups(["a"]) == [["a"]]
