@@ -256,8 +256,8 @@ def bounded(pairs: DataFrame, t: Threshold) -> DataFrame:
     return pairs.mapInArrow(each, "tree binary, block long, block2 long")
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, t: Threshold) -> DataFrame:
-    """docs(doc_id, text), classes(node, n, rep, keys) -> a, b: links that connect all linked classes."""
+def links(docs: DataFrame, classes: DataFrame, words: int, t: Threshold, row_hash: Column | None = None) -> DataFrame:
+    """docs(doc_id, text), classes(node, n, rep, keys) -> a, b: links that connect all linked classes. rep is the doc_id and h of a row, h its text's hash or row_hash."""
     shared = classes.select("node", F.explode("keys").alias("key"))
     stars = shared.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("held")).where("held > 1")
     edges = shared.join(stars, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
@@ -270,7 +270,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, t: Threshold) -> Data
         for batch in batches:
             yield batch.select(["tree", "block", "node", "n"]).append_column("tokens", pa.array([shingles(x.as_py(), words).tobytes() for x in batch.column("text")], pa.binary()))
 
-    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    texts = docs.select("doc_id", (F.xxhash64("text") if row_hash is None else row_hash).alias("h"), "text")
     chosen = texts.join(placed, F.col("rep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("rep.h") == F.col("h"))).select("tree", "block", "node", "n", "text")
     blocks = settled(blocks_of(chosen.mapInArrow(tokens_of, "tree binary, block long, node binary, n long, tokens binary")), "jaccard-blocks")
     inside = settled(traversed(blocks, t, False), "jaccard-inside")

@@ -17,20 +17,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axlewatch.llm.common import BROADCAST_ROWS, row_of, run_hashes, settled, small
+from axlewatch.llm.common import BROADCAST_ROWS, row_of, run_hashes, settled  # noqa: F401
 
 SHINGLE, BITS, SEED = 3, 64, 42
 #: Shingles that are counted at once, so that a very long text needs no more memory than a short one.
 BLOCK = 1 << 16
-#: Similarity of texts: words a shingle, bands of a text's minima and minima a band. At 0.8, 1 - (1 - 0.8**5)**20 = 0.9996 share a band.
-WIDE, BANDS, BAND = 5, 20, 5
-#: Tasks that a bucket's rows are spread over where they meet what is told of it, rows of a piece of a large bucket, and members that each is compared with in it.
-SALTS, PIECE, NEAR = 8, 1000, 3
-FACTORS = np.random.default_rng(SEED).integers(1 << 62, size=BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words of a shingle where texts are compared by similarity.
+WIDE = 5
 
 
 def fingerprint(text: str | None) -> int:
@@ -83,102 +80,51 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(run_hashes(np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64), WIDE, 0x9E3779B97F4A7C15))
 
 
-def sketches(docs: DataFrame, bands: bool) -> DataFrame:
-    """docs(doc_id, text, h) -> doc_id, h, fp and, if wanted, key (a digest of the text's set of shingles) and bands of its minima; these are null below WIDE words."""
+def sketches(docs: DataFrame, similar: bool, percent: int = 80) -> DataFrame:
+    """docs(doc_id, text, h) -> doc_id, h, fp and, if wanted, n (shingles), key (a digest of the text's set of shingles) and bands (its keys in the exact join); these are null below WIDE words."""
+    from axlewatch.llm import jaccard
+
+    t = jaccard.Threshold(percent)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys, minima = [], [], []
-            for t in batch.column(1):
-                text = t.as_py()
+            fps, sizes, keys, bands = [], [], [], []
+            for x in batch.column(1):
+                text = x.as_py()
                 fps.append(fingerprint(text))
-                s = shingles(text) if bands else ()
-                if not len(s):
-                    keys.append(None), minima.append(None)
-                    continue
-                least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
-                for a in range(0, len(s), BLOCK):
-                    for k, f in enumerate(FACTORS):
-                        x = s[a : a + BLOCK] * f
-                        least[k] = min(least[k], (x ^ (x >> np.uint64(32))).min())
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                minima.append(np.array([xxhash.xxh64_intdigest(b.tobytes()) for b in least.reshape(BANDS, BAND)], np.uint64).view(np.int64).tolist())
-            columns = [batch.column(0), batch.column(2), pa.array(fps, pa.int64()), pa.array(keys, pa.binary()), pa.array(minima, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fp", "key", "bands"])
-
-    out = [docs.schema["doc_id"], *[T.StructField(n, t) for n, t in (("h", T.LongType()), ("fp", T.LongType()), ("key", T.BinaryType()), ("bands", T.ArrayType(T.LongType())))]]
-    return docs.select("doc_id", "text", "h").mapInArrow(each, T.StructType(out))
-
-
-def verified(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """rows(doc_id, h, text), pairs(x, y) of structs (doc_id, h, fp) -> (a, b), fingerprints of the pairs whose sets of five-word shingles have at least this Jaccard similarity."""
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = []
-            for s, t in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = shingles(s.as_py()), shingles(t.as_py())
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                hit.append(both >= similarity * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
-
-    def of(side: str) -> Column:
-        return F.col(f"{side}.doc_id").eqNullSafe(F.col("doc_id")) & (F.col(f"{side}.h") == F.col("h"))
-
-    asked = settled(pairs.select(F.explode(F.array("x", "y")).alias("z")).distinct(), "near-asked")
-    texts = rows.select("doc_id", "h", "text").join(small(asked), of("z"), "leftsemi")
+                s = shingles(text) if similar else ()
+                some = len(s) > 0
+                sizes.append(len(s) if some else None), keys.append(xxhash.xxh3_128_digest(s.tobytes()) if some else None), bands.append(jaccard.keys(s, t) if some else None)
+            columns = [batch.column(0), batch.column(2), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fp", "n", "key", "bands"])
 
-    x = pairs.join(texts, of("x")).select("x", "y", F.col("text").alias("s"))
-    both = x.join(texts, of("y")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), "s", F.col("text").alias("t"))
-    return both.mapInArrow(verify, "a long, b long").where("a <> b").distinct()
-
-
-def with_bucket(b: DataFrame, told: DataFrame) -> DataFrame:
-    """Rows b(band, m, rep, ...) with what is told of their bucket, a row each; if that is too much to broadcast, a bucket's rows are spread over SALTS tasks."""
-    told = settled(told, "near-buckets")
-    if told.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return b.join(F.broadcast(told), ["band", "m"])
-    salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return b.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, ["band", "m", "salt"]).drop("salt")
-
-
-def ordered_pairs(pairs: DataFrame) -> DataFrame:
-    """pairs(p, q) -> distinct (x, y), the lesser first."""
-    return pairs.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
+    out = [docs.schema["doc_id"], *[T.StructField(n, t) for n, t in (("h", T.LongType()), ("fp", T.LongType()), ("n", T.LongType()), ("key", T.BinaryType()), ("bands", T.ArrayType(T.LongType())))]]
+    return docs.select("doc_id", "text", "h").mapInArrow(each, T.StructType(out))
 
 
 def similar_roots(rows: DataFrame, every: DataFrame, classes: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
-    """fp, first, root as `roots_of` gives them, where texts with this similarity are linked besides `edges`.
+    """fp, first, root as `roots_of` gives them, where texts with this similarity (a whole number of hundredths) are linked besides `edges`.
 
-    Equal sets collapse first. In each bucket of a band every member is compared with the member that a drawn order puts first,
-    which is the same one in most bands of a group, and components are found. Then the members of buckets that still hold
-    several components are put in the order of their next two bands, and each is compared with those of the NEAR before it
-    that are of another component: all pairs of a bucket of up to NEAR + 1 members. The work is linear in a bucket's size,
-    and similarity is verified on the texts. Texts of fewer than five words are only compared by fingerprint.
+    Equal sets collapse first; the links of distinct ones are those of the exact join of `jaccard`, which loses none:
+    sets of this similarity share a key, and a tree of keys leaves out only pairs that bounds rule out or that are
+    connected already. Texts of fewer than five words are only compared by fingerprint.
     """
+    from axlewatch.llm import jaccard
+
+    t = jaccard.Threshold(percent_of(similarity))
     kept = every.where("key is not null")
-    reps = kept.groupBy("key").agg(F.min(F.struct("doc_id", "h", "fp")).alias("rep"), F.first("bands").alias("bands")).checkpoint()
+    reps = kept.groupBy("key").agg(F.min(F.struct("doc_id", "h", "fp")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("keys")).checkpoint()
     same = kept.join(reps.select("key", F.col("rep.fp").alias("a")), "key").select("a", F.col("fp").alias("b")).where("a <> b").distinct()
+    found = jaccard.links(rows, reps.select(F.col("key").alias("node"), "n", F.struct("rep.doc_id", "rep.h").alias("rep"), "keys"), WIDE, t, F.col("h"))
+    named = [reps.select(F.col("key").alias(c), F.col("rep.fp").alias(f"{c}_fp")) for c in "ab"]
+    near = found.join(named[0], "a").join(named[1], "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).where("a <> b").distinct()
+    return roots_of(classes, edges.unionAll(same).unionAll(near))
+
 
-    b = reps.select("rep", F.posexplode("bands").alias("band", "m"))
-    draw = F.struct(F.xxhash64("rep").alias("r"), F.col("rep").alias("d"))
-    centres = b.groupBy("band", "m").agg(F.min(draw).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "m", F.col("c.d").alias("q"))
-    first = ordered_pairs(with_bucket(b, centres).where(~F.col("rep").eqNullSafe(F.col("q"))).select(F.col("rep").alias("p"), "q")).checkpoint()
-    of = roots_of(classes, edges.unionAll(same).unionAll(verified(rows, first, similarity))).checkpoint()
-
-    # from here on a component stands for its fingerprints, so that what is added is a small graph of its own
-    named = F.struct("rep.doc_id", "rep.h", F.col("root").alias("fp"))
-    rooted = reps.join(of.select(F.col("fp").alias("r_fp"), "root"), F.col("rep.fp") == F.col("r_fp")).select(named.alias("rep"), "bands")
-    after = [F.col("bands")[(F.col("band") + k) % BANDS].alias(f"after{k}") for k in (1, 2)]
-    c = rooted.select("rep", "bands", F.posexplode("bands").alias("band", "m")).select("rep", "band", "m", *after)
-    several = c.groupBy("band", "m").agg(F.count(F.lit(1)).alias("n"), F.min("rep.fp").alias("lo"), F.max("rep.fp").alias("hi")).where("lo <> hi").select("band", "m", "n")
-    piece = F.pmod(F.col("after1"), F.floor(F.col("n") / PIECE) + 1).alias("piece")  # those that also share the next band stay together
-    line = Window.partitionBy("band", "m", "piece").orderBy("after1", "after2", "rep")
-    before = F.array(*[F.lag("rep", k).over(line) for k in range(1, NEAR + 1)])
-    looks = with_bucket(c, several).select("rep", "band", "m", "after1", "after2", piece).select("rep", before.alias("o")).select(F.col("rep").alias("p"), F.explode("o").alias("q"))
-    second = ordered_pairs(looks.where("p.fp <> q.fp")).checkpoint()
-    whole = components(of.select(F.col("root").alias("node")), verified(rows, second, similarity)).withColumnRenamed("root", "least_root")
-    return of.join(whole, of["root"] == whole["node"], "left").select("fp", "first", F.coalesce("least_root", "root").alias("root"))
+def percent_of(similarity: float) -> int:
+    if abs(100 * similarity - round(100 * similarity)) > 1e-9:
+        raise ValueError("similarity must be a whole number of hundredths")
+    return round(100 * similarity)
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -243,7 +189,7 @@ def without_near_duplicates(docs: DataFrame, distance: int = 3, similarity: floa
     """
     plain = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)]
     rows = docs.select(row_of(docs).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64(*plain).alias("h"))
-    every = sketches(rows, similarity is not None).checkpoint()
+    every = (sketches(rows, False) if similarity is None else sketches(rows, True, percent_of(similarity))).checkpoint()
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
     classes = every.groupBy("fp").agg(F.min(rank).alias("first")).checkpoint()
     edges = links(classes.select("fp"), distance)

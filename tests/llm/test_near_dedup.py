@@ -85,3 +85,17 @@ def test_members_of_one_bucket_that_only_differ_from_its_centre_still_meet(spark
     fps = [simhash.fingerprint(t) for _, t in rows]
     root = {r.fp: r.root for r in of.collect()}
     assert root[fps[2]] == root[fps[3]] and len({root[f] for f in fps}) == 3
+
+
+def test_no_link_is_lost_in_a_crowded_bucket(spark):
+    """Many members that share one key: the only two that resemble each other stand far apart in every order."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"t{k}w{i}" for i in range(60))) for k in range(40)]
+    words = [f"n{i}" for i in range(60)]
+    rows += [(40, " ".join(words)), (41, " ".join([*words, "n60", "n61"]))]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string").withColumn("h", F.col("doc_id"))
+    every = simhash.sketches(df, True).withColumn("bands", F.transform("bands", lambda m, k: F.when(k == 0, F.lit(1)).otherwise(F.xxhash64("doc_id", k)))).checkpoint()
+    classes = every.groupBy("fp").agg(F.min(F.struct(F.lit(False).alias("none"), F.col("doc_id").alias("id"), "h")).alias("first")).checkpoint()
+    root = {r.fp: r.root for r in simhash.similar_roots(df, every, classes, spark.createDataFrame([], "a long, b long"), 0.8).collect()}
+    fps = {k: simhash.fingerprint(t) for k, t in rows}
+    assert root[fps[40]] == root[fps[41]] and len(set(root.values())) == 41
