@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 SKETCH = 10_000
 #: So many values of a bracket are ranked in one task, more over ranges.
 ONE_TASK = 100_000
+#: Rows that a task of `dealt` sorts, about.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, keys: list[str], size: DataFrame | None = None, times: int = 1) -> DataFrame:
+    """df dealt by keys into as many tasks as its rows call for, so that a task's sorts don't grow with the table.
+
+    size: a table that is cheaper to count, of which df has at most `times` the rows. Later windows and groups by keys, or by more than keys, stay in their task.
+    """
+    n = (df if size is None else size).count() * times
+    return df.repartition(max(n // TASK_ROWS + 1, df.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
 def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column], groups: list[str] = []) -> DataFrame:  # noqa: B006

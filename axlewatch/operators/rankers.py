@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from axlewatch.operators.ranked import dealt
+
 
 def _total(weights: dict[str, float], part) -> Column:
     """The weighted sum over features, NULL where none has a value."""
@@ -24,11 +26,12 @@ def zsum_score(df: DataFrame, case: list[str], weights: dict[str, float]) -> Dat
 
 def borda_score(df: DataFrame, case: list[str], weights: dict[str, float]) -> DataFrame:
     """Adds score: the weighted sum of (n - r) / n, r being the rank by descending value inside a case, equal values sharing the mean of their ranks."""
-    x = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*case)))
-    for c in weights:
-        above = F.rank().over(Window.partitionBy(*case).orderBy(F.col(c).desc_nulls_last()))
-        same = F.count(F.lit(1)).over(Window.partitionBy(*case, c))
-        x = x.withColumn(f"_r_{c}", F.when(F.col(c).isNotNull(), above + (same - 1) / 2))
+    x = dealt(df, case)
+    for c in weights:  # one sort for each: rank, equal values and all rows are frames of one order
+        w = Window.partitionBy(*case).orderBy(F.col(c).desc_nulls_last())
+        same = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+        every = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        x = x.withColumns({f"_r_{c}": F.when(F.col(c).isNotNull(), F.rank().over(w) + (same - 1) / 2), "_n": every})
     return x.withColumn("score", _total(weights, lambda c: (F.col("_n") - F.col(f"_r_{c}")) / F.col("_n"))).drop("_n", *[f"_r_{c}" for c in weights])
 
 
