@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axlewatch.operators.joins import asof_backward
-from axlewatch.operators.ranked import order_statistics, running_sums
+from axlewatch.operators.ranked import dealt, order_statistics, running_sums
 
 
 def quantile_thresholds(scores: DataFrame, score: str, qs: list[float], keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -115,10 +115,11 @@ def cls_metrics(df: DataFrame, truth: str, guess: str, labels: list[str]) -> Dat
 def monotonicity(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Spearman's correlation with average ranks per key; NULL below 3 rows or if a side is constant."""
 
-    def rank(c: str) -> Column:
-        return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2
+    def rank(c: str) -> Column:  # one sort: equal values are a frame of the same order
+        w = Window.partitionBy(*keys).orderBy(c)
+        return F.rank().over(w) + (F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
 
-    r = df.select(*keys, rank(x).alias("rx"), rank(y).alias("ry"))
+    r = dealt(df, keys).select(*keys, rank(x).alias("rx"), rank(y).alias("ry"))
     g = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"), F.covar_pop("rx", "ry").alias("c"))
     return g.select(*keys, F.when((F.col("n") >= 3) & (F.col("sx") > 0) & (F.col("sy") > 0), F.col("c") / (F.col("sx") * F.col("sy"))).alias("rho"))
 

@@ -108,3 +108,25 @@ def test_a_quantile_ranks_few_values_and_is_exact(spark, monkeypatch):
     assert ranked.quantile(df, "w", 0.5) == 1.0 and ranked.quantile(df.where("v is null"), "v", 0.5) is None
     monkeypatch.setattr(ranked, "SKETCH", 10)
     assert ranked.quantile(df, "v", 0.6) == ranked.order_statistics(df, "v", {"q": 0.6}).first().q
+
+
+def test_case_ranks_are_dealt_by_rows(spark, monkeypatch):
+    """More rows mean more tasks, and ties, NULLs and counts come out as from separate windows."""
+    from axlewatch.operators import episodes, rankers, ranked
+
+    monkeypatch.setattr(ranked, "TASK_ROWS", 100)
+    df = spark.range(3000).select((F.col("id") % 500).alias("k"), F.when(F.col("id") % 11 > 0, F.col("id") * 7 % 4).alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    got = rankers.borda_score(df, ["k"], {"a": 1.0, "b": 0.5})
+    assert got.rdd.getNumPartitions() >= 30
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r.k, []).append(r)
+
+    def share(rows, r, c):
+        v = r[c]
+        above = sum(x[c] is not None and x[c] > v for x in rows)
+        return (len(rows) - (above + 1 + (sum(x[c] == v for x in rows) - 1) / 2)) / len(rows)
+
+    want = sorted((r.k, r.b, round((share(g, r, "a") if r.a is not None else 0.0) + 0.5 * share(g, r, "b"), 9)) for g in groups.values() for r in g)
+    assert sorted((r.k, r.b, round(r.score, 9)) for r in got.collect()) == want
+    assert episodes.monotonicity(df, ["k"], "a", "b").rdd.getNumPartitions() >= 30
