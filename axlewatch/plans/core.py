@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from axlewatch.functions import scalar
 from axlewatch.operators import features, joins, reshape, segments, validate
+from axlewatch.operators.ranked import dealt
 from axlewatch.plans.registry import query, r6
 from axlewatch.sources.bind import DAY_US, FLT, TEL, fault_log, read, telemetry
 
@@ -17,7 +18,7 @@ win as (select component_id, train_id, segment, t, value, event_id, w as "window
 
 
 def segmented(spark, sf_dir):
-    return segments.gap_segments(telemetry(spark, sf_dir), ["component_id"], "t", GAP3, "event_id")
+    return segments.gap_segments(dealt(telemetry(spark, sf_dir), ["component_id"]), ["component_id"], "t", GAP3, "event_id")
 
 
 def windowed(spark, sf_dir):
