@@ -90,11 +90,12 @@ def rail(spark: SparkSession, path: str, boxes: int = 64) -> DataFrame:
     return placed(df.select(finite[0].alias("pulse"), each.alias("_e"), "file", "_block", "_in")).select("file", "place", "pulse", F.explode("_e").alias("_x")).select("file", "place", "pulse", "_x.*")
 
 
-def stress(spark: SparkSession, path: str, most_bad: float = 0.01, by_folder: bool = False) -> DataFrame:
-    """file (its whole path if files lie in folders), place, value: one sample a line, no header. Gaps are blended linearly between the samples around them and held at the ends; a file with a larger share of bad lines is an error."""
-    df = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", by_folder).text(path)
-    v = F.expr("try_cast(trim(value) as double)")
-    x = df.select(F.col("_metadata.file_path" if by_folder else "_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_in"), F.when(F.abs(v) < float("inf"), v).alias("v"))
+def stress(spark: SparkSession, path: str, most_bad: float = 0.01, by_folder: bool = False, named: bool = False) -> DataFrame:
+    """file (its whole path if files lie in folders), place, value: one sample a line, no header. named: a file holds many recordings, each whole, and a line is a recording's name, a comma and a sample; file is that name. Gaps are blended linearly between the samples around them and held at the ends; a file with a larger share of bad lines is an error."""
+    df = spark.read.option("pathGlobFilter", "*.txt" if named else "*.csv").option("recursiveFileLookup", by_folder).text(path)
+    v = F.expr(f"try_cast(trim({'substring_index(value, chr(44), -1)' if named else 'value'}) as double)")
+    file = F.expr("substring(value, 1, length(value) - length(substring_index(value, chr(44), -1)) - 1)") if named else F.col("_metadata.file_path" if by_folder else "_metadata.file_name")
+    x = df.select(file.alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_in"), F.when(F.abs(v) < float("inf"), v).alias("v"))
     x = placed(x).checkpoint()
     bad = x.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v").isNull()).alias("bad")).where(F.col("bad") > F.floor(F.col("n") * most_bad)).orderBy("file").first()
     if bad:

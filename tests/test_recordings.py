@@ -60,6 +60,14 @@ def test_stress_fills_gaps_and_refuses_bad_files(spark, tmp_path):
         recordings.stress(spark, at)
 
 
+def test_stress_reads_many_recordings_from_one_file(spark, tmp_path):
+    at = put(tmp_path, "s.txt", "b,NA\nb,1\nb,\nb,3\na,1,5\na,1,x\na,1,7\n")
+    got = [(r.file, r.place, r.value) for r in recordings.stress(spark, at, 0.9, named=True).orderBy("file", "place").collect()]
+    assert got == [("a,1", 0, 5.0), ("a,1", 1, 6.0), ("a,1", 2, 7.0), ("b", 0, 1.0), ("b", 1, 1.0), ("b", 2, 2.0), ("b", 3, 3.0)]
+    with pytest.raises(ValueError, match="1 of 3 lines of a,1"):
+        recordings.stress(spark, at, named=True)
+
+
 def test_panel_takes_the_first_name_with_data_for_each_car(spark, tmp_path):
     names = {"indoor": ["Indoor Average Temperature", "Cabin (new)"], "mode": ["Mode"]}
     at = put(tmp_path, "p.csv", "Time,Car 1 - Indoor Average Temperature,Car 1 - Cabin (new),Car 02 - indoor average temperature,Car 02 - Cabin (new),Car 02 - Mode,Car 02 - Other\n2024-01-01 00:00:00,20,99,NA,30,Stop,1\n2024-01-01 00:01:00,--,98,n/a,31,,1\nlater,1,1,1,1,x,1\n")
