@@ -7,10 +7,11 @@ counted exactly. Inside a traversal, members that are already connected aren't c
 resemble each other costs a comparison for each member, and no links of its components are lost.
 
 One tree over all sets would be traversed in the square of the input, so there is a forest: sets are given keys such that
-two that link share at least one, and a tree is a component of sets that share keys. Keys: sizes fall in steps; two sets
-of a step whose similarity is high enough differ in at most H tokens, so of H + 2 ranges of the token space at least two
-hold equal tokens. A set gets a key for each range, in its own step and in the next (as the smaller partner). A tree's
-upper nodes are blocks of bounded bytes in order of size. Blocks are traversed with themselves, then with the tree's
+two that link share at least one, and a tree is a component of sets that share keys. Keys: of a set of n tokens a linked
+one has at least `percent` of n, so in one order of all tokens the first of what the two share stands among the first
+n - that + 1 tokens of both. These are a set's keys. Any order will do; tokens come by how often their cell of the token
+space is met, so that common ones, which would connect sets that don't resemble each other, come last. A tree's upper
+nodes are blocks of bounded bytes in order of size. Blocks are traversed with themselves, then with the tree's
 first block, then with each other where they aren't connected by then and their nodes' bounds allow a link.
 
 Defined results: a text without words, or a null one, has an empty set, links with nothing and is its own component; a
@@ -36,6 +37,8 @@ from axlewatch.operators.ranked import running_sums
 SEED, MULTIPLIER = 42, 0x9E3779B97F4A7C15
 #: Members of a leaf node; bytes of token hashes in a block; bits in the bitmap of a block.
 FANOUT, BLOCK_BYTES, BLOCK_BITS = 16, 1 << 20, 1 << 16
+#: Cells of the token space whose tokens are counted, by the leading bits of their hashes; cells that travel as one row.
+CELL_BITS, CELLS_OF_ROW = 21, 1 << 16
 
 
 class Threshold:
@@ -54,15 +57,6 @@ class Threshold:
         """The fewest tokens that two linked sets share; numbers or arrays."""
         return -((-self.percent * (a + b)) // (100 + self.percent))
 
-    def steps(self, n: int) -> tuple[int, int, int]:
-        """(number, least and most size) of the step that holds sets of n tokens."""
-        k, low = 0, 1
-        while True:
-            high = max(low, (10_000 * low) // (self.percent * self.percent))
-            if n <= high:
-                return k, low, high
-            k, low = k + 1, high + 1
-
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending."""
@@ -73,39 +67,63 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(run_hashes(h, min(words, len(w)), MULTIPLIER))
 
 
-def keys(tokens: np.ndarray, t: Threshold) -> list[int]:
-    """The keys of a set: one for each range of the token space, in its own step and the next."""
-    n, out = len(tokens), []
-    number, _, high = t.steps(n)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((tokens ^ (tokens >> np.uint64(32))) * np.uint64(0x94D049BB133111EB), dtype=np.uint64)])
-    following = t.steps(high + 1)
-    for k, most, as_smaller in ((number, high, False), (following[0], following[2], True)):
-        if as_smaller and 100 * n < t.percent * following[1]:
-            continue
-        h = t.differ(most, most)
-        if not h:
-            continue  # only equal sets link, and those are one member
-        ranges = h + 2
-        edges = np.searchsorted(tokens, np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64))
-        edges = np.concatenate([[0], edges, [n]])
-        counts = np.diff(edges)
-        mixed = (sums[edges[1:]] - sums[edges[:-1]] + np.uint64(k * 0x10001 + 1) + np.arange(ranges, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xFF51AFD7ED558CCD)
-        mixed ^= mixed >> np.uint64(32)
-        if np.count_nonzero(counts == 0) < ranges - h:  # two ranges agree, so one that isn't empty does
-            mixed = mixed[counts > 0]
-        out += mixed.view(np.int64).tolist()
+def cells_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def token_marks(docs: DataFrame, words: int) -> np.ndarray:
+    """docs(text) -> for each cell a mark that grows with the tokens of all texts in it: 0 up to one token, then 8 for each doubling.
+
+    A task counts its texts in one table of bounded size, to 255 a cell; the tables are added cell by cell and one byte of each cell comes to the driver.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(1 << CELL_BITS, np.uint32)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(met, cells_of(shingles(text.as_py(), words)), np.uint32(1))
+        few = np.minimum(met, 255).astype(np.uint8)
+        for k in range(0, len(few) if few.any() else 0, CELLS_OF_ROW):
+            yield pa.RecordBatch.from_pylist([{"part": k, "cells": few[k : k + CELLS_OF_ROW].tobytes()}], schema=ARROW_CELLS)
+
+    def added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(min(CELLS_OF_ROW, 1 << CELL_BITS), np.int64)
+        for batch in batches:
+            for cells in batch.column("cells"):
+                met += np.frombuffer(cells.as_py(), np.uint8)
+        marks = np.minimum(8 * np.log2(np.maximum(met, 1)), 255).astype(np.uint8)
+        yield pa.RecordBatch.from_pylist([{"part": key[0].as_py(), "cells": marks.tobytes()}], schema=ARROW_CELLS)
+
+    out = np.zeros(1 << CELL_BITS, np.uint8)
+    for row in docs.select("text").mapInArrow(counted, CELLS).groupBy("part").applyInArrow(added, CELLS).collect():
+        out[row.part : row.part + len(row.cells)] = np.frombuffer(row.cells, np.uint8)
     return out
 
 
+CELLS = "part long, cells binary"
+ARROW_CELLS = pa.schema([("part", pa.int64()), ("cells", pa.binary())])
+
+
+def keys(tokens: np.ndarray, t: Threshold, marks: np.ndarray | None = None) -> list[int]:
+    """The keys of a set: the first of its tokens by mark and hash, one more than a linked set may lack. A token that no other text has is none."""
+    most = len(tokens) - -(-t.percent * len(tokens) // 100) + 1
+    if marks is None:
+        return tokens[:most].view(np.int64).tolist()
+    own = marks[cells_of(tokens)]
+    first = np.argsort(own, kind="stable")[:most]
+    return tokens[first[own[first] > 0]].view(np.int64).tolist()
+
+
 def sketches(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
     """docs(doc_id, text) -> doc_id, h, n, node (a digest of the set, null if empty), keys."""
+    marks = docs.sparkSession.sparkContext.broadcast(token_marks(docs, words))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, node, held = [], [], []
             for text in batch.column(2):
                 s = shingles(text.as_py(), words)
-                n.append(len(s)), node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None), held.append(keys(s, t) if len(s) else [])
+                n.append(len(s)), node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None), held.append(keys(s, t, marks.value) if len(s) else [])
             columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(held, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n", "node", "keys"])
 
@@ -198,7 +216,7 @@ def linked(a: Members, b: Members, t: Threshold, labels: dict[bytes, bytes]) ->
     return found, [find(x) for x in b.nodes]
 
 
-BLOCK = "tree binary, block long, nodes array<binary>, sizes array<long>, tokens binary, map binary, low long, high long, hidden long"
+BLOCK = "tree long, block long, nodes array<binary>, sizes array<long>, tokens binary, map binary, low long, high long, hidden long"
 
 
 def blocks_of(sets: DataFrame) -> DataFrame:
@@ -215,7 +233,7 @@ def blocks_of(sets: DataFrame) -> DataFrame:
     return sets.select("tree", "block", "node", "n", "tokens").groupBy("tree", "block").applyInArrow(each, BLOCK)
 
 
-ARROW_BLOCK = pa.schema([("tree", pa.binary()), ("block", pa.int64()), ("nodes", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("map", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("hidden", pa.int64())])
+ARROW_BLOCK = pa.schema([("tree", pa.int64()), ("block", pa.int64()), ("nodes", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("map", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("hidden", pa.int64())])
 
 
 def members(row: dict, side: str) -> Members:
@@ -236,10 +254,10 @@ def traversed(pairs: DataFrame, t: Threshold, both: bool) -> DataFrame:
 
     sides = ("", "2") if both else ("",)
     columns = [f"{c}{s}" for s in sides for c in ("block", "nodes", "sizes", "tokens", *(["roots"] if both else []))]
-    return pairs.select("tree", *columns).mapInArrow(each, "tree binary, block long, links array<struct<a: binary, b: binary>>, roots array<binary>")
+    return pairs.select("tree", *columns).mapInArrow(each, "tree long, block long, links array<struct<a: binary, b: binary>>, roots array<binary>")
 
 
-ARROW_LINKS = pa.schema([("tree", pa.binary()), ("block", pa.int64()), ("links", pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())]))), ("roots", pa.list_(pa.binary()))])
+ARROW_LINKS = pa.schema([("tree", pa.int64()), ("block", pa.int64()), ("links", pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())]))), ("roots", pa.list_(pa.binary()))])
 
 
 def bounded(pairs: DataFrame, t: Threshold) -> DataFrame:
@@ -253,16 +271,17 @@ def bounded(pairs: DataFrame, t: Threshold) -> DataFrame:
                 keep.append(most >= t.shared(r["low"], r["low2"]))
             yield batch.select(["tree", "block", "block2"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(each, "tree binary, block long, block2 long")
+    return pairs.mapInArrow(each, "tree long, block long, block2 long")
 
 
 def links(docs: DataFrame, classes: DataFrame, words: int, t: Threshold, row_hash: Column | None = None) -> DataFrame:
     """docs(doc_id, text), classes(node, n, rep, keys) -> a, b: links that connect all linked classes. rep is the doc_id and h of a row, h its text's hash or row_hash."""
-    shared = classes.select("node", F.explode("keys").alias("key"))
-    stars = shared.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    edges = shared.join(stars, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    trees = settled(components(classes.select("node"), edges), "jaccard-trees")
-    wanted = settled(classes.select("node", "n", "rep").join(trees.select(F.col("node").alias("t_node"), F.col("root").alias("tree")), F.col("node") == F.col("t_node")).select("tree", "node", "n", "rep"), "jaccard-members")
+    short = F.xxhash64("node")  # classes of one hash merely share a tree
+    shared = classes.select(short.alias("id"), F.explode("keys").alias("key")).repartition("key")  # dealt once, for the stars and for who meets them
+    stars = shared.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    edges = shared.join(stars, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    trees = settled(components(classes.select(short.alias("node")), edges), "jaccard-trees")
+    wanted = settled(classes.select("node", "n", "rep").join(trees.select(F.col("node").alias("t_node"), F.col("root").alias("tree")), short == F.col("t_node")).select("tree", "node", "n", "rep"), "jaccard-members")
     placed = running_sums(wanted, ["n", "node"], {"bytes": 8 * F.col("n")}, ["tree"]).select("rep", "node", "n", "tree", F.floor((F.col("bytes") - 1) / BLOCK_BYTES).alias("block"))
     placed = small(settled(placed, "jaccard-placed"))
 
@@ -272,7 +291,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, t: Threshold, row_has
 
     texts = docs.select("doc_id", (F.xxhash64("text") if row_hash is None else row_hash).alias("h"), "text")
     chosen = texts.join(placed, F.col("rep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("rep.h") == F.col("h"))).select("tree", "block", "node", "n", "text")
-    blocks = settled(blocks_of(chosen.mapInArrow(tokens_of, "tree binary, block long, node binary, n long, tokens binary")), "jaccard-blocks")
+    blocks = settled(blocks_of(chosen.mapInArrow(tokens_of, "tree long, block long, node binary, n long, tokens binary")), "jaccard-blocks")
     inside = settled(traversed(blocks, t, False), "jaccard-inside")
     found = inside.select(F.inline("links"))
     large = blocks.groupBy("tree").agg(F.count(F.lit(1)).alias("held"), F.min("block").alias("first")).where("held > 1")

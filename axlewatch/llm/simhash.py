@@ -85,6 +85,7 @@ def sketches(docs: DataFrame, similar: bool, percent: int = 80) -> DataFrame:
     from axlewatch.llm import jaccard
 
     t = jaccard.Threshold(percent)
+    marks = docs.sparkSession.sparkContext.broadcast(jaccard.token_marks(docs, WIDE) if similar else None)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +95,7 @@ def sketches(docs: DataFrame, similar: bool, percent: int = 80) -> DataFrame:
                 fps.append(fingerprint(text))
                 s = shingles(text) if similar else ()
                 some = len(s) > 0
-                sizes.append(len(s) if some else None), keys.append(xxhash.xxh3_128_digest(s.tobytes()) if some else None), bands.append(jaccard.keys(s, t) if some else None)
+                sizes.append(len(s) if some else None), keys.append(xxhash.xxh3_128_digest(s.tobytes()) if some else None), bands.append(jaccard.keys(s, t, marks.value) if some else None)
             columns = [batch.column(0), batch.column(2), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fp", "n", "key", "bands"])
 

@@ -95,3 +95,27 @@ def test_keys_meet_for_every_linked_pair():
         if not np.array_equal(a, b) and 100 * both >= 90 * (len(a) + len(b) - both):
             assert set(jaccard.keys(a, t)) & set(jaccard.keys(b, t))
             assert both >= t.shared(len(a), len(b)) and len(a) + len(b) - 2 * both <= t.differ(len(a), len(b))
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_keys_meet_in_any_order_of_tokens(percent):
+    rng, t = np.random.default_rng(5), jaccard.Threshold(percent)
+    met = 0
+    for _ in range(400):
+        n, tokens = int(rng.integers(1, 300)), rng.integers(1 << 63, size=400, dtype=np.uint64) * np.uint64(2)
+        a, b = (np.unique(tokens[:n][rng.random(n) > 0.04]) for _ in "ab")
+        both = len(np.intersect1d(a, b))
+        if both and 100 * both >= percent * (len(a) + len(b) - both):
+            marks = rng.integers(1, 256, size=1 << jaccard.CELL_BITS, dtype=np.uint8) if n % 2 else np.ones(1 << jaccard.CELL_BITS, np.uint8)
+            assert set(jaccard.keys(a, t, marks)) & set(jaccard.keys(b, t, marks))
+            assert len(jaccard.keys(a, t, marks)) <= (100 - percent) * len(a) // 100 + 1
+            met += 1
+    assert met > 100
+
+
+def test_a_passage_that_all_texts_hold_brings_no_texts_into_a_tree(spark, monkeypatch):
+    passage, moved, real = [f"c{i}" for i in range(60)], [], jaccard.blocks_of
+    rows = [(k, " ".join([*(f"d{k}w{i}" for i in range(90)), *passage])) for k in range(60)]
+    rows.append((60, rows[0][1] + " end"))
+    monkeypatch.setattr(jaccard, "blocks_of", lambda sets: (moved.append(sets.count()), real(sets))[1])
+    assert got(spark, rows) == brute(rows) and moved == [2]
