@@ -1,25 +1,28 @@
 """Alarm episodes of a stream: the rule of operators.episodes on rows that come in any order within the watermark's delay.
 
 Rows wait in the state until the watermark has passed them and are then taken in order of (t, event_id), so late rows and
-ties give what the batch operator gives. Event-time timers wake a series when its oldest waiting row is final, and when
-the merge gap behind an open episode has passed; only then is the episode given. The state of a series is the waiting rows
-(bounded by the delay) and one struct.
+ties give what the batch operator gives. An event-time timer wakes a series when its oldest waiting row is final or when
+the merge gap behind an open episode has passed, whichever is first; only then is the episode given. The state of a series
+is one struct, with the waiting rows (bounded by the delay) packed in one field, so a call reads and writes it once,
+however many rows wait.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "component_id long, episode long, t_start long, t_end long, n_rows long, peak double"
-WAITING = "t long, event_id long, score double, above boolean"
+#: a waiting row, as packed in the state; a missing score is NaN
+WAITING = np.dtype([("t", "<i8"), ("event_id", "<i8"), ("score", "<f8"), ("above", "?")])
 #: last row's time and whether it was over; the run so far; the open episode; the rows behind it; number of the next episode
 FIELDS = ["last", "run_n", "run_a", "run_peak", "start", "end", "n", "peak", "tail_n", "tail_peak", "number"]
-NOW = "last long, run_n long, run_a long, run_peak double, start long, end long, n long, peak double, tail_n long, tail_peak double, number long"
+NOW = "last long, run_n long, run_a long, run_peak double, start long, end long, n long, peak double, tail_n long, tail_peak double, number long, waiting binary"
 NOTHING = dict.fromkeys(FIELDS) | {"run_n": 0, "tail_n": 0, "number": 0}
 
 
@@ -72,6 +75,13 @@ class EpisodeRule:
         return (self.close(s), None) if now >= due else (None, due)
 
 
+def packed(df: pd.DataFrame) -> np.ndarray:
+    out = np.empty(len(df), WAITING)
+    for c, kind in (("t", "int64"), ("event_id", "int64"), ("score", "float64"), ("above", "bool")):
+        out[c] = df[c].astype(kind)
+    return out
+
+
 class Episodes(StatefulProcessor):
     def __init__(self, k: int, merge_gap: int, max_step: int):
         self.rule = EpisodeRule(k, merge_gap, max_step)
@@ -79,32 +89,29 @@ class Episodes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.now = handle.getValueState("now", NOW)
-        self.waiting = handle.getListState("waiting", WAITING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(t), int(i), None if pd.isna(x) else float(x), bool(o)) for df in rows for t, i, x, o in zip(df["t"], df["event_id"], df["score"], df["above"], strict=True)]
-        yield self.move(key, timerValues.getCurrentWatermarkInMs() * 1000, new)
+        yield from self.move(key, timerValues.getCurrentWatermarkInMs() * 1000, [packed(df) for df in rows])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self.move(key, timerValues.getCurrentWatermarkInMs() * 1000, [])
-
-    def move(self, key: tuple, passed: int, new: list[tuple]) -> pd.DataFrame:
-        s = dict(zip(FIELDS, self.now.get(), strict=True)) if self.now.exists() else dict(NOTHING)
-        held = sorted([*(tuple(r) for r in self.waiting.get()), *new], key=lambda r: r[:2])
-        due = [r for r in held if r[0] <= passed]
-        rest = held[len(due) :]
-        given = [e for t, _, score, above in due if (e := self.rule.take(s, t, score, above))]
+        yield from self.move(key, timerValues.getCurrentWatermarkInMs() * 1000, [])
+
+    def move(self, key: tuple, passed: int, new: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        now = self.now.get()
+        s = dict(NOTHING) if now is None else dict(zip(FIELDS, now[:-1], strict=True))
+        held = np.concatenate([np.frombuffer(b"" if now is None else bytes(now[-1]), WAITING), *new])
+        held = held[np.lexsort((held["event_id"], held["t"]))]
+        n = int(np.searchsorted(held["t"], passed, side="right"))
+        rest = held[n:]
+        given = [e for t, _, score, above in held[:n].tolist() if (e := self.rule.take(s, t, score if score == score else None, above))]
         ended, again = self.rule.passed(s, passed)
         given += [ended] if ended else []
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        self.now.update(tuple(s[f] for f in FIELDS))
-        for at in (rest[0][0] if rest else None, again):
-            if at is not None:
-                self.handle.registerTimer(max(-(-at // 1000), passed // 1000 + 1))
-        return pd.DataFrame([(key[0], *e) for e in given], columns=["component_id", "episode", "t_start", "t_end", "n_rows", "peak"]).astype({"peak": "float64"})
+        self.now.update((*(s[f] for f in FIELDS), rest.tobytes()))
+        at = min((x for x in (int(rest["t"][0]) if len(rest) else None, again) if x is not None), default=None)
+        if at is not None:  # the call that it brings sets the next one
+            self.handle.registerTimer(max(-(-at // 1000), passed // 1000 + 1))
+        if given:
+            yield pd.DataFrame([(key[0], *e) for e in given], columns=["component_id", "episode", "t_start", "t_end", "n_rows", "peak"]).astype({"peak": "float64"})
 
     def close(self) -> None:
         pass

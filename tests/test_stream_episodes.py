@@ -4,6 +4,7 @@ import datetime
 import random
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,34 @@ def test_take_and_close_row_by_row():
     assert (s["start"], s["end"], s["n"], s["peak"]) == (0, 46, 5, 20.0)
     assert rule.passed(s, 85) == (None, 86) and rule.passed(s, 86)[0] == (0, 0, 46, 5, 20.0)
     assert rule.passed(s, 90) == (None, None)
+
+
+class OneState:
+    """A handle that counts what a call asks of the state store."""
+
+    def __init__(self):
+        self.held, self.asked, self.timers = None, 0, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.asked += 1
+        return self.held
+
+    def update(self, new):
+        self.asked += 1
+        self.held = new
+
+    def registerTimer(self, at):
+        self.asked += 1
+        self.timers.append(at)
+
+
+def test_a_call_reads_and_writes_the_state_once_however_many_rows_wait():
+    p, handle = alarms.Episodes(2, 40_000, 30_000), OneState()
+    p.init(handle)
+    rows = pd.DataFrame({"t": [1_000_000 + 10_000 * (i % 500) for i in range(1000)], "event_id": range(1000), "score": [None if i % 7 == 0 else 20.0 for i in range(1000)], "above": [i % 7 > 0 for i in range(1000)]})
+    assert list(p.move((5,), 0, [alarms.packed(rows[k::3]) for k in range(3)])) == [] and handle.asked == 3 and handle.timers == [1000]
+    (out,) = p.move((5,), 10_000_000, [])
+    assert handle.asked == 5 and handle.held[-1] == b"" and len(out) == 1 and tuple(out.iloc[0])[:2] == (5, 0) and out["peak"][0] == 20.0 and out["n_rows"][0] > 900
