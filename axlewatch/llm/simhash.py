@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axlewatch.llm.common import BROADCAST_ROWS, row_of, run_hashes, settled  # noqa: F401
+from axlewatch.llm.common import BROADCAST_ROWS, row_of, run_hashes, settled, small  # noqa: F401
 
 SHINGLE, BITS, SEED = 3, 64, 42
 #: Shingles that are counted at once, so that a very long text needs no more memory than a short one.
@@ -198,7 +198,7 @@ def without_near_duplicates(docs: DataFrame, distance: int = 3, similarity: floa
     least = of.groupBy("root").agg(F.min("first").alias("least"))
     stay = least.join(every.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")), F.col("least.id").eqNullSafe(F.col("doc_id")) & (F.col("least.h") == F.col("h")))
     stay = settled(stay.select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), "n"), "near-kept")
-    left = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h"))).select("row", "doc_id", "h", "n")
+    left = rows.join(small(stay), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h"))).select("row", "doc_id", "h", "n")
     if stay.where("n > 1").limit(1).count() == 0:
         return left.select("row.*")
     once = left.where("n > 1").dropDuplicates(["doc_id", "h"])
