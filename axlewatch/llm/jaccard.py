@@ -7,10 +7,12 @@ counted exactly. Inside a traversal, members that are already connected aren't c
 resemble each other costs a comparison for each member, and no links of its components are lost.
 
 One tree over all sets would be traversed in the square of the input, so there is a forest: sets are given keys such that
-two that link share at least one, and a tree is a component of sets that share keys. Keys: of a set of n tokens a linked
+two that link share at least one, and a tree is a component of pairs of sets that share a key and that their sizes and
+bitmaps allow to link. Where over CROWD sets share a key, not all their pairs are formed: in order of size each is tied to
+the next if these two sizes allow a link, which connects all pairs that can link. Keys: of a set of n tokens a linked
 one has at least `percent` of n, so in one order of all tokens the first of what the two share stands among the first
 n - that + 1 tokens of both. These are a set's keys. Any order will do; tokens come by how often their cell of the token
-space is met, so that common ones, which would connect sets that don't resemble each other, come last. A tree's upper
+space is met, so that common ones, which many sets that don't resemble each other share, come last. A tree's upper
 nodes are blocks of bounded bytes in order of size. Blocks are traversed with themselves, then with the tree's
 first block, then with each other where they aren't connected by then and their nodes' bounds allow a link.
 
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +41,8 @@ SEED, MULTIPLIER = 42, 0x9E3779B97F4A7C15
 FANOUT, BLOCK_BYTES, BLOCK_BITS = 16, 1 << 20, 1 << 16
 #: Cells of the token space whose tokens are counted, by the leading bits of their hashes; cells that travel as one row.
 CELL_BITS, CELLS_OF_ROW = 21, 1 << 16
+#: Sets that share a key up to which all their pairs are formed; the most bits in the bitmap of a set.
+CROWD, MAP_BITS = 32, 1 << 17
 
 
 class Threshold:
@@ -114,20 +118,35 @@ def keys(tokens: np.ndarray, t: Threshold, marks: np.ndarray | None = None) -> l
     return tokens[first[own[first] > 0]].view(np.int64).tolist()
 
 
+def map_of(tokens: np.ndarray) -> bytes:
+    """A bitmap of two to four bits a token, with a bit for the last digits of each; the halves of a wider one, put together, are one of half its width."""
+    bits = min(MAP_BITS, max(64, 1 << (2 * len(tokens) - 1).bit_length()))
+    bit, out = tokens & np.uint64(bits - 1), np.zeros(bits // 64, np.uint64)
+    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.tobytes()
+
+
+def most_shared(x: bytes, y: bytes, n: int, m: int) -> int:
+    """The most tokens that sets of n and m tokens with these bitmaps can share."""
+    width = min(len(x), len(y)) // 8
+    a, b = (np.bitwise_or.reduce(np.frombuffer(z, np.uint64).reshape(-1, width)) for z in (x, y))
+    return min(n - int(ones(a & ~b)), m - int(ones(b & ~a)))
+
+
 def sketches(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, h, n, node (a digest of the set, null if empty), keys."""
+    """docs(doc_id, text) -> doc_id, h, n, node (a digest of the set, null if empty), keys, map."""
     marks = docs.sparkSession.sparkContext.broadcast(token_marks(docs, words))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, held = [], [], []
+            n, node, held, maps = [], [], [], []
             for text in batch.column(2):
                 s = shingles(text.as_py(), words)
-                n.append(len(s)), node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None), held.append(keys(s, t, marks.value) if len(s) else [])
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(held, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n", "node", "keys"])
+                n.append(len(s)), node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None), held.append(keys(s, t, marks.value) if len(s) else []), maps.append(map_of(s) if len(s) else None)
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(held, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n", "node", "keys", "map"])
 
-    out = [docs.schema["doc_id"], *[T.StructField(c, k) for c, k in (("h", T.LongType()), ("n", T.LongType()), ("node", T.BinaryType()), ("keys", T.ArrayType(T.LongType())))]]
+    out = [docs.schema["doc_id"], *[T.StructField(c, k) for c, k in (("h", T.LongType()), ("n", T.LongType()), ("node", T.BinaryType()), ("keys", T.ArrayType(T.LongType())), ("map", T.BinaryType()))]]
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(each, T.StructType(out))
 
 
@@ -274,13 +293,35 @@ def bounded(pairs: DataFrame, t: Threshold) -> DataFrame:
     return pairs.mapInArrow(each, "tree long, block long, block2 long")
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, t: Threshold, row_hash: Column | None = None) -> DataFrame:
-    """docs(doc_id, text), classes(node, n, rep, keys) -> a, b: links that connect all linked classes. rep is the doc_id and h of a row, h its text's hash or row_hash."""
+def plausible(classes: DataFrame, t: Threshold) -> DataFrame:
+    """classes(node, n, keys, map) -> a, b (hashes of nodes): edges that connect all classes that can link."""
     short = F.xxhash64("node")  # classes of one hash merely share a tree
-    shared = classes.select(short.alias("id"), F.explode("keys").alias("key")).repartition("key")  # dealt once, for the stars and for who meets them
-    stars = shared.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    edges = shared.join(stars, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    trees = settled(components(classes.select(short.alias("node")), edges), "jaccard-trees")
+    shared = classes.select(short.alias("id"), "n", F.explode("keys").alias("key")).repartition("key")  # dealt once, for the counts and for who is counted
+    held = shared.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    met = settled(shared.join(held, "key"), "jaccard-met")
+
+    few = met.where(F.col("held") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("sets")).select("sets", F.posexplode("sets").alias("at", "x"))
+    after = F.filter(F.slice("sets", F.col("at") + 2, CROWD), lambda y: 100 * F.col("x.n") >= t.percent * y["n"])
+    pairs = few.select("x", F.explode(after).alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = small(settled(pairs, "jaccard-pairs"))
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [most_shared(r["map"], r["map2"], r["n"], r["n2"]) >= t.shared(r["n"], r["n2"]) for r in batch.select(["map", "map2", "n", "n2"]).to_pylist()]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sides = [classes.select(short.alias(c), F.col("n").alias(f"n{s}"), F.col("map").alias(f"map{s}")) for c, s in (("a", ""), ("b", "2"))]
+    alike = sides[0].join(pairs, "a").join(sides[1], "b").select("a", "b", "n", "n2", "map", "map2").mapInArrow(allowed, "a long, b long")
+
+    before = Window.partitionBy("key").orderBy("n", "id")
+    tied = met.where(F.col("held") > CROWD).select("id", "n", F.lag("id").over(before).alias("a"), F.lag("n").over(before).alias("less"))
+    return alike.unionAll(tied.where(100 * F.col("less") >= t.percent * F.col("n")).select("a", F.col("id").alias("b")).distinct())
+
+
+def links(docs: DataFrame, classes: DataFrame, words: int, t: Threshold, row_hash: Column | None = None) -> DataFrame:
+    """docs(doc_id, text), classes(node, n, rep, keys, map) -> a, b: links that connect all linked classes. rep is the doc_id and h of a row, h its text's hash or row_hash."""
+    short = F.xxhash64("node")
+    trees = settled(components(classes.select(short.alias("node")), plausible(classes, t)), "jaccard-trees")
     wanted = settled(classes.select("node", "n", "rep").join(trees.select(F.col("node").alias("t_node"), F.col("root").alias("tree")), short == F.col("t_node")).select("tree", "node", "n", "rep"), "jaccard-members")
     placed = running_sums(wanted, ["n", "node"], {"bytes": 8 * F.col("n")}, ["tree"]).select("rep", "node", "n", "tree", F.floor((F.col("bytes") - 1) / BLOCK_BYTES).alias("block"))
     placed = small(settled(placed, "jaccard-placed"))
@@ -318,7 +359,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3) -> Da
     t = Threshold(percent)
     rows = settled(sketches(docs, words, t), "jaccard-rows")
     rep = F.struct("doc_id", "h")
-    classes = rows.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.min(rep).alias("rep"), F.min("doc_id").alias("first"), F.first("keys").alias("keys"))
+    classes = rows.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.min(rep).alias("rep"), F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("map").alias("map"))
     classes = settled(classes, "jaccard-classes")
     roots = components(classes.select("node"), links(docs, classes, words, t))
     of = classes.select("node", "first").join(roots.select(F.col("node").alias("r_node"), "root"), F.col("node") == F.col("r_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))

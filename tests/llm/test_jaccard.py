@@ -119,3 +119,35 @@ def test_a_passage_that_all_texts_hold_brings_no_texts_into_a_tree(spark, monkey
     rows.append((60, rows[0][1] + " end"))
     monkeypatch.setattr(jaccard, "blocks_of", lambda sets: (moved.append(sets.count()), real(sets))[1])
     assert got(spark, rows) == brute(rows) and moved == [2]
+
+
+def test_texts_that_share_keys_but_cannot_link_share_no_tree(spark, monkeypatch):
+    """Half of each text's words are those of all others, or it is three times as long; with one order of tokens by hash, they share keys."""
+    passage, moved, real = [f"c{i}" for i in range(60)], [], jaccard.blocks_of
+    rows = [(k, " ".join([*(f"d{k}w{i}" for i in range(60 if k % 2 else 400)), *passage])) for k in range(20)]
+    rows.append((20, rows[0][1] + " end"))
+    monkeypatch.setattr(jaccard, "token_marks", lambda docs, words: np.ones(1 << jaccard.CELL_BITS, np.uint8))
+    monkeypatch.setattr(jaccard, "blocks_of", lambda sets: (moved.append(sets.count()), real(sets))[1])
+    t = jaccard.Threshold(90)
+    held = [set(jaccard.keys(jaccard.shingles(x, 3), t)) for _, x in rows]
+    assert sum(bool(a & b) for a in held for b in held) > 100
+    assert got(spark, rows) == brute(rows) and moved == [2]
+
+
+@pytest.mark.parametrize("crowd", [0, 3])
+def test_components_equal_all_pairs_where_keys_are_crowded(spark, monkeypatch, crowd):
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "token_marks", lambda docs, words: np.ones(1 << jaccard.CELL_BITS, np.uint8))
+    rows = corpus(6)
+    assert got(spark, rows) == brute(rows)
+
+
+def test_bitmaps_of_any_widths_bound_what_two_sets_share(monkeypatch):
+    rng = np.random.default_rng(8)
+    for widest in (1 << 17, 256):
+        monkeypatch.setattr(jaccard, "MAP_BITS", widest)
+        for _ in range(300):
+            tokens = rng.integers(1 << 63, size=int(rng.integers(1, 900)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            a, b = (np.unique(np.append(tokens[rng.random(len(tokens)) < rng.random()], tokens[:1])) for _ in "ab")
+            most = jaccard.most_shared(jaccard.map_of(a), jaccard.map_of(b), len(a), len(b))
+            assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
