@@ -39,6 +39,8 @@ from axlewatch.operators.ranked import running_sums
 SEED, MULTIPLIER = 42, 0x9E3779B97F4A7C15
 #: Members of a leaf node; bytes of token hashes in a block; bits in the bitmap of a block.
 FANOUT, BLOCK_BYTES, BLOCK_BITS = 16, 1 << 20, 1 << 16
+#: Bytes of the bitmaps of a block's members; narrower ones are taken where there are many members.
+MAPS_BYTES = 16 << 20
 #: Cells of the token space whose tokens are counted, by the leading bits of their hashes; cells that travel as one row.
 CELL_BITS, CELLS_OF_ROW = 21, 1 << 16
 #: Sets that share a key up to which all their pairs are formed; the most bits in the bitmap of a set.
@@ -167,6 +169,15 @@ class Members:
         np.bitwise_or.at(out, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
         return out
 
+    def union(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The OR of the members' bitmaps and the bits of each, without a bitmap for each: tokens ascend, so those of one bit stand together."""
+        bit = self.tokens >> np.uint64(64 - bits.bit_length() + 1)
+        out = np.zeros(bits // 64, np.uint64)
+        np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        new, starts = np.append(True, bit[1:] != bit[:-1]), self.ends - self.sizes
+        new[starts] = True
+        return out, np.add.reduceat(new, starts, dtype=np.int64)
+
 
 def ones(bitmaps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(bitmaps).sum(axis=-1, dtype=np.int64)
@@ -190,6 +201,8 @@ def linked(a: Members, b: Members, t: Threshold, labels: dict[bytes, bytes]) ->
     labels: what is connected already. Roots are members of a where there is one, so that blocks met with the same a get labels that can be compared.
     """
     bits = int(min(1 << 17, max(256, 1 << int(max(a.sizes.max(), b.sizes.max()) * 8 - 1).bit_length())))
+    while bits > 256 and bits // 8 * max(len(a.sizes), len(b.sizes)) > MAPS_BYTES:
+        bits //= 2
     left = Tree(a, bits)
     right = left if a is b else Tree(b, bits)
     parent: dict[bytes, bytes] = {}
@@ -245,8 +258,8 @@ def blocks_of(sets: DataFrame) -> DataFrame:
         rows = sorted({(r["n"], r["node"]): r["tokens"] for batch in batches for r in batch.to_pylist()}.items())
         if rows:
             m = Members([k[1] for k, _ in rows], np.array([k[0] for k, _ in rows]), np.frombuffer(b"".join(v for _, v in rows), np.uint64))
-            maps = m.bitmaps(BLOCK_BITS)
-            row = {"tree": key[0].as_py(), "block": key[1].as_py(), "nodes": m.nodes, "sizes": m.sizes.tolist(), "tokens": m.tokens.tobytes(), "map": np.bitwise_or.reduce(maps).tobytes(), "low": int(m.sizes.min()), "high": int(m.sizes.max()), "hidden": int((m.sizes - ones(maps)).max())}
+            bitmap, distinct = m.union(BLOCK_BITS)
+            row = {"tree": key[0].as_py(), "block": key[1].as_py(), "nodes": m.nodes, "sizes": m.sizes.tolist(), "tokens": m.tokens.tobytes(), "map": bitmap.tobytes(), "low": int(m.sizes.min()), "high": int(m.sizes.max()), "hidden": int((m.sizes - distinct).max())}
             yield pa.RecordBatch.from_pylist([row], schema=ARROW_BLOCK)
 
     return sets.select("tree", "block", "node", "n", "tokens").groupBy("tree", "block").applyInArrow(each, BLOCK)

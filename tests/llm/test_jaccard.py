@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -151,3 +152,23 @@ def test_bitmaps_of_any_widths_bound_what_two_sets_share(monkeypatch):
             a, b = (np.unique(np.append(tokens[rng.random(len(tokens)) < rng.random()], tokens[:1])) for _ in "ab")
             most = jaccard.most_shared(jaccard.map_of(a), jaccard.map_of(b), len(a), len(b))
             assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+
+
+def test_a_block_of_many_short_sets_needs_no_bitmap_for_each(monkeypatch):
+    """20,000 sets of 6 tokens and one of 5000 are a block: a bitmap as wide as the block's for each is 164 MB."""
+    rng = np.random.default_rng(10)
+    sets = [np.unique(rng.integers(1 << 63, size=6, dtype=np.uint64) * np.uint64(2)) for _ in range(20_000)]
+    sets.append(np.unique(rng.integers(1 << 63, size=5000, dtype=np.uint64) * np.uint64(2)))
+    few = [sets[0], sets[5], sets[-1]]
+    m = jaccard.Members([b"%d" % k for k in range(3)], np.array([len(s) for s in few]), np.concatenate(few))
+    maps = m.bitmaps(jaccard.BLOCK_BITS)
+    bitmap, distinct = m.union(jaccard.BLOCK_BITS)
+    assert (bitmap == np.bitwise_or.reduce(maps)).all() and (distinct == jaccard.ones(maps)).all()
+    m = jaccard.Members([b"%d" % k for k in range(len(sets))], np.array([len(s) for s in sets]), np.concatenate(sets))
+    tracemalloc.start()
+    m.union(jaccard.BLOCK_BITS)
+    short = jaccard.Members(m.nodes[-2000:], m.sizes[-2000:], m.tokens[-int(m.sizes[-2000:].sum()) :])
+    monkeypatch.setattr(jaccard, "MAPS_BYTES", 1 << 20)
+    assert jaccard.linked(short, short, jaccard.Threshold(90), {})[0] == []
+    assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    tracemalloc.stop()
