@@ -9,10 +9,18 @@ resemble each other costs a comparison for each member, and no links of its comp
 One tree over all sets would be traversed in the square of the input, so there is a forest: sets are given keys such that
 two that link share at least one, and a tree is a component of pairs of sets that share a key and that their sizes and
 bitmaps allow to link. Where over CROWD sets share a key, not all their pairs are formed: in order of size each is tied to
-the next if these two sizes allow a link, which connects all pairs that can link. Keys: of a set of n tokens a linked
-one has at least `percent` of n, so in one order of all tokens the first of what the two share stands among the first
-n - that + 1 tokens of both. These are a set's keys. Any order will do; tokens come by how often their cell of the token
-space is met, so that common ones, which many sets that don't resemble each other share, come last. A tree's upper
+the next if these two sizes allow a link, which connects all pairs that can link.
+
+Keys: single tokens would be shared by chance, by more sets the more sets there are. So a key is a part of a set: the token
+space is cut into parts, and a part's key is a digest of all tokens in it. Two sets that differ in d tokens differ in d
+parts at most, so in one order of all such digests the first d + 1 of both have one in common (the principle of prefix
+filters, with parts for tokens). Parts come by how much their tokens tell: many tokens, in cells of the token space that
+are seldom met, come first. The number of parts depends on a class of sizes; a set that can link with sets of the class
+below has keys of that class as well. Sets of few tokens, or all at a low `percent`, would leave parts empty; their keys are
+the first of their tokens, by how often the cells are met: of a set of n tokens a linked one has at least `percent` of n, so
+the first of what the two share stands among the first n - that + 1 of both.
+
+A tree's upper
 nodes are blocks of bounded bytes in order of size. Blocks are traversed with themselves, then with the tree's
 first block, then with each other where they aren't connected by then and their nodes' bounds allow a link.
 
@@ -43,6 +51,10 @@ FANOUT, BLOCK_BYTES, BLOCK_BITS = 16, 1 << 20, 1 << 16
 MAPS_BYTES = 16 << 20
 #: Cells of the token space whose tokens are counted, by the leading bits of their hashes; cells that travel as one row.
 CELL_BITS, CELLS_OF_ROW = 21, 1 << 16
+#: Sets of up to FEW tokens, and all below LOOSE percent, have tokens as keys, others parts. Classes of sizes begin at powers of RATIO; parts for each that linked sets may differ in.
+FEW, LOOSE, RATIO, PARTS = 15, 75, 3, 1.5
+#: Sets that a task remembers, so that it gives keys to one of equal sets.
+REMEMBERED = 100_000
 #: Sets that share a key up to which all their pairs are formed; the most bits in the bitmap of a set.
 CROWD, MAP_BITS = 32, 1 << 17
 
@@ -120,6 +132,42 @@ def keys(tokens: np.ndarray, t: Threshold, marks: np.ndarray | None = None) -> l
     return tokens[first[own[first] > 0]].view(np.int64).tolist()
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def part_keys(tokens: np.ndarray, size_class: int, furthest: int, t: Threshold, marks: np.ndarray, top: int) -> np.ndarray:
+    """The keys of a set among sets of a class of sizes, the largest of which that it can link with has `furthest` tokens."""
+    largest = RATIO ** (size_class + 1) - 1
+    parts, most = int(PARTS * (t.differ(largest, 100 * largest // t.percent) + 1)), t.differ(len(tokens), furthest) + 1
+    at = ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # tokens ascend, so a part's stand together
+    starts, own = np.flatnonzero(np.append(True, at[1:] != at[:-1])), marks[cells_of(tokens)].astype(np.int64)
+    digest, told, alone = np.add.reduceat(mixed(tokens), starts), np.add.reduceat(top - own, starts), np.minimum.reduceat(own, starts) == 0
+    place = lambda part: part.astype(np.uint64) + np.uint64(size_class << 56)
+    key = mixed(digest + mixed(place(at[starts])))
+    first = np.lexsort((key, -told))[:most]
+    out = key[first[~alone[first]]]  # no other text has a part with a token that is met once
+    if len(starts) < most:
+        out = np.append(out, mixed(mixed(place(np.setdiff1d(np.arange(parts), at)[: most - len(starts)]))))
+    return out
+
+
+def keys_of(tokens: np.ndarray, t: Threshold, marks: np.ndarray, top: int) -> list[int]:
+    """The keys of a set, at least one of them in common with each set that it links with. top: more than the marks."""
+    n = len(tokens)
+    if t.percent < LOOSE:
+        return keys(tokens, t, marks)
+    out = keys(tokens, t, marks) if t.percent * n <= 100 * FEW else []
+    if n > FEW:
+        size_class = next(c for c in range(64) if n < RATIO ** (c + 1))
+        below = RATIO**size_class - 1
+        out += part_keys(tokens, size_class, 100 * n // t.percent, t, marks, top).view(np.int64).tolist()
+        if below > FEW and t.percent * n <= 100 * below:
+            out += part_keys(tokens, size_class - 1, below, t, marks, top).view(np.int64).tolist()
+    return out
+
+
 def map_of(tokens: np.ndarray) -> bytes:
     """A bitmap of two to four bits a token, with a bit for the last digits of each; the halves of a wider one, put together, are one of half its width."""
     bits = min(MAP_BITS, max(64, 1 << (2 * len(tokens) - 1).bit_length()))
@@ -135,17 +183,35 @@ def most_shared(x: bytes, y: bytes, n: int, m: int) -> int:
     return min(n - int(ones(a & ~b)), m - int(ones(b & ~a)))
 
 
+class Sketch:
+    """What a task finds out about sets: a digest, and for the first of equal ones its keys and its bitmap."""
+
+    def __init__(self, t: Threshold, marks: np.ndarray):
+        self.t, self.marks, self.top, self.met = t, marks, int(marks.max()) + 1, set()
+
+    def of(self, tokens: np.ndarray) -> tuple[bytes | None, list[int] | None, bytes | None]:
+        """node, keys, map: nulls for an empty set; keys and map are null for a set that this task has met."""
+        if not len(tokens):
+            return None, None, None
+        node = xxhash.xxh3_128_digest(tokens.tobytes())
+        if node in self.met:
+            return node, None, None
+        if len(self.met) >= REMEMBERED:
+            self.met.clear()
+        self.met.add(node)
+        return node, keys_of(tokens, self.t, self.marks, self.top), map_of(tokens)
+
+
 def sketches(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, h, n, node (a digest of the set, null if empty), keys, map."""
+    """docs(doc_id, text) -> doc_id, h, n, node (a digest of the set, null if empty), keys, map (both at least once for each node)."""
     marks = docs.sparkSession.sparkContext.broadcast(token_marks(docs, words))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = Sketch(t, marks.value)
         for batch in batches:
-            n, node, held, maps = [], [], [], []
-            for text in batch.column(2):
-                s = shingles(text.as_py(), words)
-                n.append(len(s)), node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None), held.append(keys(s, t, marks.value) if len(s) else []), maps.append(map_of(s) if len(s) else None)
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(held, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
+            sets = [shingles(text.as_py(), words) for text in batch.column(2)]
+            node, held, maps = zip(*map(sketch.of, sets), strict=True) if sets else ((), (), ())
+            columns = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(held, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n", "node", "keys", "map"])
 
     out = [docs.schema["doc_id"], *[T.StructField(c, k) for c, k in (("h", T.LongType()), ("n", T.LongType()), ("node", T.BinaryType()), ("keys", T.ArrayType(T.LongType())), ("map", T.BinaryType()))]]
@@ -306,12 +372,13 @@ def bounded(pairs: DataFrame, t: Threshold) -> DataFrame:
     return pairs.mapInArrow(each, "tree long, block long, block2 long")
 
 
-def plausible(classes: DataFrame, t: Threshold) -> DataFrame:
-    """classes(node, n, keys, map) -> a, b (hashes of nodes): edges that connect all classes that can link."""
+def plausible(rows: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
+    """rows(node, n, keys), classes(node, n, map) -> a, b (hashes of nodes): edges that connect all classes that can link."""
     short = F.xxhash64("node")  # classes of one hash merely share a tree
-    shared = classes.select(short.alias("id"), "n", F.explode("keys").alias("key")).repartition("key")  # dealt once, for the counts and for who is counted
-    held = shared.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    met = settled(shared.join(held, "key"), "jaccard-met")
+    shared = rows.select(short.alias("id"), "n", F.explode("keys").alias("key")).repartition("key")  # dealt once, for the keys of several sets and for these sets
+    several = shared.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key")
+    met = shared.join(several, "key").dropDuplicates(["key", "id"]).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    met = settled(met, "jaccard-met")
 
     few = met.where(F.col("held") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("sets")).select("sets", F.posexplode("sets").alias("at", "x"))
     after = F.filter(F.slice("sets", F.col("at") + 2, CROWD), lambda y: 100 * F.col("x.n") >= t.percent * y["n"])
@@ -331,10 +398,10 @@ def plausible(classes: DataFrame, t: Threshold) -> DataFrame:
     return alike.unionAll(tied.where(100 * F.col("less") >= t.percent * F.col("n")).select("a", F.col("id").alias("b")).distinct())
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, t: Threshold, row_hash: Column | None = None) -> DataFrame:
-    """docs(doc_id, text), classes(node, n, rep, keys, map) -> a, b: links that connect all linked classes. rep is the doc_id and h of a row, h its text's hash or row_hash."""
+def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, t: Threshold, row_hash: Column | None = None) -> DataFrame:
+    """docs(doc_id, text), rows(node, n, keys), classes(node, n, rep, map) -> a, b: links that connect all linked classes. rep is the doc_id and h of a row, h its text's hash or row_hash."""
     short = F.xxhash64("node")
-    trees = settled(components(classes.select(short.alias("node")), plausible(classes, t)), "jaccard-trees")
+    trees = settled(components(classes.select(short.alias("node")), plausible(rows, classes, t)), "jaccard-trees")
     wanted = settled(classes.select("node", "n", "rep").join(trees.select(F.col("node").alias("t_node"), F.col("root").alias("tree")), short == F.col("t_node")).select("tree", "node", "n", "rep"), "jaccard-members")
     placed = running_sums(wanted, ["n", "node"], {"bytes": 8 * F.col("n")}, ["tree"]).select("rep", "node", "n", "tree", F.floor((F.col("bytes") - 1) / BLOCK_BYTES).alias("block"))
     placed = small(settled(placed, "jaccard-placed"))
@@ -372,9 +439,9 @@ def jaccard_components(docs: DataFrame, percent: int = 90, words: int = 3) -> Da
     t = Threshold(percent)
     rows = settled(sketches(docs, words, t), "jaccard-rows")
     rep = F.struct("doc_id", "h")
-    classes = rows.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.min(rep).alias("rep"), F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("map").alias("map"))
+    classes = rows.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.min(rep).alias("rep"), F.min("doc_id").alias("first"), F.first("map", True).alias("map"))
     classes = settled(classes, "jaccard-classes")
-    roots = components(classes.select("node"), links(docs, classes, words, t))
+    roots = components(classes.select("node"), links(docs, rows, classes, words, t))
     of = classes.select("node", "first").join(roots.select(F.col("node").alias("r_node"), "root"), F.col("node") == F.col("r_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     of = settled(of, "jaccard-roots")
     ids = of.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -81,21 +81,22 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, similar: bool, percent: int = 80) -> DataFrame:
-    """docs(doc_id, text, h) -> doc_id, h, fp and, if wanted, n (shingles), key (a digest of the text's set of shingles) and bands and map (its keys and its bitmap in the exact join); these are null below WIDE words."""
+    """docs(doc_id, text, h) -> doc_id, h, fp and, if wanted, n (shingles), key (a digest of the text's set of shingles) and bands and map (its keys and its bitmap in the exact join, at least once for each set); these are null below WIDE words."""
     from axlewatch.llm import jaccard
 
     t = jaccard.Threshold(percent)
     marks = docs.sparkSession.sparkContext.broadcast(jaccard.token_marks(docs, WIDE) if similar else None)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = jaccard.Sketch(t, marks.value) if similar else None
         for batch in batches:
             fps, sizes, keys, bands, maps = [], [], [], [], []
             for x in batch.column(1):
                 text = x.as_py()
                 fps.append(fingerprint(text))
                 s = shingles(text) if similar else ()
-                some = len(s) > 0
-                sizes.append(len(s) if some else None), keys.append(xxhash.xxh3_128_digest(s.tobytes()) if some else None), bands.append(jaccard.keys(s, t, marks.value) if some else None), maps.append(jaccard.map_of(s) if some else None)
+                key, band, bits = sketch.of(s) if similar else (None, None, None)
+                sizes.append(len(s) or None), keys.append(key), bands.append(band), maps.append(bits)
             columns = [batch.column(0), batch.column(2), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fp", "n", "key", "bands", "map"])
 
@@ -114,9 +115,9 @@ def similar_roots(rows: DataFrame, every: DataFrame, classes: DataFrame, edges:
 
     t = jaccard.Threshold(percent_of(similarity))
     kept = every.where("key is not null")
-    reps = kept.groupBy("key").agg(F.min(F.struct("doc_id", "h", "fp")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("keys"), F.first("map").alias("map")).checkpoint()
+    reps = kept.groupBy("key").agg(F.min(F.struct("doc_id", "h", "fp")).alias("rep"), F.first("n").alias("n"), F.first("map", True).alias("map")).checkpoint()
     same = kept.join(reps.select("key", F.col("rep.fp").alias("a")), "key").select("a", F.col("fp").alias("b")).where("a <> b").distinct()
-    found = jaccard.links(rows, reps.select(F.col("key").alias("node"), "n", F.struct("rep.doc_id", "rep.h").alias("rep"), "keys", "map"), WIDE, t, F.col("h"))
+    found = jaccard.links(rows, kept.select(F.col("key").alias("node"), "n", F.col("bands").alias("keys")), reps.select(F.col("key").alias("node"), "n", F.struct("rep.doc_id", "rep.h").alias("rep"), "map"), WIDE, t, F.col("h"))
     named = [reps.select(F.col("key").alias(c), F.col("rep.fp").alias(f"{c}_fp")) for c in "ab"]
     near = found.join(named[0], "a").join(named[1], "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).where("a <> b").distinct()
     return roots_of(classes, edges.unionAll(same).unionAll(near))

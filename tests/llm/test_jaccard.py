@@ -172,3 +172,37 @@ def test_a_block_of_many_short_sets_needs_no_bitmap_for_each(monkeypatch):
     assert jaccard.linked(short, short, jaccard.Threshold(90), {})[0] == []
     assert tracemalloc.get_traced_memory()[1] < 32 << 20
     tracemalloc.stop()
+
+
+@pytest.mark.parametrize("percent", [60, 75, 80, 90, 100])
+def test_keys_of_parts_meet_for_every_linked_pair(percent):
+    """Sets on both sides of a class of sizes and of the few tokens; cells that tell tokens apart and cells that don't."""
+    rng, t = np.random.default_rng(11), jaccard.Threshold(percent)
+    met = 0
+    for k in range(1500):
+        n = int(rng.choice([1, 2, 5, 9, 12, 15, 16, 17, 18, 20, 26, 27, 30, 40, 80, 81, 90, 243, 300, 729, 760])) + int(rng.integers(3))
+        tokens = rng.integers(1 << 63, size=2 * n, dtype=np.uint64) * np.uint64(2)
+        lost, added = (int(rng.integers(0, 1 + (100 - percent) * n // 100)) for _ in "ab")
+        a, b = np.unique(tokens[:n]), np.unique(tokens[lost : n + added])
+        both = len(np.intersect1d(a, b))
+        if both and 100 * both >= percent * (len(a) + len(b) - both):
+            marks = rng.integers(1, 256, size=1 << jaccard.CELL_BITS, dtype=np.uint8) if k % 2 else np.ones(1 << jaccard.CELL_BITS, np.uint8)
+            one, other = (jaccard.keys_of(x, t, marks, 256) for x in (a, b))
+            assert set(one) & set(other) and len(one) <= 2 * (len(a) * (100 - percent) // percent + 2)
+            met += 1
+    assert met > 400
+
+
+def test_texts_that_share_runs_of_words_by_chance_share_no_keys(spark, monkeypatch):
+    """Texts of a dozen words in any order hold the same runs; keys of single tokens make a pair of nearly each two of them, so pairs grow with their square."""
+    rng, made, real = random.Random(12), {}, jaccard.settled
+    rows = [(k, " ".join(rng.choice("abcdefghijkl") for _ in range(200))) for k in range(30)]
+    rows.append((30, rows[0][1] + " a b"))
+
+    def counted(df, name):
+        out = real(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "settled", counted)
+    assert got(spark, rows) == brute(rows) and made["jaccard-pairs"] == 1
