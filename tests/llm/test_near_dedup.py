@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,23 @@ def test_no_link_is_lost_in_a_crowded_bucket(spark):
     root = {r.fp: r.root for r in simhash.similar_roots(df, every, classes, spark.createDataFrame([], "a long, b long"), 0.8).collect()}
     fps = {k: simhash.fingerprint(t) for k, t in rows}
     assert root[fps[40]] == root[fps[41]] and len(set(root.values())) == 41
+
+
+def test_texts_that_share_runs_of_words_by_chance_make_few_pairs(spark, monkeypatch):
+    """Texts of six words in any order hold some of the same runs of five. Where the cells are full, as of large tables, single tokens as keys make 339 pairs."""
+    from axlewatch.llm import jaccard
+
+    rng, made, real = random.Random(13), {}, jaccard.settled
+    rows = [(k, " ".join(rng.choice("abcdef") for _ in range(250))) for k in range(30)]
+    rows.append((30, rows[0][1] + " a b"))
+
+    def counted(df, name):
+        out = real(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "settled", counted)
+    monkeypatch.setattr(jaccard, "token_marks", lambda docs, words: np.ones(1 << jaccard.CELL_BITS, np.uint8))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.without_near_duplicates(df, similarity=0.8).collect()) == brute_force(rows)
+    assert made["jaccard-pairs"] <= 3
